@@ -31,9 +31,9 @@ def cleaning_recommendations(profile: Profile) -> DataFrame:
     """(rule_order, column_ix, id, type, column, issue, recommendation, severity, default_strategy)."""
     totals, schema, name = profile.totals, profile.columns, F.col("column_name")
     place = {"column": name, "position": F.col("column_ix")}
-    listed = totals.select("empty_columns", "constant_columns")
-    tagged = schema.join(F.broadcast(listed)).select(
-        schema["*"], F.array_contains("empty_columns", name).alias("is_empty"), F.array_contains("constant_columns", name).alias("is_constant")
+    empty, constant = (totals.select(c).scalar() for c in ("empty_columns", "constant_columns"))
+    tagged = schema.select(
+        "*", F.array_contains(empty, name).alias("is_empty"), F.array_contains(constant, name).alias("is_constant")
     )
     strategy = F.when(F.col("semantic_type").isin(*MODE_TYPES), "mode").otherwise("median")
     gaps = tagged.filter(~F.col("is_empty") & ~F.col("is_constant") & (F.col("null_count") > 0))

@@ -147,7 +147,7 @@ def norm_text(spark, sf):
 
 @register("is_boolean_set", """SELECT 'quality' AS column_name, count(DISTINCT quality) = 2 AND min(quality) = 0 AND max(quality) = 1 AS boolean_pair FROM labels UNION ALL
 SELECT 'toxic', count(DISTINCT toxic) = 2 AND min(toxic) = 0 AND max(toxic) = 1 FROM labels UNION ALL
-SELECT 'doc_id', false FROM labels""")
+SELECT 'doc_id', count(DISTINCT doc_id) = 2 AND min(doc_id) = 0 AND max(doc_id) = 1 FROM labels""")
 def is_boolean_set(spark, sf):
     long = shape.text_long(table(spark, sf, "labels"), ["doc_id", "quality", "toxic"])
     v = cells.norm_text(F.col("value"))

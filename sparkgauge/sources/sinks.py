@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, **options: str) -> str:
-    df.write.options(header="true", **options).csv(path)
+    df.write.options(**{"header": "true", **options}).csv(path)
     return path
 
 

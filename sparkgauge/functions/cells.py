@@ -30,6 +30,9 @@ DATE_FORMATS: tuple[tuple[str, str | None], ...] = (
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
 
+# What every shape above starts with; other text is turned away by this one test.
+DATE_START = r"^\s*(\d{1,4}[-/]|[A-Za-z]{3} \d)"
+
 LONG_NAME_LIMIT = 100
 
 
@@ -65,7 +68,7 @@ def to_text(c: Column) -> Column:
 
 def to_timestamp(c: Column, formats: Sequence[tuple[str, str | None]] = DATE_FORMATS) -> Column:
     """Text to timestamp by a list of (shape, pattern); other text becomes null."""
-    text = F.trim(c)
+    text = F.when(c.rlike(DATE_START), F.trim(c))
     parsed = [
         F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)) if pattern else F.try_to_timestamp(text))
         for shape, pattern in formats
@@ -91,6 +94,15 @@ def in_boolean_set(low: Column, high: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def boolean_mask(c: Column) -> Column:
+    """Bit of the boolean pair a value belongs to, 0 for other values."""
+    text = norm_text(c)
+    mask = F.lit(0)
+    for bit, pair in enumerate(BOOLEAN_SETS):
+        mask = F.when(text.isin(*pair), 1 << bit).otherwise(mask)
+    return mask
+
+
 def has_letter_or_digit(c: Column) -> Column:
     return c.rlike(r"[\p{L}\p{N}]")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sparkgauge.functions.cells import col_of, finite_or_null, one_decimal, period_label, sqrt_bins, to_timestamp
 from sparkgauge.operators.frequencies import distinct_counts, top_values
 from sparkgauge.operators.shape import as_double, fields, long_form, numeric_columns
+from sparkgauge.session import pin, small_frame
 
 ROUGHLY_FEW = 100
 SCATTER_POINTS = 300
@@ -38,8 +39,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     distinct = _few_distinct(finite, chosen)
     v = F.col("value")
     long = long_form(finite, {c: col_of(c) for c in chosen}).filter(v.isNotNull())
-    known = df.sparkSession.createDataFrame(
-        [(c, distinct.get(c)) for c in chosen], "column_name string, distinct_count bigint"
+    known = small_frame(
+        df.sparkSession, [(c, distinct.get(c)) for c in chosen], "column_name string, distinct_count bigint"
     )
     ends = long.groupBy("column_name").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     flat = F.col("lo") == F.col("hi")
@@ -49,8 +50,6 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
         sqrt_bins(F.col("n"), F.col("distinct_count")).alias("bins"),
     )
-    from sparkgauge.session import pin
-
     layout = pin(layout)
     lo, hi, bins = F.col("lo"), F.col("hi"), F.col("bins")
     step = (hi - lo) / bins

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkgauge.functions.tails import t_p_value
 from sparkgauge.operators.quantiles import quantile_values
 from sparkgauge.operators.shape import as_double, fields, numeric_columns, numeric_long
+from sparkgauge.session import small_frame
 
 STRONG = 0.7
 COLLINEAR = 0.8
@@ -20,68 +23,84 @@ def column_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(names, 2))
 
 
-def varying_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
-    """Numeric columns with a positive sample variance, in table order."""
+def column_centres(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, float]:
+    """Means of the numeric columns with a positive sample variance, in table order."""
     chosen = list(columns) if columns is not None else numeric_columns(df)
     if not chosen:
-        return []
+        return {}
     v = F.col("value")
-    spread = numeric_long(df, chosen).groupBy("column_name").agg(F.var_samp(v).alias("s"))
-    keep = {r["column_name"] for r in spread.filter((F.col("s") > 0) & ~F.isnan("s")).select("column_name").collect()}
-    return [c for c in chosen if c in keep]
+    spread = numeric_long(df, chosen).groupBy("column_name").agg(F.var_samp(v).alias("s"), F.avg(v).alias("m"))
+    found = {r["column_name"]: r["m"] for r in spread.filter((F.col("s") > 0) & ~F.isnan("s")).select("column_name", "m").collect()}
+    return {c: found[c] for c in chosen if c in found}
 
 
-def _pair_rows(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """(pair_ix, var1, var2, a, b), one row per table row and column pair.
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
-    The pairs come from the column list, not from rows; they are read in one
-    scan and collapse to one row per pair and task before the shuffle.
+
+def _pair_sums(df: DataFrame, values: dict[str, Column], centres: dict[str, float]) -> DataFrame:
+    """(pair_ix, n, sx, sy, sxx, syy, sxy) per pair, over rows where both values are present.
+
+    Every task adds its Arrow batches up with matrix products and sends one row
+    per pair on, so the row count crosses no shuffle and m columns cost one
+    pass instead of m * (m - 1) / 2 aggregates. Values are taken from the column
+    centre, which keeps the sums of squares free of cancellation.
     """
-    narrow = df.select(*[c.alias(f"v{i}") for i, c in enumerate(values.values())])
-    names = list(values)
-    cells = [
-        F.struct(
-            F.lit(ix).alias("pair_ix"), F.lit(names[i]).alias("var1"), F.lit(names[j]).alias("var2"),
-            F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b"),
-        )
-        for ix, (i, j) in enumerate(combinations(range(len(names)), 2))
-    ]
-    return narrow.select(F.inline(F.array(*cells)))
-
-
-def pair_correlations(df: DataFrame, values: dict[str, Column], r_name: str) -> DataFrame:
+    narrow = df.select(*[(c - F.lit(centres[name])).alias(f"v{i}") for i, (name, c) in enumerate(values.items())])
+    first, second = np.triu_indices(len(values), k=1)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            here = ~np.isnan(x)
+            x = np.where(here, x, 0.0)
+            seen = here.astype(float)
+            one, two = x.T @ seen, (x * x).T @ seen
+            sums = np.stack([seen.T @ seen, one, one.T, two, two.T, x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            columns = [pa.array(np.arange(len(first), dtype=np.int32)), *[pa.array(s[first, second]) for s in total]]
+            yield pa.RecordBatch.from_arrays(columns, names=["pair_ix", *SUMS])
+
+    schema = "pair_ix int, " + ", ".join(f"{s} double" for s in SUMS)
+    return narrow.mapInArrow(add_up, schema).groupBy("pair_ix").agg(*[F.sum(s).alias(s) for s in SUMS])
+
+
+def pair_correlations(df: DataFrame, values: dict[str, Column], centres: dict[str, float], r_name: str) -> DataFrame:
     """(pair_ix, var1, var2, n, r) over rows where both values are present."""
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return (
-        _pair_rows(df, values)
-        .groupBy("pair_ix", "var1", "var2")
-        .agg(F.count_if(both).alias("n"), F.corr("a", "b").alias(r_name))
-    )
+    names = [(i, a, b) for i, (a, b) in enumerate(column_pairs(list(values)))]
+    pairs = small_frame(df.sparkSession, names, "pair_ix int, var1 string, var2 string")
+    n, sx, sy, sxx, syy, sxy = (F.col(s) for s in SUMS)
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    r = F.when((n > 1) & (vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (sxy - sx * sy / n) / F.sqrt(vx * vy))))
+    sums = _pair_sums(df, values, centres)
+    return sums.join(F.broadcast(pairs), "pair_ix").select("pair_ix", "var1", "var2", n.cast("bigint").alias("n"), r.alias(r_name))
 
 
 def _no_pairs(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
+    return small_frame(df.sparkSession, [], schema)
 
 
 def pair_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Numeric column pairs in table order with the rows where both are present."""
     chosen = list(columns) if columns is not None else numeric_columns(df)
     values = {f.name: as_double(f) for f in fields(df, chosen)}
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return _pair_rows(df, values).groupBy("pair_ix", "var1", "var2").agg(F.count_if(both).alias("complete_rows"))
+    found = pair_correlations(df, values, {c: 0.0 for c in chosen}, "r")
+    return found.select("pair_ix", "var1", "var2", F.col("n").alias("complete_rows"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(x, y, r_pairwise): the full matrix in long form, three decimals, diagonal included."""
-    names = varying_columns(df, columns)
+    centres = column_centres(df, columns)
+    names = list(centres)
     if len(names) < 2:
         return _no_pairs(df, "x string, y string, r_pairwise double")
-    r = pair_correlations(df, {f.name: as_double(f) for f in fields(df, names)}, "r")
+    r = pair_correlations(df, {f.name: as_double(f) for f in fields(df, names)}, centres, "r")
     cells = F.array(
         F.struct(F.col("var1").alias("x"), F.col("var2").alias("y"), F.round("r", 3).alias("r_pairwise")),
         F.struct(F.col("var2").alias("x"), F.col("var1").alias("y"), F.round("r", 3).alias("r_pairwise")),
     )
-    diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in names], "x string, y string, r_pairwise double")
+    diagonal = small_frame(df.sparkSession, [(c, c, 1.0) for c in names], "x string, y string, r_pairwise double")
     return r.select(F.inline(cells)).unionByName(diagonal)
 
 
@@ -99,12 +118,19 @@ def median_filled(df: DataFrame, columns: Sequence[str], medians: dict[str, list
     return {f.name: F.coalesce(as_double(f), F.lit(medians[f.name][0])) for f in fields(df, columns)}
 
 
-def correlated_pairs(df: DataFrame, columns: Sequence[str] | None = None, medians: dict[str, list[float]] | None = None) -> DataFrame:
-    """(pair_ix, var1, var2, n, r_filled) on median-filled columns, all pairs."""
-    names = varying_columns(df, columns)
+def correlated_pairs(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    medians: dict[str, list[float]] | None = None,
+    centres: dict[str, float] | None = None,
+) -> DataFrame:
+    """(pair_ix, var1, var2, n, r_filled) on median-filled columns, all pairs of varying columns."""
+    if centres is None:
+        centres = column_centres(df, columns)
+    names = list(centres)
     if len(names) < 2:
         return _no_pairs(df, "pair_ix int, var1 string, var2 string, n bigint, r_filled double")
-    return pair_correlations(df, median_filled(df, names, medians), "r_filled")
+    return pair_correlations(df, median_filled(df, names, medians), centres, "r_filled")
 
 
 def strong_correlations(

@@ -19,6 +19,7 @@ from sparkgauge.operators.shape import (
     string_columns,
     text_long,
 )
+from sparkgauge.session import small_frame
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def constant_not_empty(df: DataFrame) -> DataFrame:
 def infinite_counts(df: DataFrame) -> DataFrame:
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, FRACTIONAL)]
     if not floats:
-        return df.sparkSession.createDataFrame([], "column_name string, row_count bigint, infinity_count bigint")
+        return small_frame(df.sparkSession, [], "column_name string, row_count bigint, infinity_count bigint")
     return (
         numeric_long(df, floats)
         .groupBy("column_name")

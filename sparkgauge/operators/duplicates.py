@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkgauge.operators.shape import col_of
+from sparkgauge.session import small_frame
 
 BROADCAST_LIMIT = 500_000
 
@@ -37,7 +38,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     seen = hashed.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("shared")).first()
     total, shared = seen["rows"] or 0, seen["shared"]
     if shared == 0:
-        repeated = spark.createDataFrame([(0,)], "duplicate_count bigint")
+        repeated = small_frame(spark, [(0,)], "duplicate_count bigint")
     else:
         suspects = keys
         if shared <= BROADCAST_LIMIT:

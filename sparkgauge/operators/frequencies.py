@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from sparkgauge.functions.cells import nan_to_null
+from sparkgauge.functions.cells import boolean_mask, nan_to_null, to_timestamp
 from sparkgauge.operators.shape import FRACTIONAL, as_double, as_text, col_of, fields, long_form, numeric_columns, other_columns
 
 KEY_LIMIT = 64
@@ -81,6 +81,41 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     return result
 
 
+def value_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """All value facts of the columns from one pass over their frequencies.
+
+    (column_name, row_count, null_count, distinct_count, avg_length, all_dates,
+    boolean_pair). Length, date and boolean tests look at each distinct value
+    once; a long text stands as its digest, which keeps its length.
+    """
+    chosen = list(columns) if columns is not None else df.columns
+    parts = []
+    for long in _keys(df, chosen):
+        freq = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        v, n = F.col("value"), F.col("n")
+        if isinstance(long.schema["value"].dataType, T.StringType):
+            is_digest = F.char_length(v) > KEY_LIMIT
+            length = F.when(is_digest, F.regexp_extract(v, r"^#(\d+):", 1).cast("bigint")).otherwise(F.char_length(v))
+            dates = (F.count(v) > 0) & (F.count(to_timestamp(F.when(~is_digest, v))) == F.count(v))
+            facts = [
+                (F.sum(length * n) / F.sum(F.when(v.isNotNull(), n))).alias("avg_length"), dates.alias("all_dates"),
+                (F.coalesce(F.bit_and(F.when(v.isNotNull(), boolean_mask(v))), F.lit(0)) != 0).alias("boolean_pair"),
+            ]
+        else:
+            pair = (F.min(v) == 0) & (F.max(v) == 1)
+            facts = [F.lit(None).cast("double").alias("avg_length"), F.lit(False).alias("all_dates"), F.coalesce(pair, F.lit(False)).alias("boolean_pair")]
+        parts.append(
+            freq.groupBy("column_name").agg(
+                F.sum(n).alias("row_count"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
+                F.count(v).alias("distinct_count"), *facts,
+            )
+        )
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def unique_ratio(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     ratio = F.col("distinct_count") / F.col("row_count")
     return distinct_counts(df, columns, exact).select(

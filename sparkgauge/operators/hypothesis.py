@@ -12,6 +12,7 @@ from sparkgauge.functions.tails import chi_p_value, f_p_value, t_p_value
 from sparkgauge.operators.grouped import category_columns, category_pairs, crosstab, group_summaries, margins
 from sparkgauge.operators.moments import column_moments
 from sparkgauge.operators.shape import numeric_columns, numeric_long, other_columns
+from sparkgauge.session import pin, small_frame
 
 ALPHA = 0.05
 SMALLEST_GROUP = 5
@@ -60,14 +61,12 @@ def normality_shapiro(df: DataFrame, columns: Sequence[str] | None = None, momen
         present = numeric_long(df, names).filter(F.col("value").isNotNull())
         tested = present.groupBy("column_name").applyInPandas(w_test, schema)
     else:
-        tested = df.sparkSession.createDataFrame([], schema)
+        tested = small_frame(df.sparkSession, [], schema)
     return tested.select("*", (F.col("p_value") >= ALPHA).alias("is_normal"), F.lit(None).cast("string").alias("reason"))
 
 
 def normality(df: DataFrame, columns: Sequence[str] | None = None, moments: DataFrame | None = None) -> DataFrame:
     """One row per numeric column with a value, by the test that fits its size."""
-    from sparkgauge.session import pin
-
     facts = pin(moments if moments is not None else column_moments(df, columns))
     small = facts.filter(F.col("n").between(1, SMALLEST_SAMPLE - 1)).select(
         "column_name", "n",
@@ -105,7 +104,7 @@ def welch_t(df: DataFrame, categories: Sequence[str] | None = None, numerics: Se
     names = _two_valued(df, categories)
     nums = list(numerics) if numerics is not None else numeric_columns(df)
     if not names or not nums:
-        return df.sparkSession.createDataFrame([], TEST_SCHEMA)
+        return small_frame(df.sparkSession, [], TEST_SCHEMA)
     return _welch_rows(group_summaries(df, names, nums), names, nums, most)
 
 
@@ -152,7 +151,7 @@ def anova(df: DataFrame, categories: Sequence[str] | None = None, numerics: Sequ
     names = [c for c, k in category_columns(df, categories).items() if k >= 3]
     nums = list(numerics) if numerics is not None else numeric_columns(df)
     if not names or not nums:
-        return df.sparkSession.createDataFrame([], TEST_SCHEMA)
+        return small_frame(df.sparkSession, [], TEST_SCHEMA)
     return _anova_rows(group_summaries(df, names, nums), names, nums, most)
 
 
@@ -207,7 +206,7 @@ def chi_square_statistics(table: DataFrame) -> DataFrame:
 def chi_square(df: DataFrame, columns: Sequence[str] | None = None, most: int | None = MOST_TESTS) -> DataFrame:
     names = list(category_columns(df, columns))
     if len(names) < 2:
-        return df.sparkSession.createDataFrame([], TEST_SCHEMA)
+        return small_frame(df.sparkSession, [], TEST_SCHEMA)
     return _chi_rows(crosstab(df, category_pairs(names)), names, most)
 
 
@@ -226,13 +225,14 @@ def _chi_rows(table: DataFrame, names: Sequence[str], most: int | None) -> DataF
     )
 
 
-def hypothesis_tests(df: DataFrame, most: int | None = MOST_TESTS) -> DataFrame:
+def hypothesis_tests(df: DataFrame, most: int | None = MOST_TESTS, few: dict[str, int] | None = None) -> DataFrame:
     """Welch t, ANOVA and chi-square tests of the table, each kind in table order.
 
-    The category columns are found once; one scan feeds both mean tests and one
-    the contingency tables.
+    The category columns (``few``: name to distinct count) are found once; one
+    scan feeds both mean tests and one the contingency tables.
     """
-    few = category_columns(df, other_columns(df))
+    if few is None:
+        few = category_columns(df, other_columns(df))
     nums = numeric_columns(df)
     parts = []
     if few and nums:
@@ -245,7 +245,7 @@ def hypothesis_tests(df: DataFrame, most: int | None = MOST_TESTS) -> DataFrame:
             parts.append(_anova_rows(groups.filter(F.col("category").isin(more)), more, nums, most))
     if len(few) > 1:
         parts.append(_chi_rows(crosstab(df, category_pairs(list(few))), list(few), most))
-    tests = df.sparkSession.createDataFrame([], TEST_SCHEMA)
+    tests = small_frame(df.sparkSession, [], TEST_SCHEMA)
     for part in parts:
         tests = tests.unionByName(part)
     return tests

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkgauge.operators.quantiles import quantile_values
 from sparkgauge.operators.shape import as_double, fields, numeric_columns, numeric_long
+from sparkgauge.session import small_frame
 
 REACH = 1.5
 FENCE_SCHEMA = "column_name string, q1 double, q3 double, iqr double, lower_bound double, upper_bound double"
@@ -22,7 +23,7 @@ def fences(df: DataFrame, columns: Sequence[str] | None = None, quartiles: dict[
         quartiles = quantile_values(df, (0.25, 0.75), columns)
     bounds = fence_values(quartiles)
     rows = [(c, q1, q3, q3 - q1, *bounds[c]) for c, (q1, q3) in quartiles.items()]
-    return df.sparkSession.createDataFrame(rows, FENCE_SCHEMA)
+    return small_frame(df.sparkSession, rows, FENCE_SCHEMA)
 
 
 def beyond_fences(df: DataFrame, columns: Sequence[str] | None = None, quartiles: dict[str, list[float]] | None = None) -> DataFrame:

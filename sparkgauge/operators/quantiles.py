@@ -14,9 +14,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkgauge.operators.shape import numeric_columns, numeric_long
+from sparkgauge.session import small_frame
 
 SKETCH_SIZE = 1024
 RANK_SLACK = 0.004
@@ -49,7 +50,8 @@ def _gap_rows(long: DataFrame, gaps: list[tuple[str, float, float]]) -> DataFram
     by_column: dict[str, list[tuple[float, float, int]]] = {}
     for number, (column, low, high) in enumerate(gaps):
         by_column.setdefault(column, []).append((low, high, number))
-    frame = long.sparkSession.createDataFrame(
+    frame = small_frame(
+        long.sparkSession,
         [(c, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for c, v in by_column.items()],
         "column_name string, lows array<double>, highs array<double>, numbers array<int>",
     )
@@ -85,26 +87,62 @@ def _gap_cuts(sketches: DataFrame, positions: dict[int, list[float]]) -> dict[in
     return {row["gap"]: sorted(set(row["cuts"])) for row in cuts.collect()}
 
 
-def _interval_counts(rows: DataFrame, key: str, cuts: dict) -> dict:
-    """Exact number of values on each cut and between neighbouring cuts.
-
-    Interval 2i+1 is the i-th cut itself, interval 2i the open gap before it.
-    """
-    width = max(len(c) for c in cuts.values())
-    kind = rows.schema[key].dataType.simpleString()
-    frame = rows.sparkSession.createDataFrame([(k, c) for k, c in cuts.items()], f"{key} {kind}, cuts array<double>")
-    tagged = rows.join(F.broadcast(frame), key)
+def _place(cuts: int) -> Column:
+    """Interval number of a value: 2i+1 is the i-th cut itself, 2i the open gap before it."""
     place = F.lit(0)
-    for i in range(width):
+    for i in range(cuts):
         cut = F.get("cuts", F.lit(i))
         place = place + F.when(F.col("value") > cut, 2).when(F.col("value") == cut, 1).otherwise(0)
-    counted = tagged.groupBy(key, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    return place.alias("place")
+
+
+def _interval_counts(rows: DataFrame, key: str, cuts: dict) -> dict:
+    """Exact number of values on each cut and between neighbouring cuts."""
+    width = max(len(c) for c in cuts.values())
+    kind = rows.schema[key].dataType.simpleString()
+    frame = small_frame(rows.sparkSession, list(cuts.items()), f"{key} {kind}, cuts array<double>")
+    counted = rows.join(F.broadcast(frame), key).groupBy(key, _place(width)).agg(F.count(F.lit(1)).alias("n"))
     result: dict = {k: {} for k in cuts}
     for row in counted.collect():
         result[row[key]][row["place"]] = row["n"]
     return result
 
 
+def _read_at_once(long: DataFrame, targets: list[_Target], cuts: dict[str, list[float]], asked: dict[str, list[float]]) -> None:
+    """Counts of all intervals and the values of the gaps around the asked ranks in one scan.
+
+    Only for columns whose gaps together hold at most ``GAP_LIMIT`` values, as
+    their size and the sketch's slack tell beforehand. A rank the sketch put in
+    another gap stays open.
+    """
+    width = max(len(c) for c in cuts.values())
+    rows = []
+    for column, points in cuts.items():
+        near = [False] * (2 * width + 1)
+        for low, high in zip(asked[column][::2], asked[column][1::2]):
+            for place in range(2 * points.index(low) + 1, 2 * points.index(high) + 1):
+                near[place] = near[place] or place % 2 == 0
+        rows.append((column, points, near))
+    frame = small_frame(long.sparkSession, rows, "column_name string, cuts array<double>, near array<boolean>")
+    placed = long.filter(F.col("value").isNotNull()).join(F.broadcast(frame), "column_name").select(
+        "column_name", _place(width), "value", "near", "cuts"
+    )
+    kept = F.when(F.get("near", F.col("place")), F.col("value")).alias("kept")
+    freq = placed.groupBy("column_name", "place", kept).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("column_name").orderBy("place", "kept").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = freq.withColumn("upto", F.sum("n").over(order))
+    wanted = small_frame(
+        long.sparkSession, sorted({(t.column, t.rank) for t in targets}), "column_name string, rank bigint"
+    )
+    hits = ranked.join(F.broadcast(wanted), "column_name").filter(
+        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    )
+    by_key = {(t.column, t.rank): t for t in targets}
+    for row in hits.select("column_name", "rank", "place", "kept").collect():
+        target = by_key[(row["column_name"], row["rank"])]
+        target.value = cuts[target.column][row["place"] // 2] if row["place"] % 2 else row["kept"]
+
+
 def _narrow(targets: list[_Target], cuts: list[float], counts: dict[int, int], skipped: int, outer: tuple[float, float]) -> None:
     """Move every target of one key to the cut or gap that holds its rank."""
     for target in targets:
@@ -127,8 +165,8 @@ def _read_gaps(long: DataFrame, gaps: list[tuple[str, float, float]], targets: l
     number = {gap: i for i, gap in enumerate(gaps)}
     freq = _gap_rows(long, gaps).groupBy("gap", "value").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("gap").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = long.sparkSession.createDataFrame(
-        sorted({(number[t.gap], t.rank - t.skipped) for t in targets}), "gap int, place bigint"
+    wanted = small_frame(
+        long.sparkSession, sorted({(number[t.gap], t.rank - t.skipped) for t in targets}), "gap int, place bigint"
     )
     ranked = freq.withColumn("upto", upto)
     hits = ranked.join(F.broadcast(wanted), "gap").filter(
@@ -191,8 +229,18 @@ def quantile_values(df: DataFrame, probabilities: Sequence[float], columns: Sequ
             position = (n - 1) * p
             for rank in (math.floor(position), math.ceil(position)):
                 targets.setdefault((column, rank), _Target(column, rank))
-    if targets:
-        _order_statistics(long, list(targets.values()), cuts)
+    slack = 2 * RANK_SLACK * len(probabilities)
+    small = {c for c, n in sizes.items() if n * slack <= GAP_LIMIT}
+    if small:
+        by_rank = dict(zip(_around(probabilities), range(len(_around(probabilities)))))
+        ends = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-RANK_SLACK, RANK_SLACK)]
+        raw = {r["column_name"]: r["cuts"] for r in first}
+        asked = {c: [raw[c][by_rank[e]] for e in ends] for c in small}
+        group = [t for t in targets.values() if t.column in small]
+        _read_at_once(long, group, {c: cuts[c] for c in small}, asked)
+    left = [t for t in targets.values() if t.value is None]
+    if left:
+        _order_statistics(long, left, {c: cuts[c] for c in {t.column for t in left}})
     result: dict[str, list[float]] = {}
     for column, n in sizes.items():
         values = []
@@ -214,7 +262,7 @@ def percentiles(
     schema = "column_name string, " + ", ".join(f"{n} double" for n in names)
     if exact:
         values = quantile_values(df, probabilities, columns)
-        return spark.createDataFrame([(c, *v) for c, v in values.items()], schema)
+        return small_frame(spark, [(c, *v) for c, v in values.items()], schema)
     chosen = list(columns) if columns is not None else numeric_columns(df)
     sketches = _sketch(numeric_long(df, chosen).filter(F.col("value").isNotNull()), "column_name")
     return sketches.select(

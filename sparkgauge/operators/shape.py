@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkgauge.functions.cells import col_of, nan_to_null
+from sparkgauge.session import small_frame
 
 FRACTIONAL = (T.DoubleType, T.FloatType)
 DATETIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -100,4 +101,4 @@ def text_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def column_list(df: DataFrame) -> DataFrame:
     """(column_ix, column_name, data_type) in table order."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "column_ix int, column_name string, data_type string")
+    return small_frame(df.sparkSession, rows, "column_ix int, column_name string, data_type string")

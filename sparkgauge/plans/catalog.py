@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparkgauge.operators.charts import bars, histogram, scatter_sample, time_bucket_mean
 from sparkgauge.operators.correlation import correlation_matrix, heatmap
 from sparkgauge.plans.profile import Profile
+from sparkgauge.session import small_frame
 
 LINES, HISTOGRAMS, BARS, SCATTERS = 2, 3, 3, 2
 CATALOG_SCHEMA = "chart_ix int, chart_type string, x_axis string, y_axis string, title string"
@@ -31,7 +32,7 @@ def chart_catalog(schema: DataFrame, strong: DataFrame) -> DataFrame:
     charts += [("histogram", c, "Frequency Count", f"Distribution of {c}") for c in numeric[:HISTOGRAMS]]
     charts += [("bar", c, "Count", f"Value Counts of {c}") for c in categories[:BARS]]
     charts += [("scatter", a, b, f"{a} vs {b} Scatter Plot") for a, b in pairs]
-    return schema.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(charts)], CATALOG_SCHEMA)
+    return small_frame(schema.sparkSession, [(i, *c) for i, c in enumerate(charts)], CATALOG_SCHEMA)
 
 
 def chart_series(df: DataFrame, profile: Profile) -> DataFrame:
@@ -55,7 +56,7 @@ def chart_series(df: DataFrame, profile: Profile) -> DataFrame:
             rows = scatter_sample(df, x, y).select(F.col("x").cast("string"), none.alias("y"), F.col("y").alias("value"))
         parts.append(rows.select(F.lit(chart["chart_ix"]).alias("chart_ix"), F.lit(kind).alias("chart_type"), "x", "y", "value"))
     if not parts:
-        return df.sparkSession.createDataFrame([], "chart_ix int, chart_type string, x string, y string, value double")
+        return small_frame(df.sparkSession, [], "chart_ix int, chart_type string, x string, y string, value double")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

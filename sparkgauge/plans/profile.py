@@ -8,16 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from sparkgauge.operators.correlation import correlated_pairs, multicollinearity, strong_correlations
-from sparkgauge.operators.counts import extremes
 from sparkgauge.operators.duplicates import duplicate_count
 from sparkgauge.operators.frequencies import numeric_value_facts, top_values
+from sparkgauge.operators.grouped import MAX_CATEGORIES
 from sparkgauge.operators.hypothesis import MOST_TESTS, hypothesis_tests, normality
 from sparkgauge.operators.moments import column_moments
 from sparkgauge.operators.outliers import iqr_outliers
 from sparkgauge.operators.quantiles import quantile_values
 from sparkgauge.operators.shape import column_list, numeric_columns, other_columns
 from sparkgauge.plans.semantics import schema_profile
-from sparkgauge.session import pin
+from sparkgauge.session import pin, small_frame
 
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
 NUMERIC_SCHEMA = "column_name string, p5 double, q25 double, median double, q75 double, p95 double"
@@ -35,7 +35,7 @@ def numeric_profile(
     if quantiles is None:
         quantiles = quantile_values(df, PROBABILITIES, chosen)
     facts = moments if moments is not None else column_moments(df, chosen)
-    marks = df.sparkSession.createDataFrame([(c, *v) for c, v in quantiles.items()], NUMERIC_SCHEMA)
+    marks = small_frame(df.sparkSession, [(c, *v) for c, v in quantiles.items()], NUMERIC_SCHEMA)
     outliers = iqr_outliers(df, chosen, {c: [v[1], v[3]] for c, v in quantiles.items()})
     joined = (
         facts.join(F.broadcast(marks), "column_name")
@@ -90,28 +90,30 @@ def profile_table(df: DataFrame, most_tests: int | None = MOST_TESTS, exact: boo
     schema = pin(schema_profile(df, exact))
     duplicates = pin(duplicate_count(df))
     rows = duplicates.first()["row_count"]
-    constants = [r["column_name"] for r in extremes(df).filter("same").collect()]
+    unique = {r["column_name"]: r["unique_values"] for r in schema.select("column_name", "unique_values").collect()}
+    constants = [c for c, k in unique.items() if k == 1]
+    few = {c: unique[c] for c in others if 2 <= unique[c] <= MAX_CATEGORIES}
     moments = pin(column_moments(df, nums)) if nums else None
     quantiles = quantile_values(df, PROBABILITIES, nums)
     present = list(quantiles)
     if present:
         numeric = pin(numeric_profile(df, present, quantiles, moments.filter(F.col("n") > 0)))
-        varying = [r["column_name"] for r in numeric.filter("variance > 0").select("column_name").collect()]
+        means = {r["column_name"]: r["mean"] for r in numeric.filter("variance > 0").select("column_name", "mean").collect()}
         medians = {c: [v[2]] for c, v in quantiles.items()}
-        pairs = pin(correlated_pairs(df, [c for c in present if c in varying], medians))
+        pairs = pin(correlated_pairs(df, None, medians, {c: means[c] for c in nums if c in means}))
         normal = pin(normality(df, present, moments))
     else:
-        numeric = spark.createDataFrame([], NUMERIC_SCHEMA.replace("p5 double", "n bigint, outliers_count bigint, outliers_share double, outliers_pct double, std double, skewness double, kurtosis double, mean double, min double, max double"))
-        pairs = correlated_pairs(df, [])
-        normal = spark.createDataFrame([], "column_name string, n bigint, statistic double, p_value double, is_normal boolean, reason string, test_name string")
+        numeric = small_frame(spark, [], NUMERIC_SCHEMA.replace("p5 double", "n bigint, outliers_count bigint, outliers_share double, outliers_pct double, std double, skewness double, kurtosis double, mean double, min double, max double"))
+        pairs = correlated_pairs(df, [], {}, {})
+        normal = small_frame(spark, [], "column_name string, n bigint, statistic double, p_value double, is_normal boolean, reason string, test_name string")
     order = column_list(df).select("column_ix", "column_name")
     return Profile(
         totals=pin(table_totals(schema, duplicates, constants, rows)),
         columns=schema,
         numeric=pin(numeric.join(F.broadcast(order), "column_name")),
-        top=pin(top_values(df, others)) if others else spark.createDataFrame([], TOP_SCHEMA),
+        top=pin(top_values(df, others)) if others else small_frame(spark, [], TOP_SCHEMA),
         strong=pin(strong_correlations(df, pairs=pairs)),
         collinear=pin(multicollinearity(df, pairs=pairs)),
         normality=pin(normal.join(F.broadcast(order), "column_name")),
-        tests=pin(hypothesis_tests(df, most_tests)),
+        tests=pin(hypothesis_tests(df, most_tests, few if exact else None)),
     )

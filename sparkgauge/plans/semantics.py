@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkgauge.functions.cells import in_boolean_set, is_datetime_text, norm_text
+from sparkgauge.functions.cells import boolean_mask, is_datetime_text
 from sparkgauge.operators.counts import null_counts
-from sparkgauge.operators.frequencies import distinct_counts
+from sparkgauge.operators.frequencies import distinct_counts, value_facts
 from sparkgauge.operators.shape import DATETIMES, column_list, numeric_long, text_long
+from sparkgauge.session import small_frame
 
 TEXT_LENGTH = 50
 IDENTIFIER_RATIO = 0.90
-FACT_SCHEMA = "column_name string, avg_length double, all_dates boolean, boolean_pair boolean"
 
 
 def _families(df: DataFrame) -> dict[str, list[str]]:
@@ -28,30 +28,25 @@ def _families(df: DataFrame) -> dict[str, list[str]]:
     return groups
 
 
-def value_facts(df: DataFrame) -> DataFrame:
-    """What the type rules ask of the values: mean length, date-like text and boolean pairs.
-
-    A column with two distinct values holds nothing but its lowest and highest
-    one, so the boolean test needs only these two.
-    """
-    groups = _families(df)
-    facts = df.sparkSession.createDataFrame([], FACT_SCHEMA)
+def _sketched_facts(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """The same facts without shuffling distinct values: sketched counts, tests on every row."""
+    counts = distinct_counts(df, exact=False).drop("row_count").join(null_counts(df).drop("null_percentage"), "column_name")
     v = F.col("value")
+    parts = []
     if groups["text"]:
-        low, high = F.min(norm_text(v)), F.max(norm_text(v))
-        texts = text_long(df, groups["text"]).groupBy("column_name").agg(
+        parts.append(text_long(df, groups["text"]).groupBy("column_name").agg(
             F.avg(F.char_length(v)).alias("avg_length"), is_datetime_text(v).alias("all_dates"),
-            low.alias("low"), high.alias("high"),
-        )
-        pair = in_boolean_set(F.col("low"), F.col("high")).alias("boolean_pair")
-        facts = facts.unionByName(texts.select("column_name", "avg_length", "all_dates", pair))
+            (F.coalesce(F.bit_and(F.when(v.isNotNull(), boolean_mask(v))), F.lit(0)) != 0).alias("boolean_pair"),
+        ))
     if groups["numeric"]:
-        numbers = numeric_long(df, groups["numeric"]).groupBy("column_name").agg(F.min(v).alias("low"), F.max(v).alias("high"))
-        pair = F.coalesce((F.col("low") == 0) & (F.col("high") == 1), F.lit(False)).alias("boolean_pair")
-        facts = facts.unionByName(
-            numbers.select("column_name", F.lit(None).cast("double").alias("avg_length"), F.lit(False).alias("all_dates"), pair)
-        )
-    return facts
+        pair = F.coalesce((F.min(v) == 0) & (F.max(v) == 1), F.lit(False))
+        parts.append(numeric_long(df, groups["numeric"]).groupBy("column_name").agg(
+            F.lit(None).cast("double").alias("avg_length"), F.lit(False).alias("all_dates"), pair.alias("boolean_pair")
+        ))
+    tests = parts[0] if parts else small_frame(df.sparkSession, [], "column_name string, avg_length double, all_dates boolean, boolean_pair boolean")
+    for part in parts[1:]:
+        tests = tests.unionByName(part)
+    return counts.join(tests, "column_name", "left")
 
 
 def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -72,15 +67,11 @@ def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         .when(unique / rows > IDENTIFIER_RATIO, "identifier")
         .otherwise("categorical")
     )
-    joined = (
-        column_list(df)
-        .join(null_counts(df), "column_name", "left")
-        .join(distinct_counts(df, exact=exact).drop("row_count"), "column_name", "left")
-        .join(value_facts(df), "column_name", "left")
-    )
+    facts = value_facts(df) if exact else _sketched_facts(df, groups)
+    joined = column_list(df).join(facts, "column_name", "left")
     return joined.select(
         "column_ix", "column_name", "data_type", kind.alias("semantic_type"),
         unique.alias("unique_values"),
         F.coalesce("null_count", F.lit(0)).alias("null_count"),
-        F.round(F.coalesce("null_percentage", F.lit(0.0)), 2).alias("null_percentage"),
+        F.round(F.coalesce(F.col("null_count") / rows * 100, F.lit(0.0)), 2).alias("null_percentage"),
     )

@@ -14,7 +14,7 @@ from sparkgauge.operators.outliers import iqr_outliers
 from sparkgauge.operators.shape import column_list, numeric_columns, string_columns, text_long
 from sparkgauge.plans.reliability import reliability
 from sparkgauge.plans.texts import RECOVERY
-from sparkgauge.session import pin
+from sparkgauge.session import pin, small_frame
 
 MIXED_SHARE = 0.60
 HIGH_MISSING = 90.0
@@ -29,7 +29,7 @@ HEADER_SCHEMA = "position int, header string"
 
 def header_frame(df_or_session, headers: Sequence[str | None]) -> DataFrame:
     spark = getattr(df_or_session, "sparkSession", df_or_session)
-    return spark.createDataFrame(list(enumerate(headers)), HEADER_SCHEMA)
+    return small_frame(spark, list(enumerate(headers)), HEADER_SCHEMA)
 
 
 def blank_headers(headers: DataFrame) -> DataFrame:
@@ -157,10 +157,10 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     head = nulls.first()
     rows = head["row_count"] if head else 0
     if not rows:
-        return df.sparkSession.createDataFrame([], WARNING_SCHEMA)
+        return small_frame(df.sparkSession, [], WARNING_SCHEMA)
     order = column_list(df).select("column_ix", "column_name")
     columns = F.broadcast(order)
-    tier = reliability(df.sparkSession.createDataFrame([(rows,)], "row_count bigint"))
+    tier = reliability(small_frame(df.sparkSession, [(rows,)], "row_count bigint"))
     name, n = F.col("column_name"), F.lit(rows)
     place = {"column_ix": F.col("column_ix"), "column_name": name}
     parts = [

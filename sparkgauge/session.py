@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 PIN_LIMIT = 100_000
 
@@ -60,6 +63,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
+    """A frame of a few driver-side rows as a local relation.
+
+    Spark knows its size and its values: it broadcasts it without a job and
+    folds projections over it while planning.
+    """
+    target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*[tuple(r) for r in rows])) if rows else [()] * len(target.fields)
+    arrow = to_arrow_schema(target)
+    arrays = [pa.array(_plain(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), target)
+
+
+def _plain(values):
+    """Rows inside values as dicts, which is how Arrow takes structs."""
+    if isinstance(values, T.Row):
+        return {k: _plain(v) for k, v in values.asDict().items()}
+    if isinstance(values, (list, tuple)):
+        return [_plain(v) for v in values]
+    return values
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Fix a frame whose size follows the column count, so later rules do not rescan.
 
@@ -69,4 +94,4 @@ def pin(df: DataFrame) -> DataFrame:
     rows = df.limit(PIN_LIMIT + 1).collect()
     if len(rows) > PIN_LIMIT:
         return cut_lineage(df)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return small_frame(df.sparkSession, rows, df.schema)

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkgauge.plans.validation import recovery
+from sparkgauge.session import small_frame
 
 EXTENSIONS = (".csv",)
 
@@ -27,7 +28,7 @@ def file_checks(spark: SparkSession, path: str, extensions: Sequence[str] = EXTE
     except PySparkException:
         pass
     if files is None:
-        missing = spark.createDataFrame([(path,)], "path string")
+        missing = small_frame(spark, [(path,)], "path string")
         return _violations(missing, 2, "CORRUPTED_FILE", F.format_string("File path does not exist: %s", "path")).withColumn("recoverable", F.lit(False))
     name = F.lower("path")
     known = F.lit(False)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkgauge.operators.cleaning import Operation
 from sparkgauge.operators.frequencies import top_per_group
+from sparkgauge.session import small_frame
 
 OPERATION_SCHEMA = "array<struct<type string, column string, columns array<string>, strategy string, fill_value string, target_type string>>"
 
@@ -38,7 +39,7 @@ def history_rows(spark: SparkSession, dataset_id: str, operations: Sequence[Oper
     ops = [
         tuple(str(op[n]) if n == "fill_value" and op.get(n) is not None else op.get(n) for n in names) for op in operations
     ]
-    row = spark.createDataFrame([(dataset_id, ops)], f"dataset_id string, operations {OPERATION_SCHEMA}")
+    row = small_frame(spark, [(dataset_id, ops)], f"dataset_id string, operations {OPERATION_SCHEMA}")
     return row.withColumn("run_ts", F.current_timestamp())
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkgauge.functions.cells import finite_or_null
 from sparkgauge.functions.tails import t_p_value
 from sparkgauge.operators.quantiles import quantile_values
 from sparkgauge.operators.shape import as_double, fields, numeric_columns, numeric_long
@@ -24,13 +25,16 @@ def column_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def column_centres(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, float]:
-    """Means of the numeric columns with a positive sample variance, in table order."""
+    """Means of the numeric columns that vary and have a finite variance, in table order."""
     chosen = list(columns) if columns is not None else numeric_columns(df)
     if not chosen:
         return {}
     v = F.col("value")
-    spread = numeric_long(df, chosen).groupBy("column_name").agg(F.var_samp(v).alias("s"), F.avg(v).alias("m"))
-    found = {r["column_name"]: r["m"] for r in spread.filter((F.col("s") > 0) & ~F.isnan("s")).select("column_name", "m").collect()}
+    ends = numeric_long(df, chosen).groupBy("column_name").agg(
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("m"), F.var_samp(v).alias("s")
+    )
+    varying = ends.filter((F.col("lo") < F.col("hi")) & finite_or_null(F.col("s")).isNotNull())
+    found = {r["column_name"]: r["m"] for r in varying.select("column_name", "m").collect()}
     return {c: found[c] for c in chosen if c in found}
 
 

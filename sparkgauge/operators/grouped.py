@@ -58,7 +58,11 @@ def group_summaries(df: DataFrame, categories: Sequence[str], numerics: Sequence
     return (
         long.filter(v.isNotNull())
         .groupBy("category", "category_value", "column_name")
-        .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"))
+        .agg(
+            F.count(v).alias("n"), F.avg(v).alias("mean"),
+            # One repeated value has no variance, whatever the running sums round to.
+            F.when((F.count(v) > 1) & (F.min(v) == F.max(v)), F.lit(0.0)).otherwise(F.var_samp(v)).alias("variance"),
+        )
     )
 
 

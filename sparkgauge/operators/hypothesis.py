@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkgauge.functions.cells import finite_or_null
 from sparkgauge.functions.normality import k_squared, shapiro_wilk
 from sparkgauge.functions.tails import chi_p_value, f_p_value, t_p_value
 from sparkgauge.operators.grouped import category_columns, category_pairs, crosstab, group_summaries, margins
@@ -88,11 +89,13 @@ def welch_statistics(groups: DataFrame) -> DataFrame:
     pair = both.filter(F.size("g") == 2).select("category", "column_name", F.col("g")[0].alias("a"), F.col("g")[1].alias("b"))
     sa, sb = F.col("a.variance") / F.col("a.n"), F.col("b.variance") / F.col("b.n")
     freedom = (sa + sb) * (sa + sb) / (sa * sa / (F.col("a.n") - 1) + sb * sb / (F.col("b.n") - 1))
-    return pair.filter(sa + sb > 0).select(
+    apart = F.col("a.mean") - F.col("b.mean")
+    # Without any variance the statistic is infinite for different means and undefined for equal ones.
+    statistic = F.when(sa + sb > 0, apart / F.sqrt(sa + sb)).when(apart != 0, F.signum(apart) * F.lit(float("inf")))
+    return pair.select(
         "category", "column_name",
         F.col("a.category_value").alias("value1"), F.col("b.category_value").alias("value2"),
-        ((F.col("a.mean") - F.col("b.mean")) / F.sqrt(sa + sb)).alias("statistic"),
-        freedom.alias("df"),
+        statistic.alias("statistic"), F.when(sa + sb > 0, freedom).otherwise(F.lit(1.0)).alias("df"),
     )
 
 
@@ -111,7 +114,7 @@ def welch_t(df: DataFrame, categories: Sequence[str] | None = None, numerics: Se
 def _welch_rows(groups: DataFrame, names: Sequence[str], nums: Sequence[str], most: int | None) -> DataFrame:
     stats = _first(welch_statistics(groups), [_order(names, "category"), _order(nums, "column_name")], most)
     tested = stats.withColumn("p_value", t_p_value(F.col("statistic"), F.col("df")))
-    significant = F.col("p_value") < ALPHA
+    significant = F.coalesce(F.col("p_value") < ALPHA, F.lit(False))
     differs = F.format_string(
         "The mean of '%s' is significantly different between groups '%s' and '%s' (p < 0.05).",
         "column_name", "value1", "value2",
@@ -124,7 +127,7 @@ def _welch_rows(groups: DataFrame, names: Sequence[str], nums: Sequence[str], mo
         F.lit("T-Test").alias("test_type"),
         F.format_string("Independent Two-Sample T-Test (%s vs %s)", "category", "column_name").alias("test_name"),
         F.array("category", "column_name").alias("variables"),
-        "statistic", F.col("df").alias("df1"), F.lit(None).cast("double").alias("df2"), "p_value",
+        finite_or_null(F.col("statistic")).alias("statistic"), F.col("df").alias("df1"), F.lit(None).cast("double").alias("df2"), "p_value",
         significant.alias("significant"), F.when(significant, differs).otherwise(same).alias("interpretation"), "rule_order",
     )
 
@@ -141,7 +144,7 @@ def anova_statistics(groups: DataFrame) -> DataFrame:
         F.sum(n * off * off).alias("between"), F.sum((n - 1) * F.col("variance")).alias("within"),
     )
     df1, df2 = F.col("groups") - 1, F.col("total") - F.col("groups")
-    ratio = F.when(F.col("within") > 0, (F.col("between") / df1) / (F.col("within") / df2))
+    ratio = F.when(F.col("within") > 0, (F.col("between") / df1) / (F.col("within") / df2)).when(F.col("between") > 0, F.lit(float("inf")))
     return sums.filter(F.col("groups") >= 3).select(
         "category", "column_name", ratio.alias("statistic"), df1.cast("double").alias("df1"), df2.cast("double").alias("df2")
     )
@@ -171,7 +174,7 @@ def _anova_rows(groups: DataFrame, names: Sequence[str], nums: Sequence[str], mo
         F.lit("ANOVA").alias("test_type"),
         F.format_string("One-Way ANOVA (%s vs %s)", "category", "column_name").alias("test_name"),
         F.array("category", "column_name").alias("variables"),
-        "statistic", "df1", "df2", "p_value",
+        finite_or_null(F.col("statistic")).alias("statistic"), "df1", "df2", "p_value",
         significant.alias("significant"), F.when(significant, differs).otherwise(same).alias("interpretation"), "rule_order",
     )
 

@@ -38,15 +38,18 @@ def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         )
     )
     n = F.col("n")
+    # A single repeated value has no spread; running sums can leave a trace of rounding.
+    flat = F.col("min") == F.col("max")
+    variance = F.when(flat & (n > 1), F.lit(0.0)).otherwise(finite_or_null(F.col("variance")))
     return sums.select(
         "column_name",
         "row_count",
         "n",
         finite_or_null(F.col("mean")).alias("mean"),
-        finite_or_null(F.col("variance")).alias("variance"),
-        finite_or_null(F.sqrt("variance")).alias("std"),
+        variance.alias("variance"),
+        F.sqrt(variance).alias("std"),
         finite_or_null(F.col("min")).alias("min"),
         finite_or_null(F.col("max")).alias("max"),
-        shape_or_zero(F.col("skewness"), n).alias("skewness"),
-        shape_or_zero(F.col("kurtosis"), n).alias("kurtosis"),
+        F.when(flat, F.lit(0.0)).otherwise(shape_or_zero(F.col("skewness"), n)).alias("skewness"),
+        F.when(flat, F.lit(0.0)).otherwise(shape_or_zero(F.col("kurtosis"), n)).alias("kurtosis"),
     )

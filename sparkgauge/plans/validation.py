@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkgauge.functions.cells import LONG_NAME_LIMIT, col_of, has_letter_or_digit, is_blank_header, plain, to_number
-from sparkgauge.operators.counts import all_null_table, extremes, infinite_counts, null_counts, text_facts, validation_copy
+from sparkgauge.operators.counts import all_null_table, extremes, infinite_counts, text_facts, validation_copy
 from sparkgauge.operators.duplicates import duplicate_count
-from sparkgauge.operators.frequencies import top_per_group
+from sparkgauge.operators.frequencies import top_per_group, value_facts
 from sparkgauge.operators.outliers import iqr_outliers
 from sparkgauge.operators.shape import column_list, numeric_columns, string_columns, text_long
 from sparkgauge.plans.reliability import reliability
@@ -153,8 +153,9 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     blank strings themselves are counted on the table as it is.
     """
     copy = validation_copy(df)
-    nulls = pin(null_counts(copy))
-    head = nulls.first()
+    facts_of = pin(value_facts(copy).select("column_name", "row_count", "null_count", "distinct_count"))
+    nulls = facts_of.withColumn("null_percentage", F.col("null_count") / F.col("row_count") * 100)
+    head = facts_of.first()
     rows = head["row_count"] if head else 0
     if not rows:
         return small_frame(df.sparkSession, [], WARNING_SCHEMA)
@@ -193,7 +194,8 @@ def quality_warnings(df: DataFrame) -> DataFrame:
           F.col("null_count"), recovery=recovery(F.lit("EMPTY_COLUMN")), **place))
     parts.append(_warn(filled.filter(F.col("null_percentage") > HIGH_MISSING), 10, "HIGH_MISSINGNESS",
           F.format_string("Column '%s' has a very high missingness ratio (%s%% of values are missing).", name, plain(F.col("null_percentage"), 1)), F.round("null_percentage", 2), **place))
-    single = extremes(copy).filter("same").join(columns, "column_name")
+    constants = [r["column_name"] for r in facts_of.filter("distinct_count = 1").select("column_name").collect()]
+    single = extremes(copy, constants).join(columns, "column_name") if constants else nulls.limit(0).withColumn("value", F.lit("")).join(columns, "column_name")
     parts.append(_warn(single, 11, "CONSTANT_COLUMN",
           F.format_string("Column '%s' has a single constant value ('%s') across all records, which means it has zero variance. Constant columns are useful for descriptive analysis and data auditing, but they generally do not improve statistical inference or predictive modeling because they add no discriminative signal.", name, "value"),
           F.lit(1), **place))

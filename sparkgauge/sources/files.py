@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,11 +21,21 @@ def _violations(frame: DataFrame, order: int, code: str, message) -> DataFrame:
     )
 
 
+def _sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of all files. The scan leaves out files without a byte, the file listing does not."""
+    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    slashes = r"^(\w+:)/+"
+    listed = small_frame(spark, [(unquote(f),) for f in scanned.inputFiles()], "path string")
+    listed = listed.select(F.regexp_replace("path", slashes, "$1/").alias("path"))
+    sizes = scanned.select(F.regexp_replace("path", slashes, "$1/").alias("path"), "length")
+    return listed.join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+
+
 def file_checks(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, size_limit: int | None = None) -> DataFrame:
     """One row per file and violation, from path and length alone; contents are not read."""
     files = None
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+        files = _sizes(spark, path)
     except PySparkException:
         pass
     if files is None:

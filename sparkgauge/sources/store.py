@@ -36,9 +36,7 @@ def get_run(runs: DataFrame, dataset_id: str) -> DataFrame:
 def history_rows(spark: SparkSession, dataset_id: str, operations: Sequence[Operation]) -> DataFrame:
     """One cleaning run: dataset, time and the operations it applied."""
     names = ("type", "column", "columns", "strategy", "fill_value", "target_type")
-    ops = [
-        tuple(str(op[n]) if n == "fill_value" and op.get(n) is not None else op.get(n) for n in names) for op in operations
-    ]
+    ops = [{n: str(op[n]) if n == "fill_value" and op.get(n) is not None else op.get(n) for n in names} for op in operations]
     row = small_frame(spark, [(dataset_id, ops)], f"dataset_id string, operations {OPERATION_SCHEMA}")
     return row.withColumn("run_ts", F.current_timestamp())
 

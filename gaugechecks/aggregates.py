@@ -202,6 +202,12 @@ def topk_per_column(spark, sf):
     return frequencies.top_values(table(spark, sf, "part"), PART_TEXTS, 5).drop("percentage")
 
 
+@register("topk_long_text", """SELECT CAST(count AS BIGINT) AS count, count(*) AS texts FROM (SELECT text, count(*) AS count FROM documents GROUP BY text ORDER BY count DESC LIMIT 10) AS t GROUP BY count""")
+def topk_long_text(spark, sf):
+    top = frequencies.top_values(table(spark, sf, "documents"), ["text"])
+    return top.groupBy("count").agg(F.count_distinct("value").alias("texts"))
+
+
 @register("all_null_table", f"""WITH {DIRTY}, l AS ({long_sql('dirty', DIRTY_COLUMNS, 'VARCHAR')})
 SELECT (SELECT count(*) FROM dirty) AS row_count, count(value) AS present_cells, count(value) = 0 AS all_null FROM l""")
 def all_null_table(spark, sf):

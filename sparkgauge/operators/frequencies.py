@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkgauge.functions.cells import boolean_mask, nan_to_null, to_timestamp
 from sparkgauge.operators.shape import FRACTIONAL, as_double, as_text, col_of, fields, long_form, numeric_columns, other_columns
+from sparkgauge.session import pin
 
 KEY_LIMIT = 64
 
@@ -159,18 +160,45 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def text_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    chosen = list(columns) if columns is not None else other_columns(df)
-    long = long_form(df, {f.name: as_text(f) for f in fields(df, chosen)})
-    return long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+def _ordered_key(text: Column) -> Column:
+    """Like the digest, but led by the first characters, so keys sort by value."""
+    return F.when(F.char_length(text) <= KEY_LIMIT, text).otherwise(
+        F.when(text.isNotNull(), F.concat(F.substring(text, 1, KEY_LIMIT), _digest(text)))
+    )
+
+
+def _texts_of(df: DataFrame, columns: Sequence[str], keys: DataFrame) -> DataFrame:
+    """(column_name, key, full): the texts behind a few long keys, looked up where they are stored.
+
+    At most k keys per column are broadcast; copies collapse inside each task.
+    """
+    long = long_form(df, {f.name: as_text(f) for f in fields(df, columns)})
+    found = long.filter(F.char_length("value") > KEY_LIMIT).withColumn("key", _ordered_key(F.col("value")))
+    hits = found.join(F.broadcast(keys), ["column_name", "key"], "left_semi")
+    return hits.groupBy("column_name", "key").agg(F.any_value("value").alias("full"))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
-    """(column_name, rank, value, count, percentage of all rows); ties in ascending value order."""
-    top = top_per_group(text_frequencies(df, columns), ["column_name"], [F.desc("count"), F.asc("value")], k)
-    total = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    """(column_name, rank, value, count, percentage of all rows); ties in ascending value order.
+
+    Long texts are counted and ranked by a key of bounded size; only the k
+    winners per column are read again in full. Texts that tie and share their
+    first ``KEY_LIMIT`` characters are ordered by length and digest.
+    """
+    chosen = list(columns) if columns is not None else other_columns(df)
+    keyed = long_form(df, {f.name: _ordered_key(as_text(f)) for f in fields(df, chosen)}).withColumnRenamed("value", "key")
+    freq = keyed.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("count"))
+    rows = freq.groupBy("column_name").agg(F.sum("count").alias("rows"))
+    ranked = top_per_group(freq.filter(F.col("key").isNotNull()), ["column_name"], [F.desc("count"), F.asc("key")], k)
+    top = pin(ranked.join(F.broadcast(rows), "column_name"))
+    long_keys = top.filter(F.char_length("key") > KEY_LIMIT).select("column_name", "key")
+    value = F.col("key")
+    if not long_keys.isEmpty():
+        with_text = sorted({r["column_name"] for r in long_keys.collect()})
+        top = top.join(_texts_of(df, with_text, long_keys), ["column_name", "key"], "left")
+        value = F.coalesce("full", "key")
     return top.select(
-        "column_name", "rank", "value", "count", F.round(F.col("count") / total * 100, 2).alias("percentage")
+        "column_name", "rank", value.alias("value"), "count", F.round(F.col("count") / F.col("rows") * 100, 2).alias("percentage")
     )
 
 

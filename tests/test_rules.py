@@ -290,3 +290,9 @@ def test_empty_table_profile(spark):
     p = profile_table(df)
     assert p.totals.first()["row_count"] == 0
     assert quality_score(score_facts(p)).first()["score"] == 70
+
+
+def test_top_values_of_long_texts(spark):
+    texts = ["b" * 200] * 3 + ["a" * 100] * 3 + ["short"] * 4 + ["c" * 65] + [None] * 9
+    rows = frequencies.top_values(spark.createDataFrame([(t,) for t in texts], "s string"), k=3).orderBy("rank").collect()
+    assert [(r["value"], r["count"], r["percentage"]) for r in rows] == [("short", 4, 20.0), ("a" * 100, 3, 15.0), ("b" * 200, 3, 15.0)]

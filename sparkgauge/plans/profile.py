@@ -17,10 +17,15 @@ from sparkgauge.operators.outliers import iqr_outliers
 from sparkgauge.operators.quantiles import quantile_values
 from sparkgauge.operators.shape import column_list, numeric_columns, other_columns
 from sparkgauge.plans.semantics import schema_profile
-from sparkgauge.session import pin, small_frame
+from sparkgauge.session import at_once, pin, small_frame
 
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
 NUMERIC_SCHEMA = "column_name string, p5 double, q25 double, median double, q75 double, p95 double"
+NO_NUMERIC_SCHEMA = (
+    "column_name string, n bigint, outliers_count bigint, outliers_share double, outliers_pct double, mean double, median double, "
+    "std double, min double, max double, skewness double, kurtosis double"
+)
+NO_NORMALITY_SCHEMA = "column_name string, n bigint, statistic double, p_value double, is_normal boolean, reason string, test_name string"
 TOP_SCHEMA = "column_name string, rank int, value string, count bigint, percentage double"
 
 
@@ -33,14 +38,20 @@ def numeric_profile(
     """One row per numeric column with a value: counts, moments, mode, percentiles and outliers."""
     chosen = list(columns) if columns is not None else numeric_columns(df)
     if quantiles is None:
-        quantiles = quantile_values(df, PROBABILITIES, chosen)
-    facts = moments if moments is not None else column_moments(df, chosen)
+        quantiles, moments, facts = at_once(
+            lambda: quantile_values(df, PROBABILITIES, chosen),
+            lambda: pin(column_moments(df, chosen)),
+            lambda: pin(numeric_value_facts(df, chosen)),
+        )
+    else:
+        facts = numeric_value_facts(df, chosen)
+        moments = moments if moments is not None else column_moments(df, chosen)
     marks = small_frame(df.sparkSession, [(c, *v) for c, v in quantiles.items()], NUMERIC_SCHEMA)
     outliers = iqr_outliers(df, chosen, {c: [v[1], v[3]] for c, v in quantiles.items()})
     joined = (
-        facts.join(F.broadcast(marks), "column_name")
+        moments.join(F.broadcast(marks), "column_name")
         .join(outliers.select("column_name", "outliers_count", "outliers_share", "outliers_pct"), "column_name")
-        .join(numeric_value_facts(df, chosen), "column_name")
+        .join(facts, "column_name")
     )
     return joined.select(
         "column_name", "row_count", "n", (F.col("row_count") - F.col("n")).alias("null_count"), "distinct_count",
@@ -82,38 +93,46 @@ def table_totals(schema: DataFrame, duplicates: DataFrame, constants: Sequence[s
 def profile_table(df: DataFrame, most_tests: int | None = MOST_TESTS, exact: bool = True) -> Profile:
     """Profile a table of any size.
 
-    Each statistic is one scan over the columns it needs; what comes back is
-    pinned, so that the rules on top of it do not read the table again.
+    Each statistic is one scan over the columns it needs, and independent ones
+    run at the same time. What comes back is pinned, so that the rules on top of it do not read the table again.
     """
     spark = df.sparkSession
     nums, others = numeric_columns(df), other_columns(df)
-    schema = pin(schema_profile(df, exact))
-    duplicates = pin(duplicate_count(df))
+    schema, duplicates, moments, quantiles, top = at_once(
+        lambda: pin(schema_profile(df, exact)),
+        lambda: pin(duplicate_count(df)),
+        lambda: pin(column_moments(df, nums)) if nums else None,
+        lambda: quantile_values(df, PROBABILITIES, nums),
+        lambda: pin(top_values(df, others)) if others else small_frame(spark, [], TOP_SCHEMA),
+    )
     rows = duplicates.first()["row_count"]
     unique = {r["column_name"]: r["unique_values"] for r in schema.select("column_name", "unique_values").collect()}
     constants = [c for c, k in unique.items() if k == 1]
     few = {c: unique[c] for c in others if 2 <= unique[c] <= MAX_CATEGORIES}
-    moments = pin(column_moments(df, nums)) if nums else None
-    quantiles = quantile_values(df, PROBABILITIES, nums)
     present = list(quantiles)
     if present:
-        numeric = pin(numeric_profile(df, present, quantiles, moments.filter(F.col("n") > 0)))
-        means = {r["column_name"]: r["mean"] for r in numeric.filter("variance > 0").select("column_name", "mean").collect()}
+        varying = moments.filter("variance > 0").select("column_name", "mean").collect()
+        means = {r["column_name"]: r["mean"] for r in varying}
         medians = {c: [v[2]] for c, v in quantiles.items()}
-        pairs = pin(correlated_pairs(df, None, medians, {c: means[c] for c in nums if c in means}))
-        normal = pin(normality(df, present, moments))
+        numeric, pairs, normal, tests = at_once(
+            lambda: pin(numeric_profile(df, present, quantiles, moments.filter(F.col("n") > 0))),
+            lambda: pin(correlated_pairs(df, None, medians, {c: means[c] for c in nums if c in means})),
+            lambda: pin(normality(df, present, moments)),
+            lambda: pin(hypothesis_tests(df, most_tests, few if exact else None)),
+        )
     else:
-        numeric = small_frame(spark, [], NUMERIC_SCHEMA.replace("p5 double", "n bigint, outliers_count bigint, outliers_share double, outliers_pct double, std double, skewness double, kurtosis double, mean double, min double, max double"))
+        numeric = small_frame(spark, [], NO_NUMERIC_SCHEMA)
         pairs = correlated_pairs(df, [], {}, {})
-        normal = small_frame(spark, [], "column_name string, n bigint, statistic double, p_value double, is_normal boolean, reason string, test_name string")
+        normal = small_frame(spark, [], NO_NORMALITY_SCHEMA)
+        tests = pin(hypothesis_tests(df, most_tests, few if exact else None))
     order = column_list(df).select("column_ix", "column_name")
     return Profile(
         totals=pin(table_totals(schema, duplicates, constants, rows)),
         columns=schema,
         numeric=pin(numeric.join(F.broadcast(order), "column_name")),
-        top=pin(top_values(df, others)) if others else small_frame(spark, [], TOP_SCHEMA),
+        top=top,
         strong=pin(strong_correlations(df, pairs=pairs)),
         collinear=pin(multicollinearity(df, pairs=pairs)),
         normality=pin(normal.join(F.broadcast(order), "column_name")),
-        tests=pin(hypothesis_tests(df, most_tests, few if exact else None)),
+        tests=tests,
     )

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -85,6 +87,12 @@ def _plain(values):
     return values
 
 
+def at_once(*actions: Callable[[], object]) -> list:
+    """Run independent Spark actions from parallel threads; their jobs share the cores."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(a)) for a in actions]]
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Fix a frame whose size follows the column count, so later rules do not rescan.
 

@@ -89,8 +89,9 @@ def _plain(values):
 
 def at_once(*actions: Callable[[], object]) -> list:
     """Run independent Spark actions from parallel threads; their jobs share the cores."""
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(actions)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(a)) for a in actions]]
+        return [f.result() for f in [pool.submit(wrap(a)) for a in actions]]
 
 
 def pin(df: DataFrame) -> DataFrame:

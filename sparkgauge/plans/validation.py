@@ -14,7 +14,7 @@ from sparkgauge.operators.outliers import iqr_outliers
 from sparkgauge.operators.shape import column_list, numeric_columns, string_columns, text_long
 from sparkgauge.plans.reliability import reliability
 from sparkgauge.plans.texts import RECOVERY
-from sparkgauge.session import pin, small_frame
+from sparkgauge.session import at_once, pin, small_frame
 
 MIXED_SHARE = 0.60
 HIGH_MISSING = 90.0
@@ -153,7 +153,14 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     blank strings themselves are counted on the table as it is.
     """
     copy = validation_copy(df)
-    facts_of = pin(value_facts(copy).select("column_name", "row_count", "null_count", "distinct_count"))
+    texts, numbers = string_columns(df), numeric_columns(df)
+    facts_of, repeated, infinite, facts, fenced = at_once(
+        lambda: pin(value_facts(copy).select("column_name", "row_count", "null_count", "distinct_count")),
+        lambda: pin(duplicate_count(copy)),
+        lambda: pin(infinite_counts(df)),
+        lambda: pin(text_facts(df, texts)) if texts else None,
+        lambda: pin(iqr_outliers(copy)) if numbers else None,
+    )
     nulls = facts_of.withColumn("null_percentage", F.col("null_count") / F.col("row_count") * 100)
     head = facts_of.first()
     rows = head["row_count"] if head else 0
@@ -175,15 +182,11 @@ def quality_warnings(df: DataFrame) -> DataFrame:
               F.char_length(name), column_ix=F.col("column_ix"), column_name=F.concat(F.substring(name, 1, 60), F.lit("..."))),
     ]
     if rows > 1:
-        repeated = duplicate_count(copy).filter("duplicate_count > 0")
-        parts.append(_warn(repeated, 6, "DUPLICATE_ROWS",
+        parts.append(_warn(repeated.filter("duplicate_count > 0"), 6, "DUPLICATE_ROWS",
               F.format_string("The dataset contains %d duplicate row(s) (%s%% of records). Duplicate records can distort statistical estimates and model training.", "duplicate_count", plain(F.col("duplicate_percentage"), 1)),
               F.col("duplicate_count")))
-    infinite = infinite_counts(df).filter("infinity_count > 0").join(columns, "column_name")
-    parts.append(_warn(infinite, 7, "INFINITY_VALUES",
+    parts.append(_warn(infinite.filter("infinity_count > 0").join(columns, "column_name"), 7, "INFINITY_VALUES",
           F.format_string("Column '%s' contains %d infinite value(s). These values were treated as missing for validation metrics.", name, "infinity_count"), F.col("infinity_count"), **place))
-    texts = string_columns(df)
-    facts = pin(text_facts(df, texts)) if texts else None
     if facts is not None:
         parts.append(_warn(facts.filter("blank_count > 0").join(columns, "column_name"), 8, "EMPTY_STRING_VALUES",
               F.format_string("Column '%s' contains %d empty string value(s).", name, "blank_count"), F.col("blank_count"), **place))
@@ -199,8 +202,8 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     parts.append(_warn(single, 11, "CONSTANT_COLUMN",
           F.format_string("Column '%s' has a single constant value ('%s') across all records, which means it has zero variance. Constant columns are useful for descriptive analysis and data auditing, but they generally do not improve statistical inference or predictive modeling because they add no discriminative signal.", name, "value"),
           F.lit(1), **place))
-    if numeric_columns(df):
-        wild = iqr_outliers(copy).filter((F.col("n") >= OUTLIER_SAMPLE) & (F.col("outliers_share") > HIGH_OUTLIERS)).join(columns, "column_name")
+    if fenced is not None:
+        wild = fenced.filter((F.col("n") >= OUTLIER_SAMPLE) & (F.col("outliers_share") > HIGH_OUTLIERS)).join(columns, "column_name")
         parts.append(_warn(wild, 12, "HIGH_OUTLIERS",
               F.format_string("Column '%s' has a high percentage of statistical outliers (%s%% of non-null values lie outside the 1.5×IQR boundary).", name, plain(F.col("outliers_share"), 1)), F.col("outliers_pct"), **place))
     if facts is not None:

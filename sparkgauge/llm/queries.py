@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import bpe
-from sparkgauge.llm.common import table
+from sparkgauge.llm import bpe, url_filter, warc
+from sparkgauge.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +25,39 @@ def op1_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     return bpe.bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], then=bpe.digests, then_fields=fields)
+
+
+#: Rules of the query: (rule, verdict).
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@register
+def op2_url_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict of the longest rule that fits each page's url."""
+    index = url_filter.build_index(spark.createDataFrame(list(URL_RULES), "rule string, verdict string"))
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return url_filter.judge(pages, index, keep=["page_id"])
+
+
+SQL["op2_url_digests"] = f"""
+WITH rules(rule, verdict) AS (VALUES {", ".join(map(repr, URL_RULES))}),
+cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (SELECT p.page_id, p.host, p.path, r.rule, r.verdict,
+  row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC, strpos(r.rule, '/') DESC) AS nth
+  FROM parts p LEFT JOIN rules r ON (p.host = split_part(r.rule, '/', 1) OR p.host LIKE '%.' || split_part(r.rule, '/', 1))
+   AND starts_with(p.path, substr(r.rule, strpos(r.rule, '/'))))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1"""
+
+
+@register
+def op4_warc_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as WARC records, equal payloads once, and read back with their digests checked."""
+    path = scratch(spark, "warc")
+    warc.write_pages(table(spark, sf, "pages"), path)
+    records = warc.read_archives(spark, path, verify=True)
+    number = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    return records.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type",
+                          number("refers_to").alias("refers_to"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import bpe, url_filter, warc
+from sparkgauge.llm import bpe, simhash, url_filter, warc
 from sparkgauge.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,10 @@ def op4_warc_source(spark: SparkSession, sf: str) -> DataFrame:
     size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
     return records.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type",
                           number("refers_to").alias("refers_to"))
+
+
+@register
+def op6_simhash_gray(spark: SparkSession, sf: str) -> DataFrame:
+    """SimHash fingerprints and the components of those at most three bits apart."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import bpe, simhash, url_filter, warc
+from sparkgauge.llm import bpe, multiset_hash, shards, simhash, url_filter, warc
 from sparkgauge.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,21 @@ def op6_simhash_gray(spark: SparkSession, sf: str) -> DataFrame:
     """SimHash fingerprints and the components of those at most three bits apart."""
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register
+def op5_histogram_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    dealt = shards.histogram_shards(table(spark, sf, "documents").select("doc_id", "text"))
+    return dealt.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+                        "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op8_multiset_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Multiset fingerprints of all texts and their edited texts, with likenesses."""
+    made = multiset_hash.edited_fingerprints(table(spark, sf, "documents"))
+    vector, edited, after = F.col("vector"), F.col("edited_vector"), F.col("next_vector")
+    return made.select("doc_id", "n_chars", "edited_sha256", multiset_hash.as_text(vector).alias("fingerprint"),
+                       multiset_hash.as_text(edited).alias("edited_fingerprint"),
+                       multiset_hash.likeness(vector, edited).alias("near_edited"), multiset_hash.likeness(vector, after).alias("near_next"))

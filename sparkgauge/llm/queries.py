@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import bpe, multiset_hash, shards, simhash, url_filter, warc
-from sparkgauge.llm.common import scratch, table
+from sparkgauge.llm import bpe, multiset_hash, packing, shards, simhash, url_filter, warc
+from sparkgauge.llm.common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,12 @@ def op8_multiset_hash(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "n_chars", "edited_sha256", multiset_hash.as_text(vector).alias("fingerprint"),
                        multiset_hash.as_text(edited).alias("edited_fingerprint"),
                        multiset_hash.likeness(vector, edited).alias("near_edited"), multiset_hash.likeness(vector, after).alias("near_next"))
+
+
+@register
+def op7_pattern_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as token pieces packed into sequences of at most 2048 tokens."""
+    docs = table(spark, sf, "documents")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    told = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(told)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import bpe, multiset_hash, packing, shards, simhash, url_filter, warc
+from sparkgauge.llm import ann, bpe, multiset_hash, packing, shards, simhash, url_filter, warc
 from sparkgauge.llm.common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op7_pattern_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     told = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack(told)
+
+
+@register
+def op9_adaptive_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector against all others."""
+    vectors = table(spark, sf, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))

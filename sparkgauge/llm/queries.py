@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import ann, bpe, multiset_hash, packing, shards, simhash, url_filter, warc
+from sparkgauge.llm import ann, bpe, multiset_hash, packing, secrets, shards, simhash, url_filter, warc
 from sparkgauge.llm.common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,14 @@ def op9_adaptive_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 largest inner products of every 20th vector against all others."""
     vectors = table(spark, sf, "embeddings")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@register
+def op3_secret_field(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every text by fixed patterns and a conditional random field."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.fit(docs), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+                        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))

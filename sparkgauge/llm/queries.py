@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import ann, bpe, multiset_hash, packing, secrets, shards, simhash, url_filter, warc
+from sparkgauge.llm import ann, bpe, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, warc
 from sparkgauge.llm.common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,24 @@ def op3_secret_field(spark: SparkSession, sf: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "crf")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
                         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
+#: A score from here on is toxic.
+TOXIC_FROM = 0.3
+
+
+@register
+def op10_toxic_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every text by the weighted pattern grammar."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@register
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus pipeline: toxicity, near duplicates, secrets, packing."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

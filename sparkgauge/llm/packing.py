@@ -139,6 +139,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[Run], in
             room[best - length].append((first, used))
             if length == 0:
                 break
+            if best - length >= length:  # now the tightest room that fits
+                best -= length
     if left[0]:
         take(0, int(left[0]), 0, 0)
     return runs, max(sequences, 1 if histogram.sum() else 0)
@@ -148,15 +150,16 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     """All rows with ``sequence_id`` and ``offset``; give it a stored table, since its rows are read twice."""
     spark = pieces.sparkSession
     fields = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    rows = pieces.select(*map(column, fields)).withColumn("deal", F.pmod(F.xxhash64(*map(column, fields)), F.lit(DEALS)))
-    counts = rows.groupBy(column(length).alias("n_ids"), "deal").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("n_ids").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "length-deals")
+    rows = pieces.select(*map(column, fields)).withColumns({
+        "__length": column(length), "__deal": F.pmod(F.xxhash64(*map(column, fields)), F.lit(DEALS))})
+    counts = rows.groupBy("__length", "__deal").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__length").orderBy("__deal").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stored(counts.withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0))), "length-deals")
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in bases.groupBy("n_ids").agg(F.sum("n").alias("n")).collect():  # one row for each length
-        if r["n_ids"] is None or not 0 <= r["n_ids"] <= capacity:
+    for r in bases.groupBy("__length").agg(F.sum("n").alias("n")).collect():  # one row for each length
+        if r["__length"] is None or not 0 <= r["__length"] <= capacity:
             raise ValueError(f"a piece has length {r['n_ids']}; cut pieces to at most {capacity}")
-        histogram[r["n_ids"]] = r["n"]
+        histogram[r["__length"]] = r["n"]
     runs, _ = plan(histogram, capacity)
     runs.sort()
     table = np.array(runs, np.int64).reshape(-1, 5)
@@ -174,10 +177,10 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
         return find
 
     # At most capacity * DEALS rows.
-    placed = rows.withColumn("n_ids", column(length)).join(F.broadcast(bases.drop("n")), ["n_ids", "deal"])
-    nth = F.row_number().over(Window.partitionBy("n_ids", "deal").orderBy(*map(column, fields)))
-    ranked = placed.withColumn("rank", (F.col("base") + nth - 1).cast("long"))
-    return add_columns(ranked, [length, "rank"], [("sequence_id", "long"), ("offset", "long")], make, fields)
+    placed = rows.join(F.broadcast(bases.drop("n")), ["__length", "__deal"])
+    nth = F.row_number().over(Window.partitionBy("__length", "__deal").orderBy(*map(column, fields)))
+    ranked = placed.withColumn("__rank", (F.col("__base") + nth - 1).cast("long"))
+    return add_columns(ranked, ["__length", "__rank"], [("sequence_id", "long"), ("offset", "long")], make, fields)
 
 
 #: Places inside a chunk where one word always ends: a letter or digit before ASCII punctuation (the apostrophe

@@ -85,11 +85,11 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.005) -> list[tu
     slack = tolerance * total / shards
     if not total:
         return [None] * (shards - 1)
-    done, inside = _refine(keys, "text_hash", {j: total * j // shards for j in range(1, shards)}, slack)
+    done, inside = _refine(keys, "__text_hash", {j: total * j // shards for j in range(1, shards)}, slack)
     cuts: dict[int, tuple[int, int] | None] = {j: None if k is None else (k, LEAST) for j, k in done.items()}
     for text in {k for k, _, _ in inside.values()}:
         own = {j: (below, size) for j, (k, below, size) in inside.items() if k == text}
-        found, single = _refine(keys.filter(F.col("text_hash") == text), "id_hash", {j: b for j, (b, _) in own.items()}, slack)
+        found, single = _refine(keys.filter(F.col("__text_hash") == text), "__id_hash", {j: b for j, (b, _) in own.items()}, slack)
         cuts |= {j: (text, k) if k is not None else (text + 1, LEAST) for j, k in found.items()}
         for j, (k, below, size) in single.items():  # one row, or rows with one id: to the nearer side
             cuts[j] = (text, k) if 2 * below <= size or k == -LEAST - 1 else (text, k + 1)
@@ -100,27 +100,27 @@ def histogram_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", t
     """All rows with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard), exchanged once."""
     body = F.coalesce(column(text), F.lit(""))
     keyed = docs.withColumns({
-        "text_hash": F.xxhash64(body), "id_hash": F.xxhash64(column(doc_id)),
+        "__text_hash": F.xxhash64(body), "__id_hash": F.xxhash64(column(doc_id)),
         "size": (F.octet_length(body) + 1).cast("long"),
     })
-    keys = stored(keyed.select("text_hash", "id_hash", "size"), "shard-keys")
+    keys = stored(keyed.select("__text_hash", "__id_hash", "size"), "shard-keys")
     shard = F.lit(0)
     for cut in splitters(keys, shards, tolerance):
         if cut is not None:
-            beyond = (F.col("text_hash") > cut[0]) | (F.col("text_hash") == cut[0]) & (F.col("id_hash") >= cut[1])
+            beyond = (F.col("__text_hash") > cut[0]) | (F.col("__text_hash") == cut[0]) & (F.col("__id_hash") >= cut[1])
             shard = shard + beyond.cast("int")
-    hot = stored(hot_keys(keys, "text_hash"), "hot-texts").withColumn("hot", F.lit(True))
+    hot = stored(hot_keys(keys, "__text_hash"), "hot-texts").withColumn("__hot", F.lit(True))
     order = lambda name, bits: F.shiftrightunsigned(F.col(name).bitwiseXOR(F.lit(LEAST)), 64 - bits)
 
     def celled(rows: DataFrame) -> DataFrame:
-        part = F.when(F.col("hot"), 1 + order("id_hash", HOT_BITS)).otherwise(0)
-        return rows.join(F.broadcast(hot), "text_hash", "left").withColumns(
-            {"shard": shard, "cell": order("text_hash", PROBE_BITS), "part": part}).drop("hot")
+        part = F.when(F.col("__hot"), 1 + order("__id_hash", HOT_BITS)).otherwise(0)
+        return rows.join(F.broadcast(hot), "__text_hash", "left").withColumns(
+            {"shard": shard, "__cell": order("__text_hash", PROBE_BITS), "__part": part}).drop("__hot")
 
     # At most 4096 cells, one more for each cut, and 64 for each of at most 1000 hot texts.
-    cells = celled(keys).groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
-    first = cells.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    place = Window.partitionBy("shard", "cell", "part").orderBy("text_hash", "id_hash")
-    dealt = celled(keyed).join(F.broadcast(stored(first, "shard-cells")), ["shard", "cell", "part"])
-    return dealt.withColumn("slot", F.col("first") + F.row_number().over(place) - 1).drop("cell", "part", "first", "text_hash", "id_hash")
+    cells = celled(keys).groupBy("shard", "__cell", "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("__cell", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = cells.withColumn("__first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = Window.partitionBy("shard", "__cell", "__part").orderBy("__text_hash", "__id_hash")
+    dealt = celled(keyed).join(F.broadcast(stored(first, "shard-cells")), ["shard", "__cell", "__part"])
+    return dealt.withColumn("slot", F.col("__first") + F.row_number().over(place) - 1).drop("__cell", "__part", "__first", "__text_hash", "__id_hash")

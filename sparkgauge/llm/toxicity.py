@@ -125,7 +125,7 @@ class Reader:
         # Kinds of chunks: nothing of interest, and every other sequence of classes and weights.
         self.kinds: list[tuple[tuple[int, float], ...]] = [((OTHER, 0.0),)]
         self.number = {self.kinds[0]: 0}
-        self.hit, self.end = np.zeros(64, bool), np.zeros(64, bool)
+        self.hit, self.end, self.quotes = np.zeros(64, bool), np.zeros(64, bool), np.zeros(64, np.int64)
 
     def _kind(self, chunk: str) -> int:
         symbols = []
@@ -144,9 +144,10 @@ class Reader:
         if n == len(self.kinds):
             self.kinds.append(kind)
             if n == len(self.hit):
-                self.hit, self.end = (np.append(x, np.zeros(n, bool)) for x in (self.hit, self.end))
+                self.hit, self.end, self.quotes = (np.append(x, np.zeros(n, x.dtype)) for x in (self.hit, self.end, self.quotes))
             self.hit[n] = any(c in (INSULT, VERB) for c, _ in kind)
-            self.end[n] = any(c in (END, QUOTE) for c, _ in kind)
+            self.end[n] = any(c == END for c, _ in kind)
+            self.quotes[n] = sum(c == QUOTE for c, _ in kind)
         return n
 
     def _kinds(self, chunks: list[str]) -> np.ndarray:
@@ -169,24 +170,21 @@ class Reader:
             kinds = self._kinds(chunks)
             hits = np.flatnonzero(self.hit[kinds])
             if len(hits):
-                quotes = self.end[kinds]
-                ends = np.flatnonzero(quotes)
-                # Clauses that can emit: from behind the end before a hit to the end after it. Quotations reach
-                # over clause ends, so the state inside quotation marks is counted from the start of the text.
-                opened = np.cumsum([sum(c == QUOTE for c, _ in self.kinds[k]) for k in kinds[ends]]) if len(ends) else []
-                starts = np.searchsorted(ends, hits)
-                for first in np.unique(starts):
-                    a = int(ends[first - 1]) if first else 0
-                    b = int(ends[first]) + 1 if first < len(ends) else len(kinds)
-                    inside = bool(first > 1 and opened[first - 2] % 2)
-                    clause = self._clause(kinds[a:b], inside, a > 0 or first > 0, sums)
+                ends = np.flatnonzero(self.end[kinds])
+                # Clauses that can emit: from the end before a hit to the end after it. Quotations reach over
+                # clause ends, so it is counted from the start of the text whether one is open.
+                before = np.concatenate([[0], np.cumsum(self.quotes[kinds])])
+                for nth in np.unique(np.searchsorted(ends, hits)):
+                    a = int(ends[nth - 1]) if nth else 0
+                    b = int(ends[nth]) + 1 if nth < len(ends) else len(kinds)
+                    clause = self._clause(kinds[a:b], bool(before[a] % 2), nth > 0, sums)
                     best = max(best, clause)
                     clauses += clause > 0
         n = max(1, len(chunks))
         return [*(np.log1p(s) for s in sums), best, np.log1p(clauses), min(20.0, 100.0 * clauses / n), min(50.0, 100.0 * sum(sums[:2]) / n)]
 
     def _clause(self, kinds: np.ndarray, inside: bool, skip: bool, sums: list[float]) -> float:
-        """Run over the chunks of a clause; of the chunk that ends the one before, matches count there already."""
+        """Run over the chunks of a clause; matches in the chunk that ends the one before count there already."""
         state = int(np.ravel_multi_index((0, 0, 2 if inside else 0, 0), [n for _, n in MACHINES]))
         total = 0.0
         for i, k in enumerate(kinds):

@@ -27,7 +27,7 @@ WIDE = 8
 SIGNS = 64
 LANES = WIDE + 1 + SIGNS
 #: Bytes of text in a range of ids, and the most ranges.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 4096
 _PAIR = (1 << 32) + 1
 _LOW = (1 << 32) - 1

@@ -158,7 +158,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     histogram = np.zeros(capacity + 1, np.int64)
     for r in bases.groupBy("__length").agg(F.sum("n").alias("n")).collect():  # one row for each length
         if r["__length"] is None or not 0 <= r["__length"] <= capacity:
-            raise ValueError(f"a piece has length {r['n_ids']}; cut pieces to at most {capacity}")
+            raise ValueError(f"a piece has length {r['__length']}; cut pieces to at most {capacity}")
         histogram[r["__length"]] = r["n"]
     runs, _ = plan(histogram, capacity)
     runs.sort()

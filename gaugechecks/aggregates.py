@@ -144,13 +144,13 @@ def percentiles(spark, sf):
 OUTLIERS = f"""WITH {DIRTY}, q AS ({quartiles_sql('dirty', DIRTY_NUMBERS)}), l AS ({long_sql('dirty', DIRTY_NUMBERS)})"""
 
 
-@register("iqr_outliers", f"""{OUTLIERS} SELECT l.column_name, count(value) AS n, round(min(lo), 4) AS lower_bound, round(min(hi), 4) AS upper_bound,
+@register("iqr_outliers", f"""{OUTLIERS} SELECT l.column_name, count(value) AS n, round(min(lo), 6) AS lower_bound, round(min(hi), 6) AS upper_bound,
 count(*) FILTER (WHERE value < lo OR value > hi) AS outliers_count,
 round(count(*) FILTER (WHERE value < lo OR value > hi) * 100.0 / count(value), 2) AS outliers_pct
 FROM l JOIN q USING (column_name) GROUP BY l.column_name""")
 def iqr_outliers(spark, sf):
     found = outliers.iqr_outliers(dirty(spark, sf))
-    return rounded(found, 4, "lower_bound", "upper_bound").drop("q1", "q3", "outliers_share")
+    return rounded(found, 6, "lower_bound", "upper_bound").drop("q1", "q3", "outliers_share")
 
 
 @register("bounds_join", f"""{OUTLIERS} SELECT l.column_name, count(*) FILTER (WHERE value < lo) AS below_count, count(*) FILTER (WHERE value > hi) AS above_count

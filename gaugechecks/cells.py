@@ -91,9 +91,9 @@ def impute_value(spark, sf):
 
 
 @register("clip_outliers", f"""WITH {DIRTY}, q AS ({quartiles_sql('dirty', ['price'])})
-SELECT k, round(least(greatest(price, lo), hi), 4) AS price FROM dirty, q""")
+SELECT k, round(least(greatest(price, lo), hi), 6) AS price FROM dirty, q""")
 def clip_outliers(spark, sf):
-    return rounded(cleaning.clip_outliers(dirty(spark, sf).select("k", "price"), "price"), 4, "price")
+    return rounded(cleaning.clip_outliers(dirty(spark, sf).select("k", "price"), "price"), 6, "price")
 
 
 @register("cast_numeric", f"WITH {DIRTY} SELECT k, TRY_CAST(mixed AS DOUBLE) AS mixed FROM dirty")
@@ -124,10 +124,10 @@ OPERATIONS = [
 
 
 @register("apply_operations", f"""WITH {DIRTY}, u AS (SELECT DISTINCT * FROM dirty), q AS ({quartiles_sql('u', ['price'])})
-SELECT k, coalesce(qty, (SELECT quantile_cont(qty, 0.5) FROM u)) AS qty, round(least(greatest(price, lo), hi), 4) AS price, flag,
-round(coalesce(TRY_CAST(mixed AS DOUBLE), (SELECT avg(TRY_CAST(mixed AS DOUBLE)) FROM u)), 4) AS mixed, day FROM u, q""")
+SELECT k, coalesce(qty, (SELECT quantile_cont(qty, 0.5) FROM u)) AS qty, round(least(greatest(price, lo), hi), 6) AS price, flag,
+round(coalesce(TRY_CAST(mixed AS DOUBLE), (SELECT avg(TRY_CAST(mixed AS DOUBLE)) FROM u)), 6) AS mixed, day FROM u, q""")
 def apply_operations(spark, sf):
-    return rounded(cleaning.apply_operations(dirty(spark, sf), OPERATIONS), 4, "price", "mixed")
+    return rounded(cleaning.apply_operations(dirty(spark, sf), OPERATIONS), 6, "price", "mixed")
 
 
 @register("select_recommended_ops", f"""WITH {DIRTY} SELECT type, "column", strategy FROM (VALUES ('drop_duplicates', NULL, NULL, (SELECT count(*) FROM dirty) > (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty))),

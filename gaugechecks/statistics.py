@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from gaugechecks.tables import LINE_NUMBERS, long_sql, rounded, table
 from sparkgauge.functions import tails
+from sparkgauge.functions.normality import (
+    LARGE_MEAN, LARGE_SCALE, LAST_WEIGHT, SECOND_WEIGHT, SMALL_BOUND, SMALL_MEAN, SMALL_SCALE,
+)
 from sparkgauge.operators import hypothesis
 
 QUERIES, SQL = {}, {}
@@ -42,6 +45,40 @@ z5 AS (SELECT *, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS a FROM z4),
 z7 AS (SELECT *, (1 - 2 / (9 * a) - sign(d) * power((1 - 2 / a) / abs(d), 1.0 / 3)) / sqrt(2 / (9 * a)) AS zk FROM z6),
 k2 AS (SELECT column_name, CAST(n AS BIGINT) AS n, zs * zs + zk * zk AS statistic FROM z7)"""
 
+# The rational functions of algorithm AS 241 for the inverse normal, centre and tail (numerators, denominators).
+INVERSE_NORMAL = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9),
+)
+
+
+def poly_sql(coefficients, x: str) -> str:
+    """A polynomial, lowest power first, by nested products."""
+    text = f"{coefficients[-1]!r}::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        text = f"({c!r}::DOUBLE + {x} * {text})"
+    return text
+
+
+CENTRE, CENTRE_BELOW, TAIL, TAIL_BELOW = INVERSE_NORMAL
+
+#: Royston's W test over ``l`` (column_name, value): CTEs ending in ``w`` (column_name, n, statistic, p_value). At most 5000 values, so the far tail of the inverse normal isn't met.
+W_TEST = f"""wr AS (SELECT column_name, value AS x, row_number() OVER (PARTITION BY column_name ORDER BY value) AS i, count(*) OVER (PARTITION BY column_name) AS n FROM l WHERE value IS NOT NULL),
+wp AS (SELECT *, (i - 0.375) / (n + 0.25) - 0.5 AS q FROM wr WHERE n BETWEEN 8 AND 5000),
+wq AS (SELECT *, 0.180625 - q * q AS r, sqrt(-ln(0.5 - abs(q))) - 1.6 AS t FROM wp),
+ws AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {poly_sql(CENTRE, 'r')} / {poly_sql(CENTRE_BELOW, 'r')} ELSE sign(q) * {poly_sql(TAIL, 't')} / {poly_sql(TAIL_BELOW, 't')} END AS s FROM wq),
+wn AS (SELECT column_name, CAST(max(n) AS DOUBLE) AS n, sum(s * s) AS square, max(s) AS s1, max(s) FILTER (WHERE i = n - 1) AS s2, avg(x) AS mx FROM ws GROUP BY column_name),
+wl AS (SELECT *, {poly_sql(LAST_WEIGHT, '(1 / sqrt(n))')} + s1 / sqrt(square) AS last, {poly_sql(SECOND_WEIGHT, '(1 / sqrt(n))')} + s2 / sqrt(square) AS second FROM wn),
+wf AS (SELECT *, (square - 2 * s1 * s1 - 2 * s2 * s2) / (1 - 2 * last * last - 2 * second * second) AS phi FROM wl),
+ww AS (SELECT column_name, any_value(f.n) AS n, least(1, power(sum(x * CASE WHEN i = 1 THEN -last WHEN i = 2 THEN -second WHEN i = ws.n - 1 THEN second WHEN i = ws.n THEN last ELSE s / sqrt(phi) END), 2) / sum(power(x - mx, 2))) AS statistic
+  FROM ws JOIN wf AS f USING (column_name) GROUP BY column_name),
+wy AS (SELECT *, CASE WHEN n <= 11 THEN -ln({poly_sql(SMALL_BOUND, 'n')} - ln(1 - statistic)) ELSE ln(1 - statistic) END AS y,
+  CASE WHEN n <= 11 THEN {poly_sql(SMALL_MEAN, 'n')} ELSE {poly_sql(LARGE_MEAN, 'ln(n)')} END AS mean, exp(CASE WHEN n <= 11 THEN {poly_sql(SMALL_SCALE, 'n')} ELSE {poly_sql(LARGE_SCALE, 'ln(n)')} END) AS scale FROM ww),
+wz AS (SELECT *, (y - mean) / scale AS z FROM wy),
+w AS (SELECT column_name, CAST(n AS BIGINT) AS n, statistic, CASE WHEN z > 0 THEN 0.5 * ({t_tail_sql('z', '1e9')}) ELSE 1 - 0.5 * ({t_tail_sql('z', '1e9')}) END AS p_value FROM wz)"""
+
 ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
 
 
@@ -52,19 +89,31 @@ def normality_k2(spark, sf):
     return rounded(rounded(found, 3, "statistic"), 6, "p_value")
 
 
-@register("normality_shapiro")
+CUSTOMER_NUMBERS = ("c_custkey", "c_nationkey", "c_acctbal")
+TEN_NATIONS = "n_regionkey < 2"
+
+
+@register("normality_shapiro", f"""WITH l AS ({long_sql('customer', CUSTOMER_NUMBERS)} UNION ALL SELECT 'n_nationkey', CAST(n_nationkey AS DOUBLE) FROM nation WHERE {TEN_NATIONS}
+UNION ALL {long_sql('region', ('r_regionkey',))}), {W_TEST}, c AS (SELECT column_name, count(value) AS n FROM l GROUP BY column_name)
+SELECT column_name, c.n, round(statistic, 6) AS statistic, round(p_value, 5) AS p_value, p_value >= 0.05 AS is_normal, CASE WHEN c.n < 8 THEN 'too_few' WHEN c.n > 5000 THEN 'too_many' END AS reason FROM c LEFT JOIN w USING (column_name)""")
 def normality_shapiro(spark, sf):
-    return hypothesis.normality_shapiro(table(spark, sf, "customer"))
+    small = table(spark, sf, "nation").filter(TEN_NATIONS).select("n_nationkey")
+    found = hypothesis.normality_shapiro(table(spark, sf, "customer"))
+    for other in (small, table(spark, sf, "region")):
+        found = found.unionByName(hypothesis.normality_shapiro(other))
+    return rounded(rounded(found, 6, "statistic"), 5, "p_value")
+
+
+NORMAL = "nt AS (SELECT column_name, n, statistic, exp(-statistic / 2) AS p_value, 'D''Agostino K-squared' AS test_name FROM k2 UNION ALL SELECT column_name, n, statistic, p_value, 'Shapiro-Wilk' FROM w)"
 
 
-@register("normality", f"""WITH l AS ({long_sql('orders', ORDER_NUMBERS)}), {K2}
-SELECT column_name, n, round(statistic, 3) AS statistic, round(exp(-statistic / 2), 6) AS p_value, exp(-statistic / 2) >= 0.05 AS is_normal, CAST(NULL AS VARCHAR) AS reason,
-'D''Agostino K-squared' AS test_name FROM k2""")
+@register("normality", f"""WITH l AS ({long_sql('orders', ORDER_NUMBERS)}), {K2}, {W_TEST}, {NORMAL}
+SELECT column_name, n, round(statistic, 3) AS statistic, round(p_value, 5) AS p_value, p_value >= 0.05 AS is_normal, CAST(NULL AS VARCHAR) AS reason, test_name FROM nt""")
 def normality(spark, sf):
-    return rounded(rounded(hypothesis.normality(table(spark, sf, "orders")), 3, "statistic"), 6, "p_value")
+    return rounded(rounded(hypothesis.normality(table(spark, sf, "orders")), 3, "statistic"), 5, "p_value")
 
 
-WELCH = f"""l AS ({long_sql('lineitem', LINE_NUMBERS[:5]).replace(' AS value FROM', ' AS value, l_linestatus AS g FROM')}),
+WELCH = f"""l AS ({long_sql('lineitem', LINE_NUMBERS).replace(' AS value FROM', ' AS value, l_linestatus AS g FROM')}),
 w AS (SELECT column_name, g, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM l GROUP BY column_name, g HAVING count(value) >= 5),
 p AS (SELECT a.column_name, a.g AS g1, b.g AS g2, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS statistic,
 power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS df1 FROM w a JOIN w b ON a.column_name = b.column_name AND a.g < b.g),
@@ -88,7 +137,7 @@ SELECT count(*) AS g, sum(c) AS n, sum(c * power(m - gm, 2)) AS ssb, sum((c - 1)
 SELECT count(*) AS c, avg({numeric}) AS m, var_samp({numeric}) AS v, any_value(gm) AS gm FROM orders, (SELECT avg({numeric}) AS gm FROM orders) AS o GROUP BY {category} HAVING count(*) >= 5) AS i) AS j"""
 
 
-ANOVA = f"""f AS ({' UNION ALL '.join(anova_sql(c, x) for c in ('o_orderstatus', 'o_orderpriority') for x in ORDER_NUMBERS if (c, x) != ('o_orderpriority', 'o_totalprice'))}),
+ANOVA = f"""f AS ({' UNION ALL '.join(anova_sql(c, x) for c in ('o_orderstatus', 'o_orderpriority') for x in ORDER_NUMBERS)}),
 x AS (SELECT *, df2 / (df2 + df1 * statistic) AS u, df2 / 2 AS a FROM f),
 an AS (SELECT *, CASE df1 WHEN 2 THEN power(u, a) WHEN 4 THEN power(u, a) * (1 + a * (1 - u)) END AS p_value FROM x)"""
 
@@ -117,15 +166,15 @@ WHEN 8 THEN exp(-statistic / 2) * (1 + statistic / 2 + power(statistic / 2, 2) /
 @register("chi_square", f"""WITH {CHI} SELECT 'Chi-Square Test of Independence (' || pair || ')' AS test_name, round(statistic, 4) AS statistic, df1, round(p_value, 5) AS p_value, p_value < 0.05 AS significant FROM cp""")
 def chi_square(spark, sf):
     labels = table(spark, sf, "labels").select(F.col("quality").cast("string"), F.col("toxic").cast("string"))
-    parts = [hypothesis.chi_square(t) for t in (table(spark, sf, "lineitem").drop("l_shipdate"), table(spark, sf, "orders").drop("o_orderdate"), labels)]
+    parts = [hypothesis.chi_square(t) for t in (table(spark, sf, "lineitem"), table(spark, sf, "orders"), labels)]
     found = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("test_name", "statistic", "df1", "p_value", "significant")
     return rounded(rounded(found, 4, "statistic"), 5, "p_value")
 
 
-ALL_TESTS = f"""l AS ({long_sql('orders', ORDER_NUMBERS)}), {K2}, {ANOVA}, {CHI},
+ALL_TESTS = f"""l AS ({long_sql('orders', ORDER_NUMBERS)}), {K2}, {W_TEST}, {NORMAL}, {ANOVA}, {CHI},
 tests AS (SELECT 'ANOVA' AS test_type, 'One-Way ANOVA (' || category || ' vs ' || column_name || ')' AS test_name, statistic, p_value FROM an UNION ALL
 SELECT 'Chi-Square', 'Chi-Square Test of Independence (' || pair || ')', statistic, p_value FROM cp WHERE df1 = 8 UNION ALL
-SELECT 'Normality Test', 'D''Agostino K-squared: ''' || column_name || '''', statistic, exp(-statistic / 2) FROM k2)"""
+SELECT 'Normality Test', test_name || ': ''' || column_name || '''', statistic, p_value FROM nt)"""
 
 
 @register("all_tests", f"WITH {ALL_TESTS} SELECT test_type, test_name, round(statistic, 3) AS statistic, round(p_value, 5) AS p_value, p_value < 0.05 AS significant FROM tests")

@@ -5,53 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkgauge.operators.shape import col_of
-from sparkgauge.session import small_frame
 
-BROADCAST_LIMIT = 500_000
 
+def _has(kind: T.DataType, *sought: type) -> bool:
+    """Whether a type is or holds one of the sought types at any depth."""
+    if isinstance(kind, sought):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _has(kind.elementType, *sought)
+    if isinstance(kind, T.MapType):
+        return _has(kind.keyType, *sought) or _has(kind.valueType, *sought)
+    return isinstance(kind, T.StructType) and any(_has(f.dataType, *sought) for f in kind.fields)
 
-def _groupable(df: DataFrame) -> list[Column]:
-    """All columns as grouping keys; maps, which have no equality, as sorted entries."""
-    keys = []
-    for i, f in enumerate(df.schema.fields):
-        c = col_of(f.name)
-        if isinstance(f.dataType, T.MapType):
-            c = F.array_sort(F.map_entries(c))
-        elif isinstance(f.dataType, T.VariantType):
-            c = F.to_json(c)
-        keys.append(c.alias(f"c{i}"))
-    return keys
+
+def comparable(c: Column, kind: T.DataType) -> Column:
+    """The value with maps, which have no equality, as sorted entries at every depth, and variants as JSON."""
+    if not _has(kind, T.MapType, T.VariantType):
+        return c
+    if isinstance(kind, T.VariantType):
+        return F.to_json(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: comparable(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(
+            comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    fields = [comparable(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(c.isNotNull(), F.struct(*fields))
+
+
+def _keys(df: DataFrame) -> list[Column]:
+    return [comparable(col_of(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
+
+
+def _digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row: two XXH64 values with different leads.
+
+    A hash passes over nulls, so flat columns come with a null mark and nested ones as
+    JSON with their nulls. Among 10^12 different rows the chance of any two with one
+    digest is about 10^-15.
+    """
+    parts: list[Column] = []
+    for key, f in zip(_keys(df), df.schema.fields):
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        value = F.to_json(F.struct(key.alias("v")), {"ignoreNullFields": "false"}) if nested else key
+        parts += [value, value.isNull()]
+    return [F.xxhash64(F.lit(lead), *parts).alias(f"h{lead}") for lead in (1, 2)]
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """(row_count, duplicate_count, duplicate_percentage): rows that repeat another row.
 
-    Only an eight-byte hash per row is shuffled first. A row whose hash is
-    unique repeats nothing. Rows that share a hash are then grouped on all their
-    columns, which settles collisions: with few shared hashes a broadcast picks
-    those rows out, with many the whole table is grouped. Copies are combined
-    inside each map task in every step.
+    One scan and one shuffle: rows become 16-byte digests, copies are combined inside
+    each map task, and the counts of the digests give both numbers.
     """
-    keys = df.select(*_groupable(df))
-    spark = df.sparkSession
-    hashed = keys.select(F.xxhash64(*keys.columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    seen = hashed.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("shared")).first()
-    total, shared = seen["rows"] or 0, seen["shared"]
-    if shared == 0:
-        repeated = small_frame(spark, [(0,)], "duplicate_count bigint")
-    else:
-        suspects = keys
-        if shared <= BROADCAST_LIMIT:
-            hashes = hashed.filter(F.col("n") > 1).select("h")
-            suspects = keys.withColumn("h", F.xxhash64(*keys.columns)).join(F.broadcast(hashes), "h", "left_semi")
-        groups = suspects.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("n"))
-        repeated = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_count"))
-    rows = F.lit(total).cast("bigint")
+    counted = df.select(*_digest(df)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("row_count"),
+                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_count"))
+    rows = F.col("row_count")
     share = F.when(rows > 0, F.col("duplicate_count") / rows * 100).otherwise(F.lit(0.0))
-    return repeated.select(
-        rows.alias("row_count"), "duplicate_count", share.alias("duplicate_share"), F.round(share, 1).alias("duplicate_percentage")
-    )
+    return sums.select("row_count", "duplicate_count", share.alias("duplicate_share"), F.round(share, 1).alias("duplicate_percentage"))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One row of each set of equal rows; maps at any depth are equal when their entries are."""
+    odd = [i for i, f in enumerate(df.schema.fields) if _has(f.dataType, T.MapType, T.VariantType)]
+    if not odd:
+        return df.dropDuplicates()
+    keys = _keys(df)
+    named = {i: f"__key_{i}" for i in odd}
+    wide = df.select(*[col_of(c) for c in df.columns], *[keys[i].alias(n) for i, n in named.items()])
+    return wide.dropDuplicates([named.get(i, c) for i, c in enumerate(df.columns)]).drop(*named.values())

@@ -19,7 +19,6 @@ ALPHA = 0.05
 SMALLEST_GROUP = 5
 SMALLEST_SAMPLE = 8
 SHAPIRO_LIMIT = 5_000
-MOST_TESTS = 5
 
 TEST_SCHEMA = (
     "test_type string, test_name string, variables array<string>, statistic double, df1 double, df2 double, "
@@ -39,17 +38,21 @@ def _first(tests: DataFrame, order: Sequence[Column], most: int | None) -> DataF
 
 
 def normality_k2(df: DataFrame, columns: Sequence[str] | None = None, moments: DataFrame | None = None) -> DataFrame:
-    """K-squared test for columns with more than ``SHAPIRO_LIMIT`` values."""
-    facts = moments if moments is not None else column_moments(df, columns)
-    large = facts.filter(F.col("n") > SHAPIRO_LIMIT)
-    k2 = F.when(F.col("variance") > 0, k_squared(F.col("n"), F.col("skewness"), F.col("kurtosis")))
-    tested = large.select("column_name", "n", k2.alias("statistic")).withColumn("p_value", F.exp(-F.col("statistic") / 2))
-    return tested.select("*", F.coalesce(F.col("p_value") >= ALPHA, F.lit(False)).alias("is_normal"), F.lit(None).cast("string").alias("reason"))
+    """K-squared test, one row per column with a value; reason ``too_few`` below eight values."""
+    facts = (moments if moments is not None else column_moments(df, columns)).filter(F.col("n") > 0)
+    enough = F.col("n") >= SMALLEST_SAMPLE
+    k2 = F.when(enough & (F.col("variance") > 0), k_squared(F.col("n"), F.col("skewness"), F.col("kurtosis")))
+    tested = facts.select("column_name", "n", k2.alias("statistic")).withColumn("p_value", F.exp(-F.col("statistic") / 2))
+    normal = F.when(enough, F.coalesce(F.col("p_value") >= ALPHA, F.lit(False)))
+    return tested.select("*", normal.alias("is_normal"), F.when(~enough, "too_few").alias("reason"))
 
 
 def normality_shapiro(df: DataFrame, columns: Sequence[str] | None = None, moments: DataFrame | None = None) -> DataFrame:
-    """W test for columns with 8 to 5000 values; a group never holds more than that."""
-    facts = moments if moments is not None else column_moments(df, columns)
+    """W test, one row per column with a value; reason ``too_few`` below eight and ``too_many`` above 5000 values.
+
+    The test is defined between these bounds, so a group never holds more.
+    """
+    facts = pin(moments if moments is not None else column_moments(df, columns))
     chosen = facts.filter(F.col("n").between(SMALLEST_SAMPLE, SHAPIRO_LIMIT)).select("column_name")
     names = [r["column_name"] for r in chosen.collect()]
     schema = "column_name string, n bigint, statistic double, p_value double"
@@ -63,21 +66,19 @@ def normality_shapiro(df: DataFrame, columns: Sequence[str] | None = None, momen
         tested = present.groupBy("column_name").applyInPandas(w_test, schema)
     else:
         tested = small_frame(df.sparkSession, [], schema)
-    return tested.select("*", (F.col("p_value") >= ALPHA).alias("is_normal"), F.lit(None).cast("string").alias("reason"))
+    rows = tested.select("*", (F.col("p_value") >= ALPHA).alias("is_normal"), F.lit(None).cast("string").alias("reason"))
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("statistic", "double"), ("p_value", "double"), ("is_normal", "boolean"))]
+    reason = F.when(F.col("n") < SMALLEST_SAMPLE, "too_few").otherwise("too_many")
+    outside = facts.filter((F.col("n") > 0) & ~F.col("n").between(SMALLEST_SAMPLE, SHAPIRO_LIMIT))
+    return rows.unionByName(outside.select("column_name", F.col("n").cast("bigint").alias("n"), *nothing, reason.alias("reason")))
 
 
 def normality(df: DataFrame, columns: Sequence[str] | None = None, moments: DataFrame | None = None) -> DataFrame:
-    """One row per numeric column with a value, by the test that fits its size."""
+    """One row per numeric column with a value, by the test that fits its size: W up to 5000 values, K-squared above."""
     facts = pin(moments if moments is not None else column_moments(df, columns))
-    small = facts.filter(F.col("n").between(1, SMALLEST_SAMPLE - 1)).select(
-        "column_name", "n",
-        F.lit(None).cast("double").alias("statistic"), F.lit(None).cast("double").alias("p_value"),
-        F.lit(None).cast("boolean").alias("is_normal"), F.lit("too_few").alias("reason"),
-        F.lit(None).cast("string").alias("test_name"),
-    )
-    k2 = normality_k2(df, columns, facts).withColumn("test_name", F.lit("D'Agostino K-squared"))
-    w = normality_shapiro(df, columns, facts).withColumn("test_name", F.lit("Shapiro-Wilk"))
-    return k2.unionByName(w).unionByName(small)
+    k2 = normality_k2(df, columns, facts.filter(F.col("n") > SHAPIRO_LIMIT)).withColumn("test_name", F.lit("D'Agostino K-squared"))
+    w = normality_shapiro(df, columns, facts.filter(F.col("n") <= SHAPIRO_LIMIT))
+    return k2.unionByName(w.withColumn("test_name", F.when(F.col("reason").isNull(), "Shapiro-Wilk")))
 
 
 def welch_statistics(groups: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def _two_valued(df: DataFrame, categories: Sequence[str] | None) -> list[str]:
     return [c for c, k in category_columns(df, categories, 2).items() if k == 2]
 
 
-def welch_t(df: DataFrame, categories: Sequence[str] | None = None, numerics: Sequence[str] | None = None, most: int | None = MOST_TESTS) -> DataFrame:
+def welch_t(df: DataFrame, categories: Sequence[str] | None = None, numerics: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     names = _two_valued(df, categories)
     nums = list(numerics) if numerics is not None else numeric_columns(df)
     if not names or not nums:
@@ -150,7 +151,7 @@ def anova_statistics(groups: DataFrame) -> DataFrame:
     )
 
 
-def anova(df: DataFrame, categories: Sequence[str] | None = None, numerics: Sequence[str] | None = None, most: int | None = MOST_TESTS) -> DataFrame:
+def anova(df: DataFrame, categories: Sequence[str] | None = None, numerics: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     names = [c for c, k in category_columns(df, categories).items() if k >= 3]
     nums = list(numerics) if numerics is not None else numeric_columns(df)
     if not names or not nums:
@@ -206,7 +207,7 @@ def chi_square_statistics(table: DataFrame) -> DataFrame:
     )
 
 
-def chi_square(df: DataFrame, columns: Sequence[str] | None = None, most: int | None = MOST_TESTS) -> DataFrame:
+def chi_square(df: DataFrame, columns: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     names = list(category_columns(df, columns))
     if len(names) < 2:
         return small_frame(df.sparkSession, [], TEST_SCHEMA)
@@ -228,18 +229,19 @@ def _chi_rows(table: DataFrame, names: Sequence[str], most: int | None) -> DataF
     )
 
 
-def hypothesis_tests(df: DataFrame, most: int | None = MOST_TESTS, few: dict[str, int] | None = None) -> DataFrame:
+def hypothesis_tests(df: DataFrame, most: int | None = None, few: dict[str, int] | None = None) -> DataFrame:
     """Welch t, ANOVA and chi-square tests of the table, each kind in table order.
 
-    The category columns (``few``: name to distinct count) are found once; one
-    scan feeds both mean tests and one the contingency tables.
+    The category columns (``few``: name to distinct count) are found once. The group
+    statistics of the mean tests are pinned, so one scan feeds both; another makes the
+    contingency tables.
     """
     if few is None:
         few = category_columns(df, other_columns(df))
     nums = numeric_columns(df)
     parts = []
     if few and nums:
-        groups = group_summaries(df, list(few), nums)
+        groups = pin(group_summaries(df, list(few), nums))
         two = [c for c, k in few.items() if k == 2]
         more = [c for c, k in few.items() if k >= 3]
         if two:
@@ -268,5 +270,5 @@ def normality_as_tests(frame: DataFrame) -> DataFrame:
     )
 
 
-def all_tests(df: DataFrame, most: int | None = MOST_TESTS) -> DataFrame:
+def all_tests(df: DataFrame, most: int | None = None) -> DataFrame:
     return hypothesis_tests(df, most).unionByName(normality_as_tests(normality(df)))

@@ -11,7 +11,7 @@ from sparkgauge.operators.correlation import correlated_pairs, multicollinearity
 from sparkgauge.operators.duplicates import duplicate_count
 from sparkgauge.operators.frequencies import numeric_value_facts, top_values
 from sparkgauge.operators.grouped import MAX_CATEGORIES
-from sparkgauge.operators.hypothesis import MOST_TESTS, hypothesis_tests, normality
+from sparkgauge.operators.hypothesis import hypothesis_tests, normality
 from sparkgauge.operators.moments import column_moments
 from sparkgauge.operators.outliers import iqr_outliers
 from sparkgauge.operators.quantiles import quantile_values
@@ -90,7 +90,7 @@ def table_totals(schema: DataFrame, duplicates: DataFrame, constants: Sequence[s
     return counts.select("*", F.lit(duplicates.first()["duplicate_count"]).cast("bigint").alias("duplicate_count"))
 
 
-def profile_table(df: DataFrame, most_tests: int | None = MOST_TESTS, exact: bool = True) -> Profile:
+def profile_table(df: DataFrame, most_tests: int | None = None, exact: bool = True) -> Profile:
     """Profile a table of any size.
 
     Each statistic is one scan over the columns it needs, and independent ones

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 PIN_LIMIT = 100_000
+#: Used only in local mode with no ``spark.checkpoint.dir``, as in tests.
+LOCAL_FOLDER = "/tmp/checkpoints/sparkgauge"
 
 
 def build_session(app: str = "sparkgauge", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -32,36 +33,30 @@ def build_session(app: str = "sparkgauge", cores: str = "*", shuffle_partitions:
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder named by ``spark.checkpoint.dir``; where it is unset, a fixed one in local mode and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if is_local(spark):
-        return tempfile.mkdtemp(prefix="sparkgauge-")
-    return None
+        return LOCAL_FOLDER
+    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables written between steps."""
-    base = shared_dir(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; the frame itself when there is none."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        base = shared_dir(spark)
-        if base is None:
-            return df
-        context.setCheckpointDir(base)
+        context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 

@@ -120,7 +120,16 @@ PART_MODES = " UNION ALL ".join(
 @register("mode", f"""WITH f AS ({PART_MODES}), r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rn FROM f)
 SELECT column_name, value AS mode, n AS mode_count FROM r WHERE rn = 1""")
 def mode(spark, sf):
-    return frequencies.numeric_modes(table(spark, sf, "part"))
+    return frequencies.numeric_modes(table(spark, sf, "part")).drop("mode_text")
+
+
+TYPED_MODES = {"big": "CAST(l_suppkey + 9007199254740993 AS BIGINT)", "money": "CAST(l_linenumber + 90071992547409.01 AS DECIMAL(20, 2))"}
+
+
+@register("mode_typed", "WITH f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({e} AS DECIMAL(30, 2)) AS value, CAST({e} AS VARCHAR) AS mode_text, count(*) AS n FROM lineitem GROUP BY ALL" for c, e in TYPED_MODES.items())
+          + """), r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rn FROM f) SELECT column_name, mode_text, n AS mode_count FROM r WHERE rn = 1""")
+def mode_typed(spark, sf):
+    return frequencies.numeric_modes(table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in TYPED_MODES.items()])).drop("mode")
 
 
 @register("skewness", f"""WITH l AS ({LINES}), m AS (SELECT column_name, value, avg(value) OVER (PARTITION BY column_name) AS mu FROM l)

@@ -70,7 +70,7 @@ def impute(spark, sf, strategy, **more):
     return rounded(filled, 6, "qty")
 
 
-@register("impute_mean", imputed("SELECT avg(qty) FROM dirty"))
+@register("impute_mean", f"WITH {DIRTY} SELECT k, price, round(coalesce(qty, avg(qty) OVER ()), 6) AS qty FROM dirty")
 def impute_mean(spark, sf):
     return impute(spark, sf, "mean")
 

@@ -9,6 +9,7 @@ other, so they share one statistics pass.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -50,15 +51,25 @@ def _means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
-    """Mode per column as a literal of the column's type; the smallest value wins a tie."""
+    """Mode per column as a literal of the column's type; the smallest value wins a tie.
+
+    Binary and array values are taken from the column itself; maps and structs have no
+    literal and stay unfilled.
+    """
     chosen = fields(df, columns)
+    own = [f.name for f in chosen if isinstance(f.dataType, (T.BinaryType, T.ArrayType))]
     numeric = [f.name for f in chosen if isinstance(f.dataType, T.NumericType)]
-    other = [f.name for f in chosen if not isinstance(f.dataType, T.NumericType)]
+    nested = (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    other = [f.name for f in chosen if not isinstance(f.dataType, (T.NumericType, *nested))]
     found: dict[str, object] = {}
     if numeric:
-        found |= {r["column_name"]: r["mode"] for r in numeric_modes(df, numeric).collect()}
+        found |= {r["column_name"]: r["mode_text"] for r in numeric_modes(df, numeric).collect()}
     if other:
         found |= {r["column_name"]: r["mode"] for r in text_modes(df, other).collect()}
+    for name in own:
+        counted = df.select(col_of(name).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        first = counted.orderBy(F.desc("n"), "v").first()
+        found[name] = None if first is None else bytes(first["v"]) if isinstance(first["v"], bytearray) else first["v"]
     kinds = {f.name: f.dataType for f in chosen}
     return {c: F.lit(v).cast(kinds[c]) for c, v in found.items() if v is not None}
 
@@ -71,9 +82,31 @@ def _needs(df: DataFrame, batch: Sequence[Operation], kind: str) -> list[str]:
     return [c for c in wanted if kind not in NUMERIC_STRATEGIES or c in numeric]
 
 
-def clip(c: Column, low: float, high: float) -> Column:
-    """Bound a value on both sides; nulls stay null."""
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+def exact(kind: T.DataType) -> bool:
+    """Whether a double can't hold all values of a numeric type."""
+    return isinstance(kind, (T.LongType, T.DecimalType))
+
+
+def fill_literal(value: float, kind: T.DataType) -> Column:
+    """A statistic as a literal that leaves the other values of the column as they are.
+
+    Where a double can't hold the column's values it takes the column's own type if it fits, else
+    a decimal; other columns get a double.
+    """
+    if not exact(kind):
+        return F.lit(value)
+    text = F.lit(repr(Decimal(value).quantize(Decimal(1)) if value == int(value) else round(Decimal(repr(value)), 9)).split("'")[1])
+    if isinstance(kind, T.LongType) and value == int(value):
+        return text.cast("bigint")
+    return text.cast("decimal(38,9)")
+
+
+def clip(c: Column, low: float, high: float, kind: T.DataType | None = None) -> Column:
+    """Bound a value on both sides; nulls stay null. Values inside the bounds keep every digit."""
+    if kind is None or not exact(kind):
+        return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+    bounds = [fill_literal(x, kind) for x in (low, high)]
+    return F.when(c < bounds[0], bounds[0]).when(c > bounds[1], bounds[1]).otherwise(c)
 
 
 def cast_column(c: Column, field: T.StructField, target_type: str) -> Column:
@@ -109,15 +142,15 @@ def _apply_batch(df: DataFrame, batch: Sequence[Operation]) -> DataFrame:
                 c = F.when(~F.isnan(c), c)
             strategy = _strategy(op)
             if strategy == "mean" and means.get(name) is not None:
-                new[name] = F.coalesce(c, F.lit(means[name]))
+                new[name] = F.coalesce(c, fill_literal(means[name], kinds[name].dataType))
             elif strategy == "median" and name in quantiles:
-                new[name] = F.coalesce(c, F.lit(quantiles[name][1]))
+                new[name] = F.coalesce(c, fill_literal(quantiles[name][1], kinds[name].dataType))
             elif strategy == "mode" and name in modes:
                 new[name] = F.coalesce(c, modes[name])
             elif strategy == "value" and op.get("fill_value") is not None:
                 new[name] = F.coalesce(c, F.lit(op["fill_value"]))
         elif kind == "handle_outliers" and name in bounds:
-            new[name] = clip(c, *bounds[name])
+            new[name] = clip(c, *bounds[name], kinds[name].dataType)
         elif kind == "cast_types":
             new[name] = cast_column(c, kinds[name], str(op.get("target_type")))
     return drop_columns(_replace(df, new) if new else df, gone)

@@ -19,11 +19,13 @@ KEY_LIMIT = 64
 
 
 def _digest(text: Column) -> Column:
-    """Short text as it is, long text as length and SHA-256, so a document shuffles as one key.
+    """Short text as it is, long text as what the value facts need of it and its SHA-256, so a document shuffles as one key.
 
-    The digest form is longer than ``KEY_LIMIT``, so it never meets a short value.
+    The digest form holds the length, the boolean bit and whether the text is a date. It
+    is longer than ``KEY_LIMIT``, so it never meets a short value.
     """
-    long_key = F.concat(F.lit("#"), F.char_length(text).cast("string"), F.lit(":"), F.sha2(text, 256))
+    is_date = to_timestamp(text).isNotNull().cast("int")
+    long_key = F.concat(F.lit("#"), F.concat_ws(":", *(c.cast("string") for c in (F.char_length(text), boolean_mask(text), is_date)), F.sha2(text, 256)))
     return F.when(F.char_length(text) <= KEY_LIMIT, text).otherwise(F.when(text.isNotNull(), long_key))
 
 
@@ -87,7 +89,7 @@ def value_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
     (column_name, row_count, null_count, distinct_count, avg_length, all_dates,
     boolean_pair). Length, date and boolean tests look at each distinct value
-    once; a long text stands as its digest, which keeps its length.
+    once, of long texts before they become digests.
     """
     chosen = list(columns) if columns is not None else df.columns
     parts = []
@@ -96,11 +98,14 @@ def value_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         v, n = F.col("value"), F.col("n")
         if isinstance(long.schema["value"].dataType, T.StringType):
             is_digest = F.char_length(v) > KEY_LIMIT
-            length = F.when(is_digest, F.regexp_extract(v, r"^#(\d+):", 1).cast("bigint")).otherwise(F.char_length(v))
-            dates = (F.count(v) > 0) & (F.count(to_timestamp(F.when(~is_digest, v))) == F.count(v))
+            held = lambda i: F.regexp_extract(v, r"^#(\d+):(\d+):(\d+):", i).try_cast("bigint")
+            length = F.when(is_digest, held(1)).otherwise(F.char_length(v))
+            bits = F.when(is_digest, held(2)).otherwise(boolean_mask(v))
+            is_date = F.when(is_digest, held(3) == 1).otherwise(to_timestamp(F.when(~is_digest, v)).isNotNull())
+            dates = (F.count(v) > 0) & (F.count_if(is_date & v.isNotNull()) == F.count(v))
             facts = [
                 (F.sum(length * n) / F.sum(F.when(v.isNotNull(), n))).alias("avg_length"), dates.alias("all_dates"),
-                (F.coalesce(F.bit_and(F.when(v.isNotNull(), boolean_mask(v))), F.lit(0)) != 0).alias("boolean_pair"),
+                (F.coalesce(F.bit_and(F.when(v.isNotNull(), bits)), F.lit(0)) != 0).alias("boolean_pair"),
             ]
         else:
             pair = (F.min(v) == 0) & (F.max(v) == 1)
@@ -129,21 +134,26 @@ def unique_ratio(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
 
 
 def numeric_value_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, distinct_count, mode, mode_count) of non-null values; the smallest value wins a tie."""
+    """(column_name, distinct_count, mode, mode_text, mode_count) of non-null values; the smallest value wins a tie.
+
+    Values are counted and compared in their own type: integers as bigint, decimals in
+    their scale. ``mode`` is the mode as a double, ``mode_text`` the exact value.
+    """
     chosen = list(columns) if columns is not None else numeric_columns(df)
-    integral = [f for f in fields(df, chosen) if isinstance(f.dataType, T.IntegralType)]
-    fractional = [f for f in fields(df, chosen) if f not in integral]
+    kinds: dict[str, list[T.StructField]] = {}
+    for f in fields(df, chosen):
+        own = f.dataType.simpleString() if isinstance(f.dataType, T.DecimalType) else "bigint" if isinstance(f.dataType, T.IntegralType) else "double"
+        kinds.setdefault(own, []).append(f)
     parts = []
-    for group, kind in ((integral, "bigint"), (fractional, "double")):
-        if not group:
-            continue
-        long = long_form(df, {f.name: col_of(f.name).cast(kind) if kind == "bigint" else as_double(f) for f in group})
+    for kind, group in kinds.items():
+        long = long_form(df, {f.name: as_double(f) if kind == "double" else col_of(f.name).cast(kind) for f in group})
         freq = long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-        # Greatest count first, then the smallest value: the maximum of (n, -value).
-        best = F.max(F.struct(F.col("n"), (-F.col("value")).alias("negated"))).alias("best")
+        # Greatest count first, then the smallest value; only the count is negated.
+        best = F.min(F.struct((-F.col("n")).alias("fewer"), F.col("value"))).alias("best")
         facts = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"), best)
-        mode = (-F.col("best.negated")).cast("double") + F.lit(0.0)
-        parts.append(facts.select("column_name", "distinct_count", mode.alias("mode"), F.col("best.n").alias("mode_count")))
+        mode = F.col("best.value")
+        parts.append(facts.select("column_name", "distinct_count", (mode.cast("double") + F.lit(0.0)).alias("mode"),
+                                  mode.cast("string").alias("mode_text"), (-F.col("best.fewer")).alias("mode_count")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -151,7 +161,7 @@ def numeric_value_facts(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def numeric_modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return numeric_value_facts(df, columns).select("column_name", "mode", "mode_count")
+    return numeric_value_facts(df, columns).select("column_name", "mode", "mode_text", "mode_count")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -170,33 +180,36 @@ def _ordered_key(text: Column) -> Column:
 def _texts_of(df: DataFrame, columns: Sequence[str], keys: DataFrame) -> DataFrame:
     """(column_name, key, full): the texts behind a few long keys, looked up where they are stored.
 
-    At most k keys per column are broadcast; copies collapse inside each task.
+    The keys are the winners and what ties with the last of them; copies collapse inside each task.
     """
     long = long_form(df, {f.name: as_text(f) for f in fields(df, columns)})
     found = long.filter(F.char_length("value") > KEY_LIMIT).withColumn("key", _ordered_key(F.col("value")))
-    hits = found.join(F.broadcast(keys), ["column_name", "key"], "left_semi")
+    hits = found.join(keys, ["column_name", "key"], "left_semi")
     return hits.groupBy("column_name", "key").agg(F.any_value("value").alias("full"))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """(column_name, rank, value, count, percentage of all rows); ties in ascending value order.
 
-    Long texts are counted and ranked by a key of bounded size; only the k
-    winners per column are read again in full. Texts that tie and share their
-    first ``KEY_LIMIT`` characters are ordered by length and digest.
+    The result is a selection, the k most frequent values. Long texts are counted and
+    ranked by a key of bounded size. The winners, and what ties with them in count and
+    in the first ``KEY_LIMIT`` characters, are read again and ordered in full.
     """
     chosen = list(columns) if columns is not None else other_columns(df)
     keyed = long_form(df, {f.name: _ordered_key(as_text(f)) for f in fields(df, chosen)}).withColumnRenamed("value", "key")
     freq = keyed.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("count"))
     rows = freq.groupBy("column_name").agg(F.sum("count").alias("rows"))
-    ranked = top_per_group(freq.filter(F.col("key").isNotNull()), ["column_name"], [F.desc("count"), F.asc("key")], k)
-    top = pin(ranked.join(F.broadcast(rows), "column_name"))
+    lead = Window.partitionBy("column_name").orderBy(F.desc("count"), F.substring("key", 1, KEY_LIMIT))
+    tied = freq.filter(F.col("key").isNotNull()).withColumn("rank", F.rank().over(lead)).filter(F.col("rank") <= k).drop("rank")
+    top = pin(tied.join(F.broadcast(rows), "column_name"))  # rows: one for each column
     long_keys = top.filter(F.char_length("key") > KEY_LIMIT).select("column_name", "key")
     value = F.col("key")
     if not long_keys.isEmpty():
-        with_text = sorted({r["column_name"] for r in long_keys.collect()})
+        with_text = sorted(r["column_name"] for r in long_keys.select("column_name").distinct().collect())
         top = top.join(_texts_of(df, with_text, long_keys), ["column_name", "key"], "left")
         value = F.coalesce("full", "key")
+    top = top_per_group(top.withColumn("key", value), ["column_name"], [F.desc("count"), F.asc("key")], k)
+    value = F.col("key")
     return top.select(
         "column_name", "rank", value.alias("value"), "count", F.round(F.col("count") / F.col("rows") * 100, 2).alias("percentage")
     )

@@ -93,3 +93,20 @@ def test_stream_takes_stateless_steps_only(spark, tmp_path):
     assert [tuple(r) for r in spark.table("cleaned").orderBy("id").collect()] == [(0, 1.0, 0.0), (1, None, 2.0)]
     with pytest.raises(ValueError):
         clean_stream(stream, [{"type": "drop_duplicates"}])
+
+
+def test_mode_fill_keeps_type_and_value(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, bytearray(b"ab"), [1, 2]), (big, bytearray(b"ab"), [1, 2]), (None, None, None)], "b bigint, x binary, a array<int>")
+    for name, want in (("b", big), ("x", bytearray(b"ab")), ("a", [1, 2])):
+        out = cleaning.impute(df, name, "mode")
+        assert out.schema[name].dataType == df.schema[name].dataType and all(r[name] == want for r in out.collect())
+
+
+def test_large_ids_keep_every_digit(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big + i,) for i in range(20)] + [(None,), (0,)], "v bigint")
+    clipped = {r["v"] for r in cleaning.clip_outliers(df, "v").collect()}
+    assert {big + i for i in range(20)} <= {int(v) for v in clipped if v is not None}
+    filled = {int(r["v"]) for r in cleaning.impute(df, "v", "median").collect()}
+    assert {big + i for i in range(20)} <= filled

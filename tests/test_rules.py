@@ -1,5 +1,7 @@
 """Rule fixtures: one small table per rule, at and beside each threshold."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,10 +144,36 @@ def test_duplicates_with_nulls_and_nan(spark):
     assert duplicates.duplicate_count(df).first()["duplicate_count"] == 2
 
 
-def test_duplicates_beyond_the_broadcast_limit(spark, monkeypatch):
-    monkeypatch.setattr(duplicates, "BROADCAST_LIMIT", 1)
-    df = spark.range(300).select((F.col("id") % 100).alias("a"), F.lit("x").alias("b"))
-    assert duplicates.duplicate_count(df).first()["duplicate_count"] == 200
+def test_nested_maps_and_nulls_in_duplicates(spark):
+    df = spark.createDataFrame([([{"a": 1, "b": 2}], ({"x": 1},), None, "p"), ([{"b": 2, "a": 1}], ({"x": 1},), None, "p"), ([{"a": 1}], ({"x": 1},), "p", None)],
+                               "m array<map<string,int>>, s struct<k: map<string,int>>, a string, b string")
+    assert duplicates.duplicate_count(df).first()["duplicate_count"] == 1
+    assert duplicates.drop_duplicates(df).count() == 2 and duplicates.drop_duplicates(df).columns == df.columns
+    df = spark.createDataFrame([([None, "a"],), (["a", None],), (["a"],), (None,)], "v array<string>")
+    assert duplicates.duplicate_count(df).first()["duplicate_count"] == 0
+
+
+def test_modes_in_their_own_type(spark):
+    low, big = -(2**63), 9007199254740993
+    df = spark.createDataFrame([(big, Decimal("90071992547409.01"), low), (big, Decimal("90071992547409.01"), low), (5, Decimal("90071992547409.02"), 1)],
+                               "b bigint, d decimal(20,2), l bigint")
+    got = {r["column_name"]: (r["mode_text"], r["mode_count"]) for r in frequencies.numeric_modes(df).collect()}
+    assert got == {"b": (str(big), 2), "d": ("90071992547409.01", 2), "l": (str(low), 2)}
+    facts = {r["column_name"]: r["distinct_count"] for r in frequencies.numeric_value_facts(df).collect()}
+    assert facts == {"b": 2, "d": 2, "l": 2}
+
+
+def test_long_texts_tie_by_their_whole_value_and_keep_their_type(spark):
+    lead = "x" * 70
+    df = spark.createDataFrame([(lead + "bbb",), (lead + "aazzz",)] * 2, "s string")
+    rows = frequencies.top_values(df, k=1).collect()
+    assert [(r["value"], r["count"]) for r in rows] == [(lead + "aazzz", 2)]
+    pad = " " * 80
+    df = spark.createDataFrame([("true" + pad, "2024-01-02" + pad), ("false" + pad, "2024-01-03" + pad)], "b string, d string")
+    facts = {r["column_name"]: r for r in frequencies.value_facts(df).collect()}
+    short = {r["column_name"]: r for r in frequencies.value_facts(df.selectExpr("trim(b) AS b", "trim(d) AS d")).collect()}
+    assert facts["b"]["boolean_pair"] == short["b"]["boolean_pair"] and facts["b"]["boolean_pair"]
+    assert facts["b"]["avg_length"] == short["b"]["avg_length"] + 80
 
 
 def test_mode_tie_takes_the_smallest(spark):

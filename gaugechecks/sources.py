@@ -40,6 +40,26 @@ def csv_null_markers(spark, sf):
     return readers.read_csv(spark, path)
 
 
+QUOTED = """replace(text, ' ', '" ')"""
+
+
+@register("csv_round_trip", f"SELECT doc_id, {QUOTED} || chr(10) || 'x,\"y\"' AS text, lang FROM documents")
+def csv_round_trip(spark, sf):
+    docs = table(spark, sf, "documents")
+    quoted = F.concat(F.replace("text", F.lit(" "), F.lit('" ')), F.lit('\nx,"y"'))
+    path = sinks.write_csv(docs.select("doc_id", quoted.alias("text"), "lang"), scratch_path(spark, "quoted-csv"))
+    return readers.read_csv(spark, path, "doc_id bigint, text string, lang string", null_values=())
+
+
+@register("corrupt_rows", "SELECT 'surplus_cells' AS reason, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 7 = 0")
+def corrupt_rows(spark, sf):
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "9"))
+    path = scratch_path(spark, "surplus-csv")
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    found = readers.corrupt_rows(spark, path, ["o_orderkey", "o_orderstatus"])
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.split_part("record", F.lit(","), F.lit(1)).cast("bigint")).alias("keys"))
+
+
 @register("connector", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size, count(DISTINCT p_brand) AS brands FROM part")
 def connector(spark, sf):
     source = readers.Source(spark, "parquet")

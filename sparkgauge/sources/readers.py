@@ -14,16 +14,50 @@ NULL_VALUES = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+#: Cells are quoted with ", and a quote inside one is doubled.
+QUOTING = {"quote": '"', "escape": '"'}
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 PREVIEW_ROWS = 100
 
 
 def raw_headers(spark: SparkSession, path: str, **options: str) -> list[str | None]:
     """The first record as it stands; Spark's header option would rename duplicate and blank names."""
-    first = spark.read.options(header="false", **options).csv(path).first()
+    first = spark.read.options(**{"header": "false", "multiLine": "true", **QUOTING, **options}).csv(path).first()
     return list(first) if first is not None else []
 
 
+def file_headers(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """(header, files): the different first records of all files; more than one row means that the files don't fit together."""
+    rows = spark.read.options(**{"header": "false", "multiLine": "true", **QUOTING, **options}).csv(path)
+    cells = F.array(*[col_of(c) for c in rows.columns])
+    numbered = rows.select(F.col("_metadata.file_path").alias("file"), cells.alias("header"), F.monotonically_increasing_id().alias("nth"))
+    first = numbered.groupBy("file").agg(F.min_by("header", "nth").alias("header"))
+    return first.groupBy("header").agg(F.count(F.lit(1)).alias("files"))
+
+
+def corrupt_rows(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, multi_line: bool = True, **options: str) -> DataFrame:
+    """(reason, record): records that don't fit the header, which a reader would shorten or shift.
+
+    ``surplus_cells``: more cells than columns. ``open_quote``, only without
+    ``multi_line``: a line with an odd number of quotes, which is part of a cell with a
+    line break. Records with fewer cells are filled with nulls and no violation.
+    ``columns`` names the columns of files without a header.
+    """
+    named = list(columns) if columns is not None else [f"c{i}" for i in range(len(raw_headers(spark, path, **options)))]
+    given = {"header": "false" if columns is not None else "true", "multiLine": str(multi_line).lower(), **QUOTING, **options}
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(named) + 1)] + [T.StructField("_corrupt", T.StringType())])
+    rows = spark.read.options(**given).option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path)
+    cells = [F.coalesce(f"c{i}", F.lit("")) for i in range(len(named) + 1)]
+    # With one column too many in the schema, a record that fits is "short"; one that isn't has surplus cells.
+    surplus = rows.filter(F.col(f"c{len(named)}").isNotNull() | F.col("_corrupt").isNull())
+    found = surplus.select(F.lit("surplus_cells").alias("reason"), F.coalesce("_corrupt", F.concat_ws(",", *cells)).alias("record"))
+    if multi_line:
+        return found
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return found.unionByName(lines.filter(quotes % 2 == 1).select(F.lit("open_quote").alias("reason"), F.col("value").alias("record")))
+
+
 def _typed(df: DataFrame) -> DataFrame:
     """Text columns to bigint, double or boolean where every present value fits, by one aggregate."""
     checks = []
@@ -50,13 +84,17 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, null_values: Sequence[str] = NULL_VALUES, **options: str
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, null_values: Sequence[str] = NULL_VALUES,
+    multi_line: bool = True, **options: str
 ) -> DataFrame:
     """A CSV with header. Missing-value markers become null before types are decided.
 
-    With a schema no pass over the data is needed to find the types.
+    Cells may hold doubled quotes and, with ``multi_line``, line breaks; Spark can't
+    split such files, so folders of large files without line breaks in cells are read
+    faster without it (``corrupt_rows`` tells whether that is safe). With a schema no
+    pass over the data is needed to find the types.
     """
-    reader = spark.read.options(header="true", **options)
+    reader = spark.read.options(**{"header": "true", "multiLine": str(multi_line).lower(), **QUOTING, **options})
     if schema is not None:
         target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         text = T.StructType([T.StructField(f.name, T.StringType()) for f in target.fields])

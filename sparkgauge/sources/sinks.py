@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, **options: str) -> str:
-    df.write.options(**{"header": "true", **options}).csv(path)
+    """CSV files with quotes inside cells doubled."""
+    df.write.options(**{"header": "true", "quote": '"', "escape": '"', **options}).csv(path)
     return path
 
 

@@ -122,3 +122,17 @@ def test_scalar_functions(spark):
     ).first()
     assert (row["p"], row["a"], row["b"]) == (12.5, "15.3", "3.0")
     assert row["n"] == "My_file_v2_Executive_Report_1970-01-01_00-00.html"
+
+
+def test_quotes_line_breaks_and_surplus_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,n\n"x ""y"", z",1\n"two\nlines",2\nplain,3\n')
+    rows = readers.read_csv(spark, str(tmp_path / "a.csv")).orderBy("n").collect()
+    assert [tuple(r) for r in rows] == [('x "y", z', 1), ("two\nlines", 2), ("plain", 3)]
+    assert readers.corrupt_rows(spark, str(tmp_path / "a.csv")).count() == 0
+    lines = readers.corrupt_rows(spark, str(tmp_path / "a.csv"), multi_line=False).filter("reason = 'open_quote'").collect()
+    assert {r["record"] for r in lines} == {'"two', 'lines",2'}
+    (tmp_path / "b.csv").write_text("a,b\n1,2\n3,4,5\n6\n7,8,\n")
+    bad = readers.corrupt_rows(spark, str(tmp_path / "b.csv")).collect()
+    assert {r["record"] for r in bad} == {"3,4,5", "7,8,"} and {r["reason"] for r in bad} == {"surplus_cells"}
+    headers = readers.file_headers(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    assert sorted((r["header"][0], r["files"]) for r in headers) == [("a", 1), ("name", 1)]

@@ -9,6 +9,7 @@ from gaugechecks.tables import (
     charged, dirty, long_sql, quartiles_sql, rounded, special, table,
 )
 from sparkgauge.operators import charts, correlation, counts, duplicates, frequencies, grouped, moments, outliers, quantiles
+from sparkgauge.plans import validation
 from sparkgauge.plans.profile import numeric_profile
 
 QUERIES, SQL = {}, {}
@@ -229,7 +230,7 @@ def drop_duplicates(spark, sf):
     return clean.groupBy("flag", "const").agg(F.count(F.lit(1)).alias("n"), F.count("qty").alias("n_qty"), F.round(F.sum("price"), 2).alias("price"))
 
 
-CORR_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "charge")
+CORR_COLUMNS = (*LINE_NUMBERS, "charge")
 
 
 def corr_pairs(source, columns=CORR_COLUMNS):
@@ -350,11 +351,22 @@ def time_bucket_events(spark, sf):
     return rounded(charts.time_bucket_mean(table(spark, sf, "events"), "ts", "value"), 4, "value")
 
 
+@register("sort_by_date", "SELECT strftime(ts, '%Y-%m-%d') AS date, round(value, 4) AS value FROM events WHERE value IS NOT NULL")
+def sort_by_date(spark, sf):
+    events = table(spark, sf, "events")
+    return rounded(charts.time_bucket_mean(events, "ts", "value", raw_points=events.count()), 4, "value")
+
+
+@register("bad_values", f"WITH {DIRTY} SELECT 'mixed' AS column_name, mixed AS value, count(*) AS n FROM dirty WHERE TRY_CAST(mixed AS DOUBLE) IS NULL AND mixed IS NOT NULL GROUP BY mixed")
+def bad_values(spark, sf):
+    return validation.bad_values(dirty(spark, sf), ["mixed"])
+
+
 @register("scatter_sample", """SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem
 ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), '42')), x, y LIMIT 300""")
 def scatter_sample(spark, sf):
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return charts.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", keys)
+    return charts.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", keys, points=300)
 
 
 PROFILE_SQL = " UNION ALL ".join(

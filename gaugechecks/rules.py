@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gaugechecks.cells import recommended_operations
 from gaugechecks.statistics import ALL_TESTS, K2, ORDER_NUMBERS
 from gaugechecks.tables import (
-    CHARGED, DIRTY, DIRTY_COLUMNS, DIRTY_NUMBERS, SPECIAL, charged, dirty, long_sql, quartiles_sql, rounded, special, table,
+    CHARGED, DIRTY, DIRTY_COLUMNS, DIRTY_NUMBERS, LINE_NUMBERS, SPECIAL, charged, dirty, long_sql, quartiles_sql, rounded, special, table,
 )
 from sparkgauge.plans import catalog, findings as notes, reliability as tiers, report, validation
 from sparkgauge.plans.profile import profile_table
@@ -102,6 +102,19 @@ def critical_checks(spark, sf):
     return validation.critical_checks(dirty(spark, sf).select("empty", F.col("empty").alias("blank")))
 
 
+HEADERS = {"NO_COLUMNS": [], "BLANK_HEADERS": ["a", " ", "c"], "DUPLICATE_HEADERS": ["a", "b", "a"], "INVALID_HEADER_CHARACTERS": ["a", *["!" * i for i in range(1, 8)]]}
+
+
+@register("critical_codes", f"""WITH n AS (SELECT count(*) AS n FROM orders), v(code, message) AS (VALUES ('NO_COLUMNS', 'The uploaded dataset has no columns.'),
+('BLANK_HEADERS', 'The dataset contains blank or unnamed column headers.'), ('DUPLICATE_HEADERS', 'The dataset contains duplicate column headers: a.'),
+('INVALID_HEADER_CHARACTERS', 'The dataset contains column headers with no readable alphanumeric characters (emoji-only or symbol-only): {", ".join("''" + "!" * i + "''" for i in range(1, 8))}.'),
+('EMPTY_DATASET', 'The uploaded dataset contains column headers but no data rows.')) SELECT code, message, n AS row_count FROM v, n""")
+def critical_codes(spark, sf):
+    orders = table(spark, sf, "orders")
+    found = [validation.critical_checks(orders, headers) for headers in HEADERS.values()] + [validation.critical_checks(orders.filter("o_orderkey is null"))]
+    return reduce(lambda a, b: a.unionByName(b), found).select("code", "message").withColumn("row_count", F.lit(orders.count()))
+
+
 BAD = "TRY_CAST(mixed AS DOUBLE) IS NULL AND mixed IS NOT NULL"
 
 
@@ -239,6 +252,12 @@ def findings(spark, sf):
     return notes.findings(profile_table(dirty(spark, sf))).filter("rule_order < 6").select("rule_order", "finding")
 
 
+@register("findings_tests", f"""WITH {ALL_TESTS} SELECT 6 AS rule_order, 'Hypothesis Test Result (ANOVA): There are statistically significant differences between the group means of ''' || column_name || ''' across categories of ''' || category || ''' (p < 0.05).' AS finding FROM an WHERE p_value < 0.05
+UNION ALL SELECT 6, 'Hypothesis Test Result (Chi-Square): There is a statistically significant association between ''o_orderstatus'' and ''o_orderpriority'' (p < 0.05).' FROM cp WHERE df1 = 8 AND p_value < 0.05""")
+def findings_tests(spark, sf):
+    return notes.findings(profile_table(table(spark, sf, "orders"))).filter("rule_order = 6").select("rule_order", "finding")
+
+
 @register("risks_opportunities", f"""WITH {ALL_TESTS}, hit AS (SELECT test_name FROM tests WHERE p_value < 0.05 AND test_type <> 'Normality Test' ORDER BY test_type, strpos(test_name, 'priority'), strpos('o_orderkey o_custkey o_totalprice', regexp_extract(test_name, 'vs (\\w+)', 1)) LIMIT 1)
 SELECT 'risk' AS kind, {quote(RISKS['none'])} AS text FROM orders HAVING count(*) >= 30 UNION ALL SELECT 'opportunity', replace({quote(OPPORTUNITIES['associated'])}, '%s', test_name) FROM hit
 UNION ALL SELECT 'opportunity', {quote(OPPORTUNITIES['numeric'])} FROM orders HAVING count(*) >= 30""")
@@ -247,8 +266,8 @@ def risks_opportunities(spark, sf):
 
 
 @register("chart_catalog", f"""WITH {CHARGED}, r AS (SELECT corr(l_extendedprice, charge) AS r FROM charged)
-SELECT chart_type, x_axis, y_axis FROM (VALUES ('heatmap', NULL, NULL), ('line', 'l_shipdate', 'l_orderkey'), ('line', 'l_shipdate', 'l_partkey'), ('histogram', 'l_orderkey', 'Frequency Count'), ('histogram', 'l_partkey', 'Frequency Count'),
-('histogram', 'l_suppkey', 'Frequency Count'), ('bar', 'l_returnflag', 'Count'), ('bar', 'l_linestatus', 'Count')) AS v(chart_type, x_axis, y_axis) UNION ALL SELECT 'scatter', 'l_extendedprice', 'charge' FROM r WHERE r >= 0.7""")
+SELECT chart_type, x_axis, y_axis FROM (VALUES ('heatmap', NULL, NULL), {', '.join(f"('line', 'l_shipdate', '{c}'), ('histogram', '{c}', 'Frequency Count')" for c in (*LINE_NUMBERS, 'charge'))},
+('bar', 'l_returnflag', 'Count'), ('bar', 'l_linestatus', 'Count')) AS v(chart_type, x_axis, y_axis) UNION ALL SELECT 'scatter', 'l_extendedprice', 'charge' FROM r WHERE r >= 0.7""")
 def chart_catalog(spark, sf):
     from sparkgauge.operators.correlation import strong_correlations
 
@@ -256,9 +275,9 @@ def chart_catalog(spark, sf):
     return catalog.chart_catalog(schema_profile(source), strong_correlations(source)).select("chart_type", "x_axis", "y_axis")
 
 
-@register("chart_series", """WITH months AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, avg(o_orderkey) AS a, avg(o_custkey) AS b FROM orders GROUP BY 1),
+@register("chart_series", """WITH months AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, avg(o_orderkey) AS a, avg(o_custkey) AS b, avg(o_totalprice) AS c FROM orders GROUP BY 1),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders)
-SELECT 'heatmap' AS chart_type, 9 AS points, CAST(NULL AS DOUBLE) AS total FROM n UNION ALL SELECT 'line', count(*) * 2, round(sum(a) + sum(b), 2) FROM months UNION ALL SELECT 'histogram', 45, n * 3 FROM n UNION ALL SELECT 'bar', s + p, n * 2 FROM n""")
+SELECT 'heatmap' AS chart_type, 9 AS points, CAST(NULL AS DOUBLE) AS total FROM n UNION ALL SELECT 'line', count(*) * 3, round(sum(a) + sum(b) + sum(c), 2) FROM months UNION ALL SELECT 'histogram', 45, n * 3 FROM n UNION ALL SELECT 'bar', s + p, n * 2 FROM n""")
 def chart_series(spark, sf):
     orders = table(spark, sf, "orders")
     series = catalog.chart_series(orders, profile_table(orders)).groupBy("chart_type").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 2).alias("total"))

@@ -12,9 +12,7 @@ from sparkgauge.operators.shape import as_double, fields, long_form, numeric_col
 from sparkgauge.session import pin, small_frame
 
 ROUGHLY_FEW = 100
-SCATTER_POINTS = 300
 SCATTER_SEED = 42
-RAW_POINTS = 100
 MONTHS_FROM_DAYS = 730
 WEEKS_FROM_DAYS = 60
 
@@ -77,24 +75,25 @@ def _as_moment(df: DataFrame, column: str):
     return to_timestamp(c) if isinstance(kind, T.StringType) else c
 
 
-def time_unit(points: int, days: int) -> str | None:
-    """Bucket size for a series; None keeps the points as they are."""
-    if points <= RAW_POINTS:
-        return None
+def time_unit(days: int) -> str:
+    """Bucket size for a span of days."""
     if days > MONTHS_FROM_DAYS:
         return "month"
     return "week" if days > WEEKS_FROM_DAYS else "day"
 
 
-def time_bucket_mean(df: DataFrame, date_column: str, value_column: str) -> DataFrame:
-    """(date, value): mean per month, week or day by the span of the dates; raw points up to 100 rows."""
+def time_bucket_mean(df: DataFrame, date_column: str, value_column: str, raw_points: int = 0, unit: str | None = None) -> DataFrame:
+    """(date, value): mean per month, week or day, as ``unit`` says or else by the span of the dates.
+
+    A series of at most ``raw_points`` points (default: none) comes as it is, in date order.
+    """
     from sparkgauge.functions.cells import day_span
 
     value = as_double(fields(df, [value_column])[0])
     points = df.select(_as_moment(df, date_column).alias("ts"), value.alias("v")).na.drop()
     size = points.agg(F.count(F.lit(1)).alias("n"), day_span(F.col("ts")).alias("days")).first()
-    unit = time_unit(size["n"], size["days"] or 0)
-    if unit is None:
+    unit = unit or time_unit(size["days"] or 0)
+    if size["n"] <= raw_points:
         series = points.select("ts", F.date_format("ts", "yyyy-MM-dd").alias("date"), finite_or_null(F.col("v")).alias("value"))
         return series.filter(F.col("value").isNotNull()).orderBy("ts", "value").select("date", "value")
     means = points.groupBy(period_label(F.col("ts"), unit).alias("date")).agg(finite_or_null(F.avg("v")).alias("value"))
@@ -102,11 +101,11 @@ def time_bucket_mean(df: DataFrame, date_column: str, value_column: str) -> Data
 
 
 def scatter_sample(
-    df: DataFrame, x: str, y: str, keys: Sequence[str] = (), points: int = SCATTER_POINTS, seed: int = SCATTER_SEED
+    df: DataFrame, x: str, y: str, keys: Sequence[str] = (), points: int | None = None, seed: int = SCATTER_SEED
 ) -> DataFrame:
-    """(x, y) of up to ``points`` complete rows, in the order of a hash of keys and seed.
+    """(x, y) of all complete rows, or of a sample of ``points`` in the order of a hash of keys and seed.
 
-    Each task keeps its own first points, so no task sees more than that many
+    For the sample each task keeps its own first points, so no task sees more than that many
     rows of another. ``keys`` should tell rows apart; without them the values do.
     """
     chosen = fields(df, [x, y])
@@ -115,7 +114,7 @@ def scatter_sample(
         *[finite_or_null(as_double(f)).alias(n) for f, n in zip(chosen, ("x", "y"))],
         F.md5(F.concat_ws("|", *named, F.lit(str(seed)))).alias("place"),
     ).na.drop(subset=["x", "y"])
-    return rows.orderBy("place", "x", "y").limit(points).select("x", "y")
+    return (rows if points is None else rows.orderBy("place", "x", "y").limit(points)).select("x", "y")
 
 
 def bars(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:

@@ -21,15 +21,13 @@ from sparkgauge.plans.texts import (
 MISSING_SHOWN = 10
 OUTLIERS_SHOWN = 5
 OUTLIERS_RISKY = 8
-CORRELATIONS_SHOWN = 4
-COLLINEAR_SHOWN = 3
-FINDINGS_SHOWN = 8
 
 
-def capped(frame: DataFrame, most: int, *order: str) -> DataFrame:
-    """First rows of a small frame in a given order."""
+def placed(frame: DataFrame, most: int | None, *order: str) -> DataFrame:
+    """Rows of a small frame numbered in a given order; the first ``most`` of them, or all."""
     window = Window.partitionBy(F.lit(1)).orderBy(*order)
-    return frame.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= most)
+    numbered = frame.withColumn("place", F.row_number().over(window))
+    return numbered if most is None else numbered.filter(F.col("place") <= most)
 
 
 def _texts(frame: DataFrame, order: int, place: Column, text: Column) -> DataFrame:
@@ -43,23 +41,21 @@ def _fixed(totals: DataFrame, order: int, table: dict) -> DataFrame:
 
 
 def all_findings(profile: Profile) -> DataFrame:
-    """Every finding with its rule and position, before the cap."""
+    """Every finding with its rule and position."""
     level = profile.totals.select(tier(F.col("row_count"))).scalar()
     rows = profile.totals.select("row_count").scalar()
     name = F.col("column_name")
     missing = F.col("null_count") / rows * 100
-    strong = capped(profile.strong, CORRELATIONS_SHOWN, "pair_ix")
-    collinear = capped(profile.collinear, COLLINEAR_SHOWN, "pair_ix")
     shape = profile.normality.filter(~F.col("is_normal")).select("column_name")
     skewed = profile.numeric.join(F.broadcast(shape), "column_name")
     kind_order = F.when(F.col("test_type") == "T-Test", 1).when(F.col("test_type") == "ANOVA", 2).otherwise(3)
     found = [
         _texts(profile.columns.filter(missing > MISSING_SHOWN), 1, F.col("column_ix"), F.format_string(
             "High missingness in '%s': %s%% of values are missing. This requires imputation or exclusion to avoid biased estimates.", name, plain(missing, 1))),
-        _texts(strong, 2, F.col("pair_ix"), F.format_string(
+        _texts(profile.strong, 2, F.col("pair_ix"), F.format_string(
             "Strong correlation between '%s' and '%s' (r = %s, p-value = %s, %s).", "var1", "var2", plain(F.col("coefficient"), 3), plain(F.col("p_value"), 4),
             F.when(F.col("significant"), "statistically significant").otherwise("non-significant"))),
-        _texts(collinear, 3, F.col("pair_ix"), F.format_string(
+        _texts(profile.collinear, 3, F.col("pair_ix"), F.format_string(
             "High multicollinearity warning: '%s' and '%s' exhibit a correlation coefficient of %s. Consider dropping one during feature selection.",
             name, "correlated_with", plain(F.col("coefficient"), 3))),
         _texts(profile.numeric.filter(F.col("outliers_pct") > OUTLIERS_SHOWN), 4, F.col("column_ix"), F.format_string(
@@ -78,15 +74,15 @@ def all_findings(profile: Profile) -> DataFrame:
     return grounded.unionByName(_fixed(profile.totals, 0, FINDINGS_WITHOUT_ROWS)).unionByName(_fixed(profile.totals, 9, NO_FINDINGS))
 
 
-def findings(profile: Profile, most: int = FINDINGS_SHOWN) -> DataFrame:
-    """(place, rule_order, finding): the first findings by rule and column position.
+def findings(profile: Profile, most: int | None = None) -> DataFrame:
+    """(place, rule_order, finding): all findings by rule and column position, or the first ``most``.
 
     The fixed texts of rule 9 stand in only when no other rule fired.
     """
     every = all_findings(profile)
     lowest = Window.partitionBy(F.lit(1))
     kept = every.withColumn("low", F.min("rule_order").over(lowest)).filter((F.col("rule_order") < 9) | (F.col("low") == 9))
-    return capped(kept, most, "rule_order", "item_ix").select("place", "rule_order", "finding")
+    return placed(kept, most, "rule_order", "item_ix").select("place", "rule_order", "finding")
 
 
 def risks_opportunities(profile: Profile) -> DataFrame:

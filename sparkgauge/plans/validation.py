@@ -49,11 +49,11 @@ def long_names(headers: DataFrame, limit: int = LONG_NAME_LIMIT) -> DataFrame:
     return headers.filter(F.char_length("header") > limit)
 
 
-def _joined(frame: DataFrame, most: int | None = None, quoted: bool = False) -> Column:
+def _joined(frame: DataFrame, quoted: bool = False) -> Column:
     """Names of a small header frame as one text."""
     shown = F.concat(F.lit("'"), "name", F.lit("'")) if quoted else F.col("name")
     names = F.sort_array(F.collect_list(F.struct("place", shown.alias("text")))).getField("text")
-    return F.concat_ws(", ", F.slice(names, 1, most) if most else names)
+    return F.concat_ws(", ", names)
 
 
 def critical_checks(df: DataFrame, raw_headers: Sequence[str | None] | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def critical_checks(df: DataFrame, raw_headers: Sequence[str | None] | None = No
             F.lit(3).alias("rule_order"), F.lit("DUPLICATE_HEADERS").alias("code"),
             F.format_string("The dataset contains duplicate column headers: %s.", "names").alias("message"),
         ),
-        odd.agg(F.count(F.lit(1)).alias("n"), _joined(odd, 5, quoted=True).alias("names")).filter("n > 0").select(
+        odd.agg(F.count(F.lit(1)).alias("n"), _joined(odd, quoted=True).alias("names")).filter("n > 0").select(
             F.lit(4).alias("rule_order"), F.lit("INVALID_HEADER_CHARACTERS").alias("code"),
             F.format_string("The dataset contains column headers with no readable alphanumeric characters (emoji-only or symbol-only): %s.", "names").alias("message"),
         ),
@@ -101,10 +101,16 @@ def recovery(code: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*entries), code), fallback)
 
 
-def mixed_type(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """String columns that are mostly numbers but not all, with up to five distinct bad values.
+def bad_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, n): every distinct value of these string columns that is no number."""
+    bad = text_long(df, columns).filter(F.col("value").isNotNull() & to_number(F.col("value")).isNull())
+    return bad.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
-    The bad values are ranked by value inside each column; Spark keeps five per
+
+def mixed_type(df: DataFrame, facts: DataFrame | None = None, samples: int = BAD_SAMPLES) -> DataFrame:
+    """String columns that are mostly numbers but not all, with the first ``samples`` distinct bad values.
+
+    The counts cover all values; ``bad_values`` lists every one. The samples are ranked by value inside each column; Spark keeps that many per
     map task before the shuffle, so no task collects them all.
     """
     facts = facts if facts is not None else text_facts(df)
@@ -118,11 +124,9 @@ def mixed_type(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     )
     if not names:
         return rows.withColumn("invalid_values", F.array().cast("array<string>"))
-    bad = text_long(df, names).filter(F.col("value").isNotNull() & to_number(F.col("value")).isNull())
-    distinct = bad.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    five = top_per_group(distinct, ["column_name"], [F.asc("value")], BAD_SAMPLES)
-    samples = five.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("invalid_values"))
-    return rows.join(samples, "column_name", "left")
+    first = top_per_group(bad_values(df, names), ["column_name"], [F.asc("value")], samples)
+    shown = first.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("invalid_values"))
+    return rows.join(shown, "column_name", "left")
 
 
 WARNING_SCHEMA = (
@@ -179,7 +183,7 @@ def quality_warnings(df: DataFrame) -> DataFrame:
         _warn(tier.filter(F.lit(len(df.columns)) == 1), 4, "ONE_COLUMN_DATASET", F.lit("The dataset contains exactly one column of data."), F.lit(1)),
         _warn(order.filter(F.char_length(name) > LONG_NAME_LIMIT), 5, "LONG_COLUMN_NAME",
               F.format_string("Column name is excessively long (%d characters). Very long names can reduce readability and cause compatibility issues with downstream analytical tools.", F.char_length(name)),
-              F.char_length(name), column_ix=F.col("column_ix"), column_name=F.concat(F.substring(name, 1, 60), F.lit("..."))),
+              F.char_length(name), column_ix=F.col("column_ix"), column_name=name),
     ]
     if rows > 1:
         parts.append(_warn(repeated.filter("duplicate_count > 0"), 6, "DUPLICATE_ROWS",

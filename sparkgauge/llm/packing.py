@@ -18,23 +18,23 @@ table gives no rows. Columns named like an output column are replaced.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
+from sparkgauge.llm.bpe import byte_alphabet
 from sparkgauge.llm.common import add_columns, column, stored
 
 CAPACITY = 2048
 #: Deals of each length, by a hash of the row.
 DEALS = 64
 STEPS = 400
-#: Chunks of text that a worker remembers at most.
-MOST_CHUNKS = 300_000
-LONGEST_KEPT = 48
 
 Run = tuple[int, int, int, int, int]
 
@@ -183,58 +183,44 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     return add_columns(ranked, ["__length", "__rank"], [("sequence_id", "long"), ("offset", "long")], make, fields)
 
 
-#: Places inside a chunk where one word always ends: a letter or digit before ASCII punctuation (the apostrophe
-#: can begin a word of its own), and a single line break between visible characters.
-BORDER = re.compile(r"(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+# Fixed value: the word pattern of byte-level vocabularies.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class _Parts(dict):
-    """Ids, as bytes of 32-bit numbers, of what the tokenizer encodes alone."""
+class TextIds:
+    """Ids of whole texts by a byte-level tokenizer file.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-
-    def __missing__(self, part: str) -> bytes:
-        return _keep(self, part, np.array(self.model.encode(part, add_special_tokens=False).ids, np.int32).tobytes())
-
-
-def _keep(known: dict[str, bytes], text: str, ids: bytes) -> bytes:
-    if len(text) <= LONGEST_KEPT:
-        if len(known) >= MOST_CHUNKS:
-            known.clear()
-        known[text] = ids
-    return ids
-
-
-class _Chunks(dict):
-    """Ids of text between single blanks."""
+    A vocabulary numbered in the order of its merges, as such files are, is handed to
+    the faster of the two libraries, which gives the ids that ``tokenizers`` gives;
+    any other file is read by ``tokenizers`` itself.
+    """
 
     def __init__(self, path: str):
-        self.parts = _Parts(path)
-        self.model = self.parts.model
-
-    def __missing__(self, chunk: str) -> bytes:
-        return _keep(self, chunk, b"".join(map(self.parts.__getitem__, BORDER.split(chunk))))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, byte_of = spec["model"], {c: b for b, c in enumerate(byte_alphabet())}
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["pre_tokenizer"]["use_regex"] and not spec["pre_tokenizer"]["add_prefix_space"]
+        ordered = plain and all(vocab.get(a + b) == len(byte_of) + i for i, (a, b) in enumerate(merges))
+        if ordered:
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token)}
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            ranks = {t: i for t, i in ranks.items() if i not in special.values()}
+            fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self.encode = lambda text: fast.encode(text, allowed_special="all", disallowed_special=())
+        else:
+            library = Tokenizer.from_file(path)
+            library.no_truncation()
+            library.no_padding()
+            self.encode = lambda text: library.encode(text, add_special_tokens=False).ids
 
     def text(self, text: str) -> bytes:
-        """Ids of a whole text.
-
-        A word starts at a blank between two visible characters whatever stands
-        around it, so such blanks cut the text into chunks that encode alone. Other
-        white space next to a blank, or a special token, has the text encoded whole.
-        """
-        parts = text.split(" ")
-        if "<|" in text or any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-        return self[parts[0]] + b"".join(map(self.__getitem__, map(" ".__add__, parts[1:])))
+        """Ids as 32-bit little-endian numbers."""
+        return np.array(self.encode(text), "<i4").tobytes()
 
 
-_LOADED: dict[str, _Chunks] = {}
+_LOADED: dict[str, TextIds] = {}
 
 
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
@@ -250,13 +236,13 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def make():
         if path not in _LOADED:
             _LOADED.clear()
-            _LOADED[path] = _Chunks(path)
-        chunks = _LOADED[path]
+            _LOADED[path] = TextIds(path)
+        encoder = _LOADED[path]
 
         def cut(texts: pa.Array):
             made = []
             for t in texts.to_pylist():
-                ids = (chunks.text(t) if t else b"") + last
+                ids = (encoder.text(t) if t else b"") + last
                 n = len(ids) // 4
                 ends = list(range(n, 0, -capacity))[::-1]
                 starts = [0, *ends[:-1]]

@@ -59,11 +59,13 @@ def test_fit_is_never_negative_and_close():
 
 
 def test_ids_as_the_library(spark):
-    library, chunks, rnd = Tokenizer.from_file(PATH), packing._Chunks(PATH), random.Random(2)
+    library, chunks, rnd = Tokenizer.from_file(PATH), packing.TextIds(PATH), random.Random(2)
     letters = "abcdefg hijk'sx  \n\n\t.,!_-<|>0123éÀ漢😀²Ⅷ  "
     for _ in range(4000):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 30))) + rnd.choice(["", "", "<|endoftext|>x"])
         assert np.frombuffer(chunks.text(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+    for text in (" " * 200_000, "x" * 200_000, "\n" * 100_000 + "a", "ab" * 100_000):
+        assert np.frombuffer(chunks.text(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_odd_rows(odd, empty):

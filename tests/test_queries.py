@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 from gaugechecks.compare import compare, connect
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     return connect(sf)

@@ -108,10 +108,19 @@ def test_too_many_categories_are_not_tested(spark):
     assert kinds == ["T-Test"]
 
 
-def test_test_cap(spark):
+def test_all_tests_unless_the_caller_says_how_many(spark):
     df = spark.range(300).select(*[(F.col("id") % 2).cast("string").alias("g")], *[F.rand(i).alias(f"x{i}") for i in range(7)])
-    assert hypothesis.welch_t(df).count() == 5
-    assert hypothesis.welch_t(df, most=None).count() == 7
+    assert hypothesis.welch_t(df).count() == 7
+    assert hypothesis.welch_t(df, most=5).count() == 5
+
+
+def test_every_column_in_both_normality_operators(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 5, F.col("id") * 1.0).alias("few"), F.when(F.col("id") < 50, F.rand(1)).alias("some"), F.rand(2).alias("many"))
+    k2 = {r["column_name"]: r["reason"] for r in hypothesis.normality_k2(df).collect()}
+    w = {r["column_name"]: r["reason"] for r in hypothesis.normality_shapiro(df).collect()}
+    assert k2 == {"few": "too_few", "some": None, "many": None} and w == {"few": "too_few", "some": None, "many": "too_many"}
+    both = {r["column_name"]: r["test_name"] for r in hypothesis.normality(df).collect()}
+    assert both == {"few": None, "some": "Shapiro-Wilk", "many": "D'Agostino K-squared"}
 
 
 def test_correlation_is_pairwise_complete_and_centred(spark):

@@ -16,7 +16,7 @@ from sparkgauge.plans.profile import profile_table
 from sparkgauge.plans.recommendations import cleaning_recommendations, model_targets
 from sparkgauge.plans.score import quality_score, score_facts
 from sparkgauge.plans.semantics import schema_profile
-from sparkgauge.plans.texts import OPPORTUNITIES, RECOVERY, RISKS, SCORE_LEVELS, TARGET_MODELS, TIER_EXPLANATION
+from sparkgauge.plans.texts import OPPORTUNITIES, RECOVERY, RISKS, SCORE_LEVELS, TARGET_MODELS, TIER_EXPLANATION, WARNING_EXPLANATIONS
 
 QUERIES, SQL = {}, {}
 
@@ -137,6 +137,18 @@ def quality_warnings(spark, sf):
     return validation.quality_warnings(dirty(spark, sf)).select("rule_order", "code", "column_name", "metric", "message")
 
 
+@register("warning_details", f"""WITH {DIRTY}, n AS (SELECT count(*) AS n, count(mixed) AS m, count(*) FILTER (WHERE {BAD}) AS bad, count(*) FILTER (WHERE trim(flag) = '') AS blank, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS dup FROM dirty)
+SELECT 6 AS rule_order, NULL AS affected, CAST(dup AS VARCHAR) AS fact, CAST(NULL AS BIGINT) AS invalid_count, CAST(NULL AS DOUBLE) AS invalid_percentage, NULL AS expected_type, {quote(WARNING_EXPLANATIONS[6])} AS explanation FROM n
+UNION ALL SELECT 8, 'flag', CAST(blank AS VARCHAR), NULL, NULL, NULL, {quote(WARNING_EXPLANATIONS[8])} FROM n UNION ALL SELECT 9, 'empty', CAST(n AS VARCHAR), NULL, NULL, NULL, {quote(WARNING_EXPLANATIONS[9])} FROM n
+UNION ALL SELECT 11, 'const', 'x', NULL, NULL, NULL, {quote(WARNING_EXPLANATIONS[11])} FROM n
+UNION ALL SELECT 13, 'mixed', {shown('(m - bad) * 100.0 / m', 2)}, bad, round(bad * 100.0 / m, 2), 'numeric', {quote(WARNING_EXPLANATIONS[13])} FROM n""")
+def warning_details(spark, sf):
+    found = validation.quality_warnings(dirty(spark, sf))
+    facts = ("duplicate_rows", "empty_string_count", "missing_count", "constant_value", "numeric_percentage")
+    return found.select("rule_order", F.array_join("affected_columns", ",").alias("affected"), F.coalesce(*[F.col("metadata")[k] for k in facts]).alias("fact"),
+                        "invalid_count", "invalid_percentage", "expected_type", "explanation")
+
+
 @register("quality_warnings_special", f"""WITH {SPECIAL}, f AS (SELECT CASE WHEN isfinite(value) THEN value END AS v FROM special), q AS ({quartiles_sql('f', ['v'])}),
 o AS (SELECT count(*) FILTER (WHERE v < lo OR v > hi) * 100.0 / count(v) AS pct FROM f, q)
 SELECT 'INFINITY_VALUES' AS code, 'value' AS column_name, CAST(count(*) FILTER (WHERE isinf(value)) AS DOUBLE) AS metric FROM special UNION ALL SELECT 'HIGH_OUTLIERS', 'value', round(pct, 2) FROM o WHERE pct > 15""")

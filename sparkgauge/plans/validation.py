@@ -13,7 +13,7 @@ from sparkgauge.operators.frequencies import top_per_group, value_facts
 from sparkgauge.operators.outliers import iqr_outliers
 from sparkgauge.operators.shape import column_list, numeric_columns, string_columns, text_long
 from sparkgauge.plans.reliability import reliability
-from sparkgauge.plans.texts import RECOVERY
+from sparkgauge.plans.texts import RECOVERY, WARNING_EXPLANATIONS
 from sparkgauge.session import at_once, pin, small_frame
 
 MIXED_SHARE = 0.60
@@ -131,22 +131,36 @@ def mixed_type(df: DataFrame, facts: DataFrame | None = None, samples: int = BAD
 
 WARNING_SCHEMA = (
     "rule_order int, column_ix int, code string, column_name string, severity string, message string, "
-    "metric double, invalid_values array<string>, recovery string"
+    "metric double, invalid_values array<string>, recovery string, explanation string, affected_columns array<string>, "
+    "metadata map<string,string>, expected_type string, detected_type string, invalid_count bigint, invalid_percentage double"
 )
 
 
+def _details(**values: Column | str | float) -> Column:
+    """Facts of a warning by name, as text."""
+    entries = [x for k, v in values.items() for x in (F.lit(k), (v if isinstance(v, Column) else F.lit(v)).cast("string"))]
+    return F.create_map(*entries)
+
+
 def _warn(frame: DataFrame, order: int, code: str, message: Column, metric: Column, **more: Column) -> DataFrame:
     none = F.lit(None).cast("string")
+    named = more.get("column_name", none)
     return frame.select(
         F.lit(order).alias("rule_order"),
         more.get("column_ix", F.lit(None).cast("int")).alias("column_ix"),
         F.lit(code).alias("code"),
-        more.get("column_name", none).alias("column_name"),
+        named.alias("column_name"),
         more.get("severity", F.lit("warning")).alias("severity"),
         message.alias("message"),
         metric.cast("double").alias("metric"),
         more.get("invalid_values", F.lit(None).cast("array<string>")).alias("invalid_values"),
         more.get("recovery", recovery(F.lit(code))).alias("recovery"),
+        more.get("explanation", F.lit(WARNING_EXPLANATIONS.get(order)).cast("string")).alias("explanation"),
+        F.when(named.isNotNull(), F.array(named)).alias("affected_columns"),
+        more.get("metadata", F.lit(None).cast("map<string,string>")).alias("metadata"),
+        more.get("expected_type", none).alias("expected_type"), more.get("detected_type", none).alias("detected_type"),
+        more.get("invalid_count", F.lit(None)).cast("bigint").alias("invalid_count"),
+        more.get("invalid_percentage", F.lit(None)).cast("double").alias("invalid_percentage"),
     )
 
 
@@ -175,47 +189,58 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     tier = reliability(small_frame(df.sparkSession, [(rows,)], "row_count bigint"))
     name, n = F.col("column_name"), F.lit(rows)
     place = {"column_ix": F.col("column_ix"), "column_name": name}
+    share = lambda c: F.round(F.col(c) / n * 100, 2)
+    level = _details(rows=n, reliability_level=F.col("level"), confidence=F.col("confidence"), can_infer=F.col("can_infer"),
+                     can_model=F.col("can_model"), can_hypothesis_test=F.col("can_hypothesis_test"), can_visualize=F.col("can_visualize"),
+                     warnings=F.array_join("warnings", " "), recommended_actions=F.array_join("recommended_actions", " "))
     parts = [
         _warn(tier.filter(F.col("row_count") < SMALL_ROWS), 1, "VERY_SMALL_DATASET",
-              F.format_string("The dataset is very small, containing only %d row(s). Statistical reliability will be limited.", "row_count"), F.col("row_count")),
-        _warn(tier.filter("requires_caution"), 2, "LOW_STATISTICAL_RELIABILITY", F.col("explanation"), F.col("row_count"), severity=F.col("severity")),
-        _warn(tier.filter(F.col("row_count") == 1), 3, "ONE_ROW_DATASET", F.lit("The dataset contains exactly one row of data."), F.col("row_count")),
-        _warn(tier.filter(F.lit(len(df.columns)) == 1), 4, "ONE_COLUMN_DATASET", F.lit("The dataset contains exactly one column of data."), F.lit(1)),
+              F.format_string("The dataset is very small, containing only %d row(s). Statistical reliability will be limited.", "row_count"), F.col("row_count"), explanation=F.col("explanation"), metadata=level),
+        _warn(tier.filter("requires_caution"), 2, "LOW_STATISTICAL_RELIABILITY", F.col("explanation"), F.col("row_count"), severity=F.col("severity"), metadata=level),
+        _warn(tier.filter(F.col("row_count") == 1), 3, "ONE_ROW_DATASET", F.lit("The dataset contains exactly one row of data."), F.col("row_count"), explanation=F.col("explanation"), metadata=level),
+        _warn(tier.filter(F.lit(len(df.columns)) == 1), 4, "ONE_COLUMN_DATASET", F.lit("The dataset contains exactly one column of data."), F.lit(1), metadata=_details(columns=1)),
         _warn(order.filter(F.char_length(name) > LONG_NAME_LIMIT), 5, "LONG_COLUMN_NAME",
               F.format_string("Column name is excessively long (%d characters). Very long names can reduce readability and cause compatibility issues with downstream analytical tools.", F.char_length(name)),
-              F.char_length(name), column_ix=F.col("column_ix"), column_name=name),
+              F.char_length(name), metadata=_details(length=F.char_length(name), threshold=LONG_NAME_LIMIT), **place),
     ]
     if rows > 1:
         parts.append(_warn(repeated.filter("duplicate_count > 0"), 6, "DUPLICATE_ROWS",
               F.format_string("The dataset contains %d duplicate row(s) (%s%% of records). Duplicate records can distort statistical estimates and model training.", "duplicate_count", plain(F.col("duplicate_percentage"), 1)),
-              F.col("duplicate_count")))
+              F.col("duplicate_count"), metadata=_details(duplicate_rows=F.col("duplicate_count"), duplicate_percentage=F.col("duplicate_percentage"), total_rows=n)))
     parts.append(_warn(infinite.filter("infinity_count > 0").join(columns, "column_name"), 7, "INFINITY_VALUES",
-          F.format_string("Column '%s' contains %d infinite value(s). These values were treated as missing for validation metrics.", name, "infinity_count"), F.col("infinity_count"), **place))
+          F.format_string("Column '%s' contains %d infinite value(s). These values were treated as missing for validation metrics.", name, "infinity_count"), F.col("infinity_count"),
+          metadata=_details(infinity_count=F.col("infinity_count"), total_rows=n, infinity_percentage=share("infinity_count")), **place))
     if facts is not None:
         parts.append(_warn(facts.filter("blank_count > 0").join(columns, "column_name"), 8, "EMPTY_STRING_VALUES",
-              F.format_string("Column '%s' contains %d empty string value(s).", name, "blank_count"), F.col("blank_count"), **place))
+              F.format_string("Column '%s' contains %d empty string value(s).", name, "blank_count"), F.col("blank_count"),
+              metadata=_details(empty_string_count=F.col("blank_count"), total_rows=n, empty_string_percentage=share("blank_count")), **place))
     missing = nulls.join(columns, "column_name")
     empty, filled = missing.filter(F.col("null_count") == n), missing.filter(F.col("null_count") < n)
     parts.append(_warn(empty, 9, "CONSTANT_COLUMN",
           F.format_string("Column '%s' is entirely empty (all values are null), which means it has zero variance. Empty columns can be retained for descriptive review, but they add no analytical value and are generally not useful for predictive modeling.", name),
-          F.col("null_count"), recovery=recovery(F.lit("EMPTY_COLUMN")), **place))
+          F.col("null_count"), recovery=recovery(F.lit("EMPTY_COLUMN")), metadata=_details(missing_count=F.col("null_count"), missing_percentage=100.0), **place))
     parts.append(_warn(filled.filter(F.col("null_percentage") > HIGH_MISSING), 10, "HIGH_MISSINGNESS",
-          F.format_string("Column '%s' has a very high missingness ratio (%s%% of values are missing).", name, plain(F.col("null_percentage"), 1)), F.round("null_percentage", 2), **place))
+          F.format_string("Column '%s' has a very high missingness ratio (%s%% of values are missing).", name, plain(F.col("null_percentage"), 1)), F.round("null_percentage", 2),
+          metadata=_details(missing_count=F.col("null_count"), missing_percentage=F.round("null_percentage", 2), threshold_percentage=HIGH_MISSING), **place))
     constants = [r["column_name"] for r in facts_of.filter("distinct_count = 1").select("column_name").collect()]
     single = extremes(copy, constants).join(columns, "column_name") if constants else nulls.limit(0).withColumn("value", F.lit("")).join(columns, "column_name")
     parts.append(_warn(single, 11, "CONSTANT_COLUMN",
           F.format_string("Column '%s' has a single constant value ('%s') across all records, which means it has zero variance. Constant columns are useful for descriptive analysis and data auditing, but they generally do not improve statistical inference or predictive modeling because they add no discriminative signal.", name, "value"),
-          F.lit(1), **place))
+          F.lit(1), metadata=_details(unique_non_null_values=1, constant_value=F.col("value")), **place))
     if fenced is not None:
         wild = fenced.filter((F.col("n") >= OUTLIER_SAMPLE) & (F.col("outliers_share") > HIGH_OUTLIERS)).join(columns, "column_name")
         parts.append(_warn(wild, 12, "HIGH_OUTLIERS",
-              F.format_string("Column '%s' has a high percentage of statistical outliers (%s%% of non-null values lie outside the 1.5×IQR boundary).", name, plain(F.col("outliers_share"), 1)), F.col("outliers_pct"), **place))
+              F.format_string("Column '%s' has a high percentage of statistical outliers (%s%% of non-null values lie outside the 1.5×IQR boundary).", name, plain(F.col("outliers_share"), 1)), F.col("outliers_pct"),
+              metadata=_details(outlier_count=F.col("outliers_count"), outlier_percentage=F.round("outliers_share", 2), q1=F.col("q1"), q3=F.col("q3"),
+                                iqr=F.col("q3") - F.col("q1"), lower_bound=F.col("lower_bound"), upper_bound=F.col("upper_bound")), **place))
     if facts is not None:
         mixed = mixed_type(df, facts).join(columns, "column_name")
         parts.append(_warn(mixed, 13, "MIXED_DATATYPE_COLUMN",
               F.format_string("Column '%s' appears to be predominantly numeric (%s%% of values coerce to a number) but contains %d non-numeric value(s) (%s%%). This is a quality warning, not a validation failure.",
                               name, plain(F.col("numeric_share"), 1), "invalid_count", plain(F.col("invalid_percentage"), 2)),
-              F.col("invalid_count"), invalid_values=F.col("invalid_values"), **place))
+              F.col("invalid_count"), invalid_values=F.col("invalid_values"), invalid_count=F.col("invalid_count"), invalid_percentage=F.col("invalid_percentage"),
+              expected_type=F.lit("numeric"), detected_type=F.lit("mixed (numeric + text)"),
+              metadata=_details(numeric_percentage=F.col("numeric_percentage"), sample_invalid_values=F.array_join("invalid_values", ", ")), **place))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -15,7 +15,7 @@ TESTDATA = Path("/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("sparkgauge-tests", cores="4", shuffle_partitions=4)
+    session = build_session("sparkgauge-tests", cores="8", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

@@ -12,7 +12,8 @@ threat). A document's score is a logistic function of the weights matched in eac
 situation, of its best clause and of how many clauses match, never of single words
 outside a clause.
 
-Training uses at most ``TRAIN_ROWS`` labelled rows, drawn by a hash of the id. Stems
+Training uses at most ``TRAIN_ROWS`` labels, drawn by a hash of the id, and at most twice
+as many texts where ids repeat. At most ``MOST_STEMS`` stems are kept, by weight. Stems
 and the logistic function are learned crosswise on two halves, so weights are judged on
 rows that they don't come from; the final stems use both. Rows without a label, with a
 null id or with several labels (the larger counts) are defined so; null and empty texts

@@ -192,7 +192,8 @@ class TextIds:
 
     A vocabulary numbered in the order of its merges, as such files are, is handed to
     the faster of the two libraries, which gives the ids that ``tokenizers`` gives;
-    any other file is read by ``tokenizers`` itself.
+    any other file is read by ``tokenizers`` itself, and so is a text on which the
+    faster one gives up (its pattern can't cross about a million white space characters).
     """
 
     def __init__(self, path: str):
@@ -208,12 +209,25 @@ class TextIds:
             special = {t["content"]: t["id"] for t in spec["added_tokens"]}
             ranks = {t: i for t, i in ranks.items() if i not in special.values()}
             fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self.encode = lambda text: fast.encode(text, allowed_special="all", disallowed_special=())
+            self.encode = lambda text: self._either(fast, text)
         else:
-            library = Tokenizer.from_file(path)
-            library.no_truncation()
-            library.no_padding()
-            self.encode = lambda text: library.encode(text, add_special_tokens=False).ids
+            self.encode = self._whole
+        self.path, self.library = path, None
+
+    def _whole(self, text: str) -> list[int]:
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _either(self, fast: tiktoken.Encoding, text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError as e:
+            if "stack" not in str(e):
+                raise
+            return self._whole(text)
 
     def text(self, text: str) -> bytes:
         """Ids as 32-bit little-endian numbers."""

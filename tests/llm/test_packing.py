@@ -68,6 +68,14 @@ def test_ids_as_the_library(spark):
         assert np.frombuffer(chunks.text(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_a_run_that_the_faster_library_cannot_read(spark):
+    library, chunks = Tokenizer.from_file(PATH), packing.TextIds(PATH)
+    for text in (" " * 2_000_000 + "word", "\n" * 2_000_000 + "word", "a <|endoftext|>" + " " * 2_000_000):
+        assert np.frombuffer(chunks.text(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+    rows = packing.token_pieces(spark.createDataFrame([(1, " " * 2_000_000 + "word")], "doc_id long, text string"), PATH).collect()
+    assert sum(r["length"] for r in rows) == len(library.encode(" " * 2_000_000 + "word", add_special_tokens=False).ids) + 1
+
+
 def test_odd_rows(odd, empty):
     library = Tokenizer.from_file(PATH)
     rows = packing.pack(packing.token_pieces(odd, PATH, capacity=512), capacity=512).collect()

@@ -5,7 +5,11 @@ outside (O). What the tags see of a token: its shape (letter case, digits, lengt
 key and value in one), the shapes of its neighbours, two words before it, and features
 of the whole file. The field is trained here by maximum likelihood on a bounded sample
 (``SAMPLE_DOCS`` documents, at most ``WINDOWS`` stretches of each) with the pattern
-matches as labels, and decoded by Viterbi. It adds spans that the patterns miss and
+matches as labels, and decoded by Viterbi. The sample has two parts, each drawn by a hash
+of the row: documents with a match, found over the whole table, up to ``MATCHED_SHARE`` of
+the sample (or their share of the table, if that is more), and documents without one. So
+rare matches are all learned from, however large the table. A form that the sample lacks
+weighs as those of its kind do on average. It adds spans that the patterns miss and
 never removes one of theirs; an added span that touches a pattern's span is dropped.
 
 Decoding is exact over whole texts and does no work where it can't matter: the score of
@@ -14,7 +18,7 @@ under a bound made of the transitions is O on every best path. Viterbi runs over
 stretches between such tokens.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows that
-repeat are kept. A sample without any match trains no field, and nothing is added.
+repeat are kept. A table without any match trains no field, and nothing is added.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from sparkgauge.llm.common import add_columns, column
 
 #: Documents that the field is trained on at most, stretches of each, tokens of a stretch and rounds.
 SAMPLE_DOCS = 8_000
+#: Share of the sample that documents with a match fill if there are enough.
+MATCHED_SHARE = 0.25
 WINDOWS = 4
 WINDOW = 48
 ROUNDS = 60
@@ -42,6 +48,8 @@ MOST_WORDS = 300_000
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Whatever the three match has a match of this one; Java reads it too.
+ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 KINDS = ("assign", "access", "hex", "crf")
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 TOKEN = re.compile(r"\S+")
@@ -81,6 +89,14 @@ def shape(token: str) -> str:
                      "k" if re.search(r"[A-Za-z][\"']?[:=]", token) else "", "@" if "@" in token else ""))
 
 
+def kind_of(form: str) -> str:
+    """Forms alike but for length and marks: the characters of a value and whether it is long, or the first letter."""
+    if form[0] in "Ulmwp":
+        return form[0]
+    value, size = form.split("|")[:2]
+    return value + ("+" if int(size) >= 16 else "-")
+
+
 def word(token: str) -> str:
     return token.strip("\"'.,;:=!?#*$%&()[]{}|").lower() or token[:2]
 
@@ -125,7 +141,7 @@ def windows(text: str) -> Iterator[tuple[list[str], list[int], int]]:
 
 @dataclass
 class Field:
-    """Weights of a trained field. Tables have a row for each shape or word, row 0 for those not met."""
+    """Weights of a trained field. Tables have a row for each shape or word, row 0 for those not met; ``kinds`` has own weights of shapes not met."""
     shapes: dict[str, int]
     words: dict[str, int]
     own: np.ndarray
@@ -138,6 +154,11 @@ class Field:
     apart_before: np.ndarray
     file: np.ndarray
     moves: np.ndarray
+    kinds: dict[str, float]
+
+    def own_weight(self, form: str) -> float:
+        s = self.shapes.get(form, 0)
+        return float(self.own[s]) if s else self.kinds.get(kind_of(form), float(self.own[0]))
 
     def bound(self) -> float:
         """A token whose scores for B and I are both below this is O on every best path.
@@ -226,9 +247,14 @@ def train(sample: Sequence[tuple[list[str], list[int], int]], rounds: int = ROUN
         for k in ("apart", "apart_before"):
             np.clip(weights[k], -APART, APART, out=weights[k])
     moves = weights.pop("moves") + forbidden
-    for name in ("own", "apart", "apart_before"):
-        weights[name][0] = weights[name][1:].min() if name == "own" else 0.0  # forms never met are no secrets
-    return Field(shapes, near, moves=moves, **weights)
+    # Forms never met weigh as their kind does on average, or as all forms do.
+    kinds: dict[str, list[float]] = {}
+    for form, s in shapes.items():
+        kinds.setdefault(kind_of(form), []).append(weights["own"][s])
+    weights["own"][0] = weights["own"][1:].mean()
+    for name in ("apart", "apart_before"):
+        weights[name][0] = 0.0
+    return Field(shapes, near, moves=moves, kinds={k: float(np.mean(w)) for k, w in kinds.items()}, **weights)
 
 
 def _expected(em: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,17 +280,18 @@ class Tagger:
     def __init__(self, field: Field):
         self.field, self.bound = field, field.bound()
         self.known: dict[str, int] = {}
-        self.rows: dict[tuple[int, int, bool, bool], int] = {}
+        self.rows: dict[tuple[int, float, int, bool, bool], int] = {}
         self.table: list[tuple[float, ...]] = []
         self.weights = np.zeros((0, 8))
 
     def _row(self, token: str) -> int:
         f = self.field
-        s, w = f.shapes.get(shape(token), 0), f.words.get(word(token), 0)
+        form, w = shape(token), f.words.get(word(token), 0)
+        s, own = f.shapes.get(form, 0), f.own_weight(form)
         digit, equals = any(map(str.isdigit, token)), "=" in token
-        row = self.rows.setdefault((s, w, digit, equals), len(self.table))
+        row = self.rows.setdefault((s, own, w, digit, equals), len(self.table))
         if row == len(self.table):
-            self.table.append((f.own[s], f.before[s] + f.word1[w], f.before2[s] + f.word2[w], f.after[s], f.apart[s], f.apart_before[s], digit, equals))
+            self.table.append((own, f.before[s] + f.word1[w], f.before2[s] + f.word2[w], f.after[s], f.apart[s], f.apart_before[s], digit, equals))
         return row
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
@@ -336,13 +363,20 @@ def all_spans(text: str, tagger: Tagger | None) -> list[Span]:
 
 
 def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """Train the field on a sample of at most ``sample_docs`` documents, drawn by a hash of the row."""
+    """Train the field on at most ``sample_docs`` documents, with a match and without, each part drawn by a hash of the row."""
     rows = docs.select(column(text).alias("text")).filter("text is not null and text <> ''")
-    total = rows.count()
-    if not total:
+    rows = rows.select("text", F.col("text").rlike(ANY).alias("matched"), F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("draw"))
+    counts = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("matched").alias("matched")).first()
+    total, matched = counts["total"], counts["matched"]
+    if not matched:
         return None
-    share = min(1 << 30, (sample_docs << 30) // total)
-    drawn = rows.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) < share).limit(sample_docs)
+    most = min(matched, max(int(sample_docs * MATCHED_SHARE), sample_docs * matched // total, 1))
+    parts = []
+    for there, size, wanted in ((True, matched, most), (False, total - matched, sample_docs - most)):
+        if size and wanted > 0:
+            share = min(1 << 30, (wanted << 30) // size)
+            parts.append(rows.filter(F.col("matched") == there).filter(F.col("draw") < share).select("text").limit(wanted))
+    drawn = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
     def make():
         return lambda texts: [[[{"tokens": a, "tags": b, "file": c} for a, b, c in windows(t)] for t in texts.to_pylist()]]

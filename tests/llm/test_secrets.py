@@ -42,6 +42,35 @@ def test_field_adds_what_patterns_miss():
     assert found >= 90  # a hundred have a secret, which the field finds without the patterns
 
 
+def test_sample_holds_rare_matches(spark):
+    rnd = random.Random(8)
+    plain = [" ".join(rnd.choices(["alpha", "beta", "gamma", "42", "x1"], k=40)) + f" {i}" for i in range(6000)]
+    plain[700] += f' password = "{KEY}" delta'
+    frame = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string").repartition(4)
+    field = secrets.fit(frame, sample_docs=60)
+    assert field is not None and "password" in field.words
+
+
+def test_forms_not_met_weigh_as_their_kind():
+    field = trained()
+    tagger = secrets.Tagger(field)
+    known = f'"{KEY}"'
+    other = f'({KEY}"'[:-8] + "c0ffee00" * 6 + '"'
+    assert secrets.shape(known) in field.shapes and secrets.shape(other) not in field.shapes
+    tagger.scores([other])
+    assert tagger.table[0][0] > np.mean(field.own[1:]) > field.own.min()
+    assert [secrets.kind_of(secrets.shape(t)) for t in ("||", "|", "é|", "Ab", "ab,", "12")] == ["p", "p", "p", "m", "w", "dh-"]
+    text = f"alpha beta credential = {other} gamma delta"
+    assert tagger.tags(text.split())
+
+
+def test_one_pattern_has_all_matches():
+    rnd = random.Random(4)
+    for _ in range(20000):
+        text = "".join(rnd.choice(["token", "APIKEY", "=", ":", " ", '"', "abc", "AKIA", "A1" * 8, KEY[:12], "é"]) for _ in range(rnd.randint(1, 9)))
+        assert not secrets.base_spans(text) or secrets.re.search(secrets.ANY, text)
+
+
 def test_decoding_in_stretches_is_exact():
     field = trained()
     tagger, rnd = secrets.Tagger(field), random.Random(3)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import ann, bpe, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, warc
+from sparkgauge.llm import ann, bpe, content_sort, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, warc
 from sparkgauge.llm.common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,19 @@ def op10_toxic_grammar(spark: SparkSession, sf: str) -> DataFrame:
                          (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+@register
+def op11_content_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the row that stays of its equal texts."""
+    return content_sort.exact_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+SQL["op11_content_sort"] = """
+WITH told AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER best = 1 AS kept, sha256(body) AS text_sha256
+FROM told WINDOW best AS (PARTITION BY body ORDER BY chars DESC, doc_id NULLS LAST)"""
+
+
 @register
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline: toxicity, near duplicates, secrets, packing."""

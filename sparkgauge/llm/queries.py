@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import ann, bpe, content_sort, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, warc
+from sparkgauge.llm import ann, bpe, content_sort, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, variants, warc
 from sparkgauge.llm.common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +142,46 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM told WINDOW best AS (PARTITION BY body ORDER BY chars DESC, doc_id NULLS LAST)"""
 
 
+def _misspelled(doc_id) -> Callable[[str], str]:
+    """One in 97 of a document's words, by their checksum, without one of its code points."""
+    head = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+    def spelled(run: str) -> str:
+        h = zlib.crc32(run.encode(), head)
+        at = h % len(run)
+        return run if h % 97 else run[:at] + run[at + 1:]
+
+    return spelled
+
+
+@register
+def op12_gram_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents with their near words counted, their form and the root of their forms."""
+    words = variants.word_counts(table(spark, sf, "documents"), spelling=_misspelled)
+    return variants.variant_groups(words)
+
+
+# crc32 by its table of 256 remainders; near words meet in what is left of one of them, or of both, without one code point.
+SQL["op12_gram_variants"] = """
+WITH RECURSIVE bits(b, step, r) AS (SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, step + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM bits WHERE step < 8),
+rests AS (SELECT list(r ORDER BY b) AS t FROM bits WHERE step = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS tagged, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(tagged) + 1), lambda i: ('0x' || substr(hex(encode(tagged)), 2 * i - 1, 2))::BIGINT)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM counted, rests),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM coded),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelled GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+less AS (SELECT word, n, i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, a.n, w.word, w.n FROM less a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, w.n, a.word, a.n FROM less a JOIN words w ON a.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM pairs GROUP BY word),
+told AS (SELECT w.word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain(word, last_form, form) AS (SELECT word, word, form FROM told UNION ALL SELECT c.word, t.word, t.form FROM chain c JOIN told t ON c.form = t.word)
+SELECT told.word, told.form, chain.last_form AS root, n, n_near, form_n FROM told JOIN chain ON chain.word = told.word AND chain.form IS NULL"""
+
+
 @register
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline: toxicity, near duplicates, secrets, packing."""

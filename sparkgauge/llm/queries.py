@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import ann, bpe, content_sort, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, variants, warc
+from sparkgauge.llm import alignment, ann, bpe, content_sort, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, variants, warc
 from sparkgauge.llm.common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +182,13 @@ chain(word, last_form, form) AS (SELECT word, word, form FROM told UNION ALL SEL
 SELECT told.word, told.form, chain.last_form AS root, n, n_near, form_n FROM told JOIN chain ON chain.word = told.word AND chain.form IS NULL"""
 
 
+@register
+def op13_csr_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens over every text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline: toxicity, near duplicates, secrets, packing."""

@@ -12,7 +12,8 @@ to the searcher's component is left out too, since its links would join nothing
 
 A segment sends on a spanning forest of its links, at most one edge for each
 fingerprint, whatever the number of its pairs. A segment with more than ``split_rows``
-fingerprints is dealt out: each part has all of them and searches for its share.
+fingerprints is cut by blocks of the bits that are still open (two close fingerprints agree
+on one of these again), so no task holds more than that many of one segment.
 Copies have one fingerprint and take part once; their documents meet it in a join that
 gives hot fingerprints a broadcast of bounded size.
 
@@ -154,72 +155,90 @@ class GrayIndex:
         return self.codes[linked], self.codes[self.label[linked]]
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Whole segments, gathered into arrays of at least ``BATCH_ROWS``: segment, code, whether it searches."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and codes of whole segments, gathered into arrays of at least ``BATCH_ROWS``."""
     held: list[list[np.ndarray]] = []
     rows = 0
     for batch in batches:
-        segment, code, searches = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        held.append([segment, code.view(np.uint64), searches])
-        rows += len(segment)
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)])
+        rows += batch.num_rows
         if rows >= BATCH_ROWS:
             arrays = [np.concatenate(c) for c in zip(*held)]
             cut = int(np.argmax(arrays[0] == arrays[0][-1]))
             if cut:
-                yield tuple(a[:cut] for a in arrays)
+                yield arrays[0][:cut], arrays[1][:cut]
             held, rows = [[a[cut:] for a in arrays]], rows - cut
     if rows:
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
+def _blocks(bits: int, count: int) -> list[int]:
+    """A set of bits cut into ``count`` sets of near equal size."""
+    places = [i for i in range(64) if bits >> i & 1]
+    edges = [len(places) * i // count for i in range(count + 1)]
+    return [sum(1 << p for p in places[x:y]) for x, y in zip(edges, edges[1:])]
+
+
+def _spread(rows: DataFrame, opened: list[int], count: int) -> tuple[DataFrame, list[int]]:
+    """Each code (path, code) to one row for each block of the bits that its path has open; and the open bits of the new paths.
+
+    Its key stands for the path and for the code's bits that the path has fixed.
+    """
+    left = [bits & ~block for bits in opened for block in _blocks(bits, count)]
+    fixed = F.array(*[F.lit(_signed(~bits)) for bits in left])
+    taken = rows.select("code", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.col("path") * count + i)).alias("path"))
+    return taken.select("path", "code", F.xxhash64("path", F.col("code").bitwiseAND(F.get(fixed, F.col("path")))).alias("key")), left
+
+
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
+
+
+def segments(codes: DataFrame, most_bits: int = 3, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(key, code) such that two codes within ``most_bits`` share a key; a key has at most ``split_rows`` codes where open bits allow.
+
+    Codes of a larger segment agree in its block, so what is apart lies in their other bits: these are cut into
+    ``most_bits + 1`` blocks again, one of which is equal too, and the segment gives way to the smaller ones.
+    """
+    count, opened = most_bits + 1, [(1 << 64) - 1]
+    rows, done = codes.select(F.lit(0).alias("path"), F.col("fp").alias("code")).filter("code is not null").distinct(), None
+    while True:
+        spread, opened = _spread(rows, opened, count)
+        if min(b.bit_count() for b in opened) < count:  # nothing left to cut
+            return spread.select("key", "code") if done is None else done.unionByName(spread.select("key", "code"))
+        # A key among these has over split_rows rows, so they are few.
+        large = stored(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split_rows).select("key"), "large-segments")
+        if large.isEmpty():
+            return spread.select("key", "code") if done is None else done.unionByName(spread.select("key", "code"))
+        small = spread.join(F.broadcast(large), "key", "left_anti").select("key", "code")
+        done = small if done is None else done.unionByName(small)
+        rows = stored(spread.join(F.broadcast(large), "key", "left_semi").select("path", "code"), "segments")
+
+
 def links(codes: DataFrame, most_bits: int = 3, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Edges (a, b) that connect the distinct codes of column ``fp`` as all pairs within ``most_bits`` would."""
-    blocks = most_bits + 1
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    rotated = []
-    for i in range(blocks):
-        low, width = edges[i], edges[i + 1] - edges[i]
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-        rotated.append(F.struct((F.lit(i << 48) + value).alias("key"), F.col("fp").alias("code")))
-    spread = codes.select("fp").filter("fp is not null").distinct().select(F.inline(F.array(*rotated)))
-    # A key is a block and its value, so there are at most blocks * 2^(64 / blocks) of them.
-    large = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split_rows)
-    large = stored(large.select("key", F.ceil(F.col("n") / split_rows).cast("long").alias("parts")), "large-segments")
-    if large.isEmpty():
-        dealt = spread.select("key", F.lit(0).cast("long").alias("part"), "code", F.lit(True).alias("searches"))
-    else:
-        met = spread.join(F.broadcast(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-        own = F.pmod(F.xxhash64("code"), F.col("parts"))
-        dealt = met.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        dealt = dealt.select("key", "part", "code", (F.col("own") == F.col("part")).alias("searches"))
-    ordered = dealt.repartition("key", "part").sortWithinPartitions("key", "part", gray_rank(F.col("code")))
+    ordered = segments(codes, most_bits, split_rows).repartition("key").sortWithinPartitions("key", gray_rank(F.col("code")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, code, searches in _segments(_numbered(batches)):
+        for segment, code in _segments(batches):
             several = np.append(segment[1:] == segment[:-1], False)
             several[1:] |= several[:-1].copy()
             if not several.any():
                 continue
-            segment, code, searches = segment[several], code[several], searches[several]
-            index = GrayIndex(segment, code, most_bits)
-            index.link(np.flatnonzero(searches))
+            index = GrayIndex(segment[several], code[several], most_bits)
+            index.link(np.arange(len(index.codes)))
             a, b = index.forest()
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return ordered.mapInArrow(search, "a long, b long")
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments as running numbers, so that key and part fit one integer."""
-    number, last = -1, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.append(last != (key[0], part[0]), (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-        ids = number + np.cumsum(new)
-        number, last = int(ids[-1]), (key[-1], part[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2), batch.column(3)], ["segment", "code", "searches"])
+def _roots(codes: DataFrame, most_bits: int) -> DataFrame:
+    """(fp, root) of the codes that have links; the root is a code of the component."""
+    return components(links(codes, most_bits), "a", "b").select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, most_bits: int = 3) -> DataFrame:
@@ -227,14 +246,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     marked = stored(fingerprints(source, words=words, keep=["doc_id"]), "fingerprints")
     codes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = components(links(codes, most_bits), "a", "b")
-    named = codes.join(linked, F.col("fp") == F.col("node"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    groups = stored(linked.join(least, "root").select(F.col("node").alias("fp"), "least_id"), "components")
+    linked = _roots(codes, most_bits)
+    least = codes.join(linked, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    groups = stored(linked.join(least, "root").select("fp", "least_id"), "components")
     facts = codes.join(groups, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     hot = stored(hot_keys(marked, "fp"), "hot-fingerprints")
     return join_by_key(marked, facts, "fp", hot).select("doc_id", "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, order: Sequence[str], text: str = "text", words: int = 3, most_bits: int = 3) -> DataFrame:
+    """The first row of each group of near duplicates by the columns of ``order``, nulls last.
+
+    Rows that repeat in full are separate rows, of which one stays. Fingerprints decide first, by row number; texts are moved once.
+    """
+    inner = ["__fp", "__row"]
+    rows = stored(fingerprints(docs, text, "__fp", words).withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
+    place = F.struct(*[x for c in order for x in (column(c).isNull(), column(c))], "__row")
+    best = stored(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(place).alias("first")), "first-rows")
+    roots = _roots(best, most_bits)
+    firsts = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    keepers = stored(firsts.select(F.col("first.__row").alias("__row")), "keepers")
+    return rows.join(keepers, "__row", "left_semi").drop(*inner)
+
+
 def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkgauge.llm import simhash
 from tests.llm.conftest import ODD_ROWS
@@ -81,3 +82,35 @@ def test_odd_rows(odd, empty):
     assert sum(r["doc_id"] == 8 and r["component_id"] == 8 for r in got) == 2
     assert {r["component_id"] for r in got if r["doc_id"] is None} == {2, None}
     assert simhash.near_duplicates(empty).collect() == []
+
+
+def test_segments_are_bounded_and_miss_no_pair(spark):
+    """Codes that share a long common part: segments are cut again until they are small or nothing is left to cut."""
+    rnd = random.Random(12)
+    codes = sorted({0xABCD << 48 | rnd.getrandbits(20) << 20 for _ in range(3000)} | set(cloud(200, 3)))
+    frame = spark.createDataFrame([(c,) for c in np.array(codes, np.uint64).view(np.int64).tolist()], "fp long")
+    rows = simhash.segments(frame, 3, 500).collect()
+    members = {}
+    for r in rows:
+        members.setdefault(r["key"], set()).add(r["code"] & (1 << 64) - 1)
+    assert max(map(len, members.values())) <= 500
+    pairs = {(a, b) for m in members.values() for a in m for b in m if a < b and bin(a ^ b).count("1") <= 3}
+    assert pairs == {(a, b) for i, a in enumerate(codes) for b in codes[i + 1:] if bin(a ^ b).count("1") <= 3}
+
+
+def test_first_of_each(spark, odd, empty):
+    rnd = random.Random(4)
+    say = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(50))
+    a, b, c, d = say(), say(), say(), say()
+    rows = [(1, a), (2, b), (2, a), (5, c), (5, d), (6, c), (6, d), (7, d), (None, a), (None, say()), (None, "x y"), (9, "X  y")]
+    rows += [(i, t) for i, t in ODD_ROWS]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("mine")).repartition(3)
+    kept = simhash.first_of_each(frame, ["doc_id"])
+    assert kept.columns == ["doc_id", "text", "fp"]
+    label = roots([simhash.simhash(t) for _, t in rows], 3)
+    want = {}
+    for (i, _), g in zip(rows, label):
+        want[g] = min(want.get(g, 1 << 62), 1 << 62 if i is None else i)
+    assert sorted(1 << 62 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted(want.values())
+    assert simhash.first_of_each(empty, ["doc_id"]).collect() == []
+    assert set(simhash.first_of_each(odd, ["doc_id"]).columns) == set(odd.columns)

@@ -1,8 +1,8 @@
 """The training-data pipeline over ``documents``: stages in order, each on all that the one before kept.
 
 1. ``toxicity``: documents that the pattern grammar scores at 0.3 or more go.
-2. ``near_dedup``: of the documents whose five-word shingles link them (Jaccard similarity
-   0.8 or more, compared exactly), the row with the smallest doc_id stays, ties by a hash
+2. ``near_dedup``: of the documents that SimHash fingerprints link (three-word shingles, at
+   most three differing bits), the row with the smallest doc_id stays, ties by a hash
    of the row; a row without an id only if no row of its group has one. Rows that repeat
    an id with unlike texts are different documents.
 3. ``secrets``: secrets in the text become ``[secret]`` and n_chars follows.
@@ -18,11 +18,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import near_copies, packing, secrets as secret_spans, toxicity as toxic_grammar
+from sparkgauge.llm import packing, secrets as secret_spans, simhash, toxicity as toxic_grammar
 from sparkgauge.llm.common import scratch, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC_FROM = 0.3
+SHINGLE_WORDS, MOST_BITS = 3, 3
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -37,7 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first row of each group of near duplicates by doc_id, null last, then by a hash of the row."""
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_hash"))
-    return near_copies.first_of_each(rows, ["doc_id", "row_hash"]).select(*COLUMNS)
+    return simhash.first_of_each(rows, ["doc_id", "row_hash"], words=SHINGLE_WORDS, most_bits=MOST_BITS).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Used only in local mode with no ``spark.checkpoint.dir``, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints/sparkgauge"
-#: Rows of an Arrow batch handed to a column function at once, so that long texts stay a bounded share of memory.
-SLICE_ROWS = 256
+#: Rows and bytes of text of an Arrow batch handed to a column function at once; a longer text is alone.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 #: A key with at least one in so many rows is hot; there are at most so many hot keys.
 HOT_SHARE = 1000
 
@@ -62,8 +64,7 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str
 
         function, arrow = make(), [to_arrow_type(t) for t in types]
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, range(n_kept, n_kept + n_in)):
                 made = function(*[part.column(n_kept + i) for i in range(n_in)])
                 made = [a if isinstance(a, pa.Array) and a.type == t else _as(a, t) for a, t in zip(made, arrow)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], [f.name for f in schema.fields])
@@ -71,6 +72,20 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str
     return source.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, columns: Iterable[int]) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``SLICE_ROWS`` rows and, but for single rows, ``SLICE_BYTES`` bytes in these columns."""
+    size = np.zeros(batch.num_rows + 1, np.int64)
+    for i in columns:
+        if pa.types.is_string(batch.column(i).type) or pa.types.is_binary(batch.column(i).type):
+            size[1:] += pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+    before, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(before, before[at] + SLICE_BYTES, "right")) - 1
+        stop = min(at + SLICE_ROWS, max(at + 1, fits))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _as(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 

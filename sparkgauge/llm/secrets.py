@@ -1,37 +1,40 @@
 """Secrets by fixed patterns and a linear-chain conditional random field.
 
-Tokens are the runs between white space. Each is tagged secret begin (B), inside (I) or
+Tokens are the runs between ASCII white space. Each is tagged secret begin (B), inside (I) or
 outside (O). What the tags see of a token: its shape (letter case, digits, length, quotes,
 key and value in one), the shapes of its neighbours, two words before it, and features
 of the whole file. The field is trained here by maximum likelihood on a bounded sample
 (``SAMPLE_DOCS`` documents, at most ``WINDOWS`` stretches of each) with the pattern
-matches as labels, and decoded by Viterbi. The sample has two parts, each drawn by a hash
-of the row: documents with a match, found over the whole table, up to ``MATCHED_SHARE`` of
-the sample (or their share of the table, if that is more), and documents without one. So
-rare matches are all learned from, however large the table. A form that the sample lacks
-weighs as those of its kind do on average. It adds spans that the patterns miss and
+matches as labels, and decoded by Viterbi. The sample is one of distinct texts, those with
+the least hashes, so it depends on the table's texts alone. It has two parts: texts with a
+match, found over the whole table, up to ``MATCHED_SHARE`` of the sample (or their share of
+the table, if that is more), and texts without one. So rare matches are all learned from,
+however large the table. A form that the sample lacks weighs as those of its kind do on average. It adds spans that the patterns miss and
 never removes one of theirs; an added span that touches a pattern's span is dropped.
 
 Decoding is exact over whole texts and does no work where it can't matter: the score of
 O is zero and B and I differ by at most ``2 * APART``, so a token whose score for B and I lies
-under a bound made of the transitions is O on every best path. Viterbi runs over the
-stretches between such tokens.
+under a bound made of the transitions is O on every best path. Scores of many texts are
+worked out together, and texts with no token above the bound are done; Viterbi runs over the
+stretches between such tokens of the others.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows that
-repeat are kept. A table without any match trains no field, and nothing is added.
+repeat are kept. Columns named like an output are replaced. A table without any match trains no field, and nothing is added.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkgauge.llm.common import add_columns, column
+from sparkgauge.llm.common import add_columns, column, stored
 
 #: Documents that the field is trained on at most, stretches of each, tokens of a stretch and rounds.
 SAMPLE_DOCS = 8_000
@@ -42,7 +45,10 @@ WINDOW = 48
 ROUNDS = 60
 #: Most that the weights of one feature may set I apart from B.
 APART = 1.5
-MOST_WORDS = 300_000
+#: Tokens whose weights a worker remembers.
+MOST_WORDS = 500_000
+#: The threshold by which texts are drawn lets through so many times the wanted number, and some more.
+DRAW_MARGIN = 1.25
 
 # Fixed patterns; group 2 of the first and the whole of the others have least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -52,7 +58,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 KINDS = ("assign", "access", "hex", "crf")
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
-TOKEN = re.compile(r"\S+")
+TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 O, B, I = 0, 1, 2
 
 Span = tuple[int, int, int]
@@ -126,15 +132,15 @@ def labelled(text: str) -> tuple[list[str], list[int]]:
     return [text[a:b] for a, b in places], tags
 
 
-def windows(text: str) -> Iterator[tuple[list[str], list[int], int]]:
-    """Stretches of a text for training: around labelled tokens, and one at a place that the text itself decides."""
+def windows(text: str, most: int = WINDOWS) -> Iterator[tuple[list[str], list[int], int]]:
+    """At most ``most`` stretches of a text for training: around labelled tokens, and one at a place that the text itself decides."""
     tokens, tags = labelled(text)
     n = len(tokens)
     if not n:
         return
     file = file_features(sum(any(map(str.isdigit, t)) for t in tokens), sum("=" in t for t in tokens), n)
     marked = [i for i, t in enumerate(tags) if t == B]
-    starts = [max(0, i - WINDOW // 2) for i in marked[:WINDOWS - 1]] + [len(text) * 7919 % n]
+    starts = [max(0, i - WINDOW // 2) for i in marked[:most - 1]] + [len(text) * 7919 % n]
     for s in starts:
         yield tokens[s:s + WINDOW], tags[s:s + WINDOW], file
 
@@ -298,19 +304,48 @@ class Tagger:
         known = self.known
         if len(known) > MOST_WORDS:
             known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        except KeyError:
-            for t in tokens:
-                if t not in known:
-                    known[t] = self._row(t)
-            return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        rows = np.empty(len(tokens), np.int64)
+        for i, t in enumerate(tokens):
+            row = known.get(t)
+            if row is None:
+                row = known[t] = self._row(t)
+            rows[i] = row
+        if len(self.weights) < len(self.table):
+            self.weights = np.array(self.table, np.float64)
+        return rows
+
+    def open_texts(self, texts: pa.Array) -> list[int]:
+        """Places of the texts with a token that may be other than O; each distinct token is looked up once."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        rows = self._rows(distinct)[coded.indices.to_numpy()]
+        if "" in distinct:  # before leading and behind trailing white space
+            real = coded.indices.to_numpy() != distinct.index("")
+            doc, rows = doc[real], rows[real]
+        if not len(rows):
+            return []
+        w, f, n = self.weights, self.field, len(texts)
+        counts = [np.bincount(doc, weights=x, minlength=n).astype(int).tolist() for x in (w[rows, 6], w[rows, 7], np.ones(len(rows)))]
+        file = f.file[[file_features(*c) for c in zip(*counts)]]
+        same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+        b = w[rows, 0] + file[doc]
+        b[1:] += np.where(same1, w[rows[:-1], 1], f.before[0] + f.word1[0])
+        b[2:] += np.where(same2, w[rows[:-2], 2], f.before2[0] + f.word2[0])
+        b[:1] += f.before[0] + f.word1[0]
+        b[:2] += f.before2[0] + f.word2[0]
+        b[:-1] += np.where(same1, w[rows[1:], 3], f.after[0])
+        b[-1:] += f.after[0]
+        i = b + w[rows, 4]
+        i[1:] += np.where(same1, w[rows[:-1], 5], f.apart_before[0])
+        i[:1] += f.apart_before[0]
+        # Sums in another order than in ``scores`` may differ in their last digits.
+        return np.unique(doc[np.maximum(b, i) >= self.bound - 1e-6]).tolist()
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """Scores of B and I for each token; that of O is 0."""
         rows = self._rows(tokens)
-        if len(self.weights) < len(self.table):
-            self.weights = np.array(self.table, np.float64)
         w, f = self.weights, self.field
         n = len(rows)
         file = file_features(int(w[rows, 6].sum()), int(w[rows, 7].sum()), n)
@@ -338,7 +373,7 @@ class Tagger:
 
     def spans(self, text: str) -> list[Span]:
         """(start, kind, end) of the tagged secrets: from the value in the first token to that in the last."""
-        tokens = text.split()
+        tokens = TOKEN.findall(text)
         tags = self.tags(tokens) if tokens else {}
         if not tags:
             return []
@@ -359,43 +394,77 @@ class Tagger:
 def all_spans(text: str, tagger: Tagger | None) -> list[Span]:
     base = base_spans(text)
     added = tagger.spans(text) if tagger else []
-    return sorted(base + [s for s in added if not any(a < s[2] and s[0] < b for a, _, b in base)])
-
-
-def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """Train the field on at most ``sample_docs`` documents, with a match and without, each part drawn by a hash of the row."""
-    rows = docs.select(column(text).alias("text")).filter("text is not null and text <> ''")
-    rows = rows.select("text", F.col("text").rlike(ANY).alias("matched"), F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("draw"))
-    counts = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("matched").alias("matched")).first()
+    if not added:
+        return base
+    # What the patterns cover, as stretches apart from each other, in order.
+    covered: list[list[int]] = []
+    for a, _, b in base:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(b, covered[-1][1])
+        else:
+            covered.append([a, b])
+    ends = [b for _, b in covered]
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_right(ends, a)
+        return at == len(covered) or covered[at][0] >= b
+
+    return sorted(base + [s for s in added if free(s[0], s[2])])
+
+
+def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, windows_each: int = WINDOWS) -> Field | None:
+    """Train the field on at most ``sample_docs`` distinct texts, with a match and without, those with the least hashes.
+
+    One scan finds matches in all texts; a second reads the texts below the hashes that a sample of this size needs.
+    """
+    rows = docs.select(column(text).alias("text")).filter("text is not null and text <> ''").withColumn("draw", F.xxhash64("text"))
+    marked = rows.select("draw", F.col("text").rlike(ANY).alias("matched")).groupBy("draw").agg(F.first("matched").alias("matched"))
+    marked = stored(marked, "matched-texts")
+    counts = marked.agg(F.count(F.lit(1)).alias("total"), F.count_if("matched").alias("matched")).first()
     total, matched = counts["total"], counts["matched"]
     if not matched:
         return None
     most = min(matched, max(int(sample_docs * MATCHED_SHARE), sample_docs * matched // total, 1))
-    parts = []
-    for there, size, wanted in ((True, matched, most), (False, total - matched, sample_docs - most)):
-        if size and wanted > 0:
-            share = min(1 << 30, (wanted << 30) // size)
-            parts.append(rows.filter(F.col("matched") == there).filter(F.col("draw") < share).select("text").limit(wanted))
-    drawn = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    least, high = -(1 << 63), (1 << 63) - 1
+    limits = []
+    for size, wanted in ((matched, most), (total - matched, sample_docs - most)):
+        share = min(1.0, (wanted * DRAW_MARGIN + 50) / size) if size and wanted > 0 else 0.0
+        limits.append(high if share == 1.0 else least + int(share * (1 << 64)))
+    below = F.when(F.col("matched"), F.col("draw") <= limits[0]).otherwise(F.col("draw") <= limits[1])
+    # At most about DRAW_MARGIN times the sample; the least hashes of each part are taken.
+    first = Window.partitionBy("matched").orderBy("draw")
+    drawn = marked.filter(below).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= F.when(F.col("matched"), most).otherwise(sample_docs - most))
+    sample = rows.join(F.broadcast(drawn.select("draw")), "draw").groupBy("draw").agg(F.first("text").alias("text")).repartition("draw")
 
     def make():
-        return lambda texts: [[[{"tokens": a, "tags": b, "file": c} for a, b, c in windows(t)] for t in texts.to_pylist()]]
+        return lambda texts: [[[{"tokens": a, "tags": b, "file": c} for a, b, c in windows(t, windows_each)] for t in texts.to_pylist()]]
 
     kind = "array<struct<tokens: array<string>, tags: array<int>, file: int>>"
-    got = add_columns(drawn, ["text"], [("windows", kind)], make, []).select(F.inline("windows")).toArrow().to_pylist()
+    got = add_columns(sample, ["text"], [("windows", kind)], make, []).select(F.inline("windows")).toArrow().to_pylist()
     return train(sorted((g["tokens"], g["tags"], g["file"]) for g in got))
 
 
+_TAGGER: list[tuple[Field, Tagger]] = []
+
+
+def _tagger(field: Field) -> Tagger:
+    """The worker's tagger for this field, with the tokens it has seen in earlier tasks."""
+    if not _TAGGER or _TAGGER[0][0] is not field:
+        _TAGGER[:] = [(field, Tagger(field))]
+    return _TAGGER[0][1]
+
+
 def find_secrets(docs: DataFrame, field: Field | None, text: str = "text", keep: Sequence[str] | None = None, redact: bool = False) -> DataFrame:
     """Add ``spans`` (kind, start, end) of each text, by start, then kind; with ``redact`` the text has ``[secret]`` in their place."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def make():
-        tagger = Tagger(shared.value) if shared.value else None
+        tagger = _tagger(shared.value) if shared.value else None
 
         def find(texts: pa.Array):
+            open_ = set(tagger.open_texts(texts)) if tagger else ()
             texts = texts.to_pylist()
-            spans = [all_spans(t or "", tagger) for t in texts]
+            spans = [all_spans(t or "", tagger if i in open_ else None) for i, t in enumerate(texts)]
             listed = pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found] for found in spans],
                               pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
             return [listed, pa.array([redacted(t, s) for t, s in zip(texts, spans)], pa.string())] if redact else [listed]

@@ -1,8 +1,12 @@
 """Patterns, the field, exact decoding and odd rows."""
+import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
+import __spark_entry__ as entry
 from sparkgauge.llm import secrets
 from tests.llm.conftest import ODD_ROWS
 
@@ -83,6 +87,52 @@ def test_decoding_in_stretches_is_exact():
         del tagger.scores
 
 
+def test_many_texts_at_once_open_the_same_tokens():
+    tagger, rnd = secrets.Tagger(trained()), random.Random(6)
+    texts = [*corpus(200, 9), "", None, "  ", f' token = "{KEY}" ', KEY, "a\x1cb\u00a0c", *[t for _, t in ODD_ROWS]]
+    texts += [" ".join(rnd.choices(["alpha", "=", f'"{KEY}"', KEY[:10], "token", "42", '"x"'], k=rnd.randint(1, 9))) + rnd.choice(["", "\n"]) for _ in range(300)]
+    want = [i for i, t in enumerate(texts) if t and (tokens := secrets.TOKEN.findall(t)) and (tagger.scores(tokens).max(axis=1) >= tagger.bound).any()]
+    assert tagger.open_texts(pa.array(texts, pa.string())) == want and want
+    assert tagger.open_texts(pa.array(["x", *texts], pa.string()).slice(1)) == want
+
+
+def test_added_spans_that_touch_none():
+    class Fixed:
+        def spans(self, text):
+            return [(a, 3, a + rnd.randint(1, 9)) for a in range(0, len(text), 11)]
+
+    rnd = random.Random(2)
+    text = f"token=abcdef0123 {KEY} x " * 300
+    base = secrets.base_spans(text)
+    rnd.seed(2)
+    added = Fixed().spans(text)
+    rnd.seed(2)
+    assert secrets.all_spans(text, Fixed()) == sorted(base + [s for s in added if not any(a < s[2] and s[0] < b for a, _, b in base)])
+
+
+def test_field_depends_on_the_texts_alone(spark):
+    rows = [(i, t) for i, t in enumerate(corpus(500, 2) + corpus(100, 2))]
+    fields = [secrets.fit(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n), sample_docs=120) for step, n in ((1, 3), (-1, 7))]
+    assert fields[0].shapes == fields[1].shapes and fields[0].words == fields[1].words and (fields[0].own == fields[1].own).all()
+
+
+def test_query_against_direct_version(spark, sf):
+    """Base spans by a scan of each text for the three kinds; added spans touch none of them."""
+    rows = {r["doc_id"]: r for r in entry.queries()["op3_secret_field"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        r, text = rows[d["doc_id"]], d["text"] or ""
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        names = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(n.startswith(k) for n in names) for k in ("assign", "access", "hex")]
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert [s for s in spans if not s.startswith("crf")] == names
+
+
 def test_probabilities_sum_to_one():
     state, pairs = secrets._expected(np.random.default_rng(1).normal(size=(4, 6, 3)), np.random.default_rng(2).normal(size=(3, 3)))
     assert np.allclose(state.sum(axis=2), 1) and np.isclose(pairs.sum(), 4 * 5)

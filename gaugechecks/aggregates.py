@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from gaugechecks.tables import (
@@ -310,6 +312,34 @@ def group_summaries(spark, sf):
     return rounded(rounded(found, 4, "mean"), 2, "variance")
 
 
+#: Twenty few-valued columns of lineitem, some with gaps: name to remainder of a sum, which both engines read.
+CODED = {f"c{i}": (f"l_partkey + {i} * l_suppkey + {i % 3} * l_linenumber", 2 + i % 9) for i in range(18)}
+_CODED_COLUMNS = ", ".join(f"CASE WHEN l_linenumber <> {i % 11} THEN CAST(({e}) % {m} AS {{text}}) END AS {c}" for i, (c, (e, m)) in enumerate(CODED.items()))
+CODED_COLUMNS = ("l_returnflag", "l_linestatus", *CODED)
+CODED_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
+CODED_SQL = f"coded AS (SELECT l_returnflag, l_linestatus, {', '.join(CODED_NUMBERS)}, {_CODED_COLUMNS.format(text='VARCHAR')} FROM lineitem)"
+
+
+def coded(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr("l_returnflag", "l_linestatus", *CODED_NUMBERS, *_CODED_COLUMNS.format(text="STRING").split(", "))
+
+
+@register("crosstab_wide", f"WITH {CODED_SQL} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, {a} AS value1, {b} AS value2, count(*) AS n FROM coded WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL"
+    for a, b in combinations(CODED_COLUMNS, 2)))
+def crosstab_wide(spark, sf):
+    """All pairs of twenty columns, in one scan."""
+    return grouped.crosstab(coded(spark, sf), grouped.category_pairs(CODED_COLUMNS))
+
+
+@register("group_summaries_wide", f"WITH {CODED_SQL}, l AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS category, {c} AS category_value, '{x}' AS column_name, {x} AS v FROM coded" for c in CODED_COLUMNS for x in CODED_NUMBERS) + """)
+SELECT category, category_value, column_name, count(v) AS n, round(avg(v), 4) AS mean, round(var_samp(v), 4) AS variance FROM l WHERE category_value IS NOT NULL GROUP BY ALL""")
+def group_summaries_wide(spark, sf):
+    """Three numeric columns in the groups of twenty category columns, in one scan."""
+    return rounded(grouped.group_summaries(coded(spark, sf), CODED_COLUMNS, CODED_NUMBERS), 4, "mean", "variance")
+
+
 HISTOGRAM = """WITH b AS (SELECT {c} AS v FROM {t} WHERE {c} IS NOT NULL AND isfinite({c})),
 e AS (SELECT min(v) AS lo, max(v) AS hi, CAST(greatest(1, least(least(15, greatest(5, floor(sqrt(count(*))))), count(DISTINCT v))) AS INTEGER) AS bins FROM b),
 s AS (SELECT i AS bin, CASE WHEN i = 0 THEN lo ELSE lo + i * ((hi - lo) / bins) END AS lower, CASE WHEN i + 1 = bins THEN hi ELSE lo + (i + 1) * ((hi - lo) / bins) END AS upper, bins

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkgauge.operators.frequencies import distinct_counts
-from sparkgauge.operators.shape import as_double, as_text, fields, long_form, numeric_columns, other_columns
+from sparkgauge.operators.joint import joint_counts, joint_moments
+from sparkgauge.operators.shape import as_double, as_text, fields, numeric_columns, other_columns
+from sparkgauge.session import small_frame
 
 MAX_CATEGORIES = 10
 SURELY_MANY = 1_000
@@ -35,54 +37,32 @@ def category_columns(df: DataFrame, columns: Sequence[str] | None = None, most:
 def group_summaries(df: DataFrame, categories: Sequence[str], numerics: Sequence[str] | None = None) -> DataFrame:
     """(category, category_value, column_name, n, mean, variance) for all pairs in one scan.
 
-    Each row feeds one running sum per category and numeric column; a task sends
-    one row per group on, however the rows spread over the groups.
+    A task sends one row per group and numeric column on, however the rows spread over the groups.
     """
     nums = list(numerics) if numerics is not None else numeric_columns(df)
-    cells = [
-        F.struct(F.lit(f.name).alias("category"), F.col(f"g{i}").alias("category_value"))
-        for i, f in enumerate(fields(df, categories))
-    ]
+    schema = "category string, category_value string, column_name string, n bigint, mean double, variance double"
+    if not categories or not nums:
+        return small_frame(df.sparkSession, [], schema)
     narrow = df.select(
         *[as_text(f).alias(f"g{i}") for i, f in enumerate(fields(df, categories))],
         *[as_double(f).alias(f"n{i}") for i, f in enumerate(fields(df, nums))],
     )
-    values = [
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("value")) for i, c in enumerate(nums)
-    ]
-    by_category = narrow.select(F.inline(F.array(*cells)), *[F.col(f"n{i}") for i in range(len(nums))])
-    long = by_category.filter(F.col("category_value").isNotNull()).select(
-        "category", "category_value", F.inline(F.array(*values))
-    )
-    v = F.col("value")
-    return (
-        long.filter(v.isNotNull())
-        .groupBy("category", "category_value", "column_name")
-        .agg(
-            F.count(v).alias("n"), F.avg(v).alias("mean"),
-            # One repeated value has no variance, whatever the running sums round to.
-            F.when((F.count(v) > 1) & (F.min(v) == F.max(v)), F.lit(0.0)).otherwise(F.var_samp(v)).alias("variance"),
-        )
-    )
+    found = joint_moments(narrow, len(nums))
+    return found.select(_named(categories, "category_ix").alias("category"), "category_value", _named(nums, "column_ix").alias("column_name"), "n", "mean", "variance")
 
 
 def crosstab(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(var1, var2, value1, value2, n): contingency counts of column pairs, null pairs dropped."""
-    names = sorted({c for pair in pairs for c in pair})
-    narrow = df.select(*[as_text(f).alias(f"c{names.index(f.name)}") for f in fields(df, names)])
-    cells = [
-        F.struct(
-            F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-            F.col(f"c{names.index(a)}").alias("value1"), F.col(f"c{names.index(b)}").alias("value2"),
-        )
-        for a, b in pairs
-    ]
-    long = narrow.select(F.inline(F.array(*cells)))
-    return (
-        long.filter(F.col("value1").isNotNull() & F.col("value2").isNotNull())
-        .groupBy("var1", "var2", "value1", "value2")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(var1, var2, value1, value2, n): contingency counts of column pairs, null pairs dropped, all pairs in one scan."""
+    if not pairs:
+        return small_frame(df.sparkSession, [], "var1 string, var2 string, value1 string, value2 string, n bigint")
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    narrow = df.select(*[as_text(f).alias(f"c{i}") for i, f in enumerate(fields(df, names))])
+    found = joint_counts(narrow, [(names.index(a), names.index(b)) for a, b in pairs])
+    return found.select(_named([a for a, _ in pairs], "pair_ix").alias("var1"), _named([b for _, b in pairs], "pair_ix").alias("var2"), "value1", "value2", "n")
+
+
+def _named(names: Sequence[str], place: str) -> Column:
+    return F.get(F.lit(list(names)), F.col(place))
 
 
 def margins(table: DataFrame) -> DataFrame:

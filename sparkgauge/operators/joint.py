@@ -230,7 +230,8 @@ def _merged(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[n
     """n, mean and squared distances of two parts together, element by element."""
     (n1, mean1, m1), (n2, mean2, m2) = one, two
     n, apart = n1 + n2, mean2 - mean1
-    mean = np.where(n1 == 0, mean2, np.where(n2 == 0, mean1, mean1 + apart * n2 / n))
+    moved = np.where(np.isfinite(apart), mean1 + apart * n2 / n, (n1 * mean1 + n2 * mean2) / n)
+    mean = np.where(n1 == 0, mean2, np.where(n2 == 0, mean1, moved))
     return n, mean, np.where(n1 == 0, m2, np.where(n2 == 0, m1, m1 + m2 + apart * apart * n1 * n2 / n))
 
 
@@ -242,7 +243,8 @@ def merged_moments(n: str, mean: str, m2: str) -> Column:
     def merge(a: Column, b: Column) -> Column:
         total = a["n"] + b["n"]
         apart = F.when(a["n"] > 0, b["mean"] - a["mean"]).otherwise(F.lit(0.0))
-        moved = F.when(a["n"] > 0, a["mean"] + apart * b["n"] / total).otherwise(b["mean"])
+        finite = ~F.isnan(apart) & (F.abs(apart) < float("inf"))
+        moved = F.when(a["n"] == 0, b["mean"]).when(finite, a["mean"] + apart * b["n"] / total).otherwise((a["n"] * a["mean"] + b["n"] * b["mean"]) / total)
         return F.struct(total.alias("n"), moved.alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / total).alias("m2"))
 
     return F.aggregate(F.array_sort(F.collect_list(state)), start, merge)

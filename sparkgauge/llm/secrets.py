@@ -32,9 +32,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkgauge.llm.common import add_columns, column, stored
+from sparkgauge.session import small_frame
 
 #: Documents that the field is trained on at most, stretches of each, tokens of a stretch and rounds.
 SAMPLE_DOCS = 8_000
@@ -431,10 +432,13 @@ def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, win
         share = min(1.0, (wanted * DRAW_MARGIN + 50) / size) if size and wanted > 0 else 0.0
         limits.append(high if share == 1.0 else least + int(share * (1 << 64)))
     below = F.when(F.col("matched"), F.col("draw") <= limits[0]).otherwise(F.col("draw") <= limits[1])
-    # At most about DRAW_MARGIN times the sample; the least hashes of each part are taken.
-    first = Window.partitionBy("matched").orderBy("draw")
-    drawn = marked.filter(below).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= F.when(F.col("matched"), most).otherwise(sample_docs - most))
-    sample = rows.join(F.broadcast(drawn.select("draw")), "draw").groupBy("draw").agg(F.first("text").alias("text")).repartition("draw")
+    # Numbers only, about DRAW_MARGIN times the sample; the least hashes of each part are taken.
+    draws: dict[bool, list[int]] = {True: [], False: []}
+    for r in marked.filter(below).collect():
+        draws[r["matched"]].append(r["draw"])
+    taken = sorted(draws[True])[:most] + sorted(draws[False])[:sample_docs - most]
+    drawn = small_frame(docs.sparkSession, [(d,) for d in taken], "draw long")
+    sample = rows.join(F.broadcast(drawn), "draw").groupBy("draw").agg(F.first("text").alias("text")).repartition("draw")
 
     def make():
         return lambda texts: [[[{"tokens": a, "tags": b, "file": c} for a, b, c in windows(t, windows_each)] for t in texts.to_pylist()]]

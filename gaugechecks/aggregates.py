@@ -226,6 +226,22 @@ def all_null_table(spark, sf):
     return counts.all_null_table(dirty(spark, sf))
 
 
+@register("duplicate_nested", """WITH d AS (SELECT DISTINCT l_shipdate, l_linenumber % 2 AS micro, l_quantity % 3 AS q, l_tax > 0.04 AS high, l_suppkey % 4 AS s FROM lineitem)
+SELECT (SELECT count(*) FROM lineitem) AS row_count, (SELECT count(*) FROM lineitem) - count(*) AS duplicate_count FROM d""")
+def duplicate_nested(spark, sf):
+    """Rows equal at every depth: microseconds count, signs of zero, orders of entries and codes of NaN don't."""
+    line, odd = table(spark, sf, "lineitem"), F.col("l_orderkey") % 2 == 1
+    q, high = F.col("l_quantity") % 3, F.col("l_tax") > 0.04
+    rows = line.select(
+        F.struct(F.timestamp_micros(F.unix_micros(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") % 2).alias("at"), F.when(high, F.lit(None)).otherwise(F.lit("x")).alias("none")).alias("nested"),
+        F.array(F.when(odd, F.lit(-0.0)).otherwise(F.lit(0.0)), F.when(q > 0, q)).alias("numbers"),
+        F.array(F.when(q == 0, F.lit(float("nan"))), F.lit(1.0)).alias("gaps"),
+        F.when(odd, F.create_map(F.lit("a"), F.col("l_suppkey") % 4, F.lit("b"), F.lit(0).cast("long"))).otherwise(
+            F.create_map(F.lit("b"), F.lit(0).cast("long"), F.lit("a"), F.col("l_suppkey") % 4)).alias("entries"),
+    )
+    return duplicates.duplicate_count(rows).select("row_count", "duplicate_count")
+
+
 @register("drop_duplicates", f"""WITH {DIRTY} SELECT flag, const, count(*) AS n, count(qty) AS n_qty, round(sum(price), 2) AS price FROM (SELECT DISTINCT * FROM dirty) GROUP BY flag, const""")
 def drop_duplicates(spark, sf):
     clean = duplicates.drop_duplicates(dirty(spark, sf))

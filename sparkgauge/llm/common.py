@@ -53,9 +53,12 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str
     new = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields]
     names = {f.name.lower() for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
-    source = df.select(*[column(f.name).alias(f"keep_{i}") for i, f in enumerate(kept)],
-                       *[column(n).alias(f"in_{i}") for i, n in enumerate(inputs)])
-    n_kept, n_in = len(kept), len(inputs)
+    # An input that stays is handed over once.
+    place = {f.name: i for i, f in enumerate(kept)}
+    others = [n for n in dict.fromkeys(inputs) if n not in place]
+    place |= {n: len(kept) + i for i, n in enumerate(others)}
+    source = df.select(*[column(n).alias(f"c{i}") for n, i in place.items()])
+    at, n_kept = [place[n] for n in inputs], len(kept)
     schema = T.StructType([*kept, *new])
     types = [f.dataType for f in new]
 
@@ -64,8 +67,8 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[str
 
         function, arrow = make(), [to_arrow_type(t) for t in types]
         for batch in batches:
-            for part in slices(batch, range(n_kept, n_kept + n_in)):
-                made = function(*[part.column(n_kept + i) for i in range(n_in)])
+            for part in slices(batch, at):
+                made = function(*[part.column(i) for i in at])
                 made = [a if isinstance(a, pa.Array) and a.type == t else _as(a, t) for a, t in zip(made, arrow)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], [f.name for f in schema.fields])
 

@@ -12,8 +12,8 @@ threat). A document's score is a logistic function of the weights matched in eac
 situation, of its best clause and of how many clauses match, never of single words
 outside a clause.
 
-Training uses at most ``TRAIN_ROWS`` labels, drawn by a hash of the id, and at most twice
-as many texts where ids repeat. At most ``MOST_STEMS`` stems are kept, by weight. Stems
+Training uses at most ``TRAIN_ROWS`` labels, those with the least hashes of the id, and of
+texts that share an id one; its rows are dealt over many tasks. At most ``MOST_STEMS`` stems are kept, by weight. Stems
 and the logistic function are learned crosswise on two halves, so weights are judged on
 rows that they don't come from; the final stems use both. Rows without a label, with a
 null id or with several labels (the larger counts) are defined so; null and empty texts
@@ -36,6 +36,8 @@ from sparkgauge.llm.common import add_columns, column, stored
 
 TRAIN_ROWS = 20_000
 MOST_STEMS = 4_000
+#: Stems that a task holds before it sends their counts on.
+HELD_STEMS = 200_000
 #: Pseudo-rows of the average kind behind each stem, and the least weight of a stem.
 PRIOR_ROWS = 10.0
 LEAST_WEIGHT = 1.2
@@ -230,17 +232,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
             .filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     total = told.count()
-    share = min(1 << 30, (rows << 30) // max(1, total))
-    drawn = told.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(rows)
+    share = min(1 << 30, int((rows * 1.1 + 100) * (1 << 30)) // max(1, total))
+    drawn = told.withColumn("draw", F.xxhash64("doc_id")).filter(F.pmod("draw", F.lit(1 << 30)) < share)
+    drawn = drawn.orderBy(F.pmod("draw", F.lit(1 << 30)), "draw").limit(rows).drop("draw")
     drawn = drawn.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     texts = docs.select(column(doc_id).alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").limit(2 * rows).select("text", "toxic", "half")
+    one = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"), F.first("half").alias("half"))
+    # As many tasks as the shuffle has: the texts are few, but reading their stems is not cheap.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return one.repartition(tasks, "doc_id").select("text", "toxic", "half")
 
 
 def stem_counts(rows: DataFrame) -> DataFrame:
     """(stem, half, bad, good): labelled rows of each kind in which a word or stem occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], Counter] = {(h, t): Counter() for h in (0, 1) for t in (0, 1)}
+        def out(seen: dict[tuple[int, int], Counter]) -> Iterator[pa.RecordBatch]:
+            for half in (0, 1):
+                bad, good = seen[half, 1], seen[half, 0]
+                names = [*bad, *[s for s in good if s not in bad]]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([half] * len(names), pa.int32()),
+                                                  pa.array([bad[s] for s in names], pa.int64()), pa.array([good[s] for s in names], pa.int64())],
+                                                 ["stem", "half", "bad", "good"])
+
+        fresh = lambda: {(h, t): Counter() for h in (0, 1) for t in (0, 1)}
+        seen = fresh()
         for batch in batches:
             for row in batch.to_pylist():
                 found: set[str] = set()
@@ -248,16 +264,10 @@ def stem_counts(rows: DataFrame) -> DataFrame:
                     if len(w) > 2 and w not in CLASSES:
                         found.update(features_of(w) if len(w) <= 40 else features_of(w)[1:])
                 seen[row["half"], row["toxic"]].update(found)
-        for half in (0, 1):
-            bad, good = seen[half, 1], seen[half, 0]
-            names = [s for s in bad]  # a stem without a bad row can't get a positive weight
-            others = [s for s in good if s not in bad]
-            names += others
-            for at in range(0, len(names), 100_000):
-                part = names[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([half] * len(part), pa.int32()),
-                                                  pa.array([bad[s] for s in part], pa.int64()), pa.array([good[s] for s in part], pa.int64())],
-                                                 ["stem", "half", "bad", "good"])
+                if sum(map(len, seen.values())) > HELD_STEMS:
+                    yield from out(seen)
+                    seen = fresh()
+        yield from out(seen)
 
     counted = rows.mapInArrow(count, "stem string, half int, bad long, good long")
     return counted.groupBy("stem", "half").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))

@@ -220,6 +220,23 @@ def topk_long_text(spark, sf):
     return top.groupBy("count").agg(F.count_distinct("value").alias("texts"))
 
 
+@register("topk_text_values", """WITH c AS (SELECT text, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, text) AS rn FROM documents WHERE text IS NOT NULL GROUP BY text)
+SELECT CAST(rn AS INTEGER) AS rank, sha256(text) AS text_sha256, count FROM c WHERE rn <= 40""")
+def topk_text_values(spark, sf):
+    """The texts themselves, most of which tie at one copy and are then in ascending order."""
+    top = frequencies.top_values(table(spark, sf, "documents"), ["text"], 40)
+    return top.select("rank", F.sha2("value", 256).alias("text_sha256"), "count")
+
+
+@register("topk_many_values", f"""WITH l AS ({long_sql('lineitem', ('l_orderkey', 'l_extendedprice', 'l_partkey'), 'VARCHAR').replace('CAST(l_extendedprice AS VARCHAR)', 'CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)')}) {{TOP}}
+SELECT column_name, CAST(rn AS INTEGER) AS rank, value, count FROM r WHERE rn <= 15""".replace("{TOP}", TOP))
+def topk_many_values(spark, sf):
+    """Columns with very many values, whose counts are near each other."""
+    line = table(spark, sf, "lineitem")
+    texts = line.select(F.col("l_orderkey").cast("string"), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string").alias("l_extendedprice"), F.col("l_partkey").cast("string"))
+    return frequencies.top_values(texts, k=15).drop("percentage")
+
+
 @register("all_null_table", f"""WITH {DIRTY}, l AS ({long_sql('dirty', DIRTY_COLUMNS, 'VARCHAR')})
 SELECT (SELECT count(*) FROM dirty) AS row_count, count(value) AS present_cells, count(value) = 0 AS all_null FROM l""")
 def all_null_table(spark, sf):

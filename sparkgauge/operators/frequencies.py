@@ -11,9 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from sparkgauge.operators import heavy
 from sparkgauge.functions.cells import boolean_mask, nan_to_null, to_timestamp
 from sparkgauge.operators.shape import FRACTIONAL, as_double, as_text, col_of, fields, long_form, numeric_columns, other_columns
-from sparkgauge.session import pin
 
 KEY_LIMIT = 64
 
@@ -170,49 +170,9 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def _ordered_key(text: Column) -> Column:
-    """Like the digest, but led by the first characters, so keys sort by value."""
-    return F.when(F.char_length(text) <= KEY_LIMIT, text).otherwise(
-        F.when(text.isNotNull(), F.concat(F.substring(text, 1, KEY_LIMIT), _digest(text)))
-    )
-
-
-def _texts_of(df: DataFrame, columns: Sequence[str], keys: DataFrame) -> DataFrame:
-    """(column_name, key, full): the texts behind a few long keys, looked up where they are stored.
-
-    The keys are the winners and what ties with the last of them; copies collapse inside each task.
-    """
-    long = long_form(df, {f.name: as_text(f) for f in fields(df, columns)})
-    found = long.filter(F.char_length("value") > KEY_LIMIT).withColumn("key", _ordered_key(F.col("value")))
-    hits = found.join(keys, ["column_name", "key"], "left_semi")
-    return hits.groupBy("column_name", "key").agg(F.any_value("value").alias("full"))
-
-
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
-    """(column_name, rank, value, count, percentage of all rows); ties in ascending value order.
-
-    The result is a selection, the k most frequent values. Long texts are counted and
-    ranked by a key of bounded size. The winners, and what ties with them in count and
-    in the first ``KEY_LIMIT`` characters, are read again and ordered in full.
-    """
-    chosen = list(columns) if columns is not None else other_columns(df)
-    keyed = long_form(df, {f.name: _ordered_key(as_text(f)) for f in fields(df, chosen)}).withColumnRenamed("value", "key")
-    freq = keyed.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("count"))
-    rows = freq.groupBy("column_name").agg(F.sum("count").alias("rows"))
-    lead = Window.partitionBy("column_name").orderBy(F.desc("count"), F.substring("key", 1, KEY_LIMIT))
-    tied = freq.filter(F.col("key").isNotNull()).withColumn("rank", F.rank().over(lead)).filter(F.col("rank") <= k).drop("rank")
-    top = pin(tied.join(F.broadcast(rows), "column_name"))  # rows: one for each column
-    long_keys = top.filter(F.char_length("key") > KEY_LIMIT).select("column_name", "key")
-    value = F.col("key")
-    if not long_keys.isEmpty():
-        with_text = sorted(r["column_name"] for r in long_keys.select("column_name").distinct().collect())
-        top = top.join(_texts_of(df, with_text, long_keys), ["column_name", "key"], "left")
-        value = F.coalesce("full", "key")
-    top = top_per_group(top.withColumn("key", value), ["column_name"], [F.desc("count"), F.asc("key")], k)
-    value = F.col("key")
-    return top.select(
-        "column_name", "rank", value.alias("value"), "count", F.round(F.col("count") / F.col("rows") * 100, 2).alias("percentage")
-    )
+    """(column_name, rank, value, count, percentage of all rows); ties in ascending value order (see ``heavy``)."""
+    return heavy.top_values(df, list(columns) if columns is not None else other_columns(df), k)
 
 
 def text_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Value frequencies: distinct counts, modes and most frequent values.
 
-All three come from one (column, value, n) aggregate. Copies of a value are
-combined inside each map task, so a value that fills a third of the table
-crosses the shuffle once per task.
+Numbers are counted in their own type by one (column, value, n) aggregate for each type,
+which distinct counts and modes share. Texts and all else go through the sketches of
+``heavy``: one scan, and no value in a shuffle but those of columns with very many, as hashes.
 """
 
 from __future__ import annotations
@@ -11,111 +11,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from sparkgauge.functions.cells import nan_to_null
 from sparkgauge.operators import heavy
-from sparkgauge.functions.cells import boolean_mask, nan_to_null, to_timestamp
 from sparkgauge.operators.shape import FRACTIONAL, as_double, as_text, col_of, fields, long_form, numeric_columns, other_columns
 
-KEY_LIMIT = 64
-
-
-def _digest(text: Column) -> Column:
-    """Short text as it is, long text as what the value facts need of it and its SHA-256, so a document shuffles as one key.
-
-    The digest form holds the length, the boolean bit and whether the text is a date. It
-    is longer than ``KEY_LIMIT``, so it never meets a short value.
-    """
-    is_date = to_timestamp(text).isNotNull().cast("int")
-    long_key = F.concat(F.lit("#"), F.concat_ws(":", *(c.cast("string") for c in (F.char_length(text), boolean_mask(text), is_date)), F.sha2(text, 256)))
-    return F.when(F.char_length(text) <= KEY_LIMIT, text).otherwise(F.when(text.isNotNull(), long_key))
-
-
-def _family(field: T.StructField) -> str:
-    if isinstance(field.dataType, T.IntegralType):
-        return "integral"
-    if isinstance(field.dataType, FRACTIONAL):
-        return "fractional"
-    return "text"
-
-
-def _keys(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
-    """One long frame per value family, so that no value changes type on the way to its key."""
-    families: dict[str, dict[str, Column]] = {}
-    for f in fields(df, columns):
-        family = _family(f)
-        if family == "integral":
-            key = col_of(f.name).cast("bigint")
-        elif family == "fractional":
-            key = nan_to_null(col_of(f.name).cast("double"))
-        else:
-            key = _digest(as_text(f))
-        families.setdefault(family, {})[f.name] = key
-    return [long_form(df, keys) for keys in families.values()]
-
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """(column_name, row_count, distinct_count) of non-null values.
 
-    ``exact=False`` reads a mergeable sketch of fixed size per column instead of
-    shuffling the distinct values.
+    ``exact=False`` reads a mergeable sketch of fixed size per column and counts nothing in full.
     """
     chosen = list(columns) if columns is not None else df.columns
-    parts = []
-    for long in _keys(df, chosen):
-        if exact:
-            freq = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-            parts.append(
-                freq.groupBy("column_name").agg(
-                    F.sum("n").alias("row_count"), F.count("value").alias("distinct_count")
-                )
-            )
-        else:
-            value = F.col("value")
-            if not isinstance(long.schema["value"].dataType, T.StringType):
-                value = value.cast("string")
-            parts.append(
-                long.groupBy("column_name").agg(
-                    F.count(F.lit(1)).alias("row_count"),
-                    F.hll_sketch_estimate(F.hll_sketch_agg(value, 14)).alias("distinct_count"),
-                )
-            )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    if exact:
+        return value_facts(df, chosen).select("column_name", "row_count", "distinct_count")
+    values = {f.name: nan_to_null(col_of(f.name)).cast("string") if isinstance(f.dataType, FRACTIONAL) else as_text(f) for f in fields(df, chosen)}
+    return long_form(df, values).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("row_count"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col("value"), 14)).alias("distinct_count"))
 
 
-def value_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """All value facts of the columns from one pass over their frequencies.
+def value_facts(df: DataFrame, columns: Sequence[str] | None = None, counted: heavy.Counted | None = None, numbers: DataFrame | None = None) -> DataFrame:
+    """All value facts of the columns.
 
-    (column_name, row_count, null_count, distinct_count, avg_length, all_dates,
-    boolean_pair). Length, date and boolean tests look at each distinct value
-    once, of long texts before they become digests.
+    (column_name, row_count, null_count, distinct_count, avg_length, all_dates, boolean_pair).
+    ``counted`` and ``numbers`` are those of ``heavy.count_values`` and ``numeric_value_facts`` if they are there already.
     """
-    chosen = list(columns) if columns is not None else df.columns
+    chosen = set(columns if columns is not None else df.columns)
+    nums, others = ([c for c in names(df) if c in chosen] for names in (numeric_columns, other_columns))
     parts = []
-    for long in _keys(df, chosen):
-        freq = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-        v, n = F.col("value"), F.col("n")
-        if isinstance(long.schema["value"].dataType, T.StringType):
-            is_digest = F.char_length(v) > KEY_LIMIT
-            held = lambda i: F.regexp_extract(v, r"^#(\d+):(\d+):(\d+):", i).try_cast("bigint")
-            length = F.when(is_digest, held(1)).otherwise(F.char_length(v))
-            bits = F.when(is_digest, held(2)).otherwise(boolean_mask(v))
-            is_date = F.when(is_digest, held(3) == 1).otherwise(to_timestamp(F.when(~is_digest, v)).isNotNull())
-            dates = (F.count(v) > 0) & (F.count_if(is_date & v.isNotNull()) == F.count(v))
-            facts = [
-                (F.sum(length * n) / F.sum(F.when(v.isNotNull(), n))).alias("avg_length"), dates.alias("all_dates"),
-                (F.coalesce(F.bit_and(F.when(v.isNotNull(), bits)), F.lit(0)) != 0).alias("boolean_pair"),
-            ]
-        else:
-            pair = (F.min(v) == 0) & (F.max(v) == 1)
-            facts = [F.lit(None).cast("double").alias("avg_length"), F.lit(False).alias("all_dates"), F.coalesce(pair, F.lit(False)).alias("boolean_pair")]
-        parts.append(
-            freq.groupBy("column_name").agg(
-                F.sum(n).alias("row_count"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
-                F.count(v).alias("distinct_count"), *facts,
-            )
-        )
+    if nums:
+        numbers = numeric_value_facts(df, nums) if numbers is None else numbers
+        parts.append(numbers.select("column_name", "row_count", "null_count", "distinct_count", F.lit(None).cast("double").alias("avg_length"),
+                                    F.lit(False).alias("all_dates"), "boolean_pair").filter("row_count > 0"))
+    if others:
+        parts.append(heavy.text_facts(heavy.count_values(df, others) if counted is None else counted))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -134,10 +62,10 @@ def unique_ratio(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
 
 
 def numeric_value_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, distinct_count, mode, mode_text, mode_count) of non-null values; the smallest value wins a tie.
+    """(column_name, row_count, null_count, distinct_count, boolean_pair, mode, mode_text, mode_count); the smallest value wins a tie.
 
     Values are counted and compared in their own type: integers as bigint, decimals in
-    their scale. ``mode`` is the mode as a double, ``mode_text`` the exact value.
+    their scale. ``mode`` is the mode as a double, ``mode_text`` the exact value; both are null without a value.
     """
     chosen = list(columns) if columns is not None else numeric_columns(df)
     kinds: dict[str, list[T.StructField]] = {}
@@ -147,12 +75,15 @@ def numeric_value_facts(df: DataFrame, columns: Sequence[str] | None = None) ->
     parts = []
     for kind, group in kinds.items():
         long = long_form(df, {f.name: as_double(f) if kind == "double" else col_of(f.name).cast(kind) for f in group})
-        freq = long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        freq = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        v, n = F.col("value"), F.col("n")
         # Greatest count first, then the smallest value; only the count is negated.
-        best = F.min(F.struct((-F.col("n")).alias("fewer"), F.col("value"))).alias("best")
-        facts = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"), best)
+        best = F.min(F.when(v.isNotNull(), F.struct((-n).alias("fewer"), v))).alias("best")
+        facts = freq.groupBy("column_name").agg(
+            F.sum(n).alias("row_count"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"), F.count(v).alias("distinct_count"),
+            F.coalesce((F.min(v) == 0) & (F.max(v) == 1), F.lit(False)).alias("boolean_pair"), best)
         mode = F.col("best.value")
-        parts.append(facts.select("column_name", "distinct_count", (mode.cast("double") + F.lit(0.0)).alias("mode"),
+        parts.append(facts.select("column_name", "row_count", "null_count", "distinct_count", "boolean_pair", (mode.cast("double") + F.lit(0.0)).alias("mode"),
                                   mode.cast("string").alias("mode_text"), (-F.col("best.fewer")).alias("mode_count")))
     result = parts[0]
     for part in parts[1:]:
@@ -161,7 +92,7 @@ def numeric_value_facts(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def numeric_modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return numeric_value_facts(df, columns).select("column_name", "mode", "mode_text", "mode_count")
+    return numeric_value_facts(df, columns).filter("mode_count is not null").select("column_name", "mode", "mode_text", "mode_count")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -170,9 +101,9 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10, counted: heavy.Counted | None = None) -> DataFrame:
     """(column_name, rank, value, count, percentage of all rows); ties in ascending value order (see ``heavy``)."""
-    return heavy.top_values(df, list(columns) if columns is not None else other_columns(df), k)
+    return heavy.top_values(df, list(columns) if columns is not None else other_columns(df), k, counted)
 
 
 def text_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

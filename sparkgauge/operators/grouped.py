@@ -7,30 +7,20 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkgauge.operators.frequencies import distinct_counts
+from sparkgauge.operators import heavy
 from sparkgauge.operators.joint import joint_counts, joint_moments
 from sparkgauge.operators.shape import as_double, as_text, fields, numeric_columns, other_columns
 from sparkgauge.session import small_frame
 
 MAX_CATEGORIES = 10
-SURELY_MANY = 1_000
 
 
 def category_columns(df: DataFrame, columns: Sequence[str] | None = None, most: int = MAX_CATEGORIES) -> dict[str, int]:
-    """Non-numeric columns with 2 to ``most`` values, and their distinct counts.
-
-    A sketch of fixed size first rules out columns with very many values; only
-    the rest is counted exactly, over few distinct values.
-    """
+    """Non-numeric columns with 2 to ``most`` values, and their distinct counts; one scan, in which no value is shuffled."""
     chosen = list(columns) if columns is not None else other_columns(df)
-    if not chosen:
-        return {}
-    rough = distinct_counts(df, chosen, exact=False).filter(F.col("distinct_count") <= SURELY_MANY)
-    few = {r["column_name"] for r in rough.select("column_name").collect()}
-    if not few:
-        return {}
-    exact = distinct_counts(df, [c for c in chosen if c in few]).filter(F.col("distinct_count").between(2, most))
-    counts = {r["column_name"]: r["distinct_count"] for r in exact.collect()}
+    counted = heavy.count_values(df, chosen)
+    few = counted.counts.filter(F.col("column_name").isin(counted.few())).groupBy("column_name").agg(F.count(F.lit(1)).alias("k"))
+    counts = {r["column_name"]: r["k"] for r in few.filter(F.col("k").between(2, most)).collect()}
     return {c: counts[c] for c in chosen if c in counts}
 
 

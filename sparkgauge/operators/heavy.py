@@ -23,15 +23,19 @@ that tie with each other up to there are looked at in full.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkgauge.functions.cells import boolean_mask, is_datetime_text, to_timestamp
 from sparkgauge.operators.shape import as_text, fields, long_form
-from sparkgauge.session import cut_lineage, pin
+from sparkgauge.session import cut_lineage, pin, small_frame
 
 KEY_LIMIT = 64
+#: Characters of the longest text that can be a date or a boolean.
+LONGEST_FACT = 100
 #: Values that a task counts for each column, and those it sends on if some were missed.
 HELD, SENT = 1 << 15, 1 << 11
 #: Values of a column that are counted again one by one, and long texts that are fetched to order them.
@@ -39,8 +43,23 @@ MOST_CANDIDATES, MOST_FETCHED = 20_000, 200
 
 
 def value_key(text: Column) -> Column:
-    """Short text as it is; long text as its first characters, which keep its place in the order, and its SHA-256."""
-    return F.when(F.char_length(text) <= KEY_LIMIT, text).otherwise(F.when(text.isNotNull(), F.concat(F.substring(text, 1, KEY_LIMIT), F.sha2(text, 256))))
+    """Short text as it is; long text as its first characters, which keep its place in the order, its SHA-256 and its value facts."""
+    return F.when(F.char_length(text) <= KEY_LIMIT, text).otherwise(
+        F.when(text.isNotNull(), F.concat(F.substring(text, 1, KEY_LIMIT), F.sha2(text, 256), *[F.concat(F.lit(":"), x.cast("string")) for x in _facts(text)])))
+
+
+def _facts(text: Column) -> tuple[Column, Column]:
+    """Whether a text is a date, and its boolean bit; no text that is long without its outer blanks is either."""
+    short = F.when(F.char_length(F.trim(text)) <= LONGEST_FACT, text)
+    return to_timestamp(short).isNotNull().cast("int"), F.coalesce(boolean_mask(short), F.lit(0))
+
+
+def key_facts(key: Column) -> tuple[Column, Column]:
+    """The same from a key."""
+    long = F.char_length(key) > KEY_LIMIT
+    short = F.when(~long, key)
+    held = lambda i: F.element_at(F.split(key, ":"), i).cast("int")
+    return F.when(long, held(-2)).otherwise(to_timestamp(short).isNotNull().cast("int")), F.when(long, held(-1)).otherwise(boolean_mask(short))
 
 
 class Sketch:
@@ -48,15 +67,19 @@ class Sketch:
 
     def __init__(self, held: int = HELD, sent: int = SENT):
         self.counts: dict[str, int] = {}
-        self.missed = self.rows = 0
+        self.missed = self.rows = self.chars = 0
+        self.example: str | None = None
         self.most_held, self.most_sent = held, sent
 
-    def add(self, column: pa.Array) -> None:
+    def add(self, column: pa.Array, lengths: pa.Array | None = None) -> None:
         self.rows += len(column)
+        self.chars += (pc.sum(lengths).as_py() or 0) if lengths is not None else 0
         found = pc.value_counts(column.drop_null())
-        counts = self.counts
-        for value, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist()):
+        counts, values = self.counts, found.field(0).to_pylist()
+        for value, n in zip(values, found.field(1).to_pylist()):
             counts[value] = counts.get(value, 0) + n
+        if self.example is None and values:
+            self.example = values[0]
         if len(counts) > self.most_held:
             middle = sorted(counts.values(), reverse=True)[self.most_held // 2]
             self.counts = {value: n - middle for value, n in counts.items() if n > middle}
@@ -70,25 +93,103 @@ class Sketch:
         return ordered[:self.most_sent], self.missed + ordered[self.most_sent][1]
 
 
-def sketched(keys: DataFrame) -> DataFrame:
-    """(column_ix, key, n, missed, rows) of a frame of keys: one row with a null key for each column, and its counted values."""
-    width, held, sent = len(keys.columns), HELD, SENT
+STATE = "column_ix int, key string, n bigint, missed bigint, rows bigint, chars bigint, example string"
+
+
+def sketched(keys: DataFrame, width: int) -> DataFrame:
+    """The sketches of ``width`` columns of keys, which their lengths may follow.
+
+    One row with a null key for each column has its totals and one of its values; the others have counts of values.
+    """
+    held, sent = HELD, SENT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = [Sketch(held, sent) for _ in range(width)]
         for batch in batches:
-            for sketch, column in zip(sketches, batch.columns):
-                sketch.add(column)
+            for i, sketch in enumerate(sketches):
+                sketch.add(batch.column(i), batch.column(width + i) if batch.num_columns > width else None)
         for i, sketch in enumerate(sketches):
             counts, missed = sketch.sent()
             size = len(counts) + 1
-            zeros = [0] * (size - 1)
+            first = lambda x: pa.array([x] + [0] * (size - 1), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i] * size, pa.int32()), pa.array([None, *[v for v, _ in counts]], pa.string()), pa.array([0, *[n for _, n in counts]], pa.int64()),
-                 pa.array([missed, *zeros], pa.int64()), pa.array([sketch.rows, *zeros], pa.int64())], ["column_ix", "key", "n", "missed", "rows"])
+                 first(missed), first(sketch.rows), first(sketch.chars), pa.array([sketch.example] + [None] * (size - 1), pa.string())],
+                ["column_ix", "key", "n", "missed", "rows", "chars", "example"])
+
+    states = keys.mapInArrow(count, STATE)
+    return states.groupBy("column_ix", "key").agg(*[F.sum(c).alias(c) for c in ("n", "missed", "rows", "chars")], F.min("example").alias("example"))
+
+
+@dataclass
+class Counted:
+    """One scan's sketches of a table's columns, which value facts, modes and top values all read; and the hash counts of columns with too many values for one."""
 
-    states = keys.mapInArrow(count, "column_ix int, key string, n bigint, missed bigint, rows bigint")
-    return states.groupBy("column_ix", "key").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed"), F.sum("rows").alias("rows"))
+    df: DataFrame
+    names: list[str]
+    counts: DataFrame  # column_name, key, n
+    totals: dict[str, dict]  # of each column: missed, rows, chars, example
+    hashes: DataFrame | None  # column_name, h, g, n
+
+    def few(self) -> list[str]:
+        return [c for c in self.names if c in self.totals and not self.totals[c]["missed"]]
+
+    def many(self) -> list[str]:
+        return [c for c in self.names if c in self.totals and self.totals[c]["missed"]]
+
+    def hashed(self) -> DataFrame:
+        """All present values of the columns with many, counted by 128 bits; stored once."""
+        if self.hashes is None:
+            chosen = fields(self.df, self.many())
+            long = long_form(self.df, {f.name: value_key(as_text(f)) for f in chosen}).filter(F.col("value").isNotNull())
+            digests = (F.xxhash64("value").alias("h"), F.xxhash64(F.lit(1), "value").alias("g"))
+            self.hashes = cut_lineage(long.select("column_name", *digests).groupBy("column_name", "h", "g").agg(F.count(F.lit(1)).alias("n")))
+        return self.hashes
+
+
+def count_values(df: DataFrame, names: Sequence[str]) -> Counted:
+    """Sketch the columns in one scan."""
+    chosen, schema = fields(df, names), "column_name string, key string, n bigint"
+    if not chosen:
+        return Counted(df, [], df.sparkSession.createDataFrame([], schema), {}, None)
+    keys = df.select(*[value_key(as_text(f)).alias(f"c{i}") for i, f in enumerate(chosen)], *[F.char_length(as_text(f)).alias(f"l{i}") for i, f in enumerate(chosen)])
+    sketch = pin(sketched(keys, len(chosen)))
+    totals = {names[r["column_ix"]]: r.asDict() for r in sketch.filter(F.col("key").isNull()).collect()}
+    counts = sketch.filter(F.col("key").isNotNull()).select(F.get(F.lit(list(names)), F.col("column_ix")).alias("column_name"), "key", "n")
+    return Counted(df, list(names), counts, totals, None)
+
+
+def distinct(counted: Counted) -> DataFrame:
+    """(column_name, distinct_count, present) of all columns that have rows; exact."""
+    found = counted.counts.filter(F.col("column_name").isin(counted.few())).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("present"))
+    if counted.many():
+        found = found.unionByName(counted.hashed().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("present")))
+    return found
+
+
+def text_facts(counted: Counted) -> DataFrame:
+    """(column_name, row_count, null_count, distinct_count, avg_length, all_dates, boolean_pair) of the columns.
+
+    Dates and booleans are looked for among the distinct values of a column with few. Of one with many, which is
+    no boolean pair, all values are read only if one of them is a date.
+    """
+    spark, many = counted.df.sparkSession, counted.many()
+    is_date, mask = key_facts(F.col("key"))
+    small = counted.counts.filter(F.col("column_name").isin(counted.few())).groupBy("column_name").agg(
+        (F.min(is_date) == 1).alias("all_dates"), (F.bit_and(mask) != 0).alias("boolean_pair"))
+    example = small_frame(spark, [(c, counted.totals[c]["example"]) for c in many], "column_name string, key string")
+    maybe = [r["column_name"] for r in example.filter(is_date == 1).collect()] if many else []
+    tests = small.unionByName(small_frame(spark, [(c, False, False) for c in many if c not in maybe], "column_name string, all_dates boolean, boolean_pair boolean"))
+    if maybe:
+        long = long_form(counted.df, {f.name: as_text(f) for f in fields(counted.df, maybe)})
+        tests = tests.unionByName(long.groupBy("column_name").agg(is_datetime_text(F.col("value")).alias("all_dates"), F.lit(False).alias("boolean_pair")))
+    totals = small_frame(spark, [(c, t["rows"], t["chars"]) for c, t in counted.totals.items()], "column_name string, row_count bigint, chars bigint")
+    told = totals.join(F.broadcast(distinct(counted)), "column_name", "left").join(F.broadcast(tests), "column_name", "left")
+    present = F.coalesce("present", F.lit(0))
+    return told.filter("row_count > 0").select(
+        "column_name", "row_count", (F.col("row_count") - present).alias("null_count"), F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count"),
+        F.when(present > 0, F.col("chars") / present).alias("avg_length"), F.coalesce("all_dates", F.lit(False)).alias("all_dates"),
+        F.coalesce("boolean_pair", F.lit(False)).alias("boolean_pair"))
 
 
 def _kth(counts: DataFrame, group: str, k: int) -> dict:
@@ -185,10 +286,8 @@ def _crowded(df: DataFrame, name: str, hashes: DataFrame, k: int, limit: int) ->
     return found if lower is None or found.count() >= k else _crowded(df, name, hashes, k, lower)
 
 
-def _by_hashes(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
-    """(column_name, rank, value, n) by counting all values as hashes."""
-    present = long_form(df, {f.name: F.when(as_text(f).isNotNull(), F.xxhash64(value_key(as_text(f)))) for f in fields(df, names)}).filter(F.col("value").isNotNull())
-    hashes = cut_lineage(present.groupBy("column_name", F.col("value").alias("h")).agg(F.count(F.lit(1)).alias("n")))
+def _by_hashes(df: DataFrame, names: Sequence[str], hashes: DataFrame, k: int) -> DataFrame:
+    """(column_name, rank, value, n) from the counts of all values as hashes (column_name, h, n)."""
     limits, result, open_ = _kth(hashes, "column_name", k), None, list(names)
     while open_:
         chosen = F.lit(False)
@@ -214,39 +313,35 @@ def _by_hashes(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     return result.withColumn("rank", nth).filter(F.col("rank") <= k).select("column_name", "rank", "value", "n")
 
 
-def top_values(df: DataFrame, names: Sequence[str], k: int = 10) -> DataFrame:
+def top_values(df: DataFrame, names: Sequence[str], k: int = 10, counted: Counted | None = None) -> DataFrame:
     """(column_name, rank, value, count, percentage of all rows); ties in ascending value order.
 
     The result is a selection, the k most frequent values of each column; it is exact.
     """
     spark = df.sparkSession
-    keys = df.select(*[value_key(as_text(f)).alias(f"c{i}") for i, f in enumerate(fields(df, names))])
-    sketch = pin(sketched(keys))
-    facts = {r["column_ix"]: r for r in sketch.filter(F.col("key").isNull()).collect()}
-    counts = sketch.filter(F.col("key").isNotNull()).select("column_ix", "key", "n")
-    missed = {i: r["missed"] for i, r in facts.items()}
-    exact, maybe = [i for i in missed if not missed[i]], [i for i in missed if missed[i]]
-    limit = _kth(counts.filter(F.col("column_ix").isin(maybe)), "column_ix", k) if maybe else {}
-    proven = [i for i in maybe if missed[i] < limit.get(i, 0)]
-    column = F.get(F.lit(list(names)), F.col("column_ix")).alias("column_name")
+    counted = count_values(df, names) if counted is None else counted
+    counts, name, missed = counted.counts, F.col("column_name"), {c: counted.totals[c]["missed"] for c in counted.many()}
+    limit = _kth(counts.filter(name.isin(counted.many())), "column_name", k) if missed else {}
+    proven = [c for c in missed if missed[c] < limit.get(c, 0)]
     parts = []
-    if exact:
-        parts.append(_first(df, counts.filter(F.col("column_ix").isin(exact)).select(column, "key", "n"), k))
+    if counted.few():
+        parts.append(_first(df, counts.filter(name.isin(counted.few())), k))
     if proven:
         chosen = F.lit(False)
-        for i in proven:
-            chosen = chosen | ((F.col("column_ix") == i) & (F.col("n") + missed[i] >= limit[i]))
+        for c in proven:
+            chosen = chosen | ((name == c) & (F.col("n") + missed[c] >= limit[c]))
         candidates = counts.filter(chosen)
-        sizes = {r["column_ix"]: r["size"] for r in candidates.groupBy("column_ix").agg(F.count(F.lit(1)).alias("size")).collect()}
-        proven = [i for i in proven if sizes.get(i, 0) <= MOST_CANDIDATES]
+        sizes = {r["column_name"]: r["size"] for r in candidates.groupBy("column_name").agg(F.count(F.lit(1)).alias("size")).collect()}
+        proven = [c for c in proven if sizes.get(c, 0) <= MOST_CANDIDATES]
     if proven:
-        wanted = candidates.filter(F.col("column_ix").isin(proven)).select(column, F.xxhash64("key").alias("h"))
-        parts.append(_first(df, pin(_recounted(df, [names[i] for i in proven], wanted)), k))
-    rest = [names[i] for i in maybe if i not in proven]
+        wanted = candidates.filter(name.isin(proven)).select("column_name", F.xxhash64("key").alias("h"))
+        parts.append(_first(df, pin(_recounted(df, proven, wanted)), k))
+    rest = [c for c in missed if c not in proven]
     if rest:
-        parts.append(_by_hashes(df, rest, k))
+        hashes = counted.hashed().filter(name.isin(rest)).groupBy("column_name", "h").agg(F.sum("n").alias("n"))
+        parts.append(_by_hashes(df, rest, cut_lineage(hashes), k))
     top = spark.createDataFrame([], "column_name string, rank int, value string, n bigint")
     for part in parts:
         top = top.unionByName(part)
-    rows = max([r["rows"] for r in facts.values()], default=0)
+    rows = max([x["rows"] for x in counted.totals.values()], default=0)
     return top.select("column_name", "rank", "value", F.col("n").alias("count"), F.round(F.col("n") / F.lit(rows) * 100, 2).alias("percentage"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkgauge.operators.correlation import correlated_pairs, multicollinearity, strong_correlations
 from sparkgauge.operators.duplicates import duplicate_count
-from sparkgauge.operators.frequencies import numeric_value_facts, top_values
+from sparkgauge.operators.frequencies import numeric_value_facts, top_values, value_facts
 from sparkgauge.operators.grouped import MAX_CATEGORIES
+from sparkgauge.operators.heavy import count_values
 from sparkgauge.operators.hypothesis import hypothesis_tests, normality
 from sparkgauge.operators.moments import column_moments
 from sparkgauge.operators.outliers import iqr_outliers
@@ -34,6 +35,7 @@ def numeric_profile(
     columns: Sequence[str] | None = None,
     quantiles: dict[str, list[float]] | None = None,
     moments: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per numeric column with a value: counts, moments, mode, percentiles and outliers."""
     chosen = list(columns) if columns is not None else numeric_columns(df)
@@ -44,14 +46,14 @@ def numeric_profile(
             lambda: pin(numeric_value_facts(df, chosen)),
         )
     else:
-        facts = numeric_value_facts(df, chosen)
+        facts = facts if facts is not None else numeric_value_facts(df, chosen)
         moments = moments if moments is not None else column_moments(df, chosen)
     marks = small_frame(df.sparkSession, [(c, *v) for c, v in quantiles.items()], NUMERIC_SCHEMA)
     outliers = iqr_outliers(df, chosen, {c: [v[1], v[3]] for c, v in quantiles.items()})
     joined = (
         moments.join(F.broadcast(marks), "column_name")
         .join(outliers.select("column_name", "outliers_count", "outliers_share", "outliers_pct"), "column_name")
-        .join(facts, "column_name")
+        .join(facts.select("column_name", "distinct_count", "mode"), "column_name")
     )
     return joined.select(
         "column_name", "row_count", "n", (F.col("row_count") - F.col("n")).alias("null_count"), "distinct_count",
@@ -98,12 +100,17 @@ def profile_table(df: DataFrame, most_tests: int | None = None, exact: bool = Tr
     """
     spark = df.sparkSession
     nums, others = numeric_columns(df), other_columns(df)
-    schema, duplicates, moments, quantiles, top = at_once(
-        lambda: pin(schema_profile(df, exact)),
+    # One count of values feeds value facts, modes, top values and the choice of category columns.
+    counted, numbers, duplicates, moments, quantiles = at_once(
+        lambda: count_values(df, others),
+        lambda: pin(numeric_value_facts(df, nums)) if nums else None,
         lambda: pin(duplicate_count(df)),
         lambda: pin(column_moments(df, nums)) if nums else None,
         lambda: quantile_values(df, PROBABILITIES, nums),
-        lambda: pin(top_values(df, others)) if others else small_frame(spark, [], TOP_SCHEMA),
+    )
+    schema, top = at_once(
+        lambda: pin(schema_profile(df, exact, value_facts(df, None, counted, numbers) if exact and df.columns else None)),
+        lambda: pin(top_values(df, others, counted=counted)) if others else small_frame(spark, [], TOP_SCHEMA),
     )
     rows = duplicates.first()["row_count"]
     unique = {r["column_name"]: r["unique_values"] for r in schema.select("column_name", "unique_values").collect()}
@@ -115,7 +122,7 @@ def profile_table(df: DataFrame, most_tests: int | None = None, exact: bool = Tr
         means = {r["column_name"]: r["mean"] for r in varying}
         medians = {c: [v[2]] for c, v in quantiles.items()}
         numeric, pairs, normal, tests = at_once(
-            lambda: pin(numeric_profile(df, present, quantiles, moments.filter(F.col("n") > 0))),
+            lambda: pin(numeric_profile(df, present, quantiles, moments.filter(F.col("n") > 0), numbers)),
             lambda: pin(correlated_pairs(df, None, medians, {c: means[c] for c in nums if c in means})),
             lambda: pin(normality(df, present, moments)),
             lambda: pin(hypothesis_tests(df, most_tests, few if exact else None)),

@@ -49,8 +49,8 @@ def _sketched_facts(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return counts.join(tests, "column_name", "left")
 
 
-def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """(column_ix, column_name, data_type, semantic_type, unique_values, null_count, null_percentage)."""
+def schema_profile(df: DataFrame, exact: bool = True, facts: DataFrame | None = None) -> DataFrame:
+    """(column_ix, column_name, data_type, semantic_type, unique_values, null_count, null_percentage); ``facts`` are the value facts if there already."""
     groups = _families(df)
     name = F.col("column_name")
 
@@ -67,7 +67,8 @@ def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         .when(unique / rows > IDENTIFIER_RATIO, "identifier")
         .otherwise("categorical")
     )
-    facts = value_facts(df) if exact else _sketched_facts(df, groups)
+    if facts is None:
+        facts = value_facts(df) if exact else _sketched_facts(df, groups)
     joined = column_list(df).join(facts, "column_name", "left")
     return joined.select(
         "column_ix", "column_name", "data_type", kind.alias("semantic_type"),

@@ -270,6 +270,53 @@ def findings_tests(spark, sf):
     return notes.findings(profile_table(table(spark, sf, "orders"))).filter("rule_order = 6").select("rule_order", "finding")
 
 
+BANDS = """banded AS (SELECT o_totalprice, CASE WHEN o_totalprice < 150000 THEN 'low' WHEN o_totalprice < 300000 THEN 'mid' ELSE 'high' END AS band,
+CASE WHEN o_totalprice < 200000 THEN 'no' ELSE 'yes' END AS large FROM orders)"""
+
+
+def banded(spark, sf):
+    price = F.col("o_totalprice")
+    return table(spark, sf, "orders").select(price, F.when(price < 150000, "low").when(price < 300000, "mid").otherwise("high").alias("band"), F.when(price < 200000, "no").otherwise("yes").alias("large"))
+
+
+@register("findings_significant", f"""WITH {BANDS}, m AS (SELECT avg(o_totalprice) AS m, count(*) AS n FROM banded),
+g AS (SELECT band, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM banded GROUP BY band),
+a AS (SELECT sum(g.n * power(g.m - m.m, 2)) / (count(*) - 1) / (sum((g.n - 1) * v) / (any_value(m.n) - count(*))) AS f FROM g, m),
+w AS (SELECT abs(max(m) FILTER (WHERE large = 'yes') - max(m) FILTER (WHERE large = 'no')) / sqrt(sum(v / n)) AS t FROM (SELECT large, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM banded GROUP BY large)),
+c AS (SELECT sum(o * o / (r * k)) * any_value(n) - any_value(n) AS chi FROM (SELECT CAST(o AS DOUBLE) AS o, CAST(sum(o) OVER (PARTITION BY band) AS DOUBLE) AS r, CAST(sum(o) OVER (PARTITION BY large) AS DOUBLE) AS k, CAST(sum(o) OVER () AS DOUBLE) AS n FROM (SELECT band, large, count(*) AS o FROM banded GROUP BY ALL)))
+SELECT 6 AS rule_order, 'Hypothesis Test Result (T-Test): The mean of ''o_totalprice'' is significantly different between groups ''no'' and ''yes'' (p < 0.05).' AS finding FROM w WHERE t > 10
+UNION ALL SELECT 6, 'Hypothesis Test Result (ANOVA): There are statistically significant differences between the group means of ''o_totalprice'' across categories of ''band'' (p < 0.05).' FROM a WHERE f > 10
+UNION ALL SELECT 6, 'Hypothesis Test Result (Chi-Square): There is a statistically significant association between ''band'' and ''large'' (p < 0.05).' FROM c WHERE chi > 20""")
+def findings_significant(spark, sf):
+    """Each kind of test with a finding; statistics this far out have p < 0.05 at any size."""
+    return notes.findings(profile_table(banded(spark, sf))).filter("rule_order = 6").select("rule_order", "finding")
+
+
+@register("findings_first", f"""WITH {DIRTY}, g AS (SELECT count(*) AS n, count(*) - count(qty) AS a, count(*) - count(empty) AS b FROM dirty)
+SELECT 1 AS place, 'High missingness in ''qty'': ' || {shown('a * 100.0 / n', 1)} || '% of values are missing. This requires imputation or exclusion to avoid biased estimates.' AS finding FROM g WHERE a * 100.0 / n > 10
+UNION ALL SELECT 2, 'High missingness in ''empty'': ' || {shown('b * 100.0 / n', 1)} || '% of values are missing. This requires imputation or exclusion to avoid biased estimates.' FROM g""")
+def findings_first(spark, sf):
+    """The first two findings, as a caller who asks for two gets them."""
+    return notes.findings(profile_table(dirty(spark, sf)), most=2).select(F.col("place").cast("int").alias("place"), "finding")
+
+
+@register("model_features", f"SELECT column_name, semantic_type FROM ({types_sql('orders')}) WHERE semantic_type IN ('numeric', 'categorical')")
+def model_features(spark, sf):
+    from sparkgauge.plans.recommendations import model_features as features
+
+    return features(schema_profile(table(spark, sf, "orders"))).select("column_name", "semantic_type")
+
+
+@register("report_histograms", " UNION ALL ".join(f"""SELECT '{c}' AS column_name, round(CAST(min({c}) AS DOUBLE), 4) AS low, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q1, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median,
+round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q3, round(CAST(max({c}) AS DOUBLE), 4) AS high FROM orders""" for c in ORDER_NUMBERS))
+def report_histograms(spark, sf):
+    """Five points of each numeric column's distribution, read back from the JSON report."""
+    text = report.json_report(profile_table(table(spark, sf, "orders")), "orders")
+    parts = text.select(F.explode(F.from_json(F.get_json_object("value", "$.column_profiles"), "array<struct<column_name: string, histogram: array<double>>>")).alias("p"))
+    point = lambda i: F.round(F.get("p.histogram", F.lit(i)), 4)
+    return parts.filter(F.size("p.histogram") > 0).select("p.column_name", point(0).alias("low"), point(1).alias("q1"), point(2).alias("median"), point(3).alias("q3"), point(4).alias("high"))
+
+
 @register("risks_opportunities", f"""WITH {ALL_TESTS}, hit AS (SELECT test_name FROM tests WHERE p_value < 0.05 AND test_type <> 'Normality Test' ORDER BY test_type, strpos(test_name, 'priority'), strpos('o_orderkey o_custkey o_totalprice', regexp_extract(test_name, 'vs (\\w+)', 1)) LIMIT 1)
 SELECT 'risk' AS kind, {quote(RISKS['none'])} AS text FROM orders HAVING count(*) >= 30 UNION ALL SELECT 'opportunity', replace({quote(OPPORTUNITIES['associated'])}, '%s', test_name) FROM hit
 UNION ALL SELECT 'opportunity', {quote(OPPORTUNITIES['numeric'])} FROM orders HAVING count(*) >= 30""")

@@ -83,6 +83,58 @@ def encoding_check(spark, sf):
     return found.agg(F.sum("lines").alias("lines"), F.sum("invalid_lines").alias("invalid_lines"))
 
 
+@register("file_headers", """SELECT 'o_orderkey|o_custkey' AS header, 1 AS files, count(*) AS rows FROM orders UNION ALL SELECT 'c_custkey|c_name', 1, count(*) FROM customer""")
+def file_headers(spark, sf):
+    """Files with two different headers below one path, and the rows behind each."""
+    parts = {"orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey", "c_name"]}
+    paths = [sinks.write_csv(table(spark, sf, t).select(*c).coalesce(1), scratch_path(spark, f"{t}-csv"), header="true") for t, c in parts.items()]
+    heads = readers.file_headers(spark, paths).select(F.array_join("header", "|").alias("header"), F.col("files").cast("int").alias("files"))
+    counts = [readers.read_csv(spark, p).agg(F.count(F.lit(1)).alias("rows")).withColumn("header", F.lit("|".join(c))) for p, c in zip(paths, parts.values())]
+    return heads.join(counts[0].unionByName(counts[1]), "header")
+
+
+@register("encoding_violations", "SELECT 'INVALID_ENCODING' AS code, count(*) AS lines, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS invalid_lines FROM orders")
+def encoding_violations(spark, sf):
+    """Lines with bytes that are no UTF-8."""
+    line = F.concat(F.col("o_orderkey").cast("string").cast("binary"), F.when(F.col("o_orderkey") % 5 == 0, F.unhex(F.lit("2CC328"))).otherwise(F.unhex(F.lit("2CC3A4"))))
+    path = scratch_path(spark, "bytes-csv")
+    table(spark, sf, "orders").select(line.cast("string").alias("value")).coalesce(1).write.text(path)
+    found = files.encoding_violations(spark, path).select("code")
+    return found.crossJoin(files.encoding_check(spark, path).agg(F.sum("lines").alias("lines"), F.sum("invalid_lines").alias("invalid_lines")))
+
+
+@register("file_violations", "SELECT code, files FROM (VALUES ('EMPTY_FILE', 1), ('UNSUPPORTED_FILE', 3)) AS v(code, files) WHERE (SELECT count(*) FROM nation) > 2")
+def file_violations(spark, sf):
+    """An empty file and files of another kind, in folders of several levels."""
+    path, nation = scratch_path(spark, "mixed-files"), table(spark, sf, "nation")
+    sinks.write_csv(nation.coalesce(1), f"{path}/good/part=1", header="true")
+    nation.limit(0).select(F.col("n_name").alias("value")).coalesce(1).write.option("header", "false").csv(f"{path}/empty")
+    nation.select(F.col("n_name").alias("value")).repartition(3, "value").write.text(f"{path}/other/deep")
+    return files.file_checks(spark, path).groupBy("code").agg(F.count(F.lit(1)).cast("int").alias("files"))
+
+
+@register("record_violations", """SELECT 'CORRUPTED_FILE' AS code, 'Corrupted CSV structure: ' || count(*) FILTER (WHERE o_orderkey % 7 = 0) || ' record(s) with more cells than the header has.' AS message FROM orders""")
+def record_violations(spark, sf):
+    """Records with too many cells, as a critical violation of the source."""
+    key = F.col("o_orderkey").cast("string")
+    cells = F.when(F.col("o_orderkey") % 7 == 0, F.concat(key, F.lit(",x,9"))).otherwise(F.concat(key, F.lit(",x")))
+    head = spark.createDataFrame([("a,b", 0)], "value string, place int")
+    rows = table(spark, sf, "orders").select(cells.alias("value"), F.lit(1).alias("place"))
+    path = scratch_path(spark, "surplus-csv")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("place").select(F.col("value").alias("v")).write.options(header="false", quote="\u0000").option("sep", "\t").csv(path)
+    return readers.CsvSource(spark).violations(path).select("code", "message")
+
+
+@register("csv_split_scan", f"SELECT doc_id, {QUOTED} || chr(10) || 'x,\"y\"' AS text, lang FROM documents")
+def csv_split_scan(spark, sf):
+    """One file with line breaks in its cells, put together from its lines, which several tasks may read."""
+    docs = table(spark, sf, "documents")
+    quoted = F.concat(F.replace("text", F.lit(" "), F.lit('" ')), F.lit('\nx,"y"'))
+    path = sinks.write_csv(docs.select("doc_id", quoted.alias("text"), "lang").coalesce(1), scratch_path(spark, "quoted-csv"))
+    cells = readers.split_rows(spark, path, ["doc_id", "text", "lang"])
+    return cells.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @register("file_checks", "SELECT 'CORRUPTED_FILE' AS code, 'critical' AS severity FROM orders HAVING count(*) > 0")
 def file_checks(spark, sf):
     return files.file_checks(spark, exported(spark, sf), size_limit=10).select("code", "severity").distinct()

@@ -9,8 +9,6 @@ from sparkgauge.operators.correlation import correlation_matrix, heatmap
 from sparkgauge.plans.profile import Profile
 from sparkgauge.session import small_frame
 
-#: Series with at most so many points are drawn as they are.
-RAW_POINTS = 100
 CATALOG_SCHEMA = "chart_ix int, chart_type string, x_axis string, y_axis string, title string"
 
 
@@ -35,8 +33,10 @@ def chart_catalog(schema: DataFrame, strong: DataFrame, most: int | None = None)
     return small_frame(schema.sparkSession, [(i, *c) for i, c in enumerate(charts)], CATALOG_SCHEMA)
 
 
-def chart_series(df: DataFrame, profile: Profile, most: int | None = None, scatter_points: int = 300) -> DataFrame:
-    """(chart_ix, chart_type, x, y, value) of the charts in the catalog; a scatter chart draws a sample of the rows.
+def chart_series(df: DataFrame, profile: Profile, most: int | None = None, scatter_points: int | None = 300, raw_points: int = 0) -> DataFrame:
+    """(chart_ix, chart_type, x, y, value) of the charts in the catalog.
+
+    A scatter chart draws a sample of ``scatter_points`` rows (None: all); a line of at most ``raw_points`` points is drawn as it is.
 
     x is a label or a number as text, y the second label of heatmap cells.
     """
@@ -47,7 +47,7 @@ def chart_series(df: DataFrame, profile: Profile, most: int | None = None, scatt
         if kind == "heatmap":
             rows = heatmap(correlation_matrix(df)).select("x", "y", "value")
         elif kind == "line":
-            rows = time_bucket_mean(df, x, y, RAW_POINTS).select(F.col("date").alias("x"), none.alias("y"), "value")
+            rows = time_bucket_mean(df, x, y, raw_points).select(F.col("date").alias("x"), none.alias("y"), "value")
         elif kind == "histogram":
             rows = histogram(df, [x]).select(F.col("label").alias("x"), none.alias("y"), F.col("count").cast("double").alias("value"))
         elif kind == "bar":

@@ -12,21 +12,18 @@ from sparkgauge.operators.cleaning import Operation, apply_operations
 from sparkgauge.operators.hypothesis import normality_as_tests
 from sparkgauge.plans.findings import executive_summary, findings, risks_opportunities
 from sparkgauge.plans.profile import Profile, profile_table
-from sparkgauge.plans.recommendations import model_targets
+from sparkgauge.plans.recommendations import model_features, model_targets
 from sparkgauge.plans.score import quality_score, score_facts
 from sparkgauge.plans.texts import METHODOLOGY
 
-TOP_SHOWN = 5
-
-
-def column_profiles(profile: Profile) -> DataFrame:
-    """One row per column: schema facts, a line of statistics, outliers and top values."""
+def column_profiles(profile: Profile, top_shown: int | None = 5) -> DataFrame:
+    """One row per column: schema facts, a line of statistics, outliers, five points of its distribution and ``top_shown`` top values (None: all of the profile's)."""
     top = (
-        profile.top.filter(F.col("rank") <= TOP_SHOWN)
+        (profile.top if top_shown is None else profile.top.filter(F.col("rank") <= top_shown))
         .groupBy("column_name")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count", "percentage"))).alias("categories"))
     )
-    numbers = profile.numeric.select("column_name", "mean", "median", "std", "min", "max", "outliers_count", "outliers_pct")
+    numbers = profile.numeric.select("column_name", "mean", "median", "std", "min", "max", "q25", "q75", "outliers_count", "outliers_pct")
     joined = profile.columns.join(F.broadcast(numbers), "column_name", "left").join(F.broadcast(top), "column_name", "left")
     is_number = (F.col("semantic_type") == "numeric") & F.col("mean").isNotNull()
     is_category = F.col("semantic_type").isin("categorical", "boolean") & F.col("categories").isNotNull()
@@ -43,6 +40,7 @@ def column_profiles(profile: Profile) -> DataFrame:
         F.coalesce(F.when(is_number, F.col("outliers_count")), F.lit(0)).alias("outlier_count"),
         F.coalesce(F.when(is_number, F.col("outliers_pct")), F.lit(0.0)).alias("outlier_pct"),
         F.when(is_category, F.col("categories")).alias("top_categories"),
+        F.when(is_number, F.array("min", "q25", "median", "q75", "max")).otherwise(F.array().cast("array<double>")).alias("histogram"),
     )
 
 
@@ -79,7 +77,8 @@ def json_report(profile: Profile, filename: str, report_type: str = "technical",
         "key_findings": _list(findings(profile), ["place"], "finding"),
         "risks": _list(notes.filter("kind = 'risk'"), ["item_ix"], "text"),
         "opportunities": _list(notes.filter("kind = 'opportunity'"), ["item_ix"], "text"),
-        "column_profiles": _list(column_profiles(profile), ["column_ix"], "column_name", "semantic_type", "data_type", "null_count", "null_pct", "unique_count", "stats_summary", "outlier_count", "outlier_pct", "top_categories"),
+        "column_profiles": _list(column_profiles(profile), ["column_ix"], "column_name", "semantic_type", "data_type", "null_count", "null_pct", "unique_count", "stats_summary", "outlier_count", "outlier_pct", "top_categories", "histogram"),
+        "model_features": _list(model_features(profile.columns), ["column_ix"], "column_name", "semantic_type"),
         "hypothesis_tests": _list(tests, ["kind", "test_name"], "test_name", "test_type", "variables", "statistic", "p_value", "significant", "interpretation"),
         "model_recommendations": _list(targets, ["column_ix", "task"], "column_name", "task", "suggested_models", "reasoning"),
     }

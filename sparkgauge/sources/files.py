@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkgauge.plans.validation import recovery
 from sparkgauge.session import small_frame
+from sparkgauge.sources.listing import list_files
+from sparkgauge.sources.readers import corrupt_rows
 
 EXTENSIONS = (".csv",)
 
@@ -22,13 +24,12 @@ def _violations(frame: DataFrame, order: int, code: str, message) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of all files. The scan leaves out files without a byte, the file listing does not."""
-    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    slashes = r"^(\w+:)/+"
-    listed = small_frame(spark, [(unquote(f),) for f in scanned.inputFiles()], "path string")
-    listed = listed.select(F.regexp_replace("path", slashes, "$1/").alias("path"))
-    sizes = scanned.select(F.regexp_replace("path", slashes, "$1/").alias("path"), "length")
-    return listed.join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+    """(path, length) of all files, listed by tasks; by Spark's own listing, which leaves out empty files, for storage unknown to that."""
+    try:
+        return list_files(spark, path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        scanned = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return scanned.select(F.regexp_replace("path", r"^(\w+:)/+", "$1/").alias("path"), "length")
 
 
 def file_checks(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, size_limit: int | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def file_checks(spark: SparkSession, path: str, extensions: Sequence[str] = EXTE
     files = None
     try:
         files = _sizes(spark, path)
-    except PySparkException:
+    except (PySparkException, FileNotFoundError):
         pass
     if files is None:
         missing = small_frame(spark, [(path,)], "path string")
@@ -74,3 +75,16 @@ def encoding_violations(spark: SparkSession, path: str) -> DataFrame:
     return _violations(encoding_check(spark, path).filter("invalid_lines > 0"), 5, "INVALID_ENCODING", message)
 
 
+def record_violations(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each reason why records of the path don't fit its header."""
+    found = corrupt_rows(spark, path).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).withColumn("path", F.lit(path))
+    what = F.when(F.col("reason") == "surplus_cells", "more cells than the header has").otherwise("an open quote")
+    return _violations(found, 6, "CORRUPTED_FILE", F.format_string("Corrupted CSV structure: %d record(s) with %s.", "n", what))
+
+
+def csv_violations(spark: SparkSession, path: str, size_limit: int | None = None) -> DataFrame:
+    """All critical violations of the files behind a CSV table: of the files themselves or, if there are none, of their bytes and records."""
+    outer = file_checks(spark, path, size_limit=size_limit)
+    if not outer.isEmpty():
+        return outer
+    return encoding_violations(spark, path).unionByName(record_violations(spark, path))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from sparkgauge.functions.cells import col_of, to_number
 from sparkgauge.operators.shape import column_list, nans_to_nulls
+from sparkgauge.sources import splits
 
 # Texts that stand for a missing value in a CSV cell.
 NULL_VALUES = (
@@ -46,7 +47,11 @@ def corrupt_rows(spark: SparkSession, path: str | list[str], columns: Sequence[s
     named = list(columns) if columns is not None else [f"c{i}" for i in range(len(raw_headers(spark, path, **options)))]
     given = {"header": "false" if columns is not None else "true", "multiLine": str(multi_line).lower(), **QUOTING, **options}
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(named) + 1)] + [T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.options(**given).option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path)
+    if multi_line and columns is None and not options and has_large_files(spark, path):
+        parsed = F.from_csv("record", F.lit(_ddl(schema)), {"multiLine": "true", "columnNameOfCorruptRecord": "_corrupt", **QUOTING})
+        rows = splits.records(spark, path).select(parsed.alias("r")).select("r.*")
+    else:
+        rows = spark.read.options(**given).option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path)
     cells = [F.coalesce(f"c{i}", F.lit("")) for i in range(len(named) + 1)]
     # With one column too many in the schema, a record that fits is "short"; one that isn't has surplus cells.
     surplus = rows.filter(F.col(f"c{len(named)}").isNotNull() | F.col("_corrupt").isNull())
@@ -89,18 +94,47 @@ def read_csv(
 ) -> DataFrame:
     """A CSV with header. Missing-value markers become null before types are decided.
 
-    Cells may hold doubled quotes and, with ``multi_line``, line breaks; Spark can't
-    split such files, so folders of large files without line breaks in cells are read
-    faster without it (``corrupt_rows`` tells whether that is safe). With a schema no
-    pass over the data is needed to find the types.
+    Cells may hold doubled quotes and, with ``multi_line``, line breaks; files larger than a
+    file split are then read by many tasks all the same (see ``splits``), unless there are
+    other options. With a schema no pass over the data is needed to find the types.
     """
     reader = spark.read.options(**{"header": "true", "multiLine": str(multi_line).lower(), **QUOTING, **options})
+    names = None
     if schema is not None:
         target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        text = T.StructType([T.StructField(f.name, T.StringType()) for f in target.fields])
-        rows = _marked(reader.schema(text).csv(path), null_values)
-        return rows.select(*[col_of(f.name).try_cast(f.dataType).alias(f.name) for f in target.fields])
-    return _typed(_marked(reader.option("inferSchema", "false").csv(path), null_values))
+        names = [f.name for f in target.fields]
+        reader = reader.schema(_texts(names))
+    else:
+        reader = reader.option("inferSchema", "false")
+    if multi_line and not options and has_large_files(spark, path):
+        rows = split_rows(spark, path, names or reader.csv(path).columns)
+    else:
+        rows = reader.csv(path)
+    rows = _marked(rows, null_values)
+    return _typed(rows) if schema is None else rows.select(*[col_of(f.name).try_cast(f.dataType).alias(f.name) for f in target.fields])
+
+
+def _texts(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def has_large_files(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a file is larger than a file split; contents are not read."""
+    limit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    sizes = spark.read.format("binaryFile").load(path).select("length")
+    return not sizes.filter(F.col("length") > limit).isEmpty()
+
+
+def split_rows(spark: SparkSession, path: str | list[str], names: Sequence[str]) -> DataFrame:
+    """All cells as texts, from records that many tasks of one file have put together."""
+    schema = _texts([f"c{i}" for i in range(len(names))])
+    cells = F.from_csv("record", F.lit(_ddl(schema)), {"multiLine": "true", **QUOTING})
+    parsed = splits.records(spark, path).select(cells.alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def _marked(df: DataFrame, null_values: Sequence[str]) -> DataFrame:
@@ -149,6 +183,10 @@ class CsvSource(Source):
         return read_csv(self.spark, path, **self.options)
 
     def validate(self, path: str) -> bool:
-        from sparkgauge.sources.files import file_checks
+        """Whether files, bytes and records are as a CSV table's should be; all of them are read."""
+        return self.violations(path).isEmpty()
+
+    def violations(self, path: str) -> DataFrame:
+        from sparkgauge.sources.files import csv_violations
 
-        return file_checks(self.spark, path).isEmpty()
+        return csv_violations(self.spark, path)

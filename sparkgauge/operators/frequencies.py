@@ -8,12 +8,14 @@ which distinct counts and modes share. Texts and all else go through the sketche
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkgauge.functions.cells import nan_to_null
 from sparkgauge.operators import heavy
 from sparkgauge.operators.shape import FRACTIONAL, as_double, as_text, col_of, fields, long_form, numeric_columns, other_columns
+from sparkgauge.session import at_once, pin, small_frame
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -23,31 +25,41 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     """
     chosen = list(columns) if columns is not None else df.columns
     if exact:
-        return value_facts(df, chosen).select("column_name", "row_count", "distinct_count")
+        numbers, counted = _counts(df, chosen)
+        parts = [] if numbers is None else [numbers.select("column_name", "row_count", "distinct_count").filter("row_count > 0")]
+        if counted is not None:
+            sizes = small_frame(df.sparkSession, [(c, t["rows"]) for c, t in counted.totals.items() if t["rows"]], "column_name string, row_count bigint")
+            found = sizes.join(F.broadcast(heavy.distinct(counted)), "column_name", "left")
+            parts.append(found.select("column_name", "row_count", F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count")))
+        return reduce(DataFrame.unionByName, parts)
     values = {f.name: nan_to_null(col_of(f.name)).cast("string") if isinstance(f.dataType, FRACTIONAL) else as_text(f) for f in fields(df, chosen)}
     return long_form(df, values).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("row_count"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col("value"), 14)).alias("distinct_count"))
 
 
+def _counts(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame | None, heavy.Counted | None]:
+    """The numeric value facts and the counted values of the other columns, worked out at the same time."""
+    nums, others = ([c for c in names(df) if c in set(columns)] for names in (numeric_columns, other_columns))
+    if nums and others:
+        return tuple(at_once(lambda: pin(numeric_value_facts(df, nums)), lambda: heavy.count_values(df, others)))
+    return numeric_value_facts(df, nums) if nums else None, heavy.count_values(df, others) if others else None
+
+
 def value_facts(df: DataFrame, columns: Sequence[str] | None = None, counted: heavy.Counted | None = None, numbers: DataFrame | None = None) -> DataFrame:
     """All value facts of the columns.
 
     (column_name, row_count, null_count, distinct_count, avg_length, all_dates, boolean_pair).
     ``counted`` and ``numbers`` are those of ``heavy.count_values`` and ``numeric_value_facts`` if they are there already.
     """
-    chosen = set(columns if columns is not None else df.columns)
-    nums, others = ([c for c in names(df) if c in chosen] for names in (numeric_columns, other_columns))
+    if numbers is None and counted is None:
+        numbers, counted = _counts(df, columns if columns is not None else df.columns)
     parts = []
-    if nums:
-        numbers = numeric_value_facts(df, nums) if numbers is None else numbers
+    if numbers is not None:
         parts.append(numbers.select("column_name", "row_count", "null_count", "distinct_count", F.lit(None).cast("double").alias("avg_length"),
                                     F.lit(False).alias("all_dates"), "boolean_pair").filter("row_count > 0"))
-    if others:
-        parts.append(heavy.text_facts(heavy.count_values(df, others) if counted is None else counted))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    if counted is not None:
+        parts.append(heavy.text_facts(counted))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unique_ratio(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:

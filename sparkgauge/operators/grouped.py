@@ -18,10 +18,8 @@ MAX_CATEGORIES = 10
 def category_columns(df: DataFrame, columns: Sequence[str] | None = None, most: int = MAX_CATEGORIES) -> dict[str, int]:
     """Non-numeric columns with 2 to ``most`` values, and their distinct counts; one scan, in which no value is shuffled."""
     chosen = list(columns) if columns is not None else other_columns(df)
-    counted = heavy.count_values(df, chosen)
-    few = counted.counts.filter(F.col("column_name").isin(counted.few())).groupBy("column_name").agg(F.count(F.lit(1)).alias("k"))
-    counts = {r["column_name"]: r["k"] for r in few.filter(F.col("k").between(2, most)).collect()}
-    return {c: counts[c] for c in chosen if c in counts}
+    sizes = heavy.count_values(df, chosen).sizes()
+    return {c: sizes[c] for c in chosen if 2 <= sizes.get(c, 0) <= most}
 
 
 def group_summaries(df: DataFrame, categories: Sequence[str], numerics: Sequence[str] | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkgauge.functions.cells import boolean_mask, is_datetime_text, to_timestamp
 from sparkgauge.operators.shape import as_text, fields, long_form
-from sparkgauge.session import cut_lineage, pin, small_frame
+from sparkgauge.session import PIN_LIMIT, cut_lineage, pin, small_frame
 
 KEY_LIMIT = 64
 #: Characters of the longest text that can be a date or a boolean.
@@ -128,8 +129,9 @@ class Counted:
     df: DataFrame
     names: list[str]
     counts: DataFrame  # column_name, key, n
+    local: dict[str, dict[str, int]] | None  # the same, if it is small enough to be here
     totals: dict[str, dict]  # of each column: missed, rows, chars, example
-    hashes: DataFrame | None  # column_name, h, g, n
+    hashes: DataFrame | None = None  # column_name, h, g, n
 
     def few(self) -> list[str]:
         return [c for c in self.names if c in self.totals and not self.totals[c]["missed"]]
@@ -137,6 +139,13 @@ class Counted:
     def many(self) -> list[str]:
         return [c for c in self.names if c in self.totals and self.totals[c]["missed"]]
 
+    def sizes(self) -> dict[str, int]:
+        """Distinct counts of the columns with few."""
+        if self.local is not None:
+            return {c: len(self.local.get(c, ())) for c in self.few()}
+        found = self.counts.filter(F.col("column_name").isin(self.few())).groupBy("column_name").agg(F.count(F.lit(1)).alias("k"))
+        return dict.fromkeys(self.few(), 0) | {r["column_name"]: r["k"] for r in found.collect()}
+
     def hashed(self) -> DataFrame:
         """All present values of the columns with many, counted by 128 bits; stored once."""
         if self.hashes is None:
@@ -149,19 +158,32 @@ class Counted:
 
 def count_values(df: DataFrame, names: Sequence[str]) -> Counted:
     """Sketch the columns in one scan."""
-    chosen, schema = fields(df, names), "column_name string, key string, n bigint"
+    chosen, schema, spark = fields(df, names), "column_name string, key string, n bigint", df.sparkSession
     if not chosen:
-        return Counted(df, [], df.sparkSession.createDataFrame([], schema), {}, None)
+        return Counted(df, [], small_frame(spark, [], schema), {}, {})
     keys = df.select(*[value_key(as_text(f)).alias(f"c{i}") for i, f in enumerate(chosen)], *[F.char_length(as_text(f)).alias(f"l{i}") for i, f in enumerate(chosen)])
-    sketch = pin(sketched(keys, len(chosen)))
-    totals = {names[r["column_ix"]]: r.asDict() for r in sketch.filter(F.col("key").isNull()).collect()}
-    counts = sketch.filter(F.col("key").isNotNull()).select(F.get(F.lit(list(names)), F.col("column_ix")).alias("column_name"), "key", "n")
-    return Counted(df, list(names), counts, totals, None)
+    sketch = sketched(keys, len(chosen))
+    rows = sketch.limit(PIN_LIMIT + 1).collect()
+    if len(rows) > PIN_LIMIT:
+        stored = cut_lineage(sketch)
+        totals = {names[r["column_ix"]]: r.asDict() for r in stored.filter(F.col("key").isNull()).collect()}
+        return Counted(df, list(names), stored.filter(F.col("key").isNotNull()).select(F.get(F.lit(list(names)), F.col("column_ix")).alias("column_name"), "key", "n"), None, totals)
+    totals = {names[r["column_ix"]]: r.asDict() for r in rows if r["key"] is None}
+    local: dict[str, dict[str, int]] = {}
+    for r in rows:
+        if r["key"] is not None:
+            local.setdefault(names[r["column_ix"]], {})[r["key"]] = r["n"]
+    counts = small_frame(spark, [(c, key, n) for c, held in local.items() for key, n in held.items()], schema)
+    return Counted(df, list(names), counts, local, totals)
 
 
 def distinct(counted: Counted) -> DataFrame:
     """(column_name, distinct_count, present) of all columns that have rows; exact."""
-    found = counted.counts.filter(F.col("column_name").isin(counted.few())).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("present"))
+    name, schema = F.col("column_name"), "column_name string, distinct_count bigint, present bigint"
+    if counted.local is not None:
+        found = small_frame(counted.df.sparkSession, [(c, len(v), sum(v.values())) for c in counted.few() for v in [counted.local.get(c, {})]], schema)
+    else:
+        found = counted.counts.filter(name.isin(counted.few())).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("present"))
     if counted.many():
         found = found.unionByName(counted.hashed().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("present")))
     return found
@@ -173,13 +195,22 @@ def text_facts(counted: Counted) -> DataFrame:
     Dates and booleans are looked for among the distinct values of a column with few. Of one with many, which is
     no boolean pair, all values are read only if one of them is a date.
     """
-    spark, many = counted.df.sparkSession, counted.many()
+    spark, many, schema = counted.df.sparkSession, counted.many(), "column_name string, all_dates boolean, boolean_pair boolean"
     is_date, mask = key_facts(F.col("key"))
-    small = counted.counts.filter(F.col("column_name").isin(counted.few())).groupBy("column_name").agg(
-        (F.min(is_date) == 1).alias("all_dates"), (F.bit_and(mask) != 0).alias("boolean_pair"))
-    example = small_frame(spark, [(c, counted.totals[c]["example"]) for c in many], "column_name string, key string")
-    maybe = [r["column_name"] for r in example.filter(is_date == 1).collect()] if many else []
-    tests = small.unionByName(small_frame(spark, [(c, False, False) for c in many if c not in maybe], "column_name string, all_dates boolean, boolean_pair boolean"))
+    few = counted.counts.filter(F.col("column_name").isin(counted.few())).select("column_name", is_date.alias("is_date"), mask.alias("mask"))
+    if counted.local is not None:
+        seen: dict[str, list[int]] = {}
+        for r in few.collect():  # worked out where the few values are, without a job
+            held = seen.setdefault(r["column_name"], [1, -1])
+            held[:] = [held[0] & r["is_date"], held[1] & r["mask"]]
+        tests = small_frame(spark, [(c, a == 1, b not in (0, -1)) for c, (a, b) in seen.items()], schema)
+    else:
+        tests = few.groupBy("column_name").agg((F.min("is_date") == 1).alias("all_dates"), (F.bit_and("mask") != 0).alias("boolean_pair"))
+    maybe: list[str] = []
+    if many:
+        example = small_frame(spark, [(c, counted.totals[c]["example"]) for c in many], "column_name string, key string")
+        maybe = [r["column_name"] for r in example.filter(is_date == 1).collect()]
+        tests = tests.unionByName(small_frame(spark, [(c, False, False) for c in many if c not in maybe], schema))
     if maybe:
         long = long_form(counted.df, {f.name: as_text(f) for f in fields(counted.df, maybe)})
         tests = tests.unionByName(long.groupBy("column_name").agg(is_datetime_text(F.col("value")).alias("all_dates"), F.lit(False).alias("boolean_pair")))
@@ -258,19 +289,39 @@ def _first(df: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     ranked = counts.withColumn("rank", F.rank().over(lead)).filter(F.col("rank") <= k)
     sizes = ranked.groupBy("column_name").agg(F.count_if(F.char_length("key") > KEY_LIMIT).alias("long")).collect()
     crowded = [r["column_name"] for r in sizes if r["long"] > MOST_FETCHED + k]
-    some = pin(ranked.filter(~F.col("column_name").isin(crowded)) if crowded else ranked)
-    with_text = [r["column_name"] for r in sizes if r["long"] and r["column_name"] not in crowded]
-    value = F.col("key")
-    if with_text:
-        long_keys = some.filter(F.char_length("key") > KEY_LIMIT).select("column_name", "key")
-        some = some.join(_texts_of(df, with_text, long_keys), ["column_name", "key"], "left")
-        value = F.coalesce("full", "key")
-    result = some.select("column_name", value.alias("value"), "n")
+    some = (ranked.filter(~F.col("column_name").isin(crowded)) if crowded else ranked).select("column_name", "key", "n").collect()
+    return _in_order(df, counts, [tuple(r) for r in some], crowded, k)
+
+
+def _first_here(df: DataFrame, counted: Counted, k: int) -> DataFrame:
+    """The same for the columns with few values, whose counts are here."""
+    some, crowded = [], []
+    for name in counted.few():
+        ordered = sorted(counted.local.get(name, {}).items(), key=lambda x: (-x[1], x[0][:KEY_LIMIT].encode()))
+        if len(ordered) > k:
+            last = (ordered[k - 1][1], ordered[k - 1][0][:KEY_LIMIT])
+            ordered = ordered[:k] + [x for x in ordered[k:] if (x[1], x[0][:KEY_LIMIT]) == last]
+        if sum(len(key) > KEY_LIMIT for key, _ in ordered) > MOST_FETCHED + k:
+            crowded.append(name)
+        else:
+            some += [(name, key, n) for key, n in ordered]
+    return _in_order(df, counted.counts, some, crowded, k)
+
+
+def _in_order(df: DataFrame, counts: DataFrame, some: list[tuple[str, str, int]], crowded: Sequence[str], k: int) -> DataFrame:
+    """Ranks of a few candidates by count and whole value, and of the columns where very many tie."""
+    spark, value_of = df.sparkSession, {}
+    long_keys = [(name, key) for name, key, _ in some if len(key) > KEY_LIMIT]
+    if long_keys:
+        found = _texts_of(df, sorted({name for name, _ in long_keys}), small_frame(spark, long_keys, "column_name string, key string"))
+        value_of = {(r["column_name"], r["key"]): r["full"] for r in found.collect()}
+    rows = [(name, value_of.get((name, key), key), n) for name, key, n in some]
     for name in crowded:
         own = counts.filter(F.col("column_name") == name)
-        result = result.unionByName(_crowded(df, name, own.select(F.xxhash64("key").alias("h"), "n"), k, _kth(own, "column_name", k)[name]))
-    nth = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))
-    return pin(result.withColumn("rank", nth).filter(F.col("rank") <= k).select("column_name", "rank", "value", "n"))
+        rows += [tuple(r) for r in _crowded(df, name, own.select(F.xxhash64("key").alias("h"), "n"), k, _kth(own, "column_name", k)[name]).collect()]
+    rows.sort(key=lambda r: (r[0], -r[2], r[1].encode()))
+    ranked = [(name, i + 1, value, n) for _, group in groupby(rows, key=lambda r: r[0]) for i, (name, value, n) in enumerate(group) if i < k]
+    return small_frame(spark, ranked, "column_name string, rank int, value string, n bigint")
 
 
 def _crowded(df: DataFrame, name: str, hashes: DataFrame, k: int, limit: int) -> DataFrame:
@@ -325,7 +376,7 @@ def top_values(df: DataFrame, names: Sequence[str], k: int = 10, counted: Counte
     proven = [c for c in missed if missed[c] < limit.get(c, 0)]
     parts = []
     if counted.few():
-        parts.append(_first(df, counts.filter(name.isin(counted.few())), k))
+        parts.append(_first(df, counts.filter(name.isin(counted.few())), k) if counted.local is None else _first_here(df, counted, k))
     if proven:
         chosen = F.lit(False)
         for c in proven:

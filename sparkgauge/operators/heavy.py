@@ -28,7 +28,7 @@ from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkgauge.functions.cells import boolean_mask, is_datetime_text, to_timestamp
 from sparkgauge.operators.shape import as_text, fields, long_form
@@ -37,6 +37,7 @@ from sparkgauge.session import PIN_LIMIT, cut_lineage, pin, small_frame
 KEY_LIMIT = 64
 #: Characters of the longest text that can be a date or a boolean.
 LONGEST_FACT = 100
+ALWAYS_SHORT = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Values that a task counts for each column, and those it sends on if some were missed.
 HELD, SENT = 1 << 15, 1 << 11
 #: Values of a column that are counted again one by one, and long texts that are fetched to order them.
@@ -49,6 +50,16 @@ def value_key(text: Column) -> Column:
         F.when(text.isNotNull(), F.concat(F.substring(text, 1, KEY_LIMIT), F.sha2(text, 256), *[F.concat(F.lit(":"), x.cast("string")) for x in _facts(text)])))
 
 
+def key_of(field: T.StructField) -> Column:
+    text = as_text(field)
+    return text if isinstance(field.dataType, ALWAYS_SHORT) else value_key(text)
+
+
+def length_of(field: T.StructField) -> Column:
+    """Characters of a value; of a kind that has no long texts, null, since nothing asks for them."""
+    return F.lit(None).cast("int") if isinstance(field.dataType, ALWAYS_SHORT) else F.char_length(as_text(field))
+
+
 def _facts(text: Column) -> tuple[Column, Column]:
     """Whether a text is a date, and its boolean bit; no text that is long without its outer blanks is either."""
     short = F.when(F.char_length(F.trim(text)) <= LONGEST_FACT, text)
@@ -150,7 +161,7 @@ class Counted:
         """All present values of the columns with many, counted by 128 bits; stored once."""
         if self.hashes is None:
             chosen = fields(self.df, self.many())
-            long = long_form(self.df, {f.name: value_key(as_text(f)) for f in chosen}).filter(F.col("value").isNotNull())
+            long = long_form(self.df, {f.name: key_of(f) for f in chosen}).filter(F.col("value").isNotNull())
             digests = (F.xxhash64("value").alias("h"), F.xxhash64(F.lit(1), "value").alias("g"))
             self.hashes = cut_lineage(long.select("column_name", *digests).groupBy("column_name", "h", "g").agg(F.count(F.lit(1)).alias("n")))
         return self.hashes
@@ -161,8 +172,7 @@ def count_values(df: DataFrame, names: Sequence[str]) -> Counted:
     chosen, schema, spark = fields(df, names), "column_name string, key string, n bigint", df.sparkSession
     if not chosen:
         return Counted(df, [], small_frame(spark, [], schema), {}, {})
-    keys = df.select(*[value_key(as_text(f)).alias(f"c{i}") for i, f in enumerate(chosen)], *[F.char_length(as_text(f)).alias(f"l{i}") for i, f in enumerate(chosen)])
-    sketch = sketched(keys, len(chosen))
+    sketch = sketched(df.select(*[key_of(f).alias(f"c{i}") for i, f in enumerate(chosen)], *[length_of(f).alias(f"l{i}") for i, f in enumerate(chosen)]), len(chosen))
     rows = sketch.limit(PIN_LIMIT + 1).collect()
     if len(rows) > PIN_LIMIT:
         stored = cut_lineage(sketch)
@@ -231,7 +241,7 @@ def _kth(counts: DataFrame, group: str, k: int) -> dict:
 
 def _recounted(df: DataFrame, names: Sequence[str], wanted: DataFrame) -> DataFrame:
     """(column_name, key, n): exact counts of the keys whose hash is among a few wanted ones (column_name, h)."""
-    long = long_form(df, {f.name: value_key(as_text(f)) for f in fields(df, names)}).withColumnRenamed("value", "key")
+    long = long_form(df, {f.name: key_of(f) for f in fields(df, names)}).withColumnRenamed("value", "key")
     hashed = long.filter(F.col("key").isNotNull()).withColumn("h", F.xxhash64("key"))
     return hashed.join(F.broadcast(wanted), ["column_name", "h"], "left_semi").groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("n"))
 

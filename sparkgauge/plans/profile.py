@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparkgauge.operators.correlation import correlated_pairs, multicollinearity, strong_correlations
+from sparkgauge.operators.correlation import COLLINEAR, STRONG, correlated_pairs, multicollinearity, strong_correlations
 from sparkgauge.operators.duplicates import duplicate_count
 from sparkgauge.operators.frequencies import numeric_value_facts, top_values, value_facts
 from sparkgauge.operators.grouped import MAX_CATEGORIES
@@ -123,7 +123,7 @@ def profile_table(df: DataFrame, most_tests: int | None = None, exact: bool = Tr
         medians = {c: [v[2]] for c, v in quantiles.items()}
         numeric, pairs, normal, tests = at_once(
             lambda: pin(numeric_profile(df, present, quantiles, moments.filter(F.col("n") > 0), numbers)),
-            lambda: pin(correlated_pairs(df, None, medians, {c: means[c] for c in nums if c in means})),
+            lambda: pin(correlated_pairs(df, None, medians, {c: means[c] for c in nums if c in means}, min(STRONG, COLLINEAR))),
             lambda: pin(normality(df, present, moments)),
             lambda: pin(hypothesis_tests(df, most_tests, few if exact else None)),
         )

@@ -17,6 +17,7 @@ from sparkgauge.plans.recommendations import cleaning_recommendations, model_tar
 from sparkgauge.plans.score import quality_score, score_facts
 from sparkgauge.plans.semantics import schema_profile
 from sparkgauge.plans.texts import OPPORTUNITIES, RECOVERY, RISKS, SCORE_LEVELS, TARGET_MODELS, TIER_EXPLANATION, WARNING_EXPLANATIONS
+from sparkgauge.session import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -317,6 +318,45 @@ def report_histograms(spark, sf):
     return parts.filter(F.size("p.histogram") > 0).select("p.column_name", point(0).alias("low"), point(1).alias("q1"), point(2).alias("median"), point(3).alias("q3"), point(4).alias("high"))
 
 
+@register("profile_states", " UNION ALL ".join(f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, round(avg({c}), 4) AS mean, round(var_samp({c}) / avg({c}) / avg({c}), 8) AS variance,
+CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(skewness({c}) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 6) AS skewness FROM orders""" for c in ORDER_NUMBERS))
+def profile_states(spark, sf):
+    """The numeric profile of a table merged from the stored states of three parts, one of which was written anew."""
+    from sparkgauge.plans import states
+
+    orders, path, part = table(spark, sf, "orders"), scratch_path(spark, "states"), F.col("o_custkey") % 3
+    states.append_state(states.profile_state(orders.filter((part == 0) & (F.month("o_orderdate") < 7)), "0"), path)
+    for i in range(3):
+        states.append_state(states.profile_state(orders.filter(part == i), str(i)), path)
+    found = states.merged_profile(states.current_states(spark, path)).filter(F.col("column_name").isin(*ORDER_NUMBERS))
+    scaled = F.round(F.col("variance") / F.col("mean") / F.col("mean"), 8)
+    return found.select("column_name", "row_count", "null_count", F.round("mean", 4).alias("mean"), scaled.alias("variance"), "min", "max", F.round("skewness", 6).alias("skewness"))
+
+
+@register("merged_top_values", """SELECT 'l_returnflag' AS column_name, l_returnflag AS key, count(*) AS count, count(*) AS count_at_most FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'l_linestatus', l_linestatus, count(*), count(*) FROM lineitem GROUP BY l_linestatus""")
+def merged_top_values(spark, sf):
+    """Counts of values merged from the states of four parts."""
+    from functools import reduce
+
+    from sparkgauge.plans import states
+
+    flags = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
+    parts = [states.profile_state(flags.filter(F.col("l_orderkey") % 4 == i), str(i)) for i in range(4)]
+    return states.merged_top(reduce(lambda a, b: a.unionByName(b), parts)).drop("rank")
+
+
+@register("write_observed", f"""WITH {DIRTY} SELECT count(*) AS rows, count(*) * 8 - {' - '.join(f'count({c})' for c in ('k', 'qty', 'price', 'flag', 'mixed', 'day', 'const', 'empty'))} AS missing_cells, CAST(0 AS BIGINT) AS empty_rows, (SELECT count(*) FROM dirty) AS read_again FROM dirty""")
+def write_observed(spark, sf):
+    """Numbers gathered while a table is written, and the rows it then has."""
+    from sparkgauge.sources.sinks import write_observed as write
+
+    path = scratch_path(spark, "observed")
+    told = write(dirty(spark, sf), path)
+    counts = [F.lit(told[c]).cast("bigint").alias(c) for c in ("rows", "missing_cells", "empty_rows")]
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("read_again")).select(*counts, "read_again")
+
+
 @register("risks_opportunities", f"""WITH {ALL_TESTS}, hit AS (SELECT test_name FROM tests WHERE p_value < 0.05 AND test_type <> 'Normality Test' ORDER BY test_type, strpos(test_name, 'priority'), strpos('o_orderkey o_custkey o_totalprice', regexp_extract(test_name, 'vs (\\w+)', 1)) LIMIT 1)
 SELECT 'risk' AS kind, {quote(RISKS['none'])} AS text FROM orders HAVING count(*) >= 30 UNION ALL SELECT 'opportunity', replace({quote(OPPORTUNITIES['associated'])}, '%s', test_name) FROM hit
 UNION ALL SELECT 'opportunity', {quote(OPPORTUNITIES['numeric'])} FROM orders HAVING count(*) >= 30""")

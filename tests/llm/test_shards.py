@@ -1,6 +1,7 @@
 """Shards: bytes near equal, slots gapless, copies together."""
 import collections
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkgauge.llm import shards
@@ -50,6 +51,42 @@ def test_small_groups_stay_together(spark):
     assert all(len(w) == 1 for w in where.values())
 
 
+def spread(rows):
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    return max(sizes.values()) - min(sizes.values()), sum(sizes.values()) / 8
+
+
+@pytest.mark.parametrize("rows", [
+    [(7, "the same row ten thousand times")] * 10_000,
+    [(None, "one text and no id")] * 1000,
+    [(None, None)] * 900 + [(i, "x") for i in range(100)],
+    [(1, "a text")] * 3000 + [(i, f"text {i}") for i in range(3000)],
+])
+def test_equal_rows_are_cut_apart(spark, rows):
+    found = dealt(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8)
+    check(found, 8)
+    apart, mean = spread(found)
+    assert len(found) == len(rows) and apart <= 0.02 * mean + 2 * max(r["size"] for r in found)
+
+
+def test_cells_follow_the_size(spark, monkeypatch):
+    """With small cells no task of the last exchange holds many rows, though a third of them are one row."""
+    monkeypatch.setattr(shards, "CELL_BYTES", 64)
+    docs = spark.createDataFrame([(None, "again and again")] * 3000 + [(i, f"some text {i}") for i in range(6000)], "doc_id long, text string")
+    names = []
+    plain = shards.stored
+    monkeypatch.setattr(shards, "stored", lambda df, name: names.append((name, plain(df, name))) or names[-1][1])
+    check(dealt(docs, 8), 8)
+    assert dict(names)["hot-texts"].first()["__parts"] > 300 and dict(names)["shard-cells"].count() > 2000
+
+
+def test_order_of_cuts():
+    top = -shards.LEAST - 1
+    assert shards._after((3, top, top)) == (4, shards.LEAST, shards.LEAST) and shards._after((top,)) is None and shards._after((1, 2)) == (1, 3, shards.LEAST)
+
+
 def test_odd_rows(odd, empty):
     rows = dealt(odd, 3)
     check(rows, 3)

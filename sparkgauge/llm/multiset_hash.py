@@ -12,7 +12,9 @@ not share; ``likeness`` is one less that, over what both have.
 
 Paragraphs are the non-empty lines of a text; sentences end at ``.``, ``!`` or ``?``
 before a blank. Null text counts as empty and has the zero vector; two zero vectors are
-alike (1.0). Rows that repeat are kept. Columns beyond id and text are not returned.
+alike (1.0). Rows that repeat are kept. Ids are numbers; rows without one come last, in the
+order of a hash of their text, and are dealt over many ranges like those of any other id with
+many rows. Columns beyond id and text are not returned.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkgauge.llm.common import column, stored
+from sparkgauge.llm.common import HOT_SHARE, column, stored
 
 WIDE = 8
 SIGNS = 64
 LANES = WIDE + 1 + SIGNS
 #: Bytes of text in a range of ids, and the most ranges.
 RANGE_BYTES = 8 << 20
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 16
 _PAIR = (1 << 32) + 1
 _LOW = (1 << 32) - 1
 
@@ -103,22 +105,49 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return exploded.groupBy("row", "doc_id").agg(*sums).select("doc_id", _lanes([F.col(f"s{i}") for i in range(len(sums))]).alias("vector"))
 
 
+def _below(cuts: list, value: Column) -> Column:
+    """How many of the ascending cuts are less than the value: first by every ``step``-th, then among one step's."""
+    step = max(1, math.isqrt(len(cuts)))
+    every, all_ = F.array(*map(F.lit, cuts[step - 1::step])), F.array(*map(F.lit, cuts))
+    passed = F.size(F.filter(every, lambda c: c < value)) * step
+    return passed + F.size(F.filter(F.slice(all_, passed + 1, step), lambda c: c < value))
+
+
+def _hot_ids(rows: DataFrame, ranges: int, total: int) -> DataFrame:
+    """(hot_id, parts, ties): ids, null too, that are due several ranges and have one in ``HOT_SHARE`` rows, so at most that many; and of their texts those with as many."""
+    due = F.ceil(F.col("n") / total * ranges).cast("long")
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE >= total)
+    ids = stored(ids.select(F.col("doc_id").alias("hot_id"), due.alias("parts")).filter("parts > 1"), "hot-ids")
+    texts = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("hot_id"))).groupBy("hot_id", "tie").agg(F.count(F.lit(1)).alias("n"))
+    texts = texts.filter(F.col("n") * HOT_SHARE >= total).groupBy("hot_id").agg(F.array_sort(F.collect_list(F.struct("tie", due.alias("parts")))).alias("ties"))
+    joined = ids.join(texts.withColumnRenamed("hot_id", "same"), F.col("hot_id").eqNullSafe(F.col("same")), "left")
+    return stored(joined.select("hot_id", "parts", F.coalesce("ties", F.array().cast("array<struct<tie: bigint, parts: bigint>>")).alias("ties")), "hot-rows")
+
+
 def _in_ranges(rows: DataFrame) -> DataFrame:
-    """Rows with ``range``: stretches of descending ids of about equal count, numbered from 0; rows of one hot id share several."""
-    told = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    """Rows with ``range``, a number that rises with the order (id descending, nulls last, then ``tie``); a range has a bounded share of the rows.
+
+    Its parts, from the top: a stretch of ids; for an id with many rows, a stretch of ``tie``; for a text that one id has
+    many times, what lies before, at and behind it, and a share of the equal rows.
+    """
+    told = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     ranges = min(MOST_RANGES, max(1, math.ceil((told["bytes"] or 0) / RANGE_BYTES)))
+    if ranges == 1:
+        return rows.withColumn("range", F.lit(0).cast("long"))
     shares = [(i + 1) / ranges for i in range(ranges - 1)]
-    cuts = []
-    if shares:
-        cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10 * MOST_RANGES)).first()[0] or []
-    if not cuts:
-        return rows.withColumn("range", F.lit(0))
-    listed = F.array(*map(F.lit, sorted(cuts)))
-    above = F.size(F.filter(listed, lambda c: c >= F.col("doc_id")))
-    equal = F.size(F.filter(listed, lambda c: c == F.col("doc_id")))
-    spread = F.pmod(F.xxhash64("text"), (equal + 1).cast("long")).cast("int")
-    at = above - F.when(equal > 1, F.least(spread, equal - 1)).otherwise(0)
-    return rows.withColumn("range", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(at))
+    hot = _hot_ids(rows, ranges, told["n"])
+    found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10 * MOST_RANGES)).first()[0] or []
+    # An id with ranges of its own begins a stretch; the other ids of the stretch come behind it.
+    cuts = sorted({*found, *[r["hot_id"] for r in hot.select("hot_id").filter("hot_id is not null").collect()]})
+    stretch = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - _below(cuts, F.col("doc_id")) if cuts else F.lit(0))
+    met = rows.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
+    share = F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 33)  # rises with tie, below 2^31
+    by_tie = F.coalesce(F.shiftright(share * F.col("parts"), 31), F.lit((1 << 17) - 1).cast("long"))
+    same = F.get(F.filter("ties", lambda t: t["tie"] == F.col("tie")), F.lit(0))
+    around = F.coalesce(2 * F.size(F.filter("ties", lambda t: t["tie"] < F.col("tie"))) + same.isNotNull().cast("int"), F.lit(0))
+    equal = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), same["parts"]), F.lit(0).cast("long"))
+    number = F.shiftleft(stretch.cast("long"), 46) + F.shiftleft(by_tie, 29) + F.shiftleft(around.cast("long"), 17) + equal
+    return met.withColumn("range", number).drop("hot_id", "parts", "ties")
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,7 +160,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     range is looked up from the range before.
     """
     rows = docs.select(column(doc_id).alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
-    ranged = _in_ranges(rows).withColumn("tie", F.xxhash64("text"))
+    ranged = _in_ranges(rows.withColumn("tie", F.xxhash64("text")))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     in_range = Window.partitionBy("range").orderBy(*order)
     placed = ranged.withColumns({"next_text": F.lead("text").over(in_range), "place": F.row_number().over(in_range)})
@@ -143,7 +172,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         follow = heads.select("range", "head_text")
     else:
         after = dict(zip(numbers, [*numbers[1:], numbers[0]]))
-        pairs = docs.sparkSession.createDataFrame([(b, a) for a, b in after.items()], "range int, before int")
+        pairs = docs.sparkSession.createDataFrame([(b, a) for a, b in after.items()], "range long, before long")
         follow = heads.join(F.broadcast(pairs), "range").select(F.col("before").alias("range"), "head_text")
     joined = placed.join(follow, "range", "left").withColumn("next_text", F.coalesce("next_text", "head_text", F.lit("")))
     n = F.length("text")

@@ -1,4 +1,5 @@
 """Multiset fingerprints: order, insertion and deletion, and the edited texts."""
+import collections
 import hashlib
 
 from pyspark.sql import functions as F
@@ -51,6 +52,34 @@ def test_edited_texts_over_many_ranges(spark, monkeypatch, sf):
     assert all(by_id[a]["next_vector"] == by_id[b]["vector"] for a, b in zip(ids, [*ids[1:], ids[0]]))
 
 
+def test_rows_without_ids_and_equal_rows_over_many_ranges(spark, monkeypatch):
+    """No range holds a large share of the rows; the chain of next texts goes once round all of them."""
+    rows = [(None, f"no id {i % 700}") for i in range(2000)] + [(5, "the same row")] * 2000 + [(i, f"text {i}") for i in range(2000)] + [(9, f"of nine {i}") for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    monkeypatch.setattr(mh, "RANGE_BYTES", 500)
+    keyed = frame.withColumn("tie", F.xxhash64("text"))
+    ranged = mh._in_ranges(keyed)
+    assert ranged.groupBy("range").count().agg(F.max("count")).first()[0] <= len(rows) / 20
+    edges = ranged.groupBy("range").agg(F.max(F.coalesce(-F.col("doc_id"), F.lit(1 << 40))).alias("last"), F.min(F.coalesce(-F.col("doc_id"), F.lit(1 << 40))).alias("first")).orderBy("range").collect()
+    assert all(a["last"] <= b["first"] for a, b in zip(edges, edges[1:]))
+    found = mh.edited_fingerprints(frame).collect()
+    assert len(found) == len(rows)
+    texts, nexts = collections.Counter(), collections.Counter()
+    for r in found:
+        texts[tuple(r["vector"])] += 1
+        nexts[tuple(r["next_vector"])] += 1
+    assert texts == nexts
+    # Of 2000 equal rows all but the last are followed by an equal one.
+    same = next(tuple(r["vector"]) for r in found if r["doc_id"] == 5 and texts[tuple(r["vector"])] == 2000)
+    assert sum(tuple(r["vector"]) == same == tuple(r["next_vector"]) for r in found) >= 1998
+
+
+def test_cuts_are_counted_in_two_steps(spark):
+    for cuts in ([3], [1, 5], list(range(0, 300, 3)), list(range(17))):
+        frame = spark.range(-5, 310).select("id", mh._below(cuts, F.col("id")).alias("n"))
+        assert all(r["n"] == sum(c < r["id"] for c in cuts) for r in frame.collect())
+
+
 def test_odd_rows(odd, empty, monkeypatch):
     rows = mh.edited_fingerprints(odd).collect()
     assert sorted((str(r["doc_id"]), r["n_chars"]) for r in rows) == sorted((str(i), len(t or "")) for i, t in ODD_ROWS)

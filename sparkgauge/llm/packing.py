@@ -9,9 +9,9 @@ is packed best fit, longest first, on the histogram. The plan is a list of runs
 (length, first rank, count, sequence, offset), at most three for each pattern plus
 those of the residue, whatever the size of the table.
 
-Pieces get their rank among those of equal length from counts in 64 deals of each
-length, so no task holds all pieces of a length; a look-up in the plan gives the
-sequence. Pieces longer than the capacity are an error; cut them before
+Pieces get their rank among those of equal length from counts in deals of a bounded
+number of rows, so no task holds all pieces of a length, even if they are one row that
+repeats; a look-up in the plan gives the sequence. Pieces longer than the capacity are an error; cut them before
 (``token_pieces`` does). A piece of length 0 takes part and needs no room. An empty
 table gives no rows. Columns named like an output column are replaced.
 """
@@ -32,8 +32,8 @@ from sparkgauge.llm.bpe import byte_alphabet
 from sparkgauge.llm.common import add_columns, column, stored
 
 CAPACITY = 2048
-#: Deals of each length, by a hash of the row.
-DEALS = 64
+#: Pieces of a deal, about: those of one length are dealt out by a hash of the row's number.
+DEAL_ROWS = 100_000
 STEPS = 400
 
 Run = tuple[int, int, int, int, int]
@@ -147,19 +147,20 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[Run], in
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """All rows with ``sequence_id`` and ``offset``; give it a stored table, since its rows are read twice."""
+    """All rows with ``sequence_id`` and ``offset``. The rows are stored with numbers of their own first."""
     spark = pieces.sparkSession
     fields = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    rows = pieces.select(*map(column, fields)).withColumns({
-        "__length": column(length), "__deal": F.pmod(F.xxhash64(*map(column, fields)), F.lit(DEALS))})
-    counts = rows.groupBy("__length", "__deal").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("__length").orderBy("__deal").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(counts.withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0))), "length-deals")
+    rows = stored(pieces.select(*map(column, fields)).withColumns({"__length": column(length), "__row": F.monotonically_increasing_id()}), "pieces")
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in bases.groupBy("__length").agg(F.sum("n").alias("n")).collect():  # one row for each length
+    for r in rows.groupBy("__length").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each length
         if r["__length"] is None or not 0 <= r["__length"] <= capacity:
             raise ValueError(f"a piece has length {r['__length']}; cut pieces to at most {capacity}")
         histogram[r["__length"]] = r["n"]
+    deals = F.array(*[F.lit(int(max(1, -(-n // DEAL_ROWS)))) for n in histogram])
+    rows = rows.withColumn("__deal", F.pmod(F.xxhash64("__row"), F.get(deals, F.col("__length"))))
+    counts = rows.groupBy("__length", "__deal").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__length").orderBy("__deal").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stored(counts.withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0))), "length-deals")
     runs, _ = plan(histogram, capacity)
     runs.sort()
     table = np.array(runs, np.int64).reshape(-1, 5)
@@ -176,9 +177,9 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
 
         return find
 
-    # At most capacity * DEALS rows.
-    placed = rows.join(F.broadcast(bases.drop("n")), ["__length", "__deal"])
-    nth = F.row_number().over(Window.partitionBy("__length", "__deal").orderBy(*map(column, fields)))
+    # A row for each length and for each DEAL_ROWS pieces; if too many to broadcast, shuffled by what the window needs anyway.
+    placed = rows.join(bases.drop("n"), ["__length", "__deal"])
+    nth = F.row_number().over(Window.partitionBy("__length", "__deal").orderBy("__row"))
     ranked = placed.withColumn("__rank", (F.col("__base") + nth - 1).cast("long"))
     return add_columns(ranked, ["__length", "__rank"], [("sequence_id", "long"), ("offset", "long")], make, fields)
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkgauge.llm import alignment, ann, bpe, content_sort, multiset_hash, packing, secrets, shards, simhash, toxicity, url_filter, variants, warc
-from sparkgauge.llm.common import scratch, stored, table
+from sparkgauge.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,8 +94,7 @@ def op7_pattern_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as token pieces packed into sequences of at most 2048 tokens."""
     docs = table(spark, sf, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    told = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return packing.pack(told)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 @register

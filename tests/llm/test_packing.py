@@ -96,3 +96,15 @@ def test_ties_and_clashing_columns(spark):
     assert check(got, 1000) == 500 and len(got) == 5000
     with pytest.raises(ValueError, match="cut pieces"):
         packing.pack(rows, capacity=99)
+
+
+def test_one_length_and_one_row_over_many_deals(spark, monkeypatch):
+    monkeypatch.setattr(packing, "DEAL_ROWS", 100)
+    names = []
+    plain = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: names.append((name, plain(df, name))) or names[-1][1])
+    rows = spark.createDataFrame([(7, 2048)] * 4000 + [(8, 3)] * 10, "doc_id long, length long").repartition(3)
+    got = packing.pack(rows).collect()
+    assert check(got, 2048) == 4001 and len(got) == 4010
+    deals = dict(names)["length-deals"].collect()
+    assert sum(r["__length"] == 2048 for r in deals) == 40 and max(r["n"] for r in deals) < 200

@@ -1,7 +1,7 @@
 """Largest inner products by an adaptive scan over dimensions within probed lists.
 
-Index: centroids are fitted on a bounded sample (``SAMPLE_ROWS`` vectors, by a hash of
-the id); every vector goes to the list of its nearest centroid, and lists are stored in
+Index: centroids are fitted on a bounded sample (``SAMPLE_ROWS`` vectors, those with the least
+hashes of the row's number); every vector goes to the list of its nearest centroid, and lists are stored in
 blocks of at most about ``BLOCK_ROWS`` vectors, so a crowded list is many blocks. Search:
 a query probes its nearest lists. A block's vectors are rotated by one random rotation
 and laid out in blocks of ``COLUMNS`` columns. After each of these the distance so far,
@@ -13,19 +13,25 @@ start from the bound found there, so they send on little more than what is bette
 
 Inner products become distances by the norms: ``d2 = |q|^2 + |x|^2 - 2 q.x``.
 
+The vectors of a block come to a task before its queries, which pass by one after the other;
+a block is copied only where more than ``QUERY_ROWS`` queries have to be dealt over tasks.
+
 Vectors that are null, zero, or hold null or non-finite components take no part, and
-neither do those whose number of components is not the most frequent one. A query never
-meets rows with its own id; rows of another id that repeat are all candidates. A repeated
-query id is searched once. An empty table gives no rows. Only the id and the vector are used.
+neither do those whose number of components is not the most frequent one: they have no
+inner product with the others. Ids are whole numbers; rows without one take no part. A
+query's own row is told by a number of its own, so other rows with its id are candidates,
+and each row with a repeated query id is searched for itself. An empty table gives no rows.
+Only the id and the vector are used.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkgauge.llm.common import add_columns, column, stored
 
@@ -33,16 +39,16 @@ SAMPLE_ROWS = 16_384
 LIST_ROWS = 500
 MOST_LISTS = 4_096
 BLOCK_ROWS = 4_096
-QUERY_ROWS = 4_096
+QUERY_ROWS = 1 << 17
 COLUMNS = 16
 SEED = 7
 
 
-def valid_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, vector) of the rows that take part."""
+def valid_vectors(df: DataFrame, vec_id: str, embedding: str, keep: dict[str, Column]) -> DataFrame:
+    """(vec_id, vector) of the rows that take part, and the columns ``keep``."""
     v = F.col("vector")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(column(vec_id).alias("vec_id"), column(embedding).cast("array<double>").alias("vector"))
+    rows = df.select(column(vec_id).alias("vec_id"), column(embedding).cast("array<double>").alias("vector"), *[c.alias(n) for n, c in keep.items()])
     rows = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
     usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
     return rows.join(F.broadcast(usual.select("n")), F.size("vector") == F.col("n"), "left_semi")
@@ -77,8 +83,8 @@ def rotation(size: int) -> np.ndarray:
 class Block:
     """Vectors of one block of a list, rotated and laid out in column blocks."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, strictness: float):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, strictness: float):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         self.size = vectors.shape[1]
         self.turn = rotation(self.size)
         turned = vectors @ self.turn
@@ -91,7 +97,7 @@ class Block:
     def search(self, own: int, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of up to k best with a score of at least ``floor`` (-inf: no bound yet)."""
         turned, norm = query @ self.turn, float(query @ query)
-        live = np.flatnonzero(self.ids != own)
+        live = np.flatnonzero(self.rows != own)
         if math.isinf(floor) and len(live) > k:  # a first bound from part of the block
             first = live[:4 * k]
             floor = float(np.partition((self.vectors[first] * query).sum(axis=1), -k)[-k]) - 1e-9
@@ -112,46 +118,61 @@ class Block:
 
 
 def _scan(blocks: DataFrame, probes: DataFrame, k: int, strictness: float) -> DataFrame:
-    """Best of each probed block: (query_id, vec_id, score)."""
+    """Best of each probed block: (query, query_id, vec_id, score)."""
     keys = ["list", "block", "share"]
-
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            block = Block(left["vec_id"].combine_chunks().to_numpy(), matrix(left["vector"].combine_chunks()), strictness)
-            floors = right["floor"].to_pylist()
-            for own, query, floor in zip(right["query_id"].to_pylist(), matrix(right["query"].combine_chunks()), floors):
-                found.append((own, *block.search(own, query, k, -math.inf if floor is None else floor)))
-        owners = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-        return pa.table({"query_id": owners, "vec_id": np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]]),
-                         "score": np.concatenate([np.zeros(0), *[f[2] for f in found]])})
-
-    return blocks.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(both, "query_id long, vec_id long, score double")
+    none = F.lit(None).cast("double")
+    met = blocks.select(*keys, F.lit(0).alias("asks"), "row", "vec_id", "vector", none.alias("floor")).unionByName(
+        probes.select(*keys, F.lit(1).alias("asks"), F.col("query").alias("row"), F.col("query_id").alias("vec_id"), "vector", "floor"))
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+            for a, b in zip(edges, edges[1:]):
+                part, asks = batch.slice(a, b - a), place[3, a]
+                if (here := tuple(place[:3, a])) != at:
+                    at, held, block = here, [], None
+                if not asks:
+                    held.append((part.column(4).to_numpy(), part.column(5).to_numpy(), matrix(part.column(6))))
+                    continue
+                if block is None and held:
+                    block = Block(*[np.concatenate(x) for x in zip(*held)], strictness)
+                if block is not None:
+                    for row, own, query, floor in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), matrix(part.column(6)), part.column(7).to_pylist()):
+                        found.append((row, own, *block.search(row, query, k, -math.inf if floor is None else floor)))
+            sizes = [len(f[2]) for f in found]
+            repeated = [np.repeat(np.array([f[i] for f in found], np.int64), sizes) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, repeated), pa.array(np.concatenate([np.zeros(0, np.int64), *[f[2] for f in found]])),
+                                              pa.array(np.concatenate([np.zeros(0), *[f[3] for f in found]]))], ["query", "query_id", "vec_id", "score"])
+
+    return met.repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(pass_by, "query long, query_id long, vec_id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20,
+def search(df: DataFrame, asks: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20,
            probe_share: float = 0.9, strictness: float = 1.5, list_rows: int = LIST_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of each query row among all rows.
+    """(query_id, rank, vec_id, score): for each row that ``asks`` the k best among all other rows.
 
     ``probe_share`` is the share of lists that a query probes, at least one. Vectors
     with clusters need few; on vectors without any, recall follows the share.
     """
     spark = df.sparkSession
-    rows = stored(valid_vectors(df, vec_id, embedding), "vectors")
-    asked = valid_vectors(queries, vec_id, embedding).dropDuplicates(["vec_id"])
+    rows = stored(valid_vectors(df, vec_id, embedding, {"asks": F.coalesce(asks, F.lit(False)), "row": F.monotonically_increasing_id()}), "vectors")
+    asked = rows.filter("asks")
     total = rows.count()
-    result = "query_id long, rank int, vec_id long, score double"
     if not total:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = max(1, min(MOST_LISTS, total // list_rows))
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(total)) * 1.0
-    sample = rows.filter(share < SAMPLE_ROWS).limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
-    sample = matrix(sample if len(sample) >= lists else rows.limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks())
+    drawn = F.pmod(F.xxhash64("row"), F.lit(total))
+    sample = matrix(rows.filter(drawn < 1.1 * SAMPLE_ROWS + 50).orderBy(drawn, "row").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks())
     lists = min(lists, len(sample))
     shared = spark.sparkContext.broadcast(fit_centroids(sample, lists))
     probed = max(1, math.ceil(probe_share * lists))
@@ -167,17 +188,17 @@ def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding:
 
         return rank
 
-    listed = stored(add_columns(rows, ["vector"], [("list", "int")], to_list), "lists")
-    # One row for each list and share of queries: at most MOST_LISTS rows.
+    listed = stored(add_columns(rows.drop("asks"), ["vector"], [("list", "int")], to_list), "lists")
+    # One row for each list: at most MOST_LISTS rows.
     sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    asked = stored(add_columns(asked, ["vector"], [("probes", "array<int>")], to_probes), "probes")
+    asked = stored(add_columns(asked.drop("asks"), ["vector"], [("probes", "array<int>")], to_probes), "probes")
     shares = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    blocks = listed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    blocks = stored(blocks.select("list", "block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "vec_id", "vector"), "blocks")
-    spread = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("share"),
+    blocks = listed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    blocks = blocks.select("list", "block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "row", "vec_id", "vector")
+    spread = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "vector", F.pmod(F.xxhash64("row"), F.lit(shares)).cast("int").alias("share"),
                           F.posexplode("probes").alias("nth", "list"))
     probes = spread.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     first = stored(_best(_scan(blocks, probes.filter("nth = 0").withColumn("floor", F.lit(None).cast("double")), k, strictness), k), "nearest-list")
-    floors = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    rest = _scan(blocks, probes.filter("nth > 0").join(floors, "query_id", "left"), k, strictness)
+    floors = first.filter(F.col("rank") == k).select("query", F.col("score").alias("floor"))
+    rest = _scan(blocks, probes.filter("nth > 0").join(floors, "query", "left"), k, strictness)
     return _best(first.drop("rank").unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,12 +1,13 @@
 """URL rules looked up in sorted digest arrays on disk.
 
 The rules are stored as files of 64-bit XXH64 digests in ascending order, with the full
-rule strings behind them. Executors get the files through Spark's file service and map
-them into memory, so an index larger than memory still works. A url's possible rules
-(its host and every parent domain, with every prefix of the path that has the length of
-some rule's path) are hashed and found by a vectorised binary search; a hit counts only
-if the stored string is the same. Files hold at most ``SEGMENT_RULES`` rules, cut by
-digest range, so building one never holds more than that on the driver.
+rule strings behind them. Tasks write them, each the rules of one range of digests, about
+``SEGMENT_RULES`` of them, into the shared folder; the driver only names the files.
+Executors get them through Spark's file service and map them into memory, so an index
+larger than memory still works. A url's possible rules are its host's last labels, as many
+as some rule has, with every prefix of the path that has the length of such a rule's path;
+they are hashed and found by a vectorised binary search, and a hit counts only if the
+stored string is the same. So a host of very many labels costs no more than a common one.
 
 Null urls and urls without ``://`` have empty host and path and fit no rule. Repeated
 rules count once, and of two verdicts for one rule "block" holds. Rules of equal length
@@ -17,8 +18,8 @@ entry that the array lacks is not listed. Columns named like an output are repla
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm.common import add_columns, column, scratch
+from sparkgauge.llm.common import add_columns, column, scratch, stored
 
 SEED = 42
-#: Rules in one file of the index; what the driver holds at once while it builds it.
+#: Rules in one file of the index, about; what a task holds at once while it writes it.
 SEGMENT_RULES = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICTS = ("allow", "block")
@@ -42,39 +43,45 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def build_index(rules: DataFrame, rule: str = "rule", verdict: str = "verdict", segment_rules: int = SEGMENT_RULES) -> list[str]:
-    """Write the index of rules like ``example.com/en/`` and hand its files to the executors; returns their names."""
+@dataclass(frozen=True)
+class Index:
+    """Names of the files, and the different (labels of the host, bytes of the path) that rules have."""
+
+    names: tuple[str, ...]
+    shapes: tuple[tuple[int, int], ...]
+
+
+def build_index(rules: DataFrame, rule: str = "rule", verdict: str = "verdict", segment_rules: int = SEGMENT_RULES) -> Index:
+    """Write the index of rules like ``example.com/en/`` and hand its files to the executors."""
     spark = rules.sparkSession
-    digest = F.xxhash64("rule")  # XXH64 of the UTF-8 bytes, seed 42
-    share = (F.shiftrightunsigned(digest, 11).cast("double") / float(2**53))
     listed = (rules.select(column(rule).alias("rule"), column(verdict).alias("verdict")).filter("rule is not null")
               .groupBy("rule").agg(F.max("verdict").alias("verdict")))
+    host = F.substring_index("rule", "/", 1)
+    listed = stored(listed.select("rule", "verdict", F.xxhash64("rule").bitwiseXOR(F.lit(-(1 << 63))).alias("place"),  # XXH64 of the UTF-8 bytes, seed 42; rises with it
+                                  F.size(F.split(host, r"\.")).alias("labels"), (F.octet_length("rule") - F.octet_length(host)).alias("path_bytes")), "url-rules")
+    shapes = tuple(sorted((r["labels"], r["path_bytes"]) for r in listed.select("labels", "path_bytes").distinct().collect()))
     segments = max(1, math.ceil(listed.count() / segment_rules))
-    names = []
-    for i in range(segments):
-        part = listed.filter((F.floor(share * segments) == i) if segments > 1 else F.lit(True)).toPandas()
-        names.append(_write_segment(spark, part["rule"].tolist(), part["verdict"].tolist()))
-    return names
-
-
-def _write_segment(spark: SparkSession, rules: list[str], verdicts: list[str]) -> str:
-    """One file: count, sorted digests, string ends, verdicts, strings."""
-    keys = np.array([xxhash.xxh64_intdigest(r, SEED) for r in rules], np.uint64)
-    order = np.argsort(keys, kind="stable")
-    texts = [rules[i].encode() for i in order]
-    ends = np.cumsum([0, *map(len, texts)]).astype(np.uint64)
-    flags = np.array([VERDICTS.index(verdicts[i]) for i in order], np.uint8)
-    content = b"".join([np.uint64(len(rules)).tobytes(), keys[order].tobytes(), ends.tobytes(), flags.tobytes(), *texts])
-    name = f"url-rules-{uuid.uuid4().hex}.bin"
-    uri = f"{scratch(spark, 'url-rules')}/{name}"
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    for at in range(0, len(content), 1 << 22):
-        out.write(bytearray(content[at:at + (1 << 22)]))
-    out.close()
-    spark.sparkContext.addFile(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
-    return name
+    content = listed.repartitionByRange(segments, "place").sortWithinPartitions("place").select("rule", "verdict").mapInArrow(_segments, "content binary")
+    path = scratch(spark, "url-segments")
+    # A text file of one line: the bytes as they are, and a line feed that nothing reads.
+    content.select(F.col("content").cast("string").alias("value")).write.text(path)
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return Index(tuple(file.rsplit("/", 1)[1] for file in files), shapes)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the file's bytes: count, sorted digests, string ends, verdicts, strings."""
+    texts, flags = [], []
+    for batch in batches:
+        texts += [r.encode() for r in batch.column(0).to_pylist()]
+        flags += [VERDICTS.index(v) for v in batch.column(1).to_pylist()]
+    if texts:
+        keys = np.array([xxhash.xxh64_intdigest(x, SEED) for x in texts], np.uint64)
+        ends = np.cumsum([0, *map(len, texts)]).astype(np.uint64)
+        whole = b"".join([np.uint64(len(texts)).tobytes(), keys.tobytes(), ends.tobytes(), np.array(flags, np.uint8).tobytes(), *texts])
+        yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], ["content"])
 
 
 class Segment:
@@ -105,32 +112,34 @@ class Segment:
             open_ = open_[at[open_] < len(self.keys)]
         return found
 
-    def path_lengths(self) -> set[int]:
-        """Lengths in bytes of the rules' paths."""
-        return {len(t) - t.index(b"/") if b"/" in t else 0 for t in map(self.text, range(len(self.keys)))}
+
+def candidates(host: str, path: bytes, shapes: Sequence[tuple[int, int]]) -> list[tuple[bytes, int]]:
+    """(rule string, bytes of its host) of all rules of these shapes that could fit."""
+    if not host or not shapes:
+        return []
+    most = max(n for n, _ in shapes)
+    parts = host.rsplit(".", most)
+    labels = len(parts) if len(parts) <= most else most
+    domains = {n: ".".join(parts[-n:]).encode() for n in {n for n, _ in shapes} if n <= labels}
+    return [(domains[n] + path[:size], len(domains[n])) for n, size in shapes if n <= labels and size <= len(path)]
 
 
-def judge(df: DataFrame, index: Sequence[str], url: str = "url", keep: Sequence[str] | None = None, lengths: Sequence[int] | None = None) -> DataFrame:
+def judge(df: DataFrame, index: Index, url: str = "url", keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (null where none fits) and ``verdict`` to rows with a url."""
     host, path = host_and_path(column(url))
     split = df.withColumns({"host": host, "path": path})
     kept = None if keep is None else [*keep, "host", "path"]
-    names = list(index)
 
     def make():
-        segments = [Segment(SparkFiles.get(n)) for n in names]
-        sizes = sorted(set().union(*(s.path_lengths() for s in segments)) if lengths is None else set(lengths))
+        segments = [Segment(SparkFiles.get(n)) for n in index.names]
 
         def find(hosts: pa.Array, paths: pa.Array):
             owner, strings, host_bytes = [], [], []
             for i, (h, p) in enumerate(zip(hosts.to_pylist(), paths.to_pylist())):
-                labels, p = h.split("."), p.encode()
-                prefixes = [p[:n] for n in sizes if n <= len(p)]
-                for k in range(len(labels) if h else 0):
-                    domain = ".".join(labels[k:]).encode()
-                    strings += [domain + x for x in prefixes]
-                    owner += [i] * len(prefixes)
-                    host_bytes += [len(domain)] * len(prefixes)
+                for string, size in candidates(h, p.encode(), index.shapes):
+                    strings.append(string)
+                    host_bytes.append(size)
+                    owner.append(i)
             digests = np.array([xxhash.xxh64_intdigest(s, SEED) for s in strings], np.uint64)
             best: dict[int, tuple[int, int, str, str]] = {}
             for segment in segments:

@@ -36,3 +36,25 @@ def test_equal_digests_are_told_apart_by_the_strings():
     texts = [b"a/", b"b/", b"c/"]
     segment.ends, segment.texts = np.array([0, 2, 4, 6], np.uint64), np.frombuffer(b"".join(texts), np.uint8)
     assert segment.find(np.array([5, 5, 5, 9, 1, 10], np.uint64), [b"b/", b"a/", b"x/", b"c/", b"a/", b"c/"]).tolist() == [1, 0, -1, 2, -1, -1]
+
+
+def test_hosts_of_very_many_labels(spark):
+    """Only the last labels are joined, whatever the length of the host; a rule of many labels is still found."""
+    many = ".".join(["a"] * 40) + ".org"
+    rules = spark.createDataFrame([*URL_RULES, (f"{many}/x/", "block"), (f"{many}/x/" + "y" * 3000, "allow")], "rule string, verdict string")
+    index = url_filter.build_index(rules, segment_rules=3)
+    assert len(index.names) > 1 and max(index.shapes) == (41, 3003)
+    urls = [f"http://{'q.' * 100_000}example.com/en/1", f"http://{many}/x/1", f"http://b.{many}/x/{'y' * 5000}", "http://" + "." * 100_000 + "/x/", f"http://a{many}/x/1"]
+    got = {r["i"]: (r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "i int, url string"), index).collect()}
+    assert got == {0: ("example.com/en/", "block"), 1: (f"{many}/x/", "block"), 2: (f"{many}/x/" + "y" * 3000, "allow"), 3: (None, "allow"), 4: (None, "allow")}
+    total = sum(len(s) for s, _ in url_filter.candidates("q." * 100_000 + "com", b"/x", index.shapes))
+    assert total < 10_000
+
+
+def test_many_rules_in_segments(spark):
+    rules = spark.range(3000).selectExpr("concat('h', id % 700, '.example', id % 13, '.com/p', id, '/') AS rule", "CASE WHEN id % 2 = 0 THEN 'block' ELSE 'allow' END AS verdict")
+    index = url_filter.build_index(rules, segment_rules=400)
+    assert 6 <= len(index.names) <= 10
+    pages = rules.selectExpr("concat('https://www.', rule, 'q?x') AS url", "rule AS want", "verdict AS wanted")
+    got = url_filter.judge(pages, index)
+    assert got.filter("rule = want AND verdict = wanted").count() == 3000

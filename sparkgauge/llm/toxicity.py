@@ -1,16 +1,17 @@
 """Toxicity by a weighted grammar of finite-state patterns over clauses.
 
-Tokens are read as classes: insult (with a weight), violent verb, intention, target,
-negation, speech verb, quotation mark, clause end, other. Insults are whole words and
-word stems with weights learned from labelled rows; the other classes are short word
-lists. Five small transducers run over the classes: one emits insults, one emits
-threats (intention or target, then a violent verb), one remembers a target, one a
-negation for three tokens, and one speech verbs and open quotations. Their composition
-is compiled into one table of states and classes; an arc that emits says in which of
-the composed situations the clause matched (plain, at a target, negated, reported,
-threat). A document's score is a logistic function of the weights matched in each
-situation, of its best clause and of how many clauses match, never of single words
-outside a clause.
+Tokens are read as classes: insult (with a weight), violent verb in any of its forms,
+intention, target, negation, speech verb, quotation mark, clause end, other. Insults are
+whole words and word stems with weights learned from labelled rows; the other classes are
+short word lists, verbs by stems and endings. Five small transducers run over the classes:
+one passes insults on and waits for a target behind them, one does so for threats (a violent
+verb behind an intention or a target, or before a target), one remembers a target, one a
+negation for three tokens, and one speech verbs and open quotations. Their composition is
+compiled into one table of states and classes. An arc that emits says in which of the
+composed situations the clause matched (plain, at a target, negated, reported, threat) and
+with what weight: a share of the token's own and one of the arc. A document's score is a
+logistic function of the weights matched in each situation, of its best clause and of how
+many clauses match, never of single words outside a clause.
 
 Training uses at most ``TRAIN_ROWS`` labels, those with the least hashes of the id, and of
 texts that share an id one; its rows are dealt over many tasks. At most ``MOST_STEMS`` stems are kept, by weight. Stems
@@ -45,8 +46,14 @@ STEM_LETTERS = (3, 4, 5, 6)
 MOST_CHUNKS = 300_000
 MOST_KINDS = 50_000
 
-# Fixed word lists: violence, intention, targets, negation, speech.
-VIOLENT = "kill hurt beat destroy shoot stab strangle burn töten schlagen umbringen tuer frapper brûler matar golpear quemar".split()
+# Fixed word lists: violence (stems and endings in English, German, French and Spanish, and other forms), intention, targets, negation, speech.
+VERBS = (
+    ("kill hurt beat destroy shoot stab stabb strangl burn murder punch smash attack", ("", "s", "e", "es", "ed", "en", "ing")),
+    ("töt schlag schläg verbrenn erschieß würg ermord verprügel umbring", ("e", "st", "est", "t", "et", "n", "en", "te", "test", "ten", "tet")),
+    ("frapp brûl étrangl assassin", ("er", "e", "es", "ons", "ez", "ent", "é", "ée", "és", "ées", "ait", "era", "erai")),
+    ("mat golpe quem estrangul asesin", ("ar", "o", "as", "a", "amos", "an", "é", "ó", "aron", "ado", "ada", "ando", "aré", "ará")),
+    ("shot slew schlug geschlagen getötet umgebracht erschoss tuer tue tues tuons tuez tuent tué tuée tués", ("",)),
+)
 INTENT = "will gonna going shall should must werde wird sollte vais va devrait voy va debería".split()
 TARGETS = "you your yours he she they them him her u du dich dir ihr euch sie tu te toi vous ils elle usted ustedes tú ti ellos".split()
 NEGATIONS = "not no never isn't aren't don't doesn't nobody nicht kein keine nie ne pas jamais non nunca jamás ni".split()
@@ -56,7 +63,8 @@ OTHER, INSULT, VERB, WILL, TARGET, NOT, SAID, QUOTE, END = range(9)
 SITUATIONS = ("plain", "targeted", "negated", "reported", "threat")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„.,;:!?|]")
 LETTERS = re.compile(r"[^\W\d_]+")
-CLASSES = {w: c for c, words in ((SAID, SPEECH), (NOT, NEGATIONS), (TARGET, TARGETS), (WILL, INTENT), (VERB, VIOLENT)) for w in words}
+VIOLENT = [stem + ending for stems, endings in VERBS for stem in stems.split() for ending in endings]
+CLASSES = {w: c for c, words in ((SAID, SPEECH), (NOT, NEGATIONS), (VERB, VIOLENT), (TARGET, TARGETS), (WILL, INTENT)) for w in words}
 CLASSES |= dict.fromkeys("\"“”«»„", QUOTE) | dict.fromkeys(".,;:!?|", END)
 
 
@@ -76,30 +84,39 @@ def _speech(state: int, c: int) -> int:
 
 
 def _threat(state: int, c: int) -> int:
-    return 0 if c == END else 1 if c in (WILL, TARGET) else state
+    """0 none, 1 after an intention or a target, 2 after a violent verb that neither came before."""
+    if c == END:
+        return 0
+    return 1 if c in (WILL, TARGET) else 2 if c == VERB and state != 1 else state
 
 
-MACHINES = ((_target, 2), (_negation, 4), (_speech, 3), (_threat, 2))
+def _insult(state: int, c: int) -> int:
+    """Whether an insult waits for its target."""
+    return 1 if c == INSULT else 0 if c in (END, TARGET) else state
 
 
-def compose() -> tuple[list[list[int]], list[list[int]]]:
-    """Next state and emitted situation (-1: none) of the composed machine for each state and class."""
+MACHINES = ((_target, 2), (_negation, 4), (_speech, 3), (_threat, 3), (_insult, 2))
+
+#: What an arc emits: situation (-1: nothing), share of the token's weight, weight of the arc itself.
+Arc = tuple[int, float, float]
+
+
+def _arc(state: tuple[int, ...], c: int) -> Arc:
+    """The output of the composed arc: that of the threat and insult transducers, told apart by the states of all."""
+    target, negation, speech, threat, insult = state
+    threatens = c == VERB and threat == 1 or c == TARGET and threat == 2
+    if not (threatens or c == INSULT or c == TARGET and insult):
+        return -1, 0.0, 0.0
+    situation = 3 if speech else 2 if negation else 4 if threatens else 1 if target or c == TARGET else 0
+    return (situation, 1.0, 0.0) if c == INSULT else (situation, 0.0, 1.0)
+
+
+def compose() -> tuple[list[list[int]], list[list[Arc]]]:
+    """Next state and output of the composed machine for each state and class."""
     sizes = [n for _, n in MACHINES]
-    step, emits = [], []
-    for number in range(int(np.prod(sizes))):
-        parts = [int(x) for x in np.unravel_index(number, sizes)]
-        row, out = [], []
-        for c in range(END + 1):
-            after = [f(p, c) for (f, _), p in zip(MACHINES, parts)]
-            row.append(int(np.ravel_multi_index(after, sizes)))
-            target, negation, speech, threat = parts
-            situation = -1
-            if c == INSULT or c == VERB and threat:
-                situation = 3 if speech else 2 if negation else 4 if c == VERB else 1 if target else 0
-            out.append(situation)
-        step.append(row)
-        emits.append(out)
-    return step, emits
+    states = [tuple(int(x) for x in np.unravel_index(number, sizes)) for number in range(int(np.prod(sizes)))]
+    step = [[int(np.ravel_multi_index([f(p, c) for (f, _), p in zip(MACHINES, state)], sizes)) for c in range(END + 1)] for state in states]
+    return step, [[_arc(state, c) for c in range(END + 1)] for state in states]
 
 
 @dataclass
@@ -134,7 +151,7 @@ class Reader:
         symbols = []
         for w in WORD.findall(chunk):
             c = CLASSES.get(w, OTHER)
-            weight = 1.0 if c == VERB else 0.0
+            weight = 0.0
             if c == OTHER or c == VERB:
                 found = max((self.stems.get(f, 0.0) for f in features_of(w)), default=0.0)
                 if found:
@@ -188,15 +205,15 @@ class Reader:
 
     def _clause(self, kinds: np.ndarray, inside: bool, skip: bool, sums: list[float]) -> float:
         """Run over the chunks of a clause; matches in the chunk that ends the one before count there already."""
-        state = int(np.ravel_multi_index((0, 0, 2 if inside else 0, 0), [n for _, n in MACHINES]))
+        state = int(np.ravel_multi_index((0, 0, 2 if inside else 0, 0, 0), [n for _, n in MACHINES]))
         total = 0.0
         for i, k in enumerate(kinds):
             for c, weight in self.kinds[k]:
-                situation = self.emits[state][c]
+                situation, share, own = self.emits[state][c]
                 state = self.step[state][c]
                 if situation >= 0 and not (skip and i == 0):
-                    sums[situation] += weight
-                    total += weight if situation in (0, 1, 4) else 0.0
+                    sums[situation] += share * weight + own
+                    total += share * weight + own if situation in (0, 1, 4) else 0.0
         return total
 
 

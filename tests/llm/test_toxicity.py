@@ -23,6 +23,10 @@ def test_situations():
     assert sums("he said you idiot. idiot") == [3, 0, 0, 3, 0]
     assert sums('"an idiot. idiot" idiot') == [3, 0, 0, 6, 0]
     assert sums("i will kill this. kill it") == [0, 0, 0, 0, 1]
+    assert sums("an idiot you are, idiot") == [6, 1, 0, 0, 0]
+    for threat in ("he kills you", "you were killed", "i will murder you", "du schlägst ihn", "they shot her", "je vais te frapper", "voy a matarte: te mato", "we burned him"):
+        assert sums(threat)[4] >= 1, threat
+    assert sums("he said they killed him")[3] == 1 and sums("never kill her")[2] == 1 and sums("the process was killed")[4] == 0
     assert sums("I WILL not kill you|idiot") == [3, 0, 1, 0, 0]
     assert sums(None) == sums("") == sums("clean words only") == [0] * 5
 
@@ -36,12 +40,13 @@ def test_parts_of_a_text_count_as_the_whole():
         state, want = 0, [0.0] * 5
         for w in toxicity.WORD.findall(text):
             c = toxicity.CLASSES.get(w, toxicity.OTHER)
-            weight = 1.0 if c == toxicity.VERB else 0.0
+            weight = 0.0
             stem = max((STEMS.get(f, 0) for f in toxicity.features_of(w)), default=0)
             if stem and c in (toxicity.OTHER, toxicity.VERB):
                 c, weight = toxicity.INSULT, stem
-            if emits[state][c] >= 0:
-                want[emits[state][c]] += weight
+            situation, share, own = emits[state][c]
+            if situation >= 0:
+                want[situation] += share * weight + own
             state = step[state][c]
         assert np.allclose(np.expm1(reader.features(text)[:5]), want), text
 

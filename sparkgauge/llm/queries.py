@@ -64,6 +64,14 @@ def op4_warc_source(spark: SparkSession, sf: str) -> DataFrame:
                           number("refers_to").alias("refers_to"))
 
 
+# SHA-1 in base 32: eight groups of five hex digits, four characters each.
+SQL["op4_warc_source"] = """
+WITH told AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform(range(0, 4), lambda c:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(digest, g::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * c::INT)) & 31)::INT + 1, 1)), lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM told"""
+
+
 @register
 def op6_simhash_gray(spark: SparkSession, sf: str) -> DataFrame:
     """SimHash fingerprints and the components of those at most three bits apart."""

@@ -30,6 +30,8 @@ SIGNS = 64
 LANES = WIDE + 1 + SIGNS
 #: Bytes of text in a range of ids, and the most ranges.
 RANGE_BYTES = 8 << 20
+#: Bytes of text that a task holds, about.
+TASK_BYTES = 64 << 20
 MOST_RANGES = 1 << 16
 _PAIR = (1 << 32) + 1
 _LOW = (1 << 32) - 1
@@ -147,7 +149,10 @@ def _in_ranges(rows: DataFrame) -> DataFrame:
     around = F.coalesce(2 * F.size(F.filter("ties", lambda t: t["tie"] < F.col("tie"))) + same.isNotNull().cast("int"), F.lit(0))
     equal = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), same["parts"]), F.lit(0).cast("long"))
     number = F.shiftleft(stretch.cast("long"), 46) + F.shiftleft(by_tie, 29) + F.shiftleft(around.cast("long"), 17) + equal
-    return met.withColumn("range", number).drop("hot_id", "parts", "ties")
+    ranged = met.withColumn("range", number).drop("hot_id", "parts", "ties")
+    # All later steps keep this partitioning; more partitions than usual where theirs would hold too much text each.
+    tasks = ranges * RANGE_BYTES // TASK_BYTES
+    return ranged.repartition(tasks, "range") if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ranged
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

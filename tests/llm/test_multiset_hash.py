@@ -74,6 +74,15 @@ def test_rows_without_ids_and_equal_rows_over_many_ranges(spark, monkeypatch):
     assert sum(tuple(r["vector"]) == same == tuple(r["next_vector"]) for r in found) >= 1998
 
 
+def test_more_tasks_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr(mh, "RANGE_BYTES", 1000)
+    monkeypatch.setattr(mh, "TASK_BYTES", 4000)
+    frame = spark.createDataFrame([(i, f"line {i % 50} of it.\nand more " * 10) for i in range(600)], "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    assert mh._in_ranges(frame).rdd.getNumPartitions() > 20
+    rows = mh.edited_fingerprints(frame).collect()
+    assert {(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows} == set(expected([(r["doc_id"], r["text"]) for r in frame.collect()]))
+
+
 def test_cuts_are_counted_in_two_steps(spark):
     for cuts in ([3], [1, 5], list(range(0, 300, 3)), list(range(17))):
         frame = spark.range(-5, 310).select("id", mh._below(cuts, F.col("id")).alias("n"))

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa

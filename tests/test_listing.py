@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from sparkgauge.sources import files, listing, readers, records
+from sparkgauge.sources import listing, readers, records
 
 
 def write(path, data=""):

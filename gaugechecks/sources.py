@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gaugechecks.tables import DIRTY, dirty, table
@@ -12,6 +14,7 @@ from sparkgauge.session import scratch_path
 from sparkgauge.sources import files, readers, records, sinks, store
 
 QUERIES, SQL = {}, {}
+SPLITS_A_FILE = 2
 
 
 def register(name, sql=None):
@@ -127,10 +130,12 @@ def record_violations(spark, sf):
 
 @register("csv_split_scan", f"SELECT doc_id, {QUOTED} || chr(10) || 'x,\"y\"' AS text, lang FROM documents")
 def csv_split_scan(spark, sf):
-    """One file with line breaks in its cells, put together from its lines, which several tasks may read."""
+    """Files with line breaks in their cells, put together from their lines, which several tasks may read."""
     docs = table(spark, sf, "documents")
+    # A task writes a file from SPLITS_A_FILE splits of the table, whatever its size; the texts of a file are more than a split.
+    parts = math.ceil(docs.rdd.getNumPartitions() / SPLITS_A_FILE)
     quoted = F.concat(F.replace("text", F.lit(" "), F.lit('" ')), F.lit('\nx,"y"'))
-    path = sinks.write_csv(docs.select("doc_id", quoted.alias("text"), "lang").coalesce(1), scratch_path(spark, "quoted-csv"))
+    path = sinks.write_csv(docs.select("doc_id", quoted.alias("text"), "lang").coalesce(max(1, parts)), scratch_path(spark, "quoted-csv"))
     cells = readers.split_rows(spark, path, ["doc_id", "text", "lang"])
     return cells.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sparkgauge.functions.cells import col_of, to_number
@@ -28,14 +30,33 @@ def raw_headers(spark: SparkSession, path: str, **options: str) -> list[str | No
 
 
 def file_headers(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
-    """(header, files): the different first records of all files; more than one row means that the files don't fit together."""
+    """(header, files): the different first records of all files; more than one row means that the files don't fit together.
+
+    Records pass by in the order of their file; a task sends on those that begin another file, and no more.
+    """
     rows = spark.read.options(**{"header": "false", "multiLine": "true", **QUOTING, **options}).csv(path)
     cells = F.array(*[col_of(c) for c in rows.columns])
     numbered = rows.select(F.col("_metadata.file_path").alias("file"), cells.alias("header"), F.monotonically_increasing_id().alias("nth"))
-    first = numbered.groupBy("file").agg(F.min_by("header", "nth").alias("header"))
+    first = numbered.mapInArrow(_first_of_files, numbered.schema).groupBy("file").agg(F.min_by("header", "nth").alias("header"))
     return first.groupBy("header").agg(F.count(F.lit(1)).alias("files"))
 
 
+def _first_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each stretch of rows of one file; names are in the first column."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files = batch.column(0).dictionary_encode()
+        codes = files.indices.to_numpy()
+        starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()]
+        if files.dictionary[int(codes[0])].as_py() == last:
+            starts = starts[1:]
+        last = files.dictionary[int(codes[-1])].as_py()
+        if starts:
+            yield batch.take(pa.array(starts, pa.int64()))
+
+
 def corrupt_rows(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, multi_line: bool = True, **options: str) -> DataFrame:
     """(reason, record): records that don't fit the header, which a reader would shorten or shift.
 

@@ -2,9 +2,11 @@
 
 import glob
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gaugechecks import sources
+from sparkgauge.sources import readers
 
 
 def parts(tmp_path, name):
@@ -22,3 +24,21 @@ def test_split_scan_writes_files_of_a_few_splits(spark, tmp_path, monkeypatch):
     found = sources.csv_split_scan(spark, str(tmp_path)).collect()
     assert len(parts(tmp_path, "quoted-csv")) == 3
     assert sorted((r["doc_id"], r["text"], r["lang"]) for r in found) == [(i, f'a" b" {i}\nx,"y"', "en") for i in range(60)]
+
+
+def test_first_records_are_kept_without_the_others():
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows]), pa.array([[x] for _, x in rows])], ["file", "header"])
+
+    given = [batch(("a", 1), ("a", 2), ("b", 3)), batch(("b", 4), ("b", 5)), batch(("c", 6), ("c", 7), ("d", 8))]
+    kept = [r["header"][0] for b in readers._first_of_files(iter(given)) for r in b.to_pylist()]
+    assert kept == [1, 3, 6, 8]
+
+
+def test_file_headers_sorts_first_records_only(spark, tmp_path):
+    for name, head in (("a", "x,y"), ("b", "x,y"), ("c", '"x\n1",z')):
+        (tmp_path / f"{name}.csv").write_text(f"{head}\n" + "1,2\n" * 30_000)
+    found = readers.file_headers(spark, str(tmp_path))
+    assert {(tuple(r["header"]), r["files"]) for r in found.collect()} == {(("x", "y"), 2), (("x\n1", "z"), 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan

@@ -42,3 +42,19 @@ def test_file_headers_sorts_first_records_only(spark, tmp_path):
     assert {(tuple(r["header"]), r["files"]) for r in found.collect()} == {(("x", "y"), 2), (("x\n1", "z"), 1)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_surplus_records_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    in_tmp(monkeypatch, tmp_path)
+    spark.range(70).select(F.col("id").alias("o_orderkey")).repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    found = sources.record_violations(spark, str(tmp_path)).collect()
+    assert len(parts(tmp_path, "surplus-csv")) == 5
+    assert [tuple(r) for r in found] == [("CORRUPTED_FILE", "Corrupted CSV structure: 10 record(s) with more cells than the header has.")]
+
+
+def test_broken_bytes_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    in_tmp(monkeypatch, tmp_path)
+    spark.range(50).select(F.col("id").alias("o_orderkey")).repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    found = sources.encoding_violations(spark, str(tmp_path)).collect()
+    assert len(parts(tmp_path, "bytes-csv")) == 5
+    assert [tuple(r) for r in found] == [("INVALID_ENCODING", 50, 10)]

@@ -6,7 +6,7 @@ blocks of at most about ``BLOCK_ROWS`` vectors, so a crowded list is many blocks
 a query probes its nearest lists. A block's vectors are rotated by one random rotation
 and laid out in blocks of ``COLUMNS`` columns. After each of these the distance so far,
 scaled up to all dimensions, is tested against the distance that the query's 20th best
-allows; a candidate for which the hypothesis "it is near enough" is rejected at the
+allows, for many queries at once; a candidate for which the hypothesis "it is near enough" is rejected at the
 bound ``1 + strictness / sqrt(d)`` is abandoned. What survives is scored on the original
 vectors in double precision. The nearest list is searched first, and the other lists
 start from the bound found there, so they send on little more than what is better.
@@ -40,6 +40,8 @@ LIST_ROWS = 500
 MOST_LISTS = 4_096
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 1 << 17
+#: Pairs of a query and a vector that are tested at once.
+PAIRS = 1 << 18
 COLUMNS = 16
 SEED = 7
 
@@ -116,6 +118,30 @@ class Block:
         best = np.lexsort((self.ids[live], -scores))[:k]
         return self.ids[live[best]], scores[best]
 
+    def search_many(self, owns: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for queries that all have a bound: (place of the query, id, score), each query's best first.
+
+        The tests are the same; what a test rejects is marked instead of left out, so that matrix products take the place of a call for each query.
+        """
+        turned, norms, floor = queries @ self.turn, (queries**2).sum(axis=1)[:, None], floors[:, None]
+        live = self.rows[None, :] != owns[:, None]
+        far, near = np.zeros(live.shape), np.maximum(norms + self.norms[None, :] - 2 * floor, 0)
+        for at, (part, part_norms, bound) in enumerate(zip(self.parts, self.part_norms, self.bounds)):
+            q = turned[:, at * COLUMNS:at * COLUMNS + part.shape[1]]
+            far += q @ (-2 * part.T)
+            far += part_norms[None, :]
+            far += (q**2).sum(axis=1)[:, None]
+            if at + 1 < len(self.parts):
+                live &= far <= bound * near + 1e-9
+        live &= (norms + self.norms[None, :] - far) / 2 >= floor - 1e-9
+        place, at = np.nonzero(live)
+        scores = (self.vectors[at] * queries[place]).sum(axis=1)
+        enough = scores >= floors[place]
+        place, ids, scores = place[enough], self.ids[at[enough]], scores[enough]
+        order = np.lexsort((ids, -scores, place))
+        order = order[np.arange(len(order)) - np.searchsorted(place[order], place[order], "left") < k]
+        return place[order], ids[order], scores[order]
+
 
 def _scan(blocks: DataFrame, probes: DataFrame, k: int, strictness: float) -> DataFrame:
     """Best of each probed block: (query, query_id, vec_id, score)."""
@@ -131,7 +157,7 @@ def _scan(blocks: DataFrame, probes: DataFrame, k: int, strictness: float) -> Da
                 continue
             place = np.stack([batch.column(i).to_numpy() for i in range(4)])
             edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(edges, edges[1:]):
                 part, asks = batch.slice(a, b - a), place[3, a]
                 if (here := tuple(place[:3, a])) != at:
@@ -142,12 +168,17 @@ def _scan(blocks: DataFrame, probes: DataFrame, k: int, strictness: float) -> Da
                 if block is None and held:
                     block = Block(*[np.concatenate(x) for x in zip(*held)], strictness)
                 if block is not None:
-                    for row, own, query, floor in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), matrix(part.column(6)), part.column(7).to_pylist()):
-                        found.append((row, own, *block.search(row, query, k, -math.inf if floor is None else floor)))
-            sizes = [len(f[2]) for f in found]
-            repeated = [np.repeat(np.array([f[i] for f in found], np.int64), sizes) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, repeated), pa.array(np.concatenate([np.zeros(0, np.int64), *[f[2] for f in found]])),
-                                              pa.array(np.concatenate([np.zeros(0), *[f[3] for f in found]]))], ["query", "query_id", "vec_id", "score"])
+                    rows, owns, queries = part.column(4).to_numpy(), part.column(5).to_numpy(), matrix(part.column(6))
+                    floors = part.column(7).to_numpy(zero_copy_only=False).astype(np.float64)
+                    for i in np.flatnonzero(np.isnan(floors)):
+                        ids, scores = block.search(rows[i], queries[i], k, -math.inf)
+                        found.append((np.full(len(ids), rows[i]), np.full(len(ids), owns[i]), ids, scores))
+                    bounded, step = np.flatnonzero(~np.isnan(floors)), max(1, PAIRS // max(1, len(block.rows)))
+                    for some in (bounded[i:i + step] for i in range(0, len(bounded), step)):
+                        at_query, ids, scores = block.search_many(rows[some], queries[some], k, floors[some])
+                        found.append((rows[some][at_query], owns[some][at_query], ids, scores))
+            none_yet = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*(none_yet + found))], ["query", "query_id", "vec_id", "score"])
 
     return met.repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(pass_by, "query long, query_id long, vec_id long, score double")
 

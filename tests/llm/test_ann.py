@@ -71,3 +71,16 @@ def test_abandoning_saves_work_and_keeps_the_best():
     block = ann.Block(np.arange(2000), np.arange(2000), x, 1.5)
     hits = [len(set(block.search(q, x[q], 10, -np.inf)[0]) & {i for i, _ in brute(list(enumerate(x)), q, x[q], 10)}) for q in range(30)]
     assert np.mean(hits) >= 9.5
+
+
+def test_queries_at_once_find_what_each_finds_alone():
+    random = np.random.default_rng(3)
+    vectors, queries = random.standard_normal((300, 40)), random.standard_normal((25, 40))
+    ids = random.permutation(np.repeat(np.arange(150), 2))
+    block = ann.Block(np.arange(300), ids, vectors, 1.5)
+    owns, floors = np.arange(25), np.sort(vectors @ queries.T, axis=0)[-12]
+    floors[3] = 1e9
+    place, found, scores = block.search_many(owns, queries, 5, floors)
+    for i in range(25):
+        alone = block.search(owns[i], queries[i], 5, floors[i])
+        assert found[place == i].tolist() == alone[0].tolist() and scores[place == i].tolist() == alone[1].tolist()

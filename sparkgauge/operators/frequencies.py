@@ -88,12 +88,15 @@ def numeric_value_facts(df: DataFrame, columns: Sequence[str] | None = None) ->
     for kind, group in kinds.items():
         long = long_form(df, {f.name: as_double(f) if kind == "double" else col_of(f.name).cast(kind) for f in group})
         freq = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-        v, n = F.col("value"), F.col("n")
+        v, n, times = F.col("value"), F.col("n"), F.col("times")
+        # Values with equal counts become one row first, by sums and extremes of fixed width, which need no sort.
+        alike = freq.groupBy("column_name", n, v.isNull().alias("missing")).agg(F.count(F.lit(1)).alias("times"), F.min(v).alias("low"), F.max(v).alias("high"))
         # Greatest count first, then the smallest value; only the count is negated.
-        best = F.min(F.when(v.isNotNull(), F.struct((-n).alias("fewer"), v))).alias("best")
-        facts = freq.groupBy("column_name").agg(
-            F.sum(n).alias("row_count"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"), F.count(v).alias("distinct_count"),
-            F.coalesce((F.min(v) == 0) & (F.max(v) == 1), F.lit(False)).alias("boolean_pair"), best)
+        best = F.min(F.when(~F.col("missing"), F.struct((-n).alias("fewer"), F.col("low").alias("value")))).alias("best")
+        facts = alike.groupBy("column_name").agg(
+            F.sum(n * times).alias("row_count"), F.coalesce(F.sum(F.when(F.col("missing"), n)), F.lit(0)).alias("null_count"),
+            F.coalesce(F.sum(F.when(~F.col("missing"), times)), F.lit(0)).alias("distinct_count"),
+            F.coalesce((F.min("low") == 0) & (F.max("high") == 1), F.lit(False)).alias("boolean_pair"), best)
         mode = F.col("best.value")
         parts.append(facts.select("column_name", "row_count", "null_count", "distinct_count", "boolean_pair", (mode.cast("double") + F.lit(0.0)).alias("mode"),
                                   mode.cast("string").alias("mode_text"), (-F.col("best.fewer")).alias("mode_count")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparkgauge.operators.quantiles import quantile_values
-from sparkgauge.operators.shape import as_double, fields, numeric_columns, numeric_long
+from sparkgauge.operators.shape import as_double, fields, numeric_columns
 from sparkgauge.session import small_frame
 
 REACH = 1.5
@@ -27,21 +29,27 @@ def fences(df: DataFrame, columns: Sequence[str] | None = None, quartiles: dict[
 
 
 def beyond_fences(df: DataFrame, columns: Sequence[str] | None = None, quartiles: dict[str, list[float]] | None = None) -> DataFrame:
-    """Per column: values under and over the fence, from one scan joined to one row per column."""
+    """Per column: values under and over the fence, counted by whole Arrow batches in one scan; a row for each column and task meets."""
     chosen = list(columns) if columns is not None else numeric_columns(df)
     bounds = fences(df, chosen, quartiles)
-    v = F.col("value")
-    return (
-        numeric_long(df, chosen)
-        .filter(v.isNotNull())
-        .join(F.broadcast(bounds), "column_name")
-        .groupBy("column_name", "q1", "q3", "iqr", "lower_bound", "upper_bound")
-        .agg(
-            F.count(v).alias("n"),
-            F.count_if(v < F.col("lower_bound")).alias("below_count"),
-            F.count_if(v > F.col("upper_bound")).alias("above_count"),
-        )
-    )
+    ends = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in bounds.collect()}
+    names = [c for c in chosen if c in ends]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(names), 3), np.int64)
+        for batch in batches:
+            for i, (name, column) in enumerate(zip(names, batch.columns)):
+                values, (low, high) = column.drop_null().to_numpy(zero_copy_only=False), ends[name]
+                # A bound that is no number (infinite quartiles) is above all values.
+                seen[i] += (len(values), len(values) if np.isnan(low) else (values < low).sum(), (values > high).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(x) for x in seen.T]], ["column_name", "n", "below_count", "above_count"])
+
+    schema = "column_name string, n bigint, below_count bigint, above_count bigint"
+    if not names:
+        return bounds.join(small_frame(df.sparkSession, [], schema), "column_name").select(*bounds.columns, "n", "below_count", "above_count")
+    wide = df.select(*[as_double(f).alias(f"v{i}") for i, f in enumerate(fields(df, names))])
+    counted = wide.mapInArrow(count, schema).groupBy("column_name").agg(*[F.sum(c).alias(c) for c in ("n", "below_count", "above_count")])
+    return counted.filter("n > 0").join(F.broadcast(bounds), "column_name").select(*bounds.columns, "n", "below_count", "above_count")
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, quartiles: dict[str, list[float]] | None = None) -> DataFrame:

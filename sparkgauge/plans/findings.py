@@ -40,8 +40,8 @@ def _fixed(totals: DataFrame, order: int, table: dict) -> DataFrame:
     return totals.select(F.lit(order).alias("rule_order"), F.posexplode(texts(F.col("row_count"), lists)).alias("item_ix", "finding"))
 
 
-def all_findings(profile: Profile) -> DataFrame:
-    """Every finding with its rule and position."""
+def all_findings(profile: Profile, tested: bool = True) -> DataFrame:
+    """Every finding with its rule and position; without ``tested`` those of rule 6, which reads the tests, are left out."""
     level = profile.totals.select(tier(F.col("row_count"))).scalar()
     rows = profile.totals.select("row_count").scalar()
     name = F.col("column_name")
@@ -64,9 +64,10 @@ def all_findings(profile: Profile) -> DataFrame:
         _texts(skewed, 5, F.col("column_ix"), F.format_string(
             "Non-normal distribution in '%s': The column shows a skewness of %s and kurtosis of %s, deviating significantly from normality (p < 0.05).",
             name, plain(F.col("skewness"), 2), plain(F.col("kurtosis"), 2))),
-        _texts(profile.tests.filter("significant"), 6, kind_order * 1000 + F.col("rule_order"), F.format_string(
-            "Hypothesis Test Result (%s): %s", "test_type", "interpretation")),
     ]
+    if tested:
+        found.append(_texts(profile.tests.filter("significant"), 6, kind_order * 1000 + F.col("rule_order"), F.format_string(
+            "Hypothesis Test Result (%s): %s", "test_type", "interpretation")))
     grounded = found[0]
     for part in found[1:]:
         grounded = grounded.unionByName(part)
@@ -77,9 +78,12 @@ def all_findings(profile: Profile) -> DataFrame:
 def findings(profile: Profile, most: int | None = None) -> DataFrame:
     """(place, rule_order, finding): all findings by rule and column position, or the first ``most``.
 
-    The fixed texts of rule 9 stand in only when no other rule fired.
+    The fixed texts of rule 9 stand in only when no other rule fired. Where the rules before
+    the tests give ``most`` findings, no test is run.
     """
-    every = all_findings(profile)
+    before = None if most is None else all_findings(profile, tested=False)
+    enough = before is not None and before.filter(F.col("rule_order") < 6).count() >= most
+    every = before if enough else all_findings(profile)
     lowest = Window.partitionBy(F.lit(1))
     kept = every.withColumn("low", F.min("rule_order").over(lowest)).filter((F.col("rule_order") < 9) | (F.col("low") == 9))
     return placed(kept, most, "rule_order", "item_ix").select("place", "rule_order", "finding")

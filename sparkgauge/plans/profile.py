@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -64,7 +65,10 @@ def numeric_profile(
 
 @dataclass
 class Profile:
-    """Everything the rules need, as small frames (a few rows per column or column pair)."""
+    """Everything the rules need, as small frames (a few rows per column or column pair).
+
+    The hypothesis tests are worked out when they are first asked for, and then kept.
+    """
 
     totals: DataFrame  # one row
     columns: DataFrame
@@ -73,7 +77,11 @@ class Profile:
     strong: DataFrame
     collinear: DataFrame
     normality: DataFrame
-    tests: DataFrame
+    run_tests: Callable[[], DataFrame]
+
+    @cached_property
+    def tests(self) -> DataFrame:
+        return self.run_tests()
 
 
 def table_totals(schema: DataFrame, duplicates: DataFrame, constants: Sequence[str], rows: int) -> DataFrame:
@@ -121,17 +129,15 @@ def profile_table(df: DataFrame, most_tests: int | None = None, exact: bool = Tr
         varying = moments.filter("variance > 0").select("column_name", "mean").collect()
         means = {r["column_name"]: r["mean"] for r in varying}
         medians = {c: [v[2]] for c, v in quantiles.items()}
-        numeric, pairs, normal, tests = at_once(
+        numeric, pairs, normal = at_once(
             lambda: pin(numeric_profile(df, present, quantiles, moments.filter(F.col("n") > 0), numbers)),
             lambda: pin(correlated_pairs(df, None, medians, {c: means[c] for c in nums if c in means}, min(STRONG, COLLINEAR))),
             lambda: pin(normality(df, present, moments)),
-            lambda: pin(hypothesis_tests(df, most_tests, few if exact else None)),
         )
     else:
         numeric = small_frame(spark, [], NO_NUMERIC_SCHEMA)
         pairs = correlated_pairs(df, [], {}, {})
         normal = small_frame(spark, [], NO_NORMALITY_SCHEMA)
-        tests = pin(hypothesis_tests(df, most_tests, few if exact else None))
     order = column_list(df).select("column_ix", "column_name")
     return Profile(
         totals=pin(table_totals(schema, duplicates, constants, rows)),
@@ -141,5 +147,5 @@ def profile_table(df: DataFrame, most_tests: int | None = None, exact: bool = Tr
         strong=pin(strong_correlations(df, pairs=pairs)),
         collinear=pin(multicollinearity(df, pairs=pairs)),
         normality=pin(normal.join(F.broadcast(order), "column_name")),
-        tests=tests,
+        run_tests=lambda: pin(hypothesis_tests(df, most_tests, few if exact else None)),
     )

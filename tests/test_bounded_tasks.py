@@ -58,3 +58,37 @@ def test_broken_bytes_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     found = sources.encoding_violations(spark, str(tmp_path)).collect()
     assert len(parts(tmp_path, "bytes-csv")) == 5
     assert [tuple(r) for r in found] == [("INVALID_ENCODING", 50, 10)]
+
+
+def test_scores_and_first_findings_run_no_hypothesis_tests(spark, monkeypatch):
+    from sparkgauge.plans import findings, profile, score
+
+    def fail(*_):
+        raise AssertionError("tests were run")
+
+    monkeypatch.setattr(profile, "hypothesis_tests", fail)
+    rows = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("a"), F.when(F.col("id") % 3 == 0, F.col("id") * 2).alias("b"), F.when(F.col("id") % 5 > 0, "x").otherwise("y").alias("c"))
+    told = profile.profile_table(rows)
+    assert score.quality_score(score.score_facts(told)).first()["missing_cells"] == 116
+    assert [r["rule_order"] for r in findings.findings(told, most=2).collect()] == [1, 1]
+
+
+def test_value_facts_meet_by_counts(spark):
+    from sparkgauge.operators.frequencies import numeric_value_facts
+
+    rows = [(1, 0.5, None), (1, 0.5, None), (0, 2.5, None), (0, 2.5, None), (None, float("nan"), None), (1, 7.0, None)]
+    df = spark.createDataFrame(rows, "a long, b double, c long")
+    found = {r["column_name"]: tuple(r)[1:] for r in numeric_value_facts(df).collect()}
+    assert found == {"a": (6, 1, 2, True, 1.0, "1", 3), "b": (6, 1, 3, False, 0.5, "0.5", 2), "c": (6, 6, 0, False, None, None, None)}
+    plan = numeric_value_facts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "times" in plan
+
+
+def test_fences_are_counted_in_batches(spark):
+    from sparkgauge.operators.outliers import beyond_fences
+
+    df = spark.createDataFrame([(float(x), None) for x in (1, 2, 3, 4, 100, -90)] + [(None, None), (float("nan"), None)], "a double, b double")
+    frame = beyond_fences(df)
+    assert [(r["column_name"], r["n"], r["below_count"], r["above_count"]) for r in frame.collect()] == [("a", 6, 1, 1)]
+    assert "MapInArrow" in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert beyond_fences(df.select("b")).collect() == []

@@ -54,3 +54,13 @@ def test_sketch_mode_is_close(spark, sf):
     exact = q.percentiles(df, ["l_extendedprice"]).first()
     rough = q.percentiles(df, ["l_extendedprice"], exact=False).first()
     assert abs(exact["p50"] - rough["p50"]) < 0.05 * exact["p50"]
+
+
+def test_ranks_of_larger_tables_take_two_scans(spark, monkeypatch):
+    """With more values than gaps used to hold, ranks are still read by the second scan, from whole Arrow batches."""
+    monkeypatch.setattr(q, "_order_statistics", lambda *_: pytest.fail("more than two scans"))
+    df = spark.range(6_000_000).select(F.when(F.col("id") % 7 > 0, F.xxhash64("id") % 1_000_003).alias("a"), (F.col("id") % 10).cast("double").alias("b"))
+    probabilities = (0.05, 0.25, 0.5, 0.75, 0.95)
+    got, pdf = q.quantile_values(df, probabilities), df.toPandas()
+    for c in ("a", "b"):
+        np.testing.assert_allclose(got[c], np.quantile(pdf[c].dropna().to_numpy(dtype=float), probabilities), rtol=1e-12)

@@ -16,6 +16,9 @@ longer than ``OPEN`` letters, one half of it is the same too. Both are part of t
 keeps lists short without passing over a pair. The join's own condition verifies the distance
 (code points), so no pair leaves it that is not one edit apart.
 
+No join of words is broadcast, whatever size Spark takes them for: it goes by their packed files
+and does not see that a word is in a dozen lists or more.
+
 The frequent grams are at most ``MOST_GRAMS`` in number whatever the table's size (a gram is
 frequent if it occurs more than once in so many gram places), so they fit in every task.
 Words are counted in the tasks before they are shuffled. Null texts have no words. Null ids
@@ -45,6 +48,8 @@ MOST_GRAMS, RARE = 1 << 17, 16
 OPEN = 3
 #: Distinct words that a task holds before it sends counts on.
 HELD_WORDS = 200_000
+#: Strategy of joins whose sides grow with the words.
+SHUFFLED = "merge"
 START, END = "\x02", "\x03"
 
 Spelling = Callable[[object], Callable[[str], str]]
@@ -172,7 +177,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     spread = words.select("word", "n").mapInArrow(lists, "key long, longer boolean, word string, n long")
     one, other = spread.filter("not longer").alias("o"), spread.alias("p")
     apart = (F.col("p.longer") | (F.col("o.word") < F.col("p.word"))) & (F.levenshtein("o.word", "p.word", 1) == 1)
-    found = one.join(other, (F.col("o.key") == F.col("p.key")) & apart)
+    found = one.join(other.hint(SHUFFLED), (F.col("o.key") == F.col("p.key")) & apart)
     pairs = found.select(F.col("o.word").alias("word"), F.col("o.n").alias("n"), F.col("p.word").alias("near"), F.col("p.n").alias("near_n")).distinct()
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     return pairs.select(F.inline(both))
@@ -188,7 +193,7 @@ def variant_groups(words: DataFrame, factor: int = 2) -> DataFrame:
     words = stored(words, "words")
     best = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), "near")).alias("best"))
     taken = -F.col("best.n") >= F.col("n") * factor
-    told = words.join(best, "word", "left").select("word", F.when(taken, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
+    told = words.join(best.hint(SHUFFLED), "word", "left").select("word", F.when(taken, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
                                                    F.when(taken, -F.col("best.n")).alias("form_n"))
     told = stored(told, "forms")
     most = told.agg(F.max("n").alias("n")).first()["n"] or 1
@@ -196,6 +201,6 @@ def variant_groups(words: DataFrame, factor: int = 2) -> DataFrame:
     links, reach = told.filter("form is not null").select("word", F.col("form").alias("root")), 1
     while reach < longest:
         on = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        links = stored(links.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
+        links = stored(links.join(on.hint(SHUFFLED), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
         reach *= 2
-    return told.join(links, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(links.hint(SHUFFLED), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -59,6 +59,29 @@ def test_brute_force(spark, monkeypatch):
         assert sorted(tuple(r[c] for c in names) for r in variants.variant_groups(frame).collect()) == expected(counts)
 
 
+def test_no_join_of_words_is_broadcast(spark, monkeypatch):
+    """A few MB of words make over a GB of lists: no plan may rest on the size that Spark takes them for."""
+    plans, kept = [], variants.stored
+
+    def ran(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(variants, "stored", lambda df, name: (ran(df), kept(df, name))[1])
+    counts = {w: 3 * 2 ** (i % 8) for i, w in enumerate(invented(5, 300))}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        rows = ran(variants.variant_groups(words))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    names = ("word", "form", "root", "n", "n_near", "form_n")
+    assert sorted(tuple(r[c] for c in names) for r in rows) == expected(counts)
+    assert sum("Join" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_lists_meet_for_every_pair():
     """The keys of the lists: all pairs one edit apart have one in common, for any dictionary."""
     rnd = random.Random(3)
